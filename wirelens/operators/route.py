@@ -140,7 +140,17 @@ def route(
     used = _keys(datagrams, keys)
     if not used:
         raise ValueError("first-match routing over a definition table needs datagram keys")
-    pairs = match_pairs(datagrams, messages, keys, False, connection, max_broadcast_rows)
+    defs, rows = _as_frame(datagrams, messages)
+    # Of definitions that match the same datagrams only the earliest can win.
+    is_text = F.col("format") == "NMEA"
+    link = F.coalesce(F.col("connection_id"), F.lit("")) if connection else F.lit("")
+    firsts = defs.groupBy(
+        F.when(is_text, F.upper(F.trim("sentence"))).alias("_s"),
+        F.when(~is_text, F.col("payload_len")).alias("_l"),
+        F.when(~is_text, F.coalesce(F.col("header"), F.lit(b""))).alias("_h"),
+        link.alias("_c"),
+    ).agg(F.min_by(F.struct(*[F.col(c) for c in defs.columns]), "def_order").alias("_d"))
+    pairs = match_pairs(datagrams, firsts.select("_d.*"), keys, False, connection, max_broadcast_rows)
     best = pairs.groupBy(*used).agg(F.min(F.struct("def_order", "message", "format")).alias("_best"))
     return datagrams.join(best, used).select(*datagrams.columns, "_best.message", "_best.def_order", "_best.format")
 
