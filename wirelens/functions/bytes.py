@@ -320,35 +320,39 @@ def sum_bytes(payload: Column, start, stop) -> Column:
     start_c, stop_c = _c(start), _c(stop)
     lanes = F.lit(0x00FF00FF00FF00FF)
 
-    def word_sum(i):
-        w = raw_of(F.hex(F.substring(payload, i, F.least(F.lit(8), stop_c - i + 1))))
+    def word(i):
+        return raw_of(F.hex(F.substring(payload, i, F.least(F.lit(8), stop_c - i + 1))))
+
+    def add(total, w):
+        # Four 16-bit lanes of two bytes each; one multiply-free fold per word.
         pair = w.bitwiseAND(lanes) + F.shiftrightunsigned(w, 8).bitwiseAND(lanes)
-        pair = pair + F.shiftrightunsigned(pair, 16)
-        return (pair + F.shiftrightunsigned(pair, 32)).bitwiseAND(F.lit(0xFFFF))
+        return total + F.pmod(pair, F.lit(65535))
 
-    return F.when(
-        stop_c > start_c,
-        F.aggregate(_words(payload, start, stop), F.lit(0).cast("bigint"), lambda a, i: a + word_sum(i)),
-    ).otherwise(F.lit(0).cast("bigint"))
+    words = F.transform(_words(payload, start, stop), word)
+    return F.when(stop_c > start_c, F.aggregate(words, F.lit(0).cast("bigint"), add)).otherwise(
+        F.lit(0).cast("bigint")
+    )
 
 
 def sum_words16(payload: Column) -> Column:
     """Sum of big-endian 16-bit words, an odd last byte padded with zero."""
     mask = F.lit(0xFFFF)
 
-    def word_sum(i):
-        w = raw_of(F.rpad(F.hex(F.substring(payload, i, F.lit(8))), 16, "0"))
+    def word(i):
+        return raw_of(F.rpad(F.hex(F.substring(payload, i, F.lit(8))), 16, "0"))
+
+    def add(total, w):
         return (
-            w.bitwiseAND(mask)
+            total
+            + w.bitwiseAND(mask)
             + F.shiftrightunsigned(w, 16).bitwiseAND(mask)
             + F.shiftrightunsigned(w, 32).bitwiseAND(mask)
-            + F.shiftrightunsigned(w, 48).bitwiseAND(mask)
+            + F.shiftrightunsigned(w, 48)
         )
 
     size = F.octet_length(payload)
-    return F.when(
-        size > 0, F.aggregate(_words(payload, F.lit(0), size), F.lit(0).cast("bigint"), lambda a, i: a + word_sum(i))
-    ).otherwise(F.lit(0).cast("bigint"))
+    words = F.transform(_words(payload, F.lit(0), size), word)
+    return F.when(size > 0, F.aggregate(words, F.lit(0).cast("bigint"), add)).otherwise(F.lit(0).cast("bigint"))
 
 
 def ones_complement(total: Column) -> Column:

@@ -274,7 +274,8 @@ def _mapped_rows(rows: DataFrame, mapping: DataFrame | None) -> DataFrame:
         headers.select("doc", F.col("table_idx").alias("parent_idx"), F.col("header_row").alias("parent_header")),
         ["doc", "parent_idx"],
     )
-    placed = groups.select(*TABLE, "parent_idx", "seq").join(parents, ["doc", "parent_idx"])
+    # One small row per table, used by every later step: kept rather than recomputed.
+    placed = groups.select(*TABLE, "parent_idx", "seq").join(parents, ["doc", "parent_idx"]).persist()
     joined = rows.select(*TABLE, "row_idx", "cells").join(placed, TABLE)
     first = F.when(F.col("seq") == 0, F.col("parent_header") + 1).otherwise(0)
     return joined.filter(F.col("row_idx") >= first)

@@ -284,17 +284,17 @@ def _ordered_rate(df, counted, keys, order, window_ms, name, seed, chunk, bucket
     prior = (
         spread.withColumn("_prior", F.coalesce(F.sum("_n").over(recent), F.lit(0)))
         .filter(F.col("_bucket") == home)
-        .select(*[F.col(k).alias(f"_j_{k}") for k in keys], F.col("_ms").alias("_j_ms"), "_prior")
+        .select(*[F.col(k).alias(f"_j_{k}") for k in keys + ["_ms"]], "_prior")
     )
     base = inside.join(prior, _join_keys(keys + ["_ms"], "_j_")).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys + ["_ms"]],
-        F.col("_slot").alias("_k_slot"),
+        F.col("_slot").alias("_k__slot"),
         (F.col("_prior") + F.col("_same")).alias("_base"),
     )
     rank = F.row_number().over(Window.partitionBy(*keys, "_ms", "_slot").orderBy(order))
     rows = df.withColumn("_slot", slot)
     out = rows.join(base, _join_keys(keys + ["_ms", "_slot"], "_k_"))
-    scratch = ["_slot", "_base", "_k_slot", "_k__ms"] + [f"_k_{k}" for k in keys]
+    scratch = ["_slot", "_base", "_k__slot", "_k__ms"] + [f"_k_{k}" for k in keys]
     return out.withColumn(name, F.col("_base") + rank).drop(*scratch)
 
 

@@ -258,7 +258,7 @@ def hex_dump_lines(spark, sf):
 
 @query(
     """WITH w AS (SELECT o_orderkey, o_custkey, length(o_orderpriority) AS n,
-        list_sum(list_transform(range(1, length(o_orderpriority) + 1), i ->
+        list_sum(list_transform(range(1, length(o_orderpriority) + 1), lambda i:
             ascii(substr(o_orderpriority, CAST(i AS INTEGER), 1)) * CASE WHEN i % 2 = 1 THEN 256 ELSE 1 END)) AS words
         FROM orders),
     s AS (SELECT o_orderkey, n, 2560 + (o_custkey >> 16) + (o_custkey & 65535) + 49320 + 256 + 6 + 20 + n
@@ -532,7 +532,7 @@ def rules_from_json(spark, sf):
 
 
 @query(
-    """SELECT p_partkey, CAST(list_reduce(list_transform(string_split(t, ''), c -> ascii(c)), (a, b) -> xor(a, b)) AS BIGINT) AS x
+    """SELECT p_partkey, CAST(list_reduce(list_transform(string_split(t, ''), lambda c: ascii(c)), lambda a, b: xor(a, b)) AS BIGINT) AS x
     FROM (SELECT p_partkey, p_name || p_brand || p_type AS t FROM part)"""
 )
 def checksum_xor(spark, sf):
@@ -542,7 +542,7 @@ def checksum_xor(spark, sf):
 
 
 @query(
-    """SELECT doc_id, CAST(list_sum(list_transform(string_split(t, ''), c -> CASE
+    """SELECT doc_id, CAST(list_sum(list_transform(string_split(t, ''), lambda c: CASE
         WHEN unicode(c) < 128 THEN unicode(c)
         WHEN unicode(c) < 2048 THEN 192 + unicode(c) // 64 + 128 + unicode(c) % 64
         WHEN unicode(c) < 65536 THEN 224 + unicode(c) // 4096 + 128 + (unicode(c) // 64) % 64 + 128 + unicode(c) % 64
@@ -687,8 +687,8 @@ def nmea_bad_checksum(spark, sf):
     spoiled = (
         F.when(kind == 0, F.regexp_replace(text, "[*]..", "*ZZ"))
         .when(kind == 1, F.regexp_replace(text, "[*]..", ""))
-        .when(kind == 2, F.lit("noise$GP,1*16\r\n"))
-        .otherwise(F.lit("$GPGGA,1*7B\r\n"))
+        .when(kind == 2, F.lit("noise$GP,1*0A\r\n"))
+        .otherwise(F.lit("$GPGGA,1*4B\r\n"))
     )
     bad = rows.select("event_id", F.encode(spoiled, "ISO-8859-1").alias("payload"))
     out = nmea.nmea_warnings(bad, ["event_id"], "GLL")

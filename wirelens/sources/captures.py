@@ -49,7 +49,8 @@ def capture_files(
 ) -> DataFrame:
     """(path, length, reason): .pcap/.pcapng files that are not empty and under the cap.
 
-    Only metadata is scanned. ``rejected=True`` also lists the others with a reason.
+    Only metadata is scanned. ``rejected=True`` also lists the others with a
+    reason, except empty files, which the listing itself leaves out.
     """
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
