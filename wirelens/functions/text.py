@@ -158,6 +158,8 @@ def evaluate_expression(text: str | None) -> tuple[float | None, str | None]:
     for num, name, sign in tokens:
         if name and name.lower() not in ("pi", "e"):
             return None, f"Unknown constant: {name.lower()}"
+        if num and math.isinf(float(num)):
+            return None, "Invalid number."
         if sign and sign not in "+-*/^()":
             return None, f"Unexpected character: '{sign}'"
         # Spaces keep "* *" from becoming a power and "2 3" from becoming a number.

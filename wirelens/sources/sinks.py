@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelens.functions.text import safe_name
 from wirelens.operators.decode import decode_fields, decode_long
@@ -61,7 +62,7 @@ def write_decoded(
     """
     spark = routed.sparkSession
     routed.withColumn("part", F.col("def_order")).write.mode("overwrite").partitionBy("part").parquet(staging)
-    staged = spark.read.schema(routed.schema.add("part", "int")).parquet(staging)
+    staged = spark.read.schema(T.StructType([*routed.schema.fields, T.StructField("part", T.IntegerType())])).parquet(staging)
     written = []
     for i, m in enumerate(messages):
         target = f"{path.rstrip('/')}/{output_name(m, stamp)}"
