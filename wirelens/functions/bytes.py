@@ -217,13 +217,13 @@ def fixed6(value: Column) -> Column:
 
 def int_hex(value: Column, length: int, little: bool = False) -> Column:
     """Low ``length`` bytes (1..8) of a bigint as upper-case hex."""
-    text = F.right(F.lpad(F.hex(value.cast("bigint")), 16, "0"), F.lit(2 * length))
+    text = F.substring(F.lpad(F.hex(value.cast("bigint")), 16, "0"), 17 - 2 * length, 2 * length)
     return swap_hex(text, length) if little and length > 1 else text
 
 
 def u64_hex(value: Column, length: int, little: bool = False) -> Column:
     """Low ``length`` bytes of a non-negative decimal(20,0) as hex."""
-    text = F.right(F.lpad(F.conv(value.cast("string"), 10, 16), 16, "0"), F.lit(2 * length))
+    text = F.substring(F.lpad(F.conv(value.cast("string"), 10, 16), 16, "0"), 17 - 2 * length, 2 * length)
     return swap_hex(text, length) if little and length > 1 else text
 
 
@@ -232,30 +232,34 @@ def text_hex(value: Column, length: int) -> Column:
     return F.rpad(F.hex(F.encode(value, "UTF-8")), 2 * length, "0")
 
 
-def _binary_exponent(magnitude: Column, lowest: int) -> Column:
-    """Exponent of the leading bit, corrected where log2 rounds across a power of two."""
-    guess = F.floor(F.log2(magnitude)).cast("double")
-    over = (F.pow(F.lit(2.0), guess) > magnitude).cast("double")
-    under = (F.pow(F.lit(2.0), guess + 1) <= magnitude).cast("double")
-    return F.greatest(guess - over + under, F.lit(float(lowest)))
+def _hex_float(magnitude: Column) -> tuple[Column, Column, Column]:
+    """Leading bit, 52-bit fraction and exponent of a non-negative double.
+
+    The hexadecimal form of a double spells out its bits exactly.
+    """
+    text = F.format_string("%a", magnitude)
+    head = F.substring_index(text, "p", 1)
+    lead = F.substring(head, 3, 1).try_cast("bigint")
+    fraction = F.conv(F.rpad(F.substring_index(head, ".", -1), 13, "0"), 16, 10).try_cast("bigint")
+    return lead, fraction, F.substring_index(text, "p", -1).try_cast("bigint")
+
+
+def _negative(value: Column) -> Column:
+    """1 for negative numbers, minus zero included."""
+    return F.startswith(value.cast("string"), F.lit("-")).cast("bigint")
 
 
 def float64_bits(value: Column) -> Column:
     """Bit pattern of a double as bigint."""
     v = value.cast("double")
-    a = F.abs(v)
-    e = _binary_exponent(a, -1022)
-    negative = (v < 0) | (v.cast("string") == "-0.0")
-    sign = F.shiftleft(negative.cast("bigint"), 63)
-    # Two steps keep the power inside double range for the smallest exponents.
-    normal = ((a / F.pow(F.lit(2.0), e)) - 1.0) * float(1 << 52)
-    tiny = a * F.lit(2.0**537) * F.lit(2.0**537)
+    lead, fraction, exponent = _hex_float(F.abs(v))
+    sign = F.shiftleft(_negative(v), 63)
+    # A leading zero marks zero and the smallest numbers, whose stored exponent is 0.
+    finite = F.shiftleft((exponent + 1023) * lead, 52) + fraction
     return (
         F.when(F.isnan(v), F.lit(0x7FF8 << 48))
-        .when(a == 0, sign)
-        .when(a == float("inf"), F.lit(2047 << 52).bitwiseOR(sign))
-        .when(a < F.lit(2.0**-1022), tiny.cast("bigint").bitwiseOR(sign))
-        .otherwise((F.shiftleft((e + 1023).cast("bigint"), 52) + normal.cast("bigint")).bitwiseOR(sign))
+        .when(F.abs(v) == float("inf"), F.lit(2047 << 52).bitwiseOR(sign))
+        .otherwise(finite.bitwiseOR(sign))
     )
 
 
@@ -263,16 +267,13 @@ def float32_bits(value: Column) -> Column:
     """Bit pattern of a double rounded to single precision, as bigint."""
     v = value.cast("float").cast("double")
     a = F.abs(v)
-    e = _binary_exponent(a, -126)
-    negative = (v < 0) | (v.cast("string") == "-0.0")
-    sign = F.shiftleft(negative.cast("bigint"), 31)
-    normal = ((a / F.pow(F.lit(2.0), e)) - 1.0) * float(1 << 23)
+    _, fraction, exponent = _hex_float(a)
+    sign = F.shiftleft(_negative(v), 31)
     return (
         F.when(F.isnan(v), F.lit(0x7FC00000))
-        .when(a == 0, sign)
         .when(a == float("inf"), F.lit(0x7F800000) + sign)
         .when(a < F.lit(2.0**-126), (a * F.lit(2.0**149)).cast("bigint") + sign)
-        .otherwise(F.shiftleft((e + 127).cast("bigint"), 23) + normal.cast("bigint") + sign)
+        .otherwise(F.shiftleft(exponent + 127, 23) + F.shiftright(fraction, 29) + sign)
     )
 
 

@@ -532,34 +532,40 @@ def enum_rules(text: Column, label: Column) -> Column:
             .otherwise(F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), longer))
         )
 
-    anchors = F.aggregate(parsed, empty, gather)
-    any_hex = F.exists(anchors, lambda a: a["hex"])
+    def let(value, use):
+        """Evaluate an array once and use it by name."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
 
     def tidy(a):
         meaning = _squeeze(a["meaning"])
         short = F.when(F.length(meaning) > 120, F.concat(F.left(meaning, F.lit(117)), F.lit("..."))).otherwise(meaning)
         return F.struct(a["value"].alias("value"), a["hex"].alias("hex"), short.alias("meaning"))
 
-    usable = F.filter(
-        F.transform(anchors, tidy), lambda a: (~any_hex | a["hex"]) & a["meaning"].rlike("^\\p{L}")
-    )
-
     def first_of(acc, a):
         known = F.exists(acc, lambda k: k["value"] == a["value"])
         return F.when(known, acc).otherwise(F.array_append(acc, a))
 
-    chosen = F.aggregate(usable, empty, first_of)
-    top = F.array_max(F.transform(chosen, lambda a: a["value"]))
-    bits = F.greatest(F.lit(1), F.length(F.ltrim(F.bin(top.cast("bigint")), F.lit("0"))))
-    pairs = F.map_from_entries(
-        F.array_sort(F.transform(chosen, lambda a: F.struct(a["value"].alias("key"), a["meaning"].alias("value"))))
-    )
-    rule = F.struct(
-        F.coalesce(F.nullif(strip(label), F.lit("")), F.lit("ENUM")).alias("label"),
-        F.sequence(F.lit(0), bits - 1).alias("positions"),
-        pairs.alias("meanings"),
-        F.lit("UNKNOWN").alias("unknown"),
-        F.lit(True).alias("enabled"),
-        F.lit(False).alias("reserved"),
-    )
-    return F.when((F.size(anchors) >= 2) & (F.size(chosen) >= 2), rule)
+    def choose(anchors):
+        any_hex = F.exists(anchors, lambda a: a["hex"])
+        usable = F.filter(
+            F.transform(anchors, tidy), lambda a: (~any_hex | a["hex"]) & a["meaning"].rlike("^\\p{L}")
+        )
+        return F.when(F.size(anchors) >= 2, F.aggregate(usable, empty, first_of)).otherwise(empty)
+
+    def rule(chosen):
+        top = F.array_max(F.transform(chosen, lambda a: a["value"]))
+        bits = F.greatest(F.lit(1), F.length(F.ltrim(F.bin(top.cast("bigint")), F.lit("0"))))
+        pairs = F.map_from_entries(
+            F.array_sort(F.transform(chosen, lambda a: F.struct(a["value"].alias("key"), a["meaning"].alias("value"))))
+        )
+        made = F.struct(
+            F.coalesce(F.nullif(strip(label), F.lit("")), F.lit("ENUM")).alias("label"),
+            F.sequence(F.lit(0), bits - 1).alias("positions"),
+            pairs.alias("meanings"),
+            F.lit("UNKNOWN").alias("unknown"),
+            F.lit(True).alias("enabled"),
+            F.lit(False).alias("reserved"),
+        )
+        return F.when(F.size(chosen) >= 2, made)
+
+    return let(let(F.aggregate(parsed, empty, gather), choose), rule)

@@ -34,10 +34,10 @@ def match_pairs(
 ) -> DataFrame:
     """Every matching (datagram, message): the datagram's columns + message, def_order, format.
 
-    Ports become equi keys by exploding the distinct pair of ports. Headers of
-    an unproven number of definitions are equi keys too: the header lengths in
-    use per (port, length) decide which prefixes of the payload are probed, so
-    no datagram is compared with every definition of its port.
+    Ports become equi keys by exploding the distinct pair of ports. Headers are
+    equi keys too: the header lengths in use per (port, length) decide which
+    prefixes of the payload are probed, so no datagram is compared with every
+    definition of its port.
     """
     defs, rows = _as_frame(datagrams, messages)
     only = {m.format for m in messages} if not isinstance(messages, DataFrame) else {"HEX", "NMEA"}
@@ -67,17 +67,14 @@ def match_pairs(
         )
         sized = probe.withColumn("_size", F.col("payload_size"))
         on = port_key + ["_size"]
-        if small:
-            hit = lookup_join(sized, hex_defs, on, spread=spread, dim_rows=dim_rows)
-            hit = hit.filter(F.startswith(F.col("payload"), F.col("_header")))
-        else:
-            lengths = hex_defs.groupBy(*on).agg(F.collect_set(F.octet_length("_header")).alias("_lengths"))
-            probed = lookup_join(sized, lengths, on, spread=spread, max_rows=max_broadcast_rows)
-            probed = probed.withColumn("_length", F.explode("_lengths")).drop("_lengths")
-            probed = probed.filter(F.octet_length("payload") >= F.col("_length")).withColumn(
-                "_header", F.substring(F.col("payload"), F.lit(1), F.col("_length"))
-            )
-            hit = lookup_join(probed.drop("_length"), hex_defs, on + ["_header"], spread=spread, dim_rows=dim_rows)
+        lengths = hex_defs.groupBy(*on).agg(F.collect_set(F.octet_length("_header")).alias("_lengths"))
+        known = dim_rows if small else None
+        probed = lookup_join(sized, lengths, on, spread=spread, dim_rows=known, max_rows=max_broadcast_rows)
+        probed = probed.withColumn("_length", F.explode("_lengths")).drop("_lengths")
+        probed = probed.filter(F.octet_length("payload") >= F.col("_length")).withColumn(
+            "_header", F.substring(F.col("payload"), F.lit(1), F.col("_length"))
+        )
+        hit = lookup_join(probed.drop("_length"), hex_defs, on + ["_header"], spread=spread, dim_rows=dim_rows)
         parts.append(linked(hit).drop("_port", "_size", "_header"))
     if "NMEA" in only:
         text_defs = links.filter(F.col("format") == "NMEA").select(

@@ -28,10 +28,11 @@ def _flag(ok: Column) -> Column:
     return F.when(ok, "True").otherwise("False")
 
 
-def _compare_bytes(
-    label: str, payload: Column, off0, length: int, expected: bytes
-) -> tuple[dict[str, Column], Column | None]:
-    got = by.slice_hex(payload, off0, length)
+# The compare functions take observed values as columns, so that ``verify`` can
+# bind each slice once; the public checks read them from a payload.
+
+
+def _compare_bytes(label: str, got: Column, expected: bytes) -> tuple[dict[str, Column], Column | None]:
     columns = {f"{label}Observed": F.coalesce(got, F.lit("N/A"))}
     if not expected:
         return columns, None
@@ -44,14 +45,17 @@ def _compare_bytes(
     return columns, reason
 
 
+def _terminator_slice(payload: Column, off0: int, length: int) -> Column:
+    """Offset -1 places the terminator at the end of the payload."""
+    return by.slice_hex(payload, F.octet_length(payload) - length if off0 < 0 else off0, length)
+
+
 def check_header(payload: Column, off0: int, length: int, expected: bytes = b""):
-    return _compare_bytes("Header", payload, off0, length, expected)
+    return _compare_bytes("Header", by.slice_hex(payload, off0, length), expected)
 
 
 def check_terminator(payload: Column, off0: int, length: int, expected: bytes = b""):
-    """Offset -1 places the terminator at the end of the payload."""
-    at = F.octet_length(payload) - length if off0 < 0 else off0
-    return _compare_bytes("Terminator", payload, at, length, expected)
+    return _compare_bytes("Terminator", _terminator_slice(payload, off0, length), expected)
 
 
 def checksum_value(payload: Column, algorithm: str, start: int, end: int, size: int) -> Column:
@@ -61,12 +65,11 @@ def checksum_value(payload: Column, algorithm: str, start: int, end: int, size:
     total = (by.xor_bytes if algorithm == "XOR" else by.sum_bytes)(payload, start, end)
     if 0 < size < 8:
         total = total.bitwiseAND(F.lit((1 << (8 * size)) - 1))
-    return F.when(F.octet_length(payload) >= end, total)
+    # Adding NULL or 0 keeps the sum itself outside any conditional.
+    return total + F.when(F.octet_length(payload) >= end, F.lit(0))
 
 
-def check_checksum(payload: Column, algorithm: str, start: int, end: int, off0: int, size: int):
-    computed = checksum_value(payload, algorithm, start, end, size)
-    stored = by.be_raw(payload, off0, size)
+def _compare_checksum(computed: Column, stored: Column, size: int):
     shown, kept = hex_fixed(computed, size), hex_fixed(stored, size)
     columns = {
         "ChecksumComputed": F.coalesce(shown, F.lit("N/A")),
@@ -79,8 +82,12 @@ def check_checksum(payload: Column, algorithm: str, start: int, end: int, off0:
     return columns, reason
 
 
-def check_data_length(payload: Column, off0: int, size: int, adjust: int):
-    stored = by.be_raw(payload, off0, size)
+def check_checksum(payload: Column, algorithm: str, start: int, end: int, off0: int, size: int):
+    computed = checksum_value(payload, algorithm, start, end, size)
+    return _compare_checksum(computed, by.be_raw(payload, off0, size), size)
+
+
+def _compare_length(stored: Column, payload: Column, adjust: int):
     computed = (F.octet_length(payload) - adjust).cast("bigint")
     columns = {
         "DataLenStored": F.coalesce(stored.cast("string"), F.lit("N/A")),
@@ -93,8 +100,11 @@ def check_data_length(payload: Column, off0: int, size: int, adjust: int):
     return columns, reason
 
 
-def check_message_id(payload: Column, off0: int, size: int, expected: int):
-    observed = by.be_raw(payload, off0, size)
+def check_data_length(payload: Column, off0: int, size: int, adjust: int):
+    return _compare_length(by.be_raw(payload, off0, size), payload, adjust)
+
+
+def _compare_id(observed: Column, size: int, expected: int):
     want = f"0x{expected:0{2 * size if size > 0 else 2}X}"
     shown = hex_fixed(observed, size)
     ok = observed == (expected - (1 << 64) if expected >= 1 << 63 else expected)
@@ -109,19 +119,21 @@ def check_message_id(payload: Column, off0: int, size: int, expected: int):
     return columns, reason
 
 
-def endian_values(payload: Column, f: Field) -> tuple[Column, Column]:
-    """Big- and little-endian reading of a multi-byte numeric field."""
+def check_message_id(payload: Column, off0: int, size: int, expected: int):
+    return _compare_id(by.be_raw(payload, off0, size), size, expected)
+
+
+def endian_values(h: Column, f: Field) -> tuple[Column, Column]:
+    """Big- and little-endian reading of a multi-byte numeric field from its hex slice."""
     n = f.size
     if f.type in ("Float32", "Float64"):
         need = 4 if f.type == "Float32" else 8
         if n < need:
             return F.lit(None).cast("double"), F.lit(None).cast("double")
-        whole = by.fits(payload, f.off0, n)
-        big = by.float_of(by.slice_hex(payload, f.off0, need), need)
-        return F.when(whole, big), F.when(whole, by.le_float(payload, f.off0, need))
-    signed = f.type.startswith("Int")
-    big = by.be_signed(payload, f.off0, n) if signed else by.be_unsigned(payload, f.off0, n)
-    return big, by.le_integer(payload, f.off0, n, signed)
+        head = F.substring(h, 1, 2 * need) if n > need else h
+        return by.float_of(head, need), by.float_of(by.swap_hex(head, need), need)
+    read = by.signed_of if f.type.startswith("Int") else by.unsigned_of
+    return read(h, n), read(by.swap_hex(h, n), n)
 
 
 @F.pandas_udf(T.StringType())
@@ -132,13 +144,26 @@ def short_number(value: pd.Series, digits: pd.Series) -> pd.Series:
     )
 
 
-def check_endianness(payload: Column, fields: tuple[Field, ...], expected: str):
+def bind_endian(rows: DataFrame, fields: tuple[Field, ...], payload: str = "payload") -> DataFrame:
+    """Bind both byte orders of every multi-byte numeric field as ``<name>_BE`` and ``<name>_LE``."""
+    numeric = [f for f in fields if f.type in MULTI_BYTE]
+    if not numeric:
+        return rows
+    cut = bind(rows, {f"_e{i}": by.slice_hex(F.col(payload), f.off0, f.size) for i, f in enumerate(numeric)})
+    both: dict[str, Column] = {}
+    for i, f in enumerate(numeric):
+        both[f"{f.name}_BE"], both[f"{f.name}_LE"] = endian_values(F.col(f"_e{i}"), f)
+    return bind(cut, both).drop(*[f"_e{i}" for i in range(len(numeric))])
+
+
+def check_endianness(fields: tuple[Field, ...], expected: str):
+    """Columns over bound readings; decoding is big-endian, so only BIG is OK."""
     columns: dict[str, Column] = {}
     reasons = []
     for f in fields:
         if f.type not in MULTI_BYTE:
             continue
-        columns[f"{f.name}_BE"], columns[f"{f.name}_LE"] = endian_values(payload, f)
+        columns[f"{f.name}_BE"], columns[f"{f.name}_LE"] = F.col(f"`{f.name}_BE`"), F.col(f"`{f.name}_LE`")
         if expected:
             columns[f"{f.name}_EndianOK"] = F.lit("True" if expected == "BIG" else "False")
             if expected != "BIG":
@@ -165,6 +190,21 @@ def verify(routed: DataFrame, message: Message, payload: str = "payload", observ
     if c.refresh_rate and observed_hz not in rows.columns:
         rows = refresh_rate(rows, name=observed_hz)
     data = F.col(payload)
+    parts: dict[str, Column] = {}
+    if c.header:
+        parts["_header"] = by.slice_hex(data, *c.header)
+    if c.terminator:
+        parts["_terminator"] = _terminator_slice(data, *c.terminator)
+    if c.checksum:
+        parts["_computed"] = checksum_value(data, *c.checksum[:3], c.checksum[4])
+        parts["_stored"] = by.be_raw(data, *c.checksum[3:])
+    if c.data_length:
+        parts["_length"] = by.be_raw(data, *c.data_length[:2])
+    if c.message_id:
+        parts["_ident"] = by.be_raw(data, *c.message_id[:2])
+    rows = bind(rows, parts) if parts else rows
+    if c.endianness is not None:
+        rows = bind_endian(rows, message.fields, payload)
     columns: dict[str, Column] = {}
     reasons: list[Column] = []
 
@@ -174,11 +214,11 @@ def verify(routed: DataFrame, message: Message, payload: str = "payload", observ
         reasons.extend(r for r in extra if r is not None)
 
     if c.header:
-        add(check_header(data, *c.header, c.expected_header))
+        add(_compare_bytes("Header", F.col("_header"), c.expected_header))
     if c.terminator:
-        add(check_terminator(data, *c.terminator, c.expected_terminator))
+        add(_compare_bytes("Terminator", F.col("_terminator"), c.expected_terminator))
     if c.checksum:
-        add(check_checksum(data, *c.checksum))
+        add(_compare_checksum(F.col("_computed"), F.col("_stored"), c.checksum[4]))
     if c.refresh_rate:
         expected, tolerance = c.refresh_rate
         seen = F.col(observed_hz)
@@ -190,15 +230,15 @@ def verify(routed: DataFrame, message: Message, payload: str = "payload", observ
             tail = f"Hz outside {_general6(expected)}+/-{_general6(tolerance)}Hz"
             reasons.append(F.when(bad, F.concat(F.lit("RefreshRate "), seen.cast("string"), F.lit(tail))))
     if c.endianness is not None:
-        add(check_endianness(data, message.fields, c.endianness))
+        add(check_endianness(message.fields, c.endianness))
     if c.data_length:
-        add(check_data_length(data, *c.data_length))
+        add(_compare_length(F.col("_length"), data, c.data_length[2]))
     if c.message_id:
-        add(check_message_id(data, *c.message_id))
+        add(_compare_id(F.col("_ident"), *c.message_id[1:]))
     if c.compares:
         columns["CompareReason"] = F.concat_ws("; ", *reasons) if reasons else F.lit("")
     ordered = {n: columns[n] for n in check_headers(message)}
-    return bind(rows, ordered)
+    return bind(rows, ordered).drop(*parts)
 
 
 # -------------------------------------------------------------- refresh rate

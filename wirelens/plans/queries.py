@@ -15,6 +15,7 @@ from wirelens.functions import bits as fb
 from wirelens.functions import bytes as by
 from wirelens.functions import sentences as st
 from wirelens.functions import text as tx
+from wirelens.functions.bind import bind
 from wirelens.operators import decode, dissect, encode, icd, nmea, quality, route, schedule, summary, verify
 from wirelens.operators.frames import tcp_frames
 from wirelens.operators.reframe import reframe
@@ -164,9 +165,9 @@ def endian_values(spark, sf):
         layout,
         {"part": F.col("l_partkey"), "supp": -F.col("l_suppkey"), "price": F.col("l_extendedprice")},
     )
-    columns, _ = verify.check_endianness(F.col("payload"), fields, "BIG")
+    columns, _ = verify.check_endianness(fields, "BIG")
     wanted = ("part_BE", "part_LE", "supp_BE", "price_LE", "part_EndianOK")
-    return built.select("l_orderkey", "l_linenumber", *[columns[c].alias(c) for c in wanted])
+    return verify.bind_endian(built, fields).select("l_orderkey", "l_linenumber", *[columns[c].alias(c) for c in wanted])
 
 
 @query(
@@ -1249,7 +1250,7 @@ def unique_names(spark, sf):
 def enum_mining(spark, sf):
     """Enumerations in prose; a number above 255 belongs to the text before it."""
     text = F.format_string("0 = %s 300: extra  %d) %s", F.col("p_brand"), F.pmod("p_size", F.lit(7)), F.col("p_type"))
-    rows = table(spark, sf, "part").select("p_partkey", icd.enum_rules(text, F.lit(" status ")).alias("r"))
+    rows = bind(table(spark, sf, "part"), {"r": icd.enum_rules(text, F.lit(" status "))})
     shown = F.transform(F.map_entries("r.meanings"), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
     return rows.filter("r is not null").select(
         "p_partkey", "r.label", F.size("r.positions").alias("bits"), F.array_join(shown, ";").alias("meanings")
