@@ -20,6 +20,15 @@ def _as_frame(datagrams: DataFrame, messages) -> tuple[DataFrame, int | None]:
     return messages_frame(datagrams.sparkSession, list(messages)), len(messages)
 
 
+def _formats(messages) -> set[str]:
+    """Formats in use; a table is asked once, so that no branch runs for nothing."""
+    if not isinstance(messages, DataFrame):
+        return {"NMEA" if m.format == "NMEA" else "HEX" for m in messages}
+    is_text = F.coalesce(F.col("format") == "NMEA", F.lit(False))
+    row = messages.agg(F.max(is_text.cast("int")).alias("t"), F.min(is_text.cast("int")).alias("h")).first()
+    return ({"NMEA"} if row.t == 1 else set()) | ({"HEX"} if row.h == 0 or row.h is None else set())
+
+
 def _keys(datagrams: DataFrame, keys) -> list[str]:
     return [k for k in keys if k in datagrams.columns]
 
@@ -40,7 +49,7 @@ def match_pairs(
     definition of its port.
     """
     defs, rows = _as_frame(datagrams, messages)
-    only = {m.format for m in messages} if not isinstance(messages, DataFrame) else {"HEX", "NMEA"}
+    only = _formats(messages)
     small = rows <= max_broadcast_rows if rows is not None else is_bounded(defs, max_broadcast_rows)
     dim_rows = 0 if small else max_broadcast_rows + 1
     spread = _keys(datagrams, keys) or None

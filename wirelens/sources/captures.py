@@ -186,14 +186,16 @@ def _plausible_blocks(f, order: str, at: int, size: int, hops: int = 4) -> bool:
         if at == size:
             return True
         f.seek(at)
-        head = f.read(8)
-        if len(head) != 8:
+        head = f.read(12)
+        if len(head) != 12:
             return False
-        total = struct.unpack(order + "I", head[4:])[0]
+        if head[:4] == b"\x0a\x0d\x0d\x0a":
+            order = SECTION_MAGIC.get(head[8:], order)
+        total = struct.unpack(order + "I", head[4:8])[0]
         if not 12 <= total <= MAX_BLOCK or at + total > size:
             return False
         f.seek(at + total - 4)
-        if f.read(4) != head[4:]:
+        if f.read(4) != head[4:8]:
             return False
         at += total
     return at <= size
@@ -203,8 +205,10 @@ def _guess(f, fmt: str, order: str, at: int, size: int) -> tuple[int | None, str
     """First offset, and its byte order, from which several records follow each other."""
     orders = [order] if fmt == "PCAP" else [order, "<" if order == ">" else ">"]
     test = _plausible_pcap if fmt == "PCAP" else _plausible_blocks
-    for o in orders:
-        for p in range(at, min(at + (1 << 17), size)):
+    # Blocks are padded to four bytes; a file that breaks this is repaired, not guessed.
+    step = 1 if fmt == "PCAP" else 4
+    for p in range(-(-at // step) * step, min(at + (1 << 17), size), step):
+        for o in orders:
             if test(f, o, p, size):
                 return p, o
     return None, order
@@ -231,7 +235,7 @@ def _walk(path: str, size: int, part: int, width: int, start: int | None, order:
             else:
                 for at, kind, now, content, pos in _blocks(f, first, at, limit, size, False):
                     if kind == SECTION:
-                        events.append([pos, "S", now])
+                        events = [[pos, "S", now]]  # a section forgets what came before
                     elif kind == INTERFACE:
                         info = _interface(now, content)
                         if info is not None:
@@ -262,8 +266,8 @@ def _walk_batches(width: int):
 def index_captures(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Agreed ranges of every file: (file, part, start, stop, format, events, error, error_at).
 
-    ``events`` lists the section and interface blocks of a range. The returned
-    table is persisted; it has one small row per range.
+    ``events`` lists the interface blocks of a range from its last section on,
+    which is all that later ranges need. The table has one small row per range.
     """
     ranges = files.select(
         "path",
@@ -317,14 +321,14 @@ def _settle(df: DataFrame) -> DataFrame:
 
 def capture_format(index: DataFrame) -> DataFrame:
     """(file, format, byte_order, nanoseconds, link_type) of readable files."""
-    first = F.from_json("events", "array<array<string>>")
-    head = F.get(first, F.lit(0))
+    head = F.get(F.from_json("events", "array<array<string>>"), F.lit(0))
+    classic = F.col("format") == "PCAP"
     return index.filter("part = 0 and format is not null").select(
         "file",
         "format",
-        F.when(F.col("format") == "PCAP", F.get(head, F.lit(1))).otherwise(F.get(head, F.lit(2))).alias("byte_order"),
-        F.coalesce(F.get(head, F.lit(3)) == "true", F.lit(False)).alias("nanoseconds"),
-        F.when(F.col("format") == "PCAP", F.get(head, F.lit(2)).cast("int")).alias("link_type"),
+        "byte_order",
+        (classic & (F.get(head, F.lit(3)) == "true")).alias("nanoseconds"),
+        F.when(classic, F.get(head, F.lit(2)).cast("int")).alias("link_type"),
     )
 
 
@@ -423,16 +427,24 @@ def read_captures(files: DataFrame, index: DataFrame | None = None, range_bytes:
     index = index_captures(files, range_bytes) if index is None else index
     lengths = files.select(F.col("path").alias("file"), "length")
     upto = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    told = F.when((F.col("events") != "[]"), F.col("events"))
-    # A pcap carries its header fields in part 0; those are needed by part 0 too.
+    usable = index.filter("start is not null and byte_order is not null and format is not null").join(lengths, "file")
+    # Ranges are grouped by the section they start in: a range that opens a section
+    # gives its blocks to the group after its own, so a range collects the few
+    # interface blocks of its own section only.
+    opens = ((F.col("format") == "PCAP") & (F.col("part") == 0)) | F.contains(F.col("events"), F.lit('"S"'))
+    marked = usable.withColumn("_opens", opens.cast("int"))
+    marked = marked.withColumn("_section", F.coalesce(F.sum("_opens").over(upto), F.lit(0)))
+    given = marked.filter("events <> '[]'").select(
+        "file", (F.col("_section") + F.col("_opens")).alias("_section"), "part", F.col("events").alias("_told")
+    )
+    needs = marked.withColumn("_told", F.lit(None).cast("string"))
+    both = needs.unionByName(given, allowMissingColumns=True)
+    inside = Window.partitionBy("file", "_section").orderBy("part", F.col("_told").isNotNull())
+    earlier = F.collect_list("_told").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    own = (F.col("format") == "PCAP") & (F.col("part") == 0)  # a pcap header holds for its own range too
     ready = (
-        index.filter("start is not null and byte_order is not null and format is not null")
-        .join(lengths, "file")
-        .withColumn("_earlier", F.collect_list(told).over(upto))
-        .withColumn(
-            "before",
-            F.when((F.col("format") == "PCAP") & (F.col("part") == 0), F.array("events")).otherwise(F.col("_earlier")),
-        )
+        both.withColumn("before", F.when(own, F.array("events")).otherwise(earlier))
+        .filter("start is not null")
         .select("file", "part", "start", "stop", "byte_order", "format", "length", "before")
     )
     spread = ready.repartition(F.col("file"), F.col("part"))
