@@ -283,6 +283,7 @@ def refresh_rate(
     ``exact=True``: stretches of time holding such rows are folded in order.
     """
     keys = [k for k in keys if k in df.columns]
+    bucket_ms = max(bucket_ms, window_ms)  # a window must not reach past the bucket before
     staged = df.withColumn("_ms", _millis(ts))
     if not exact:
         return _ordered_rate(staged, staged, keys, order, window_ms, name, seed, chunk, bucket_ms).drop("_ms")

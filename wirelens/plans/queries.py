@@ -6,6 +6,8 @@ on our encoding, so a decoded result must equal the original columns.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +19,12 @@ from wirelens.functions import sentences as st
 from wirelens.functions import text as tx
 from wirelens.functions.bind import bind
 from wirelens.operators import decode, dissect, encode, icd, nmea, quality, route, schedule, summary, verify
-from wirelens.operators.frames import tcp_frames
+from wirelens.operators.frames import tcp_frames, udp_frames
 from wirelens.operators.reframe import reframe
 from wirelens.plans import wire_events as we
 from wirelens.plans.model import Field, Message
-from wirelens.sources.catalog import read_field_sheets
+from wirelens.sources.captures import read_pcapng, write_capture
+from wirelens.sources.catalog import parse_catalog, parse_field_catalog, read_field_sheets
 from wirelens.sources.nmea_registry import nmea_registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1255,3 +1258,267 @@ def enum_mining(spark, sf):
     return rows.filter("r is not null").select(
         "p_partkey", "r.label", F.size("r.positions").alias("bits"), F.array_join(shown, ";").alias("meanings")
     )
+
+
+@query(
+    """SELECT 'M' || p_partkey // 3 AS message, p_name AS field, CAST(0 AS INTEGER) AS rule_no, 'r' || p_size % 2 AS label,
+    CASE WHEN p_size % 2 = 0 THEN 'SINGLE_BIT' ELSE 'GROUPED_BITS' END AS kind, CAST(p_size % 2 AS BIGINT) AS value,
+    CASE WHEN p_size % 2 = 0 THEN '0' ELSE '01' END AS "binary", p_brand AS meaning FROM part WHERE p_partkey % 5 <> 0"""
+)
+def bit_rules_long(spark, sf):
+    """Enabled rules as value rows."""
+    k, two = F.col("p_partkey"), F.pmod("p_size", F.lit(2))
+    rule = F.struct(
+        F.concat(F.lit(" r"), two.cast("string")).alias("label"),
+        F.when(two == 0, F.array(F.lit(3))).otherwise(F.array(F.lit(3), F.lit(1))).alias("positions"),
+        F.create_map(two.cast(by.U64), F.col("p_brand")).alias("meanings"),
+        F.lit("UNKNOWN").alias("unknown"),
+        (F.pmod(k, F.lit(5)) != 0).alias("enabled"),
+        F.lit(False).alias("reserved"),
+    )
+    fields = table(spark, sf, "part").select(
+        F.concat(F.lit("M"), F.floor(k / 3).cast("string")).alias("message"),
+        F.col("p_name").alias("name"),
+        F.array(rule).alias("bit_rules"),
+    )
+    _, meanings = schedule.bit_rules_long(fields)
+    return meanings.select("message", "field", "rule_no", "label", "kind", F.col("value").cast("bigint"), "binary", "meaning")
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS k, p_size % 10 AS clen, p_partkey % 4 AS c, p_size % 3 AS v, p_partkey % 6 AS n FROM part)
+    SELECT 'controller_empty' AS rule, COUNT(*) AS violations FROM p WHERE c = 3
+    UNION ALL SELECT 'controller_is_itself', COUNT(*) FROM p WHERE c = 1
+    UNION ALL SELECT 'controller_unknown', COUNT(*) FROM p WHERE c = 2
+    UNION ALL SELECT 'controller_length', COUNT(*) FROM p WHERE c = 0 AND (clen < 1 OR clen > 8)
+    UNION ALL SELECT 'duplicate_controller_value', COUNT(*) FROM p WHERE v = 1
+    UNION ALL SELECT 'duplicate_profile_name', COUNT(*) FROM p WHERE n = 0
+    UNION ALL SELECT 'profile_label_clash', COUNT(*) FROM p WHERE n IN (0, 1)
+    UNION ALL SELECT 'profile_name_empty', COUNT(*) FROM p WHERE n = 2
+    UNION ALL SELECT 'exclusion_needs_two_bits', COUNT(*) FROM p WHERE v = 0
+    UNION ALL SELECT 'exclusion_bit_out_of_range', COUNT(*) FROM p WHERE v = 2"""
+)
+def profile_violations(spark, sf):
+    """Parts as fields decoded by the value of another field, many of them wrong."""
+    k, v, n = F.col("p_partkey"), F.pmod("p_size", F.lit(3)), F.pmod("p_partkey", F.lit(6))
+    none = F.array().cast("array<struct<label:string,positions:array<int>,meanings:map<decimal(20,0),string>,unknown:string,enabled:boolean,reserved:boolean>>")
+    bits = F.when(v == 0, F.array(F.lit(1))).when(v == 2, F.array(F.lit(1), F.lit(70))).otherwise(F.array(F.lit(1), F.lit(2)))
+    exclusion = F.struct(bits.alias("positions"), F.lit("x").alias("label"), F.lit("bad").alias("invalid"))
+    no_exclusion = F.array().cast("array<struct<positions:array<int>,label:string,invalid:string>>")
+
+    def profile(name, value, exclusions):
+        return F.struct(name.alias("name"), value.cast(by.U64).alias("value"), none.alias("rules"), exclusions.alias("exclusions"))
+
+    second = F.when(n == 0, "P 1").when(n == 1, "P_1").when(n == 2, "").otherwise("Q")
+    profiles = F.array(profile(F.lit("P 1"), F.lit(1), no_exclusion), profile(second, v, F.array(exclusion)))
+    base = table(spark, sf, "part").select(k.cast("string").alias("message"), k, "p_size", profiles.alias("profiles"))
+    owner = base.select(
+        "message",
+        F.lit("f").alias("name"),
+        F.lit(1).alias("ord"),
+        F.lit(8).alias("len"),
+        F.element_at(F.array(F.lit("c"), F.lit("f"), F.lit("zz"), F.lit("")), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int")).alias("controller"),
+        "profiles",
+    )
+    other = base.select("message", F.lit("c").alias("name"), F.lit(0).alias("ord"), F.pmod("p_size", F.lit(10)).cast("int").alias("len"))
+    found = quality.check_profiles(owner.unionByName(other, allowMissingColumns=True))
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey // 4 AS c, p_partkey % 3 AS label, p_size * 2000 AS port, p_size % 6 AS n FROM part),
+    d AS (SELECT DISTINCT c, n FROM f WHERE n < 5), s AS (SELECT c, COUNT(*) AS m FROM f GROUP BY 1)
+    SELECT 'port' AS mode, 'port_range' AS rule, COUNT(*) AS violations FROM f WHERE port > 65535
+    UNION ALL SELECT 'port', 'duplicate_label', COUNT(*) FROM (SELECT 1 FROM f GROUP BY c, label HAVING COUNT(*) > 1)
+    UNION ALL SELECT 'port', 'duplicate_port', COUNT(*) FROM (SELECT 1 FROM f GROUP BY c, port HAVING COUNT(*) > 1)
+    UNION ALL SELECT 'header', 'port_range', COUNT(*) FROM f WHERE port > 65535
+    UNION ALL SELECT 'header', 'duplicate_label', COUNT(*) FROM (SELECT 1 FROM f GROUP BY c, label HAVING COUNT(*) > 1)
+    UNION ALL SELECT 'header', 'header_too_long', COUNT(*) FROM f WHERE n = 5
+    UNION ALL SELECT 'header', 'duplicate_header', COUNT(*) FROM (SELECT 1 FROM f WHERE n < 5 GROUP BY c, n HAVING COUNT(*) > 1)
+    UNION ALL SELECT 'header', 'empty_header_not_alone', COUNT(*) FROM d JOIN s USING (c) WHERE n = 0 AND m > 1
+    UNION ALL SELECT 'header', 'header_overlap', COUNT(*) FROM d a JOIN d b ON a.c = b.c AND a.n < b.n"""
+)
+def filter_violations(spark, sf):
+    """Parts as lists of four port or header filters."""
+    k = F.col("p_partkey")
+    filters = table(spark, sf, "part").select(
+        F.floor(k / 4).cast("string").alias("config"),
+        F.pmod(k, F.lit(4)).alias("pos"),
+        F.concat(F.lit("L"), F.pmod(k, F.lit(3)).cast("string")).alias("label"),
+        (F.col("p_size") * 2000).alias("port"),
+        F.repeat(F.lit("a B "), F.pmod("p_size", F.lit(6)).cast("int")).alias("header_text"),
+    )
+    parts = [quality.check_filters(filters, m).withColumn("mode", F.lit(m)) for m in ("port", "header")]
+    return parts[0].unionByName(parts[1]).groupBy("mode", "rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query(
+    """WITH m AS (SELECT c_custkey AS k, c_custkey % 1200 AS rate, 65500 + c_custkey % 20 AS n FROM customer WHERE c_custkey % 10 <> 9)
+    SELECT 'rate_out_of_range' AS rule, COUNT(*) AS violations FROM m WHERE rate <= 0 OR rate > 1000
+    UNION ALL SELECT 'no_fields', COUNT(*) FROM m WHERE k % 3 = 0
+    UNION ALL SELECT 'datagram_too_large', COUNT(*) FROM m WHERE n > 65507"""
+)
+def send_violations(spark, sf):
+    """Customer definitions that cannot be sent."""
+    k = F.col("def_order")
+    messages = customer_messages(spark, sf).withColumns(
+        {"rate_hz": F.pmod(k, F.lit(1200)).cast("double"), "payload_len": (F.lit(65500) + F.pmod(k, F.lit(20))).cast("int")}
+    )
+    fields = messages.filter(F.pmod(k, F.lit(3)) != 0).select("message")
+    connections = supplier_connections(spark, sf)
+    found = quality.check_sendable(messages, fields, route.message_destinations(messages, connections), connections)
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
+def part_catalogs(spark, sf):
+    """One message file per part, in the three shapes a file may have, some broken."""
+    k = F.col("p_partkey")
+    message = F.format_string(
+        '{"messageName":"%s","port":%d,"payloadLengthBytes":4,"connectionId":"c%d","hasCompareOptions":true,"compareOptions":'
+        '{"checkHeader":true,"headerByteOffset":%d,"headerLength":%d,"expectedHeaderText":"AA"},"fields":[{"name":"%s","byteOffset":%d,'
+        '"dataType":"%s","resolution":0.5,"hasBitfieldDecoder":true},{"byteOffsetCorrect":9}]}',
+        F.col("p_name"),
+        F.lit(5000) + F.col("p_size"),
+        F.pmod(k, F.lit(3)),
+        F.pmod("p_size", F.lit(5)),
+        F.pmod(k, F.lit(3)),
+        F.col("p_brand"),
+        F.col("p_size"),
+        F.when(F.pmod(k, F.lit(2)) == 0, "Int16").otherwise("mystery"),
+    )
+    text = (
+        F.when(F.pmod(k, F.lit(4)) == 0, F.concat(F.lit('{"messages":['), message, F.lit("]}")))
+        .when(F.pmod(k, F.lit(4)) == 1, message)
+        .when(F.pmod(k, F.lit(4)) == 2, F.concat(F.lit("["), message, F.lit("]")))
+        .otherwise(F.concat(F.lit("{broken"), message))
+    )
+    return table(spark, sf, "part").select(k.cast("string").alias("file"), text.alias("value"))
+
+
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(i AS INTEGER) AS ord, p_name AS message, CAST(5000 + p_size AS INTEGER) AS port,
+    CASE i WHEN 0 THEN p_brand ELSE '' END AS name, CAST(CASE i WHEN 0 THEN p_size - 1 ELSE 9 END AS INTEGER) AS off0,
+    CASE WHEN i = 0 AND p_partkey % 2 = 0 THEN 'Int16' ELSE 'RawUnsignedBE' END AS type,
+    CASE i WHEN 0 THEN 0.5 ELSE 1.0 END AS resolution, 'c' || p_partkey % 3 AS links
+    FROM part, (VALUES (0), (1)) t(i) WHERE p_partkey % 4 <> 3"""
+)
+def catalog_json(spark, sf):
+    """Message files to definitions and fields with their defaults."""
+    messages, fields, _ = parse_catalog(part_catalogs(spark, sf))
+    links = messages.select("file", "port", F.array_join("connection_ids", ",").alias("links"))
+    out = fields.join(links, "file")
+    return out.select("file", "ord", "message", "port", "name", "off0", "type", "resolution", "links")
+
+
+@query(
+    """WITH p AS (SELECT p_size % 5 AS off, p_partkey % 3 AS n FROM part WHERE p_partkey % 4 <> 3)
+    SELECT 'header_length' AS rule, COUNT(*) AS violations FROM p WHERE n = 0
+    UNION ALL SELECT 'header_exceeds_payload', COUNT(*) FROM p WHERE off + n > 4
+    UNION ALL SELECT 'header_length_differs', COUNT(*) FROM p WHERE n = 2"""
+)
+def compare_violations(spark, sf):
+    """Rules over the checks that message files declare."""
+    messages, _, _ = parse_catalog(part_catalogs(spark, sf))
+    return quality.check_compare_options(messages).groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
+
+
+@query(
+    """SELECT CAST(p_partkey AS VARCHAR) AS file, CAST(i AS INTEGER) AS ord, CASE i WHEN 0 THEN p_brand ELSE 'field_2' END AS name FROM part,
+    (VALUES (0), (1)) t(i) WHERE p_partkey % 4 IN (0, 1)
+    UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(0 AS INTEGER), p_name FROM part WHERE p_partkey % 4 = 2"""
+)
+def field_catalog_json(spark, sf):
+    """Field lists out of whole messages or bare arrays; blank names are filled."""
+    texts = part_catalogs(spark, sf).withColumn("value", F.regexp_replace("value", "^[\\[]([{].*)]$", "$1"))
+    named = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("file"), "p_name", "p_partkey")
+    bare = F.format_string('[{"name":"%s"}, 7]', F.col("p_name"))
+    rows = texts.join(named, "file").select(
+        "file", F.when(F.pmod("p_partkey", F.lit(4)) == 2, bare).otherwise(F.col("value")).alias("value")
+    )
+    fields, _ = parse_field_catalog(rows)
+    return fields.select("file", "ord", "name")
+
+
+# ------------------------------------------------------- captures and streams
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder where the cluster keeps checkpoints, or a local one where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base.rstrip("/") if base else tempfile.mkdtemp(prefix="wirelens-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    f"""SELECT event_id, epoch_us(ts) AS us, CAST(5000 + {TYPE_ID} AS INTEGER) AS dst_port, CAST(24 AS INTEGER) AS payload_size FROM events"""
+)
+def capture_roundtrip(spark, sf):
+    """Frames written as capture files, found, split, read and dissected again."""
+    framed = udp_frames(we.event_datagrams(we.events(spark, sf)))
+    path = work_path(spark, "captures")
+    write_capture(framed, path)
+    rows = dissect.valid_datagrams(dissect.dissect_frames(read_pcapng(spark, path, 1 << 18)))
+    return rows.select(
+        by.be_unsigned(F.col("payload"), 3, 4).alias("event_id"), F.unix_micros("ts").alias("us"), "dst_port", "payload_size"
+    )
+
+
+def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query(
+    """SELECT event_id AS packet_no, event_type AS message, CAST(user_id AS VARCHAR) AS text FROM events"""
+)
+def live_decode_events(spark, sf):
+    """The event stream routed by first match and decoded in long form."""
+    from wirelens.streaming import live
+
+    events = stream_of(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    # Headers must tell the types apart when ports are not checked.
+    layouts = [
+        Message(n, 5001 + i, 24, we.BASE_FIELDS[3:4], bytes.fromhex(f"AA55{i + 1:02X}")) for i, n in enumerate(we.EVENT_TYPES)
+    ]
+    values = live.live_values(we.event_datagrams(events), layouts)
+    path = work_path(spark, "live")
+    writer = values.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("packet_no", "message", "text")
+
+
+@query(
+    """SELECT event_id, COUNT(*) OVER (PARTITION BY event_type ORDER BY epoch_ms(ts)
+    RANGE BETWEEN 600000 PRECEDING AND CURRENT ROW) AS refresh_hz FROM events"""
+)
+def live_refresh_rate(spark, sf):
+    """Arrivals per type in the last ten minutes, counted by the streaming operator."""
+    from wirelens.streaming import live
+
+    rows = stream_of(spark, sf, "events").select(
+        F.col("event_id").alias("packet_no"), F.col("event_type").alias("message"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    path = work_path(spark, "rates")
+    live.live_refresh_rate(rows, path, path + "-state", window_ms=600_000).awaitTermination()
+    return spark.read.parquet(path).select(F.col("packet_no").alias("event_id"), "refresh_hz")
+
+
+@query(
+    """WITH c AS (SELECT doc_id // 7 AS k, string_agg(hex(encode(text)), '' ORDER BY doc_id) AS h FROM documents GROUP BY 1),
+    f AS (SELECT k, h, unnest(range(0, length(h) // 200)) AS i FROM c)
+    SELECT k AS connection_id, i AS frame_no, md5(substr(h, CAST(i * 200 + 1 AS BIGINT), 200)) AS digest FROM f"""
+)
+def live_reframe(spark, sf):
+    """Documents arriving as byte streams, framed by the streaming operator."""
+    from wirelens.streaming import live
+
+    chunks = stream_of(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / 7).alias("connection_id"),
+        F.col("doc_id").alias("seq"),
+        F.encode("text", "UTF-8").alias("chunk"),
+        F.lit(None).cast("timestamp").alias("ts"),
+    )
+    path = work_path(spark, "frames")
+    live.live_reframe(chunks, 100, path, path + "-state").awaitTermination()
+    rows = spark.read.parquet(path)
+    return rows.select("connection_id", "frame_no", F.md5(F.encode(F.hex("payload"), "UTF-8")).alias("digest"))

@@ -156,7 +156,11 @@ def _message_texts(files: DataFrame) -> DataFrame:
 
 def read_catalog(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Messages, fields and per-file errors of message JSON files."""
-    files = _files(spark, paths)
+    return parse_catalog(_files(spark, paths))
+
+
+def parse_catalog(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for texts already in a table (file, value)."""
     kind = _kind(F.col("value"))
     shaped = (
         F.ltrim(F.get_json_object("value", "$.messages")).startswith("[")
@@ -228,7 +232,11 @@ def _check_struct(c: Column) -> Column:
 
 def read_field_catalog(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """Fields and warnings of field-list JSON files (four shapes)."""
-    files = _files(spark, paths)
+    return parse_field_catalog(_files(spark, paths))
+
+
+def parse_field_catalog(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for texts already in a table (file, value)."""
     kind = _kind(F.col("value"))
     own = F.get_json_object("value", "$.fields")
     first = F.get_json_object("value", "$.messages[0].fields")
