@@ -1,4 +1,5 @@
 import random
+import struct
 from collections import deque
 
 from pyspark.sql import functions as F
@@ -176,3 +177,10 @@ def test_summaries(spark):
     assert counts["plain"] == (3, False) and counts["none"] == (0, True)
     short = summary.short_packet_count(routed, fields_frame(spark, [Message("plain", fields=(Field("x", 4, 2, "Uint16"),))]))
     assert short.first().short_packets == 3
+
+
+def test_byte_order_texts(spark):
+    m = Message("m", 1, 6, (Field("f", 1, 4, "Float32"), Field("n", 5, 2, "Int16")), checks=Checks(endianness=""))
+    df = spark.createDataFrame([(0, bytearray.fromhex("3F8CCCCD0001")), (1, bytearray(2))], "packet_no long, payload binary").coalesce(1)
+    rows = verify.verify(df, m, text_parity=True).orderBy("packet_no").select("f_BE", "f_LE", "n_BE", "n_LE").collect()
+    assert [tuple(r) for r in rows] == [("1.1", f"{struct.unpack('<f', bytes.fromhex('3F8CCCCD'))[0]:.7g}", "1", "256"), ("N/A", "N/A", "N/A", "N/A")]

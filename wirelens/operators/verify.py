@@ -140,7 +140,7 @@ def endian_values(h: Column, f: Field) -> tuple[Column, Column]:
 def short_number(value: pd.Series, digits: pd.Series) -> pd.Series:
     """Shortest general form with the given significant digits, as C prints it."""
     return pd.Series(
-        [None if v is None or v != v else f"{v:.{d}g}" for v, d in zip(value.astype(object), digits)], dtype=object
+        [None if v is None else f"{v:.{d}g}" for v, d in zip(value.astype(object), digits)], dtype=object
     )
 
 
@@ -177,7 +177,25 @@ def _general6(value: float) -> str:
     return f"{value:.6g}"
 
 
-def verify(routed: DataFrame, message: Message, payload: str = "payload", observed_hz: str = "refresh_hz") -> DataFrame:
+def _endian_texts(rows: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
+    """Readings as display text: integers in full, floats with 7 or 15 digits."""
+    texts = {}
+    for f in fields:
+        for side in ("BE", "LE") if f.type in MULTI_BYTE else ():
+            value = F.col(f"`{f.name}_{side}`")
+            digits = {"Float32": 7, "Float64": 15}.get(f.type)
+            text = short_number(value, F.lit(digits)) if digits else value.cast("string")
+            texts[f"{f.name}_{side}"] = F.coalesce(text, F.lit("N/A"))
+    return rows.withColumns(texts) if texts else rows
+
+
+def verify(
+    routed: DataFrame,
+    message: Message,
+    payload: str = "payload",
+    observed_hz: str = "refresh_hz",
+    text_parity: bool = False,
+) -> DataFrame:
     """Add the message's check columns; sentence messages get none.
 
     Every check but the refresh rate is a projection. The refresh rate reads the
@@ -238,7 +256,8 @@ def verify(routed: DataFrame, message: Message, payload: str = "payload", observ
     if c.compares:
         columns["CompareReason"] = F.concat_ws("; ", *reasons) if reasons else F.lit("")
     ordered = {n: columns[n] for n in check_headers(message)}
-    return bind(rows, ordered).drop(*parts)
+    out = bind(rows, ordered).drop(*parts)
+    return _endian_texts(out, message.fields) if text_parity and c.endianness is not None else out
 
 
 # -------------------------------------------------------------- refresh rate
