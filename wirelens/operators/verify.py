@@ -185,7 +185,8 @@ def _endian_texts(rows: DataFrame, fields: tuple[Field, ...]) -> DataFrame:
             value = F.col(f"`{f.name}_{side}`")
             digits = {"Float32": 7, "Float64": 15}.get(f.type)
             text = short_number(value, F.lit(digits)) if digits else value.cast("string")
-            texts[f"{f.name}_{side}"] = F.coalesce(text, F.lit("N/A"))
+            # Arrow turns a missing double into NaN, so absence is decided outside the function.
+            texts[f"{f.name}_{side}"] = F.when(value.isNull(), "N/A").otherwise(text)
     return rows.withColumns(texts) if texts else rows
 
 
