@@ -232,12 +232,11 @@ def text_hex(value: Column, length: int) -> Column:
     return F.rpad(F.hex(F.encode(value, "UTF-8")), 2 * length, "0")
 
 
-def _hex_float(magnitude: Column) -> tuple[Column, Column, Column]:
-    """Leading bit, 52-bit fraction and exponent of a non-negative double.
+def _hex_float(text: Column) -> tuple[Column, Column, Column]:
+    """Leading bit, 52-bit fraction and exponent of a hexadecimal double such as 0x1.8p3.
 
     The hexadecimal form of a double spells out its bits exactly.
     """
-    text = F.format_string("%a", magnitude)
     head = F.substring_index(text, "p", 1)
     lead = F.substring(head, 3, 1).try_cast("bigint")
     fraction = F.conv(F.rpad(F.substring_index(head, ".", -1), 13, "0"), 16, 10).try_cast("bigint")
@@ -252,13 +251,15 @@ def _negative(value: Column) -> Column:
 def float64_bits(value: Column) -> Column:
     """Bit pattern of a double as bigint."""
     v = value.cast("double")
-    lead, fraction, exponent = _hex_float(F.abs(v))
+    # Tests on the text make it part of every row's work, so it is formatted only once.
+    text = F.format_string("%a", F.abs(v))
+    lead, fraction, exponent = _hex_float(text)
     sign = F.shiftleft(_negative(v), 63)
     # A leading zero marks zero and the smallest numbers, whose stored exponent is 0.
     finite = F.shiftleft((exponent + 1023) * lead, 52) + fraction
     return (
-        F.when(F.isnan(v), F.lit(0x7FF8 << 48))
-        .when(F.abs(v) == float("inf"), F.lit(2047 << 52).bitwiseOR(sign))
+        F.when(text == "NaN", F.lit(0x7FF8 << 48))
+        .when(text == "Infinity", F.lit(2047 << 52).bitwiseOR(sign))
         .otherwise(finite.bitwiseOR(sign))
     )
 
@@ -266,13 +267,13 @@ def float64_bits(value: Column) -> Column:
 def float32_bits(value: Column) -> Column:
     """Bit pattern of a double rounded to single precision, as bigint."""
     v = value.cast("float").cast("double")
-    a = F.abs(v)
-    _, fraction, exponent = _hex_float(a)
+    text = F.format_string("%a", F.abs(v))
+    _, fraction, exponent = _hex_float(text)
     sign = F.shiftleft(_negative(v), 31)
     return (
-        F.when(F.isnan(v), F.lit(0x7FC00000))
-        .when(a == float("inf"), F.lit(0x7F800000) + sign)
-        .when(a < F.lit(2.0**-126), (a * F.lit(2.0**149)).cast("bigint") + sign)
+        F.when(text == "NaN", F.lit(0x7FC00000))
+        .when(text == "Infinity", F.lit(0x7F800000) + sign)
+        .when(F.abs(v) < F.lit(2.0**-126), (F.abs(v) * F.lit(2.0**149)).cast("bigint") + sign)
         .otherwise(F.shiftleft(exponent + 127, 23) + F.shiftright(fraction, 29) + sign)
     )
 

@@ -299,7 +299,7 @@ def refresh_rate(
     equal timestamps are ranked in chunks of the (unique integer) order column.
     No step holds a whole key. ``seed`` adds earlier counts (keys, _ms, _n).
 
-    Timestamps that step back follow the reference queue only with
+    Timestamps that step back follow the arrival queue only with
     ``exact=True``: stretches of time holding such rows are folded in order.
     """
     keys = [k for k in keys if k in df.columns]
