@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import quality_ledger, url_rules
+from wirelens.llm import bpe, quality_ledger, shards, url_rules
 from wirelens.llm.frames import table
 
 
@@ -22,9 +22,25 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_quality_ledger": op3_quality_ledger,
+    "op5_bpe": op5_bpe,
+    "op6_sharding": op6_sharding,
 }
 
 ORACLES = {
