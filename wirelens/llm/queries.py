@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, quality_ledger, shards, url_rules
+from wirelens.llm import bpe, quality_ledger, shards, url_rules, warc
 from wirelens.llm.frames import table
 
 
@@ -36,14 +36,30 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_roundtrip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_url_filters": op2_url_filters,
     "op3_quality_ledger": op3_quality_ledger,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op8_warc": op8_warc,
 }
 
 ORACLES = {
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
+), f AS (
+  SELECT page_id, n, d, min(page_id) OVER (PARTITION BY d) AS first FROM p
+)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+""",
     "op2_url_filters": r"""
 WITH rules(rhost, rpath, v) AS (
   VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
