@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, quality_ledger, shards, url_rules, warc
+from wirelens.llm import bpe, minhash, quality_ledger, shards, url_rules, warc
 from wirelens.llm.frames import table
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.rules_frame(spark))
 
@@ -41,6 +45,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op2_url_filters": op2_url_filters,
     "op3_quality_ledger": op3_quality_ledger,
     "op5_bpe": op5_bpe,
@@ -49,6 +54,39 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_minhash": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM t WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), sets AS (
+  SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS k FROM s GROUP BY doc_id
+), reps AS (
+  SELECT k, min(doc_id) AS rep FROM sets GROUP BY k
+), rs AS (
+  SELECT doc_id, g FROM s WHERE doc_id IN (SELECT rep FROM reps)
+), inter AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM rs x JOIN rs y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM inter JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), twoway AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(node, seen) AS (
+  SELECT rep, rep FROM reps
+  UNION
+  SELECT twoway.b, reach.seen FROM reach JOIN twoway ON reach.node = twoway.a
+), comp AS (
+  SELECT node, min(seen) AS c FROM reach GROUP BY node
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id, coalesce(c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN sets ON sets.doc_id = d.doc_id
+LEFT JOIN reps ON reps.k = sets.k LEFT JOIN comp ON comp.node = reps.rep
+""",
     "op8_warc": """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages
