@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, minhash, quality_ledger, shards, url_rules, warc
+from wirelens.llm import bpe, decontaminate, minhash, quality_ledger, shards, url_rules, warc
 from wirelens.llm.frames import table
 
 
@@ -40,6 +40,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_roundtrip(table(spark, sf_dir, "pages"))
 
@@ -50,10 +54,47 @@ QUERIES = {
     "op3_quality_ledger": op3_quality_ledger,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
 }
 
 ORACLES = {
+    "op7_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents
+), t AS (
+  SELECT row_number() OVER () AS ix, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark
+), dp AS (SELECT rid, w, unnest(range(0, len(w) - 5)) AS i FROM d WHERE len(w) >= 6),
+tp AS (SELECT ix, w, unnest(range(0, len(w) - 5)) AS j FROM t WHERE len(w) >= 6),
+ds AS (
+  SELECT rid, i, 0 AS m, [w[i+1], w[i+2], w[i+3], w[i+5], w[i+6]] AS k FROM dp
+  UNION ALL SELECT rid, i, 1, [w[i+1], w[i+2], w[i+3], w[i+4], w[i+6]] FROM dp
+), ts AS (
+  SELECT ix, j, 0 AS m, [w[j+1], w[j+2], w[j+3], w[j+5], w[j+6]] AS k FROM tp
+  UNION ALL SELECT ix, j, 1, [w[j+1], w[j+2], w[j+3], w[j+4], w[j+6]] FROM tp
+), al AS (
+  SELECT DISTINCT rid, ix, i - j AS shift FROM ds JOIN ts USING (m, k)
+), pos AS (
+  SELECT al.rid, al.ix, shift, len(t.w) AS n, p, CASE WHEN d.w[p + shift + 1] = t.w[p + 1] THEN 1 ELSE -4 END AS s
+  FROM (SELECT al.*, unnest(range(0, (SELECT max(len(w)) FROM t))) AS p FROM al) al
+  JOIN d USING (rid) JOIN t USING (ix) WHERE p < len(t.w) AND p + shift >= 0 AND p + shift < len(d.w)
+), pre AS (
+  SELECT *, sum(s) OVER w AS e, sum(CASE WHEN s = 1 THEN 1 ELSE 0 END) OVER w AS h FROM pos
+  WINDOW w AS (PARTITION BY rid, ix, shift ORDER BY p)
+), seg AS (
+  SELECT x.rid, x.ix, x.shift, x.n, y.p AS b, x.p + 1 AS stop, x.e - (y.e - y.s) AS score,
+    x.h - y.h + CASE WHEN y.s = 1 THEN 1 ELSE 0 END AS matched
+  FROM pre x JOIN pre y ON x.rid = y.rid AND x.ix = y.ix AND x.shift = y.shift AND y.p <= x.p
+), best AS (
+  SELECT * FROM seg QUALIFY row_number() OVER (PARTITION BY rid, ix, shift ORDER BY score DESC, stop, b DESC) = 1
+), ok AS (
+  SELECT * FROM best WHERE score > 0 AND stop - b >= least(13, n)
+  QUALIFY row_number() OVER (PARTITION BY rid, ix ORDER BY score DESC, b + shift, b) = 1
+)
+SELECT doc_id, item_id, (stop - b)::BIGINT AS overlap_words, matched::BIGINT AS matched_words,
+  (b + shift)::BIGINT AS doc_start, b::BIGINT AS item_start
+FROM ok JOIN d USING (rid) JOIN t USING (ix)
+""",
     "op1_minhash": r"""
 WITH RECURSIVE t AS (
   SELECT doc_id, list_filter(
