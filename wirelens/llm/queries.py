@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, decontaminate, minhash, quality_ledger, shards, url_rules, warc
+from wirelens.llm import bpe, decontaminate, line_dedup, minhash, quality_ledger, shards, url_rules, warc
 from wirelens.llm.frames import table
 
 
@@ -48,6 +48,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_roundtrip(table(spark, sf_dir, "pages"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_url_filters": op2_url_filters,
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 ORACLES = {
