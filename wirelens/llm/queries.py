@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, decontaminate, line_dedup, minhash, quality_ledger, shards, url_rules, warc
+from wirelens.llm import bpe, decontaminate, line_dedup, minhash, quality_ledger, shards, toxicity, url_rules, warc
 from wirelens.llm.frames import table
 
 
@@ -52,6 +52,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_url_filters": op2_url_filters,
@@ -61,6 +65,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES = {
