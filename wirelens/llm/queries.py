@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, decontaminate, line_dedup, minhash, quality_ledger, shards, toxicity, url_rules, warc
+from wirelens.llm import bpe, decontaminate, licenses, line_dedup, minhash, quality_ledger, shards, toxicity, url_rules, warc
 from wirelens.llm.frames import table
 
 
@@ -26,6 +26,10 @@ def op3_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_url_filters": op2_url_filters,
     "op3_quality_ledger": op3_quality_ledger,
+    "op4_licenses": op4_licenses,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
