@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.llm.frames import cut
 
-#: Candidate pairs a group may have for each of its members before it is refined.
-PAIRS_A_MEMBER = 48
+#: Candidate pairs a group may have for each of its members before an exact rule thins them.
+PAIRS_A_MEMBER = 6
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -48,16 +48,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def leader_pairs(members: DataFrame) -> DataFrame:
-    """Each member (bucket, node) paired with the smallest node of its bucket: linear in the members."""
-    lead = members.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z")
-    return members.join(lead.drop("z"), "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    """Each member (bucket, node) paired with the leader of its bucket: linear in the members.
+
+    The leader is the node that shares buckets with the most others, so the
+    original of a group of edited copies leads, not one of the copies.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("m"))
+    weights = members.join(sizes, "bucket").groupBy("node").agg(F.sum("m").alias("w"))
+    lead = members.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("w", "node"))["node"].alias("lead"))
+    both = members.join(lead, "bucket").filter("node <> lead")
+    return both.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
 
 
-def _open_groups(members: DataFrame) -> DataFrame:
+def open_groups(members: DataFrame) -> DataFrame:
     """Buckets whose members (bucket, node, comp) are in several components: the largest one, and pairs across."""
     by_comp = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     sums = by_comp.groupBy("bucket").agg(
@@ -66,7 +73,7 @@ def _open_groups(members: DataFrame) -> DataFrame:
     return sums.filter("k > 1").select("bucket", "m", F.col("top.comp").alias("top"), ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("across"))
 
 
-def _cross_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
+def cross_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of members of one bucket in different components.
 
     Members outside a bucket's largest component meet all members, so a big
@@ -78,31 +85,23 @@ def _cross_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def grouped_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def grouped_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) among members (bucket, node), enough for the true components of all pairs that share a bucket.
 
     Every member is compared with its bucket's leader first. A bucket whose
     members are then in one component is done, however large it is. In the
     others, pairs across components are compared, unless these are many times
-    the members: such buckets are refined into smaller ones by a further key,
-    go through the same two steps, and have every pair across components
-    compared in the end. Nothing is capped.
+    the members: the members (bucket, node, comp) of such buckets go to
+    ``rest``, which makes fewer candidate pairs of them by an exact rule of its
+    own. Nothing is capped.
     """
     pairs = cut(leader_pairs(members))
     links = cut(verify(pairs))
-    for level in (1, 2):
-        labelled = cut(_labelled(members, components(links)))
-        groups = cut(_open_groups(labelled))
-        heavy = F.col("across") > PAIRS_A_MEMBER * F.col("m") if level == 1 else F.lit(False)
-        more = cut(_cross_pairs(labelled, groups.filter(~heavy)).join(pairs, ["a", "b"], "left_anti"))
-        links = links.unionByName(cut(verify(more)))
-        if level == 2 or groups.filter(heavy).isEmpty():
-            return links
-        members = cut(refine(members.join(groups.filter(heavy).select("bucket"), "bucket", "left_semi")).distinct())
-        pairs = cut(leader_pairs(members).join(pairs, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(verify(pairs)))
-    return links
-
-
-def spread_key(*parts: Column) -> Column:
-    return F.xxhash64(*parts)
+    labelled = cut(_labelled(members, components(links)))
+    groups = cut(open_groups(labelled))
+    heavy = F.col("across") > PAIRS_A_MEMBER * F.col("m")
+    more = cross_pairs(labelled, groups.filter(~heavy))
+    many = groups.filter(heavy).select("bucket")
+    if not many.isEmpty():
+        more = more.unionByName(rest(cut(labelled.join(many, "bucket", "left_semi"))))
+    return links.unionByName(cut(verify(cut(more.distinct().join(pairs, ["a", "b"], "left_anti")))))

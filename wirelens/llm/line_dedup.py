@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.llm.components import components, grouped_links
+from wirelens.llm.components import components, cross_pairs, grouped_links, open_groups
 from wirelens.llm.edits import within
 from wirelens.llm.frames import SPACES, columns, cut, numbered, work_dir
 
@@ -156,10 +156,14 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
                 nodes += [node] * len(found)
             yield _rows(buckets, nodes)
 
-    def refine(heavy: DataFrame) -> DataFrame:
-        return heavy.join(texts, "node").select("bucket", "node", "line").mapInArrow(rest_keys, "bucket long, node long")
+    def rest(heavy: DataFrame) -> DataFrame:
+        """Pairs that also share a segment of what is left beside the shared one."""
+        comps = heavy.select("node", "comp").distinct()
+        refiled = heavy.join(texts, "node").select("bucket", "node", "line").mapInArrow(rest_keys, "bucket long, node long")
+        finer = cut(refiled.distinct().join(comps, "node"))
+        return cross_pairs(finer, open_groups(finer))
 
-    return components(grouped_links(members, verify, refine))
+    return components(grouped_links(members, verify, rest))
 
 
 def _classed(lines: DataFrame, edits: int) -> DataFrame:

@@ -9,7 +9,8 @@ except with probability 2e-6, a pair at similarity 0.3 shares one in fifty.
 
 Documents are grouped by their shingle set first, so equal documents are one
 node and a large group of copies costs nothing further. Candidates come from
-``components.grouped_links`` (leaders, then pairs across components, no cap);
+``components.grouped_links`` (leaders, then pairs across components, and a prefix
+and position rule where these would be too many; no cap);
 each is compared on the full sets, by 64-bit hashes of all shingles.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a set is the distinct
@@ -37,6 +38,8 @@ WIDTH = 5
 BANDS = 28
 ROWS = 6
 PERCENT = 85
+#: Cells of the table that orders shingles in crowded buckets.
+CELLS = 1 << 18
 
 
 def shingle_set(text: bytes | None):
@@ -180,12 +183,68 @@ def near_duplicates(sketched: DataFrame, text: str, percent: int = PERCENT) -> D
     full.select("at", "n_shingles", F.col(text).alias("text")).join(once, "at").drop("at").write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)
 
-    def refine(heavy: DataFrame) -> DataFrame:
-        """A bucket's members again by each of their other bands: near pairs share several."""
-        more = heavy.join(full.select("node", "bands").dropDuplicates(["node"]), "node").select("node", "bucket", F.explode("bands").alias("band"))
-        return more.filter("band <> bucket").select("node", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")).alias("bucket"))
+    return components(grouped_links(members, _verifier(texts, percent), _prefix_pairs(texts, percent)))
 
-    return components(grouped_links(members, _verifier(texts, percent), refine))
+
+def _prefix_pairs(texts: DataFrame, percent: int):
+    """Members (bucket, node, comp) of crowded buckets to candidate pairs by prefix and position.
+
+    With the shingles of all sets in one order, rare ones first, two sets at the
+    threshold share a shingle at places so early that enough may follow in
+    both. Sets that differ only by edits of their own begin with these, so
+    thousands of copies just under the threshold leave few pairs. The order
+    comes from counts in a table of ``CELLS`` cells: any table gives all pairs.
+    """
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        counts = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                np.add.at(counts, (shingle_set(text.cast(pa.binary()).as_py()) % np.uint64(CELLS)).astype(np.int64), 1)
+        used = np.nonzero(counts)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], ["cell", "n"])
+
+    def pairs(heavy: DataFrame) -> DataFrame:
+        import numpy as np
+
+        nodes = heavy.select("node", "comp").distinct()
+        rows = cut(texts.join(nodes, "node").select("node", "comp", "text"))
+        counts = np.zeros(CELLS, np.int64)
+        summed = rows.select("text").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        for r in summed.toLocalIterator():  # at most CELLS rows
+            counts[r["cell"]] = r["n"]
+        shared = heavy.sparkSession.sparkContext.broadcast(counts)
+
+        def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[list] = [[], [], [], [], []]
+                for node, comp, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    s = shingle_set(text.cast(pa.binary()).as_py())
+                    n = len(s)
+                    often = shared.value[(s % np.uint64(CELLS)).astype(np.int64)]
+                    first = np.lexsort((s, often))[: n - -(-percent * n // 100) + 1]
+                    # a shingle that is counted once has no partner
+                    places = np.nonzero(often[first] > 1)[0]
+                    out[0] += s[first[places]].view(np.int64).tolist()
+                    out[1] += [node] * len(places)
+                    out[2] += [comp] * len(places)
+                    out[3] += [n] * len(places)
+                    out[4] += places.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["shingle", "node", "comp", "n", "place"])
+
+        filed = cut(rows.mapInArrow(prefixes, "shingle long, node long, comp long, n long, place long"))
+        least = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
+        smaller = filed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))).alias("x")
+        found = smaller.join(filed.alias("y"), F.col("x.shingle") == F.col("y.shingle")).filter(
+            (F.col("x.comp") != F.col("y.comp"))
+            & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") != F.col("y.node"))))
+            & (F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) >= least)
+        )
+        return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+    return pairs
 
 
 def _sketched(docs: DataFrame, text: str) -> DataFrame:
