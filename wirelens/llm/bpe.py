@@ -3,18 +3,20 @@
 Words are ``[^\\x20\\x09-\\x0D]+``; the tokenizers this serves never merge
 across such white space, so a text's ids are its words' ids one after another.
 
-``encode`` works in blocks of rows (one Arrow batch of one input partition):
+``encode`` works in blocks of at most ``BLOCK_ROWS`` rows of an input partition:
 
-1. every block lists its distinct words;
-2. the lists meet by word, and each distinct word of the corpus is encoded once;
+1. every block lists its distinct words, by word class (a hash);
+2. the lists of a class meet in one place, where a table of distinct words
+   encodes each of them once and looks it up for all blocks;
 3. the ids go back to the blocks that asked, where they are joined to the
    words' positions.
 
-So what is shuffled is a block's distinct words, not its word occurrences, and
-the texts once, compressed. A word that is in every document is one row per
-block; a block and its word table are bounded by the batch size. A word that
-its block's table lacks (an input whose partitions change between two reads) is
-encoded on the spot, so ids never depend on the blocks.
+So what is shuffled is the blocks' distinct words, not word occurrences, and
+the texts once, all as compressed lists. A word that is in every document is
+one entry per block; a block and its word table are bounded by its rows, and
+the table of a class by ``TABLE_WORDS`` (beyond it the table starts anew). A
+word that its block's table lacks (an input whose partitions change between two
+reads) is encoded on the spot, so ids never depend on the blocks.
 
 ``decode`` looks every id up in the tokenizer's id-to-piece table, whose size
 is the vocabulary's, and joins the pieces with blanks, as a tokenizer without a
@@ -38,6 +40,10 @@ from pyspark.sql import types as T
 
 from wirelens.llm.frames import columns
 
+#: Rows whose words are listed, and whose ids are put together, at a time.
+BLOCK_ROWS = 4000
+#: Words that the table of a class keeps.
+TABLE_WORDS = 400_000
 #: Words encoded in one call of the tokenizer.
 CALL = 4096
 
@@ -69,9 +75,11 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    part = TaskContext.get().partitionId()
-    for n, batch in enumerate(batches):
-        yield part << 32 | n, batch
+    part, n = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            yield part << 32 | n, batch.slice(at, BLOCK_ROWS)
+            n += 1
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -79,17 +87,6 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
-def _list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, batch in _blocks(batches):
-        seen: set[bytes] = set()
-        for text in _texts(batch.column(1)):
-            seen.update(text.split())
-        words = list(seen)
-        for at in range(0, len(words), 50_000):
-            part = words[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(part, pa.binary())], ["block", "word"])
-
-
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -100,28 +97,69 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([blocks, batch.column(0), packed], ["block", "id", "packed"])
 
 
+def _pack_ids(ids: list[bytes]) -> bytes:
+    """Number of words, each one's number of bytes, all ids."""
+    import numpy as np
+
+    sizes = np.fromiter(map(len, ids), "<u4", len(ids))
+    return b"".join([len(ids).to_bytes(4, "little"), sizes.tobytes(), *ids])
+
+
+def _unpack_ids(data: bytes) -> list[bytes]:
+    import numpy as np
+
+    n = int.from_bytes(data[:4], "little")
+    ends = (np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n).tolist()
+    return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ids (binary, little-endian unsigned 32-bit) and n_tokens of every row."""
     source = columns(docs, key, text).toDF("id", "text")
     kind = source.schema["id"].dataType
+    classes = max(32, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
+        for block, batch in _blocks(batches):
+            seen: set[bytes] = set()
+            for text in _texts(batch.column(1)):
+                seen.update(text.split())
+            lists: dict[int, list[bytes]] = {}
+            for word in sorted(seen):
+                lists.setdefault(zlib.crc32(word) % classes, []).append(word)
+            packed = [press.compress(b"\n".join(w)) for w in lists.values()]
+            arrays = [pa.array([block] * len(lists), pa.int64()), pa.array(list(lists), pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "class", "words"])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct-word table of the classes that this task has."""
+        import zstandard
 
-    def encode_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words arrive sorted: equal ones are neighbours and encoded once."""
-        encoder, last = word_encoder(path), (None, b"")
+        press, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        encoder, table = word_encoder(path), {}
         for batch in batches:
-            words = batch.column(1).to_pylist()
-            new = [w for w, before in zip(words, [last[0], *words], strict=False) if w != before]
-            ids = dict(zip(new, encoder(new), strict=True)) | ({last[0]: last[1]} if last[0] is not None else {})
-            if words:
-                last = (words[-1], ids[words[-1]])
-            out = pa.array([ids[w] for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["block", "word", "ids"])
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                words = unpack.decompress(row.column(2)[0].as_py()).split(b"\n")
+                if len(table) > TABLE_WORDS:
+                    table.clear()
+                new = [w for w in words if w not in table]
+                table.update(zip(new, encoder(new), strict=True))
+                ids = press.compress(_pack_ids([table[w] for w in words]))
+                yield pa.RecordBatch.from_arrays([row.column(0), row.column(2), pa.array([ids], pa.binary())], ["block", "words", "ids"])
 
     def assemble(tables: pa.Table, rows: pa.Table) -> pa.Table:
-        known = dict(zip(tables.column("word").to_pylist(), tables.column("ids").to_pylist(), strict=True))
         import zstandard
 
         unpack, encoder = zstandard.ZstdDecompressor(), []
+        known: dict[bytes, bytes] = {}
+        for words, ids in zip(tables.column("words"), tables.column("ids"), strict=True):
+            known.update(zip(unpack.decompress(words.as_py()).split(b"\n"), _unpack_ids(unpack.decompress(ids.as_py())), strict=True))
 
         def ids_of(words: list[bytes]) -> bytes:
             try:
@@ -138,8 +176,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             {"id": rows.column("id"), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
         )
 
-    asked = source.mapInArrow(_list_words, "block long, word binary")
-    table = asked.repartition("word").sortWithinPartitions("word").mapInArrow(encode_sorted, "block long, word binary, ids binary")
+    asked = source.mapInArrow(list_words, "block long, class int, words binary")
+    table = asked.repartition("class").mapInArrow(look_up, "block long, words binary, ids binary")
     packed_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("id", kind), T.StructField("packed", T.BinaryType())])
     packed = source.mapInArrow(_pack_texts, packed_schema)
     out_schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
