@@ -262,12 +262,15 @@ def archive_roundtrip(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> D
     light = cut(
         read.select("type", "record_id", "page_id", "refers_to", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("d"))
     )
-    stored = light.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("ref"), F.col("n").alias("rn"), F.col("d").alias("rd")).dropDuplicates(["refers_to"])
-    joined = light.join(stored, "refers_to", "left")
-    return joined.select(
+    is_revisit = F.col("type") == "revisit"
+    stored = light.filter(~is_revisit).select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("ref"), F.col("n").alias("rn"), F.col("d").alias("rd")).dropDuplicates(["refers_to"])
+    # only revisits look anything up; responses, which refer to nothing, stay out of the join
+    revisits = light.filter(is_revisit).join(stored, "refers_to", "left").select("page_id", F.col("rn").alias("n"), F.col("rd").alias("d"), "type", "ref")
+    both = light.filter(~is_revisit).select("page_id", "n", "d", "type", F.lit(None).cast("string").alias("ref")).unionByName(revisits)
+    return both.select(
         F.col("page_id").cast(kind).alias("page_id"),
-        F.coalesce("n", "rn").alias("payload_bytes"),
-        F.coalesce("d", "rd").alias("payload_digest"),
+        F.col("n").alias("payload_bytes"),
+        F.col("d").alias("payload_digest"),
         F.col("type").alias("record_type"),
         F.col("ref").cast(kind).alias("refers_to"),
     )
