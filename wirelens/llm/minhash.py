@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelens.llm.components import components, grouped_links
-from wirelens.llm.frames import columns, numbered, work_dir
+from wirelens.llm.frames import columns, cut, numbered, work_dir
 
 WIDTH = 5
 BANDS = 28
