@@ -184,3 +184,59 @@ def test_byte_order_texts(spark):
     df = spark.createDataFrame([(0, bytearray.fromhex("3F8CCCCD0001")), (1, bytearray(2))], "packet_no long, payload binary").coalesce(1)
     rows = verify.verify(df, m, text_parity=True).orderBy("packet_no").select("f_BE", "f_LE", "n_BE", "n_LE").collect()
     assert [tuple(r) for r in rows] == [("1.1", f"{struct.unpack('<f', bytes.fromhex('3F8CCCCD'))[0]:.7g}", "1", "256"), ("N/A", "N/A", "N/A", "N/A")]
+
+
+def _definitions(n):
+    from wirelens import Field, Message
+
+    own = [
+        Message("late", 1, 6, (Field("v", 0, 1, "Uint8"),), header=b"\x01"),
+        Message("bound", 1, 6, (Field("v", 0, 1, "Uint8"),), header=b"\x01\x02", connection_id="S1"),
+        Message("free", 1, 5, (Field("v", 0, 1, "Uint8"),)),
+        Message("text", 1, 0, (), format="NMEA", sentence="GGA"),
+        Message("mine", 1, 0, (), format="NMEA", sentence="GLL", connection_id="S2"),
+    ]
+    filler = [Message(f"f{i}", 1, 40 + i, (Field("v", 0, 1, "Uint8"),), header=bytes([9, i % 256])) for i in range(n - len(own))]
+    return own[:1] + filler + own[1:]
+
+
+FIRST_ROWS = [
+    (None, 1, b"\x01\x02\x03\x04\x05\x06", "S1"),
+    ("f", 7, b"\x01\x02\x03\x04\x05\x06", "S2"),
+    ("f", 7, b"\x05\x02\x03\x04\x05", None),
+    ("f", 7, b"\x05\x02", ""),
+    ("f", 8, b"$GPGGA,1*00\r\n$GPGLL,1*00\r\n", "S1"),
+    ("f", 8, b"$GPGLL,1*00\r\n", "S1"),
+    ("f", 8, b"$GPGLL,1*00\r\n", "S2"),
+    ("f", 8, b"$GPGLL,1*00\r\n", ""),
+    ("f", 9, None, "S1"),
+]
+
+
+def test_first_match_is_the_same_for_any_number_of_definitions(spark):
+    from wirelens.operators.route import route
+    from wirelens.plans.model import messages_frame
+
+    rows = spark.createDataFrame(FIRST_ROWS, "file string, packet_no int, payload binary, connection_id string")
+    rows = rows.selectExpr("*", "octet_length(payload) AS payload_size", "1 AS src_port", "1 AS dst_port")
+    want = sorted([(None, 1, "late"), ("f", 7, "late"), ("f", 7, "free"), ("f", 8, "text"), ("f", 8, "mine"), ("f", 8, "mine")], key=repr)
+    for n in (128, 129):
+        for bound in (50_000, 3):
+            for defs in (_definitions(n), messages_frame(spark, _definitions(n)))[: 1 if bound == 3 else 2]:
+                out = route(rows, defs, "first", connection="connection_id", max_broadcast_rows=bound).collect()
+                assert sorted(((r.file, r.packet_no, r.message) for r in out), key=repr) == want
+    keyless = route(rows.select("payload", "payload_size"), _definitions(129), "first").collect()
+    assert sorted(r.message for r in keyless) == ["free", "late", "late", "mine", "mine", "mine", "text"]
+
+
+def test_first_match_on_a_stream_with_many_definitions(spark, tmp_path):
+    from wirelens.operators.route import route
+
+    rows = spark.createDataFrame(FIRST_ROWS, "file string, packet_no int, payload binary, connection_id string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    routed = route(stream, _definitions(129), "first", connection="connection_id").select("message")
+    q = routed.writeStream.format("memory").queryName("first_many").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.message for r in spark.table("first_many").collect()) == ["free", "late", "late", "mine", "mine", "text"]

@@ -10,8 +10,6 @@ from wirelens.operators.joins import BROADCAST_ROWS, is_bounded, lookup_join
 from wirelens.plans.model import Message, messages_frame
 
 KEYS = ("file", "packet_no")
-# Above this count a list of definitions is joined, not written into the plan.
-INLINE_MESSAGES = 128
 
 
 def _as_frame(datagrams: DataFrame, messages) -> tuple[DataFrame, int | None]:
@@ -98,28 +96,93 @@ def match_pairs(
     return out
 
 
-def _inline_first(datagrams: DataFrame, messages: list[Message], connection: str | None) -> DataFrame:
-    """First match written as one conditional: no join, no shuffle, no state."""
-    texts = any(m.format == "NMEA" for m in messages)
-    source = F.coalesce(F.col(connection), F.lit("")) if connection else F.lit("")
-    staged = datagrams.withColumn("_formatters", formatters(F.col("payload"))) if texts else datagrams
-    order: Column | None = None
-    for i, m in enumerate(messages):
-        if m.format == "NMEA":
-            hit = F.array_contains("_formatters", m.sentence.strip().upper())
-        else:
-            hit = F.octet_length("payload") == m.length
-            if m.header:
-                hit = hit & F.startswith(F.col("payload"), F.lit(bytearray(m.header)))
-        if connection and m.connection_id:
-            hit = hit & ((source == "") | (source == m.connection_id))
-        order = F.when(hit, i) if order is None else order.when(hit, i)
-    names = F.array(*[F.lit(m.name) for m in messages])
-    formats = F.array(*[F.lit(m.format) for m in messages])
-    out = staged.withColumn("def_order", order).filter(F.col("def_order").isNotNull())
-    return out.withColumns(
-        {"message": F.get(names, F.col("def_order")), "format": F.get(formats, F.col("def_order"))}
-    ).drop("_formatters")
+def _header_lengths(messages) -> list[int]:
+    """Header lengths in use; of a table the distinct lengths, never more than a payload has bytes."""
+    if not isinstance(messages, DataFrame):
+        return sorted({len(m.header or b"") for m in messages if m.format != "NMEA"})
+    hexes = messages.filter(F.coalesce(F.col("format") != "NMEA", F.lit(True)))
+    rows = hexes.select(F.octet_length(F.coalesce(F.col("header"), F.lit(b""))).alias("n")).distinct().collect()
+    return sorted(r.n for r in rows)
+
+
+def _route_first(datagrams: DataFrame, messages, connection: str | None, max_broadcast_rows: int) -> DataFrame:
+    """The earliest matching definition by lookups alone, for any number of definitions.
+
+    Each header length in use is one left lookup of (payload length, prefix),
+    and one more with the connection where definitions are bound to one;
+    sentences are looked up by formatter. The least definition order of all
+    lookups wins. Nothing is aggregated over datagrams and they need no keys, so
+    NULL and repeated keys survive and a stream works like a table.
+    """
+    defs, rows = _as_frame(datagrams, messages)
+    small = rows <= max_broadcast_rows if rows is not None else is_bounded(defs, max_broadcast_rows)
+    dim_rows = 0 if small else max_broadcast_rows + 1
+    only = _formats(messages)
+    found = F.struct("def_order", "message", "format")
+    link = F.coalesce(F.col("connection_id"), F.lit("")) if connection else F.lit("")
+    is_text = F.coalesce(F.col("format") == "NMEA", F.lit(False))
+    source = F.coalesce(F.col(f"`{connection}`"), F.lit("")) if connection else F.lit("")
+    out = datagrams.withColumn("_source", source)
+    columns: list[Column] = []
+
+    def looked_up(df: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
+        return lookup_join(df, dim, on, how="left", spread=list(datagrams.columns), dim_rows=dim_rows, max_rows=max_broadcast_rows)
+
+    def any_or_free() -> list[Column]:
+        return [F.min("_d").alias("_any"), F.min(F.when(F.col("_link") == "", F.col("_d"))).alias("_free")]
+
+    def chosen(any_: Column, free: Column, bound: Column) -> Column:
+        """An unnamed source fits every definition, a named one those bound to it or to none."""
+        return F.when(F.col("_source") == "", any_).otherwise(F.least(free, bound) if connection else free)
+
+    if "HEX" in only:
+        hexes = defs.filter(~is_text).select(
+            F.col("payload_len").cast("int").alias("_size"), F.coalesce(F.col("header"), F.lit(b"")).alias("_header"), link.alias("_link"), found.alias("_d")
+        )
+        out = out.withColumn("_size", F.octet_length("payload"))
+        for n in _header_lengths(messages):
+            dim = hexes.filter(F.octet_length("_header") == n)
+            prefix = F.when(F.col("_size") >= n, F.substring(F.col("payload"), F.lit(1), F.lit(n)))
+            out = looked_up(out.withColumn("_header", prefix), dim.groupBy("_size", "_header").agg(*any_or_free()), ["_size", "_header"])
+            bound = F.lit(None)
+            if connection:
+                own = dim.filter("_link <> ''").groupBy("_size", "_header", F.col("_link").alias("_source")).agg(F.min("_d").alias("_bound"))
+                out = looked_up(out, own, ["_size", "_header", "_source"])
+                bound = F.col("_bound")
+            out = out.withColumn(f"_hit{n}", chosen(F.col("_any"), F.col("_free"), bound)).drop("_any", "_free", "_bound", "_header")
+            columns.append(F.col(f"_hit{n}"))
+    if "NMEA" in only:
+        texts = defs.filter(is_text).select(F.upper(F.trim("sentence")).alias("_f"), link.alias("_link"), found.alias("_d"))
+
+        def table(df: DataFrame, key: Column, value: Column) -> DataFrame:
+            return df.groupBy(key.alias("k")).agg(F.min(value).alias("v")).filter("v IS NOT NULL")
+
+        free = F.when(F.col("_link") == "", F.col("_d"))
+        named = F.concat_ws("\n", "_f", "_link")
+        entries = (
+            table(texts, F.concat(F.lit("any\n"), F.col("_f")), F.col("_d"))
+            .unionByName(table(texts, F.concat(F.lit("free\n"), F.col("_f")), free))
+            .unionByName(table(texts.filter("_link <> ''"), F.concat(F.lit("own\n"), named), F.col("_d")))
+        )
+        # one row: a map of the formatters in use, which are few by the sentence format
+        lookup = entries.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_map")).withColumn("_one", F.lit(1))
+        out = out.withColumn("_names", formatters(F.col("payload"))).withColumn("_one", F.lit(1)).join(F.broadcast(lookup), "_one", "left")
+
+        def earliest(*keys) -> Column:
+            def hits(key) -> Column:
+                return F.array_min(F.transform("_names", lambda f: F.try_element_at(F.col("_map"), key(f))))
+
+            return F.least(*[hits(k) for k in keys]) if len(keys) > 1 else hits(keys[0])
+
+        unbound = earliest(lambda f: F.concat(F.lit("free\n"), f))
+        if connection:
+            unbound = earliest(lambda f: F.concat(F.lit("free\n"), f), lambda f: F.concat(F.lit("own\n"), f, F.lit("\n"), F.col("_source")))
+        every = earliest(lambda f: F.concat(F.lit("any\n"), f))
+        out = out.withColumn("_text", F.when(F.col("_source") == "", every).otherwise(unbound))
+        columns.append(F.col("_text"))
+    best = F.least(*columns) if len(columns) > 1 else columns[0]
+    out = out.withColumn("_best", best).filter(F.col("_best").isNotNull())
+    return out.select(*[f"`{c}`" for c in datagrams.columns], "_best.message", "_best.def_order", "_best.format")
 
 
 def route(
@@ -141,24 +204,7 @@ def route(
         return match_pairs(datagrams, messages, keys, True, connection, max_broadcast_rows)
     if mode != "first":
         raise ValueError(f"unknown routing mode {mode!r}")
-    if not isinstance(messages, DataFrame) and len(messages) <= INLINE_MESSAGES:
-        return _inline_first(datagrams, list(messages), connection)
-    used = _keys(datagrams, keys)
-    if not used:
-        raise ValueError("first-match routing over a definition table needs datagram keys")
-    defs, rows = _as_frame(datagrams, messages)
-    # Of definitions that match the same datagrams only the earliest can win.
-    is_text = F.col("format") == "NMEA"
-    link = F.coalesce(F.col("connection_id"), F.lit("")) if connection else F.lit("")
-    firsts = defs.groupBy(
-        F.when(is_text, F.upper(F.trim("sentence"))).alias("_s"),
-        F.when(~is_text, F.col("payload_len")).alias("_l"),
-        F.when(~is_text, F.coalesce(F.col("header"), F.lit(b""))).alias("_h"),
-        link.alias("_c"),
-    ).agg(F.min_by(F.struct(*[F.col(c) for c in defs.columns]), "def_order").alias("_d"))
-    pairs = match_pairs(datagrams, firsts.select("_d.*"), keys, False, connection, max_broadcast_rows)
-    best = pairs.groupBy(*used).agg(F.min(F.struct("def_order", "message", "format")).alias("_best"))
-    return datagrams.join(best, used).select(*datagrams.columns, "_best.message", "_best.def_order", "_best.format")
+    return _route_first(datagrams, messages, connection, max_broadcast_rows)
 
 
 def seen_messages(datagrams: DataFrame, messages, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -202,7 +248,8 @@ def connection_frame_length(messages: DataFrame, connections: DataFrame) -> Data
     A, B, A also counts as mixed; equal lengths throughout give that length.
     """
     link = F.coalesce(F.col("connection_id"), F.lit(""))
-    hexes = messages.filter(F.col("format") != "NMEA").select(link.alias("_link"), "payload_len")
+    # definitions without a length say nothing about the connection's
+    hexes = messages.filter((F.col("format") != "NMEA") & (F.col("payload_len") > 0)).select(link.alias("_link"), "payload_len")
 
     def spans(df, *by):
         return df.groupBy(*by).agg(F.min("payload_len").alias("lo"), F.max("payload_len").alias("hi"))
@@ -233,11 +280,16 @@ def header_overlaps(filters: DataFrame, header: str = "header") -> DataFrame:
     of n bytes adds at most n pairs whatever the number of filters.
     """
     side = filters.select(F.coalesce(F.col(header), F.lit(b"")).alias("_h")).distinct()
-    prefixes = side.filter(F.octet_length("_h") > 0).select(
-        F.hex("_h").alias("longer"), F.col("_h"), F.explode(F.sequence(F.lit(0), F.octet_length("_h") - 1)).alias("_n")
+    # the empty header is a prefix of all others: one attached value, no key that all headers share
+    empty = side.filter(F.octet_length("_h") == 0).select(F.lit(1).alias("_one"), F.lit("").alias("shorter"))
+    others = side.filter(F.octet_length("_h") > 0)
+    of_empty = others.select(F.hex("_h").alias("longer"), F.lit(1).alias("_one")).join(F.broadcast(empty), "_one")
+    prefixes = others.filter(F.octet_length("_h") > 1).select(
+        F.hex("_h").alias("longer"), F.col("_h"), F.explode(F.sequence(F.lit(1), F.octet_length("_h") - 1)).alias("_n")
     )
     prefixes = prefixes.select("longer", F.hex(F.substring(F.col("_h"), F.lit(1), F.col("_n"))).alias("shorter"))
-    return prefixes.join(side.select(F.hex("_h").alias("shorter")), "shorter").select("shorter", "longer")
+    found = prefixes.join(others.select(F.hex("_h").alias("shorter")), "shorter").select("shorter", "longer")
+    return found.unionByName(of_empty.select("shorter", "longer"))
 
 
 def match_signatures(messages: DataFrame) -> DataFrame:

@@ -2,47 +2,42 @@
 
 from __future__ import annotations
 
+import csv
 from functools import lru_cache
 from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Template symbol, value kind, default column name.
-SYMBOLS = {
-    "hms": ("Time", "UTC"),
-    "ll": ("Latitude", "Latitude"),
-    "yy": ("Longitude", "Longitude"),
-    "dmy": ("Date", "Date"),
-    "A": ("Status", "Status"),
-    "a": ("Char", "Indicator"),
-    "x": ("Numeric", "Value"),
-    "c": ("Text", "Text"),
+#: Default column name of a value kind.
+NAMES = {
+    "Time": "UTC",
+    "Latitude": "Latitude",
+    "Longitude": "Longitude",
+    "Date": "Date",
+    "Status": "Status",
+    "Char": "Indicator",
+    "Numeric": "Value",
+    "Text": "Text",
 }
 
 
 @lru_cache(maxsize=1)
-def _templates() -> dict[str, list[str]]:
-    text = resources.files("wirelens.sources").joinpath("sentence_templates.txt").read_text()
+def _sentences() -> dict[str, list[str]]:
+    """Kinds by comma position of each sentence, from the plain table beside this module."""
+    text = resources.files("wirelens.sources").joinpath("nmea_sentences.csv").read_text()
     out: dict[str, list[str]] = {}
-    for line in text.splitlines():
-        if not line.strip() or line.startswith("#"):
-            continue
-        formatter, *parts = line.split()
-        symbols: list[str] = []
-        for part in parts:
-            times, _, symbol = part.rpartition("*")
-            symbols += [symbol] * int(times or 1)
-        out[formatter] = symbols
+    for row in csv.DictReader(line for line in text.splitlines() if not line.startswith("#")):
+        out.setdefault(row["formatter"], []).append(row["kind"])
     return out
 
 
-def _names(symbols: list[str]) -> list[str]:
+def _names(kinds: list[str]) -> list[str]:
     """Names by kind; the character after a position is its hemisphere; repeats are numbered."""
     stems = []
-    for i, s in enumerate(symbols):
-        before = symbols[i - 1] if i else ""
-        stems.append({"ll": "NS", "yy": "EW"}.get(before, SYMBOLS[s][1]) if s == "a" else SYMBOLS[s][1])
+    for i, kind in enumerate(kinds):
+        before = kinds[i - 1] if i else ""
+        stems.append({"Latitude": "NS", "Longitude": "EW"}.get(before, NAMES[kind]) if kind == "Char" else NAMES[kind])
     seen: dict[str, int] = {}
     names = []
     for stem in stems:
@@ -52,25 +47,25 @@ def _names(symbols: list[str]) -> list[str]:
 
 
 def formatters() -> list[str]:
-    return list(_templates())
+    return list(_sentences())
 
 
 def kinds_of(formatter: str) -> dict[int, str] | None:
     """Kind per comma position, or None for a custom formatter."""
-    symbols = _templates().get(formatter.strip().upper())
-    return None if symbols is None else {i + 1: SYMBOLS[s][0] for i, s in enumerate(symbols)}
+    kinds = _sentences().get(formatter.strip().upper())
+    return None if kinds is None else {i + 1: kind for i, kind in enumerate(kinds)}
 
 
 def registry_slots(formatter: str) -> int:
-    return len(_templates().get(formatter.strip().upper(), []))
+    return len(_sentences().get(formatter.strip().upper(), []))
 
 
 def nmea_registry(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
     """(formatter, idx, name, kind); rows of ``extra`` replace whole sentences or add new ones."""
     rows = [
-        (f, i + 1, name, SYMBOLS[s][0])
-        for f, symbols in _templates().items()
-        for i, (s, name) in enumerate(zip(symbols, _names(symbols)))
+        (f, i + 1, name, kind)
+        for f, kinds in _sentences().items()
+        for i, (kind, name) in enumerate(zip(kinds, _names(kinds), strict=True))
     ]
     base = spark.createDataFrame(rows, "formatter string, idx int, name string, kind string")
     if extra is None:
