@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.llm.frames import cut
@@ -73,19 +73,27 @@ def open_groups(members: DataFrame) -> DataFrame:
     return sums.filter("k > 1").select("bucket", "m", F.col("top.comp").alias("top"), ((F.col("m") * F.col("m") - F.col("same")) / 2).alias("across"))
 
 
-def cross_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket in different components.
+def cross_pairs(members: DataFrame, groups: DataFrame, facts: DataFrame, may_link: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs of members of one bucket in different components that ``may_link`` doesn't rule out by their facts.
 
     Members outside a bucket's largest component meet all members, so a big
-    component costs one pair for each of its members and each outsider.
+    component costs one comparison for each of its members and each outsider.
+    ``facts`` has (node, fact).
     """
-    marked = members.join(groups.select("bucket", "top"), "bucket")
-    minor = marked.filter("comp <> top").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    pairs = minor.join(marked.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy")), "bucket").filter("cx <> cy")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def grouped_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], rest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    marked = members.join(groups.select("bucket", "top"), "bucket").join(facts, "node")
+    minor = marked.filter("comp <> top").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("fact").alias("fx"))
+    major = marked.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("fact").alias("fy"))
+    fits = (minor["bucket"] == major["bucket"]) & (F.col("cx") != F.col("cy")) & may_link(F.col("fx"), F.col("fy"))
+    return minor.join(major, fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def grouped_links(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    rest: Callable[[DataFrame], DataFrame],
+    facts: DataFrame,
+    may_link: Callable[[Column, Column], Column],
+) -> DataFrame:
     """Links (a, b) among members (bucket, node), enough for the true components of all pairs that share a bucket.
 
     Every member is compared with its bucket's leader first. A bucket whose
@@ -93,14 +101,15 @@ def grouped_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
     others, pairs across components are compared, unless these are many times
     the members: the members (bucket, node, comp) of such buckets go to
     ``rest``, which makes fewer candidate pairs of them by an exact rule of its
-    own. Nothing is capped.
+    own. ``may_link`` of two facts is true for every linked pair. Nothing is
+    capped.
     """
     pairs = cut(leader_pairs(members))
     links = cut(verify(pairs))
     labelled = cut(_labelled(members, components(links)))
     groups = cut(open_groups(labelled))
     heavy = F.col("across") > PAIRS_A_MEMBER * F.col("m")
-    more = cross_pairs(labelled, groups.filter(~heavy))
+    more = cross_pairs(labelled, groups.filter(~heavy), facts, may_link)
     many = groups.filter(heavy).select("bucket")
     if not many.isEmpty():
         more = more.unionByName(rest(cut(labelled.join(many, "bucket", "left_semi"))))

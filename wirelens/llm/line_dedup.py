@@ -10,9 +10,9 @@ place that the lengths and the segment's number confine to a few offsets. So
 each line is indexed by its own segments and probes the segments of all lengths
 from its own down to t less; both are rows (bucket, line). Equal lines are one
 node from the start, whatever their number. Buckets go through
-``components.grouped_links``; a bucket with too many pairs is refined by the
-segments of what is left of the lines beside the shared one, which must hold
-the same edits. Pairs are verified by ``edits.within``.
+``components.grouped_links``; counts of characters rule pairs out, and a bucket
+with too many pairs is refined by parts of these counts, of which linked lines
+have one in common. Pairs are verified by ``edits.within``.
 
 Defined results: a NULL or empty text has no lines and stays; a document that
 loses every line with a word goes (``deduplicate``); rows with a NULL or
@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.llm.components import components, cross_pairs, grouped_links, open_groups
@@ -34,6 +34,8 @@ from wirelens.llm.frames import SPACES, columns, cut, numbered, work_dir
 
 EDITS = 2
 MIN_CHARS = 24
+#: Classes of characters that are counted.
+BAG = 32
 
 
 def _segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -101,6 +103,41 @@ def lines_of(docs: DataFrame, key: str, text: str, at: str) -> DataFrame:
     return line.filter(F.length("line") >= MIN_CHARS).withColumn("node", F.xxhash64("line"))
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket and node the distinct ones whose bucket has several nodes."""
+    import numpy as np
+
+    last, told = None, True
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        b, n = (np.asarray(c) for c in batch.columns)
+        if last is not None:
+            b, n = np.append(last[0], b), np.append(last[1], n)
+        fresh = np.ones(len(b), bool)
+        fresh[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+        b, n = b[fresh], n[fresh]
+        same = b[1:] == b[:-1]
+        out = np.append(same, False) | np.append(False, same)
+        if last is not None and told:
+            out[0] = False
+        told = bool(out[-1]) or (told and len(b) == 1 and last is not None)
+        last = (b[-1:], n[-1:])
+        yield pa.RecordBatch.from_arrays([pa.array(b[out]), pa.array(n[out])], ["bucket", "node"])
+
+
+def _with_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with the counts of their characters in BAG classes."""
+    import numpy as np
+
+    for batch in batches:
+        bags = np.empty((batch.num_rows, BAG), np.int32)
+        for i, line in enumerate(batch.column(1).to_pylist()):
+            bags[i] = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) % BAG, minlength=BAG)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bags.size + 1, BAG), pa.int32()), pa.array(bags.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["node", "line", "bag"])
+
+
 def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """node, comp of every line that is within ``edits`` edits of a different line."""
 
@@ -120,14 +157,15 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
             yield _rows(buckets, nodes)
 
     spark = lines.sparkSession
+    # one exchange: a bucket's rows come one after another, and those of buckets with one line stop here
     filed = lines.select("node", "line").mapInArrow(file, "bucket long, node long").repartition("bucket")
-    several = filed.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("bucket")
-    members = cut(filed.join(several, "bucket", "left_semi").distinct())
+    members = cut(filed.sortWithinPartitions("bucket", "node").mapInArrow(_shared, "bucket long, node long"))
     taking_part = members.select("node").distinct()
     path = work_dir(spark)
     found = lines.select("node", "line").join(taking_part, "node", "left_semi").dropDuplicates(["node"])
-    found.write.option("compression", "zstd").parquet(path)
+    found.mapInArrow(_with_bags, "node long, line string, bag array<int>").write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)
+    facts = texts.select("node", F.struct(F.length("line").alias("n"), "bag").alias("fact"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,30 +178,22 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         both = pairs.join(right, "b").join(left, "a").filter(F.abs(F.length("la") - F.length("lb")) <= edits)
         return both.select("a", "b", "la", "lb").mapInArrow(compare, "a long, b long")
 
-    def rest_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        keys = _Keys(edits)
-        for batch in batches:
-            buckets, nodes = [], []
-            for bucket, node, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shared = bucket & 0xFFFFFFFFFFFFFFFF
-                found = set()
-                for key, p, s in keys.of(line):
-                    if key == shared:
-                        found |= {xxhash.xxh3_64_intdigest(k.to_bytes(8, "little"), seed=shared) for k, _, _ in keys.of(line[:p] + line[p + s :])}
-                buckets += found
-                nodes += [node] * len(found)
-            yield _rows(buckets, nodes)
+    def may_link(x: Column, y: Column) -> Column:
+        """One edit changes at most two counts of characters by one."""
+        apart = F.aggregate(F.zip_with(x["bag"], y["bag"], lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
+        return (F.abs(x["n"] - y["n"]) <= edits) & (apart <= 2 * edits)
 
     def rest(heavy: DataFrame) -> DataFrame:
-        """Pairs that also share a segment of what is left beside the shared one."""
-        comps = heavy.select("node", "comp").distinct()
-        refiled = heavy.join(texts, "node").select("bucket", "node", "line").mapInArrow(rest_keys, "bucket long, node long")
-        finer = cut(refiled.distinct().join(comps, "node"))
-        return cross_pairs(finer, open_groups(finer))
+        """Pairs that also have a part of their character counts in common.
+
+        At most 2 * edits counts differ, so of 2 * edits + 1 parts one is equal.
+        """
+        parts = [F.slice("bag", start + 1, size) for start, size in _segments(BAG, 2 * edits + 1)]
+        keys = F.array(*[F.xxhash64("bucket", F.lit(n), part) for n, part in enumerate(parts)])
+        finer = cut(heavy.join(texts, "node").select("node", "comp", F.explode(keys).alias("bucket")).distinct())
+        return cross_pairs(finer, open_groups(finer), facts, may_link)
 
-    return components(grouped_links(members, verify, rest))
+    return components(grouped_links(members, verify, rest, facts, may_link))
 
 
 def _classed(lines: DataFrame, edits: int) -> DataFrame:

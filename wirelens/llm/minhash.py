@@ -27,7 +27,7 @@ from collections import OrderedDict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,7 +183,12 @@ def near_duplicates(sketched: DataFrame, text: str, percent: int = PERCENT) -> D
     full.select("at", "n_shingles", F.col(text).alias("text")).join(once, "at").drop("at").write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)
 
-    return components(grouped_links(members, _verifier(texts, percent), _prefix_pairs(texts, percent)))
+    facts = texts.select("node", F.col("n_shingles").alias("fact"))
+
+    def may_link(x: Column, y: Column) -> Column:
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+    return components(grouped_links(members, _verifier(texts, percent), _prefix_pairs(texts, percent), facts, may_link))
 
 
 def _prefix_pairs(texts: DataFrame, percent: int):
