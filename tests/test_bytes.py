@@ -177,3 +177,13 @@ def test_scaled_and_wide_examples(spark):
     raw = bytes(4) + b"\x01" * 12 + b"\xff" * 15 + b"\xfe" + b"\0\1"
     row = decode_fields(payloads(spark, [raw]), wide, values_only=True).first()
     assert int(row.BigId) == int.from_bytes(b"\x01" * 12, "big") and row.Blob == str(2**128 - 2) and row.Half == -1.0
+
+
+def test_large_values_keep_all_digits(spark):
+    from pyspark.sql import functions as F
+
+    from wirelens.functions.bytes import fixed6
+
+    values = [1e23, -1e23, 2.0**53, 2.0**53 + 2, 2.0**63, 1.8446744073709552e19 * 3, 2.0**125 * 1.1, 123456789012.25, 0.5, -3.0, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(fixed6(F.col("v"))).collect()]
+    assert got == [("%.6f" % v).rstrip("0").rstrip(".") for v in values]

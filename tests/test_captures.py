@@ -188,3 +188,17 @@ def test_hex_dump_lines(spark):
         "0000  18 19 1A 1B 1C 1D 1E 1F  20 21 22 23 24 25 26 27  ........ !\"#$%&'",
         "0010  28 29 2A 2B" + " " * 39 + "()*+",
     ]
+
+
+def test_second_write_adds_and_overwrite_replaces(spark, tmp_path):
+    from wirelens.sources.captures import read_pcapng, write_capture
+
+    def frames(a, b):
+        return spark.range(a, b).selectExpr("timestamp_seconds(id) AS ts", "to_binary(lpad(hex(id), 28, '0'), 'hex') AS frame").repartition(2)
+
+    path = str(tmp_path / "captures")
+    write_capture(frames(0, 10), path)
+    write_capture(frames(10, 20), path)
+    assert read_pcapng(spark, path).count() == 20
+    write_capture(frames(20, 25), path, mode="overwrite")
+    assert read_pcapng(spark, path).count() == 5

@@ -188,3 +188,14 @@ def test_schedule_and_roundtrip(spark):
     df = spark.createDataFrame([(1, 1.25, 0.1), (2, 700.0, 1.0)], "id int, a double, b double")
     bad = schedule.roundtrip_check(df, m, ["id"], {"a": F.col("a"), "b": F.col("b")}).collect()
     assert {(r.id, r.field) for r in bad} == {(2, "a"), (2, "b")} and "a: value does not fit" in bad[0].problems
+
+
+def test_sheets_keep_their_own_headers(spark, tmp_path):
+    from wirelens.sources import catalog
+
+    (tmp_path / "a.csv").write_text('Name,ByteOffset,DataType\nAlt,1,Uint16\n"Sp\need",3,Uint8\n')
+    (tmp_path / "b.csv").write_text("data type,Resolution,offset,extra,field name\nInt32,0.5,5,x,Lat\n")
+    fields, errors = catalog.read_csv_sheets(spark, str(tmp_path))
+    got = sorted((r.name, r.offset, r.type, r.len, r.resolution) for r in fields.collect())
+    assert got == [("Alt", 1, "Uint16", 2, 1.0), ("Lat", 5, "Int32", 4, 0.5), ("Sp\need", 3, "Uint8", 1, 1.0)]
+    assert errors.collect() == []

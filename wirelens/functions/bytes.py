@@ -199,10 +199,30 @@ def scale(value: Column, resolution: float) -> Column:
     return value.cast("double") * F.lit(float(resolution)) if has_scale(resolution) else value
 
 
+def _whole_text(number: Column) -> Column:
+    """All digits of a double from 2^53 up to 2^126, which is a whole number, from its parts of 53 bits."""
+    unit = F.lit(2.0**53)
+    safe = F.when((F.abs(number) >= 2.0**53) & (F.abs(number) < 2.0**126), F.abs(number))
+
+    def whole(x: Column) -> Column:
+        return x.cast("bigint").cast("decimal(38,0)")
+
+    def down(x: Column) -> Column:
+        return x - x % F.lit(1.0)
+
+    high = down(safe / unit)
+    top = down(high / unit)
+    digits = (whole(top) * F.lit(2**53).cast("decimal(17,0)")).cast("decimal(38,0)") + whole(high - top * unit)
+    digits = (digits.cast("decimal(38,0)") * F.lit(2**53).cast("decimal(17,0)")).cast("decimal(38,0)") + whole(safe - high * unit)
+    return F.concat(F.when(number < 0, F.lit("-")).otherwise(F.lit("")), digits.cast("decimal(38,0)").cast("string"))
+
+
 def fixed6(value: Column) -> Column:
     """Six decimals with trailing zeros and a bare point cut, as display text."""
-    text = F.replace(F.format_number(value.cast("double"), 6), F.lit(","), F.lit(""))
+    number = value.cast("double")
+    text = F.replace(F.format_number(number, 6), F.lit(","), F.lit(""))
     text = F.rtrim(F.rtrim(text, F.lit("0")), F.lit("."))
+    text = F.when((F.abs(number) >= 2.0**53) & (F.abs(number) < 2.0**126), _whole_text(number)).otherwise(text)
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(value), F.lit("nan"))

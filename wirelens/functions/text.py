@@ -184,7 +184,10 @@ def evaluate_expression(text: str | None) -> tuple[float | None, str | None]:
             inner = value(node.operand)
             return -inner if isinstance(node.op, ast.USub) else inner
         if isinstance(node, ast.BinOp) and type(node.op) in apply:
-            result = apply[type(node.op)](value(node.left), value(node.right))
+            left, right = value(node.left), value(node.right)
+            if isinstance(node.op, ast.Pow) and left == 0 and right < 0:
+                raise OverflowError
+            result = apply[type(node.op)](left, right)
             if isinstance(result, complex):
                 raise OverflowError
             return result

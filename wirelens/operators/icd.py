@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wirelens.functions.text import natural_length, strip, type_from_alias, type_from_label, type_label
+from wirelens.sources.work import written
 
 TABLE = ["doc", "table_idx"]
 # Words that mark a header cell of each role.
@@ -228,20 +229,37 @@ def rebase_offsets(tables: DataFrame, keys: list[str]) -> DataFrame:
 def unique_names(df: DataFrame, keys: list[str], order: str, name: str, fold_case: bool = False) -> DataFrame:
     """Replace repeated names by ``name_2``, ``name_3``..., skipping names already used.
 
-    Names of one message (or document) are folded in order inside the JVM.
+    Repeats are numbered by rank. Only where a name looks like the numbered form
+    of a repeated one are that message's (or document's) names folded in order.
     """
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))).alias("_r"))
 
-    def key(c):
+    def key(c: Column) -> Column:
         return F.lower(c) if fold_case else c
 
+    same = Window.partitionBy(*[f"`{k}`" for k in keys], "_k")
+    ranked = df.withColumn("_k", key(F.col(name))).withColumn("_n", F.row_number().over(same.orderBy(order)))
+    ranked = ranked.withColumn("_many", F.count("*").over(same))
+    # a name that is another's numbered form, once for each family it may belong to
+    base = F.regexp_extract("_k", "^(.*)_[0-9]+$", 1)
+    suffixed = ranked.filter(base != "").select(*keys, base.alias("_k")).distinct()
+    clashing = ranked.filter("_many > 1").select(*keys, "_k").distinct().join(suffixed, [*keys, "_k"]).select(*keys).distinct()
+    marked = ranked.join(clashing.withColumn("_clash", F.lit(True)), keys, "left")
+    plain = marked.filter("_clash IS NULL").withColumn(name, F.when(F.col("_n") > 1, F.concat(name, F.lit("_"), "_n")).otherwise(F.col(name)))
+    folded = _fold_names(marked.filter("_clash"), keys, order, name, key)
+    return plain.select(*df.columns).unionByName(folded.select(*df.columns))
+
+
+def _fold_names(df: DataFrame, keys: list[str], order: str, name: str, key) -> DataFrame:
+    """Names of one message (or document) in order, each seeing the names chosen before it."""
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))).alias("_r"))
     start = F.struct(
         F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<o:bigint,n:string>>").alias("out")
     )
 
     def step(acc, r):
         trials = F.transform(F.sequence(F.lit(2), F.size(acc["used"]) + 2), lambda s: F.concat(r["n"], F.lit("_"), s))
-        free = F.filter(trials, lambda t: ~F.array_contains(acc["used"], key(t)))
+        free = F.array_except(F.transform(trials, key), acc["used"])
+        free = F.filter(trials, lambda t: key(t) == F.get(free, F.lit(0)))
         chosen = F.when(F.array_contains(acc["used"], key(r["n"])), F.get(free, F.lit(0))).otherwise(r["n"])
         row = F.struct(r["o"].cast("bigint").alias("o"), chosen.alias("n"))
         return F.struct(F.array_append(acc["used"], key(chosen)).alias("used"), F.array_append(acc["out"], row).alias("out"))
@@ -275,7 +293,7 @@ def _mapped_rows(rows: DataFrame, mapping: DataFrame | None) -> DataFrame:
         ["doc", "parent_idx"],
     )
     # One small row per table, used by every later step: kept rather than recomputed.
-    placed = groups.select(*TABLE, "parent_idx", "seq").join(parents, ["doc", "parent_idx"]).persist()
+    placed = written(groups.select(*TABLE, "parent_idx", "seq").join(parents, ["doc", "parent_idx"]), "placed")
     joined = rows.select(*TABLE, "row_idx", "cells").join(placed, TABLE)
     first = F.when(F.col("seq") == 0, F.col("parent_header") + 1).otherwise(0)
     return joined.filter(F.col("row_idx") >= first)

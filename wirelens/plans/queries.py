@@ -6,8 +6,6 @@ on our encoding, so a decoded result must equal the original columns.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +24,7 @@ from wirelens.plans.model import Field, Message
 from wirelens.sources.captures import read_pcapng, write_capture
 from wirelens.sources.catalog import parse_catalog, parse_field_catalog, read_field_sheets
 from wirelens.sources.nmea_registry import nmea_registry
+from wirelens.sources.work import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1463,13 +1462,6 @@ def field_catalog_json(spark, sf):
 # ------------------------------------------------------- captures and streams
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster keeps checkpoints, or a local one where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base.rstrip("/") if base else tempfile.mkdtemp(prefix="wirelens-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     f"""SELECT event_id, epoch_us(ts) AS us, CAST(5000 + {TYPE_ID} AS INTEGER) AS dst_port, CAST(24 AS INTEGER) AS payload_size FROM events"""
 )
@@ -1485,8 +1477,11 @@ def capture_roundtrip(spark, sf):
 
 
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, be it one file or a folder of part files."""
+    path = f"{sf}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # a glob, as the source only takes folders and patterns: it fits the file or the folder's files
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query(

@@ -13,6 +13,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import re
 import struct
 import uuid
 
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from wirelens.sources.work import written
+
 RANGE_BYTES = 64 << 20
 BATCH_BYTES = 8 << 20
 
@@ -65,6 +68,11 @@ def capture_files(
     return out if rejected else out.filter("reason is null").drop("reason")
 
 
+def _store_uri(path: str) -> str:
+    """Spark's names of one object store in the form that the reader library knows."""
+    return re.sub(r"^s3[an]://", "s3://", path)
+
+
 def _open(path: str):
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
@@ -72,7 +80,7 @@ def _open(path: str):
         return open(path, "rb", buffering=1 << 20)
     from pyarrow import fs
 
-    store, key = fs.FileSystem.from_uri(path)
+    store, key = fs.FileSystem.from_uri(_store_uri(path))
     return io.BufferedReader(store.open_input_file(key), 1 << 20)
 
 
@@ -277,7 +285,7 @@ def index_captures(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
         F.lit(None).cast("string").alias("byte_order"),
     )
     spread = ranges.repartition(F.col("path"), F.col("part"))
-    segments = spread.mapInPandas(_walk_batches(range_bytes), SEGMENT).persist()
+    segments = written(spread.mapInPandas(_walk_batches(range_bytes), SEGMENT), "index")
     lengths = files.select(F.col("path").alias("file"), "length")
     order = Window.partitionBy("file").orderBy("part")
     while True:
@@ -302,23 +310,15 @@ def index_captures(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
             F.col("_want").alias("start"),
             F.col("_order").alias("byte_order"),
         )
-        again = wrong.repartition(F.col("path"), F.col("part")).mapInPandas(_walk_batches(range_bytes), SEGMENT).persist()
+        again = written(wrong.repartition(F.col("path"), F.col("part")).mapInPandas(_walk_batches(range_bytes), SEGMENT), "index")
         if again.isEmpty():
             break
         kept = segments.join(again.select("file", "part"), ["file", "part"], "left_anti")
-        merged = kept.unionByName(again)
-        segments = _settle(merged)
+        segments = written(kept.unionByName(again), "index")
     ended = F.max(F.col("error").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return segments.withColumn("_dead", F.coalesce(ended, F.lit(0))).filter("_dead = 0").drop("_dead")
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Keep a repaired index: cut its lineage where the cluster names a folder, else cache it."""
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()
-
-
 def capture_format(index: DataFrame) -> DataFrame:
     """(file, format, byte_order, nanoseconds, link_type) of readable files."""
     head = F.get(F.from_json("events", "array<array<string>>"), F.lit(0))
@@ -497,17 +497,21 @@ class _Written(WriterCommitMessage):
 
 
 class _CaptureWriter(DataSourceWriter):
-    """One capture per task: written under a temporary name, renamed on commit."""
+    """One capture per task: written under a temporary name, renamed on commit.
 
-    def __init__(self, path: str):
-        self.path = path
+    Names carry the write's own id, so a second write to a folder adds captures;
+    an overwriting one removes the captures that were there once its own are complete.
+    """
+
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex[:12]
 
     def _store(self):
         from pyarrow import fs
 
         path = self.path[5:] if self.path.startswith("file:") else self.path
         if "://" in path:
-            return fs.FileSystem.from_uri(path)
+            return fs.FileSystem.from_uri(_store_uri(path))
         return fs.LocalFileSystem(), os.path.abspath(path)
 
     def write(self, iterator):
@@ -526,13 +530,19 @@ class _CaptureWriter(DataSourceWriter):
         if not wrote:
             store.delete_file(temporary)
             return _Written("", "")
-        return _Written(temporary, f"{root}/part-{part:05d}.pcapng")
+        return _Written(temporary, f"{root}/part-{part:05d}-{self.job}.pcapng")
 
     def commit(self, messages):
-        store, _ = self._store()
+        from pyarrow import fs
+
+        store, root = self._store()
+        there = store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if self.overwrite else []
         for m in messages:
             if m is not None and m.temporary:
                 store.move(m.temporary, m.final)
+        for f in there:
+            if re.fullmatch(r"part-\d{5}(-[0-9a-f]{12})?\.pcapng", f.base_name):
+                store.delete_file(f.path)
 
     def abort(self, messages):
         store, _ = self._store()
@@ -552,11 +562,11 @@ class CaptureSink(DataSource):
         return "block binary"
 
     def writer(self, schema, overwrite):
-        return _CaptureWriter(self.options["path"])
+        return _CaptureWriter(self.options["path"], overwrite)
 
 
-def write_capture(frames: DataFrame, path: str, ts: str = "ts", frame: str = "frame") -> None:
-    """Write frames as pcapng, one file per partition, microsecond timestamps.
+def write_capture(frames: DataFrame, path: str, ts: str = "ts", frame: str = "frame", mode: str = "append") -> None:
+    """Write frames as pcapng, one file per partition, microsecond timestamps; ``mode`` is append or overwrite.
 
     Serial records have no network framing; rows whose frame is NULL are skipped.
     """
@@ -566,4 +576,4 @@ def write_capture(frames: DataFrame, path: str, ts: str = "ts", frame: str = "fr
     blocks = frames.filter(F.col(frame).isNotNull()).select(
         F.unhex(packet_block_hex(micros, F.col(frame))).alias("block")
     )
-    blocks.write.format("wirelens_pcapng").mode("append").save(path)
+    blocks.write.format("wirelens_pcapng").mode(mode).save(path)

@@ -352,10 +352,35 @@ def read_field_sheets(
     return fields, errors
 
 
+#: Columns that a CSV sheet may have; the format's own columns are eight.
+SHEET_WIDTH = 256
+
+
+def sheets_by_header(cells: DataFrame, sheet: str, row: str, values: str) -> DataFrame:
+    """Rows (sheet, row, cells as an array, its first row the header) with one column per sheet role.
+
+    Every sheet is read by its own header, so sheets may order, name and omit
+    columns as they like; the last column with an accepted header counts.
+    """
+    head = cells.filter(F.col(row) == 1).select(sheet, F.transform(values, lambda c: F.lower(F.trim(c))).alias("_head"))
+
+    def place(accepted: tuple[str, ...]) -> Column:
+        hits = F.filter(F.transform("_head", lambda h, i: F.when(h.isin(*accepted), i)), lambda i: i.isNotNull())
+        return F.array_max(hits)
+
+    placed = head.select(sheet, *[place(a).alias(f"_at_{r}") for r, a in SHEET_HEADERS.items()])
+    data = cells.filter(F.col(row) > 1).join(placed, sheet)
+    return data.select(sheet, row, *[F.get(F.col(values), F.col(f"_at_{r}")).alias(r if r != "send_value" else "value") for r in SHEET_HEADERS])
+
+
 def read_csv_sheets(spark: SparkSession, paths, payload_len: int = 0) -> tuple[DataFrame, DataFrame]:
-    """CSV field sheets: each file is one sheet, the layout of one message."""
-    raw = spark.read.option("header", True).option("multiLine", True).csv(paths)
-    data = [c for c in raw.columns]
-    keyed = raw.select(*data, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
-    lines = F.row_number().over(Window.partitionBy("_file").orderBy("_id")) + 1
-    return read_field_sheets(keyed.withColumn("_row", lines).drop("_id"), "_file", "_row", payload_len)
+    """CSV field sheets: each file is one sheet, the layout of one message, with a header of its own.
+
+    A sheet without a name, offset or type column has only rows in error.
+    """
+    names = [f"c{i}" for i in range(SHEET_WIDTH)]
+    raw = spark.read.option("multiLine", True).schema(", ".join(f"{n} string" for n in names)).csv(paths)
+    keyed = raw.select(F.array(*names).alias("_cells"), F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    lines = F.row_number().over(Window.partitionBy("_file").orderBy("_id"))
+    by_role = sheets_by_header(keyed.withColumn("_row", lines), "_file", "_row", "_cells")
+    return read_field_sheets(by_role, "_file", "_row", payload_len)
