@@ -22,7 +22,7 @@ from wirelens.operators.reframe import reframe
 from wirelens.plans import wire_events as we
 from wirelens.plans.model import Field, Message
 from wirelens.sources.captures import read_pcapng, write_capture
-from wirelens.sources.catalog import parse_catalog, parse_field_catalog, read_field_sheets
+from wirelens.sources.catalog import parse_catalog, parse_field_catalog, read_field_sheets, sheets_by_header
 from wirelens.sources.nmea_registry import nmea_registry
 from wirelens.sources.work import work_path
 
@@ -357,6 +357,26 @@ def route_first(spark, sf):
     return out.select("packet_no", "message")
 
 
+@query(
+    """SELECT o_orderkey AS order_key, 'C' || MIN(c_custkey) AS message FROM orders JOIN customer
+    ON c_custkey % 65536 = o_custkey % 65536 GROUP BY 1"""
+)
+def route_first_many(spark, sf):
+    """First match against every customer definition; files are missing and packet numbers repeat."""
+    rows = order_datagrams(spark, sf).withColumn("order_key", F.col("packet_no"))
+    rows = rows.withColumn("file", F.when(F.pmod("order_key", F.lit(3)) == 0, F.col("file"))).withColumn("packet_no", F.pmod("order_key", F.lit(100)))
+    return route.route(rows, customer_messages(spark, sf), "first").select("order_key", "message")
+
+
+@query(
+    """SELECT o_orderkey AS order_key, CAST(CAST((o_orderkey + 1) * CAST(15312448733258088 AS DOUBLE) AS HUGEINT) AS VARCHAR) AS text FROM orders"""
+)
+def large_value_text(spark, sf):
+    """Scaled values beyond 2^53 as display text, all digits."""
+    scaled = by.scale(F.col("o_orderkey") + 1, 15312448733258088.0)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_key"), by.fixed6(scaled).alias("text"))
+
+
 @query(
     """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'S' || c_custkey % 3 END AS link FROM customer)
     SELECT o_orderkey AS packet_no, 'C' || MIN(c_custkey) AS message FROM orders JOIN c
@@ -1087,6 +1107,30 @@ def field_sheets(spark, sf):
     return fields.select("sheet", "row", "name", "offset", "len", "type")
 
 
+@query(
+    """SELECT p_partkey // 8 AS sheet, CAST(p_partkey % 8 + 2 AS INTEGER) AS row, 'n' || p_partkey AS name,
+    CAST(p_size AS INTEGER) AS "offset", CAST(2 AS INTEGER) AS len, 'Uint16' AS type FROM part"""
+)
+def csv_sheets(spark, sf):
+    """Parts as field sheets whose headers differ in order and wording from sheet to sheet."""
+    k = F.col("p_partkey")
+    lines = table(spark, sf, "part").select(
+        F.floor(k / 8).alias("sheet"),
+        (F.pmod(k, F.lit(8)) + 2).cast("int").alias("row"),
+        F.concat(F.lit("n"), k.cast("string")).alias("name"),
+        F.col("p_size").cast("string").alias("at"),
+    )
+    odd = F.pmod("sheet", F.lit(2)) == 1
+    cells = F.when(odd, F.array(F.lit("USHORT"), F.lit("x"), "name", "at")).otherwise(F.array("at", "name", F.lit("USHORT")))
+    head = F.when(odd, F.array(*map(F.lit, ("DataType", "note", " Name ", "offset")))).otherwise(
+        F.array(*map(F.lit, ("Byte Offset", "field name", "TYPE")))
+    )
+    heads = lines.select("sheet").distinct().select("sheet", F.lit(1).alias("row"), head.alias("cells"))
+    rows = sheets_by_header(lines.select("sheet", "row", cells.alias("cells")).unionByName(heads), "sheet", "row", "cells")
+    fields, _ = read_field_sheets(rows, "sheet", "row")
+    return fields.select("sheet", "row", "name", "offset", "len", "type")
+
+
 # --------------------------------------------------------- interface documents
 
 
@@ -1476,6 +1520,18 @@ def capture_roundtrip(spark, sf):
     )
 
 
+@query("""SELECT event_id, CAST(5000 + 1 AS INTEGER) AS dst_port FROM events""".replace("5000 + 1", f"5000 + {TYPE_ID}"))
+def capture_append(spark, sf):
+    """Two writes to one folder; every frame of both is read back."""
+    framed = udp_frames(we.event_datagrams(we.events(spark, sf)))
+    path = work_path(spark, "captures")
+    even = F.pmod("packet_no", F.lit(2)) == 0
+    write_capture(framed.filter(even), path)
+    write_capture(framed.filter(~even), path)
+    rows = dissect.valid_datagrams(dissect.dissect_frames(read_pcapng(spark, path, 1 << 18)))
+    return rows.select(by.be_unsigned(F.col("payload"), 3, 4).alias("event_id"), "dst_port")
+
+
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table as a stream, be it one file or a folder of part files."""
     path = f"{sf}/{name}.parquet"
