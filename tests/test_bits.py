@@ -71,14 +71,14 @@ def test_position_texts(spark):
     cases = {
         "0-3,5": ([0, 1, 2, 3, 5], None),
         " 7 , 1 ": ([7, 1], None),
-        "": (None, "Bit positions cannot be empty."),
-        ",,": (None, "Bit positions cannot be empty."),
-        "3-1": (None, "Invalid bit range: 3-1"),
-        "1-2-3": (None, "Invalid bit range: 1-2-3"),
-        "x": (None, "Invalid bit position: x"),
-        "1,1": (None, "Duplicate bit position 1."),
-        "2-999999": (None, "Bit position 16 is outside valid range 0-15."),
-        "4,99,x": (None, "Bit position 99 is outside valid range 0-15."),
+        "": (None, "no_positions"),
+        ",,": (None, "no_positions"),
+        "3-1": (None, "bad_range: 3-1"),
+        "1-2-3": (None, "bad_range: 1-2-3"),
+        "x": (None, "bad_position: x"),
+        "1,1": (None, "repeated_position: 1"),
+        "2-999999": (None, "position_out_of_range: 16 not in 0..15"),
+        "4,99,x": (None, "position_out_of_range: 99 not in 0..15"),
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string").select("t", bits.bit_positions(F.col("t"), 16).alias("r"))
     assert {r.t: (r.r.positions, r.r.error) for r in df.collect()} == cases
@@ -95,8 +95,8 @@ def test_rules_json(spark):
     rule = out[0].rules[0]
     assert (rule.label, rule.positions, rule.reserved, rule.unknown) == ("a", [0, 1], True, "UNKNOWN")
     assert {int(k): v for k, v in rule.meanings.items()} == {2: "two", 1: "uno"}
-    assert out[1].error == "Rule 2 contains an invalid mapping value."
-    assert out[2].error == "Bitfield decoder data is not valid JSON."
+    assert out[1].error == "bad_mapping: rule 2"
+    assert out[2].error == "not_json"
     assert out[3].rules is None and out[3].error is None
 
 

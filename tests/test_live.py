@@ -102,6 +102,7 @@ def test_live_frames_wait_for_their_bytes(spark):
     for k, parts in streams.items():
         whole = b"".join(parts)
         assert b"".join(bytes(r.payload) for r in rows if r.connection_id == k) == whole[: len(whole) // 5 * 5]
+        assert [r.frame_no for r in rows if r.connection_id == k] == list(range(len(whole) // 5))
 
 
 def test_outputs_per_message(spark):

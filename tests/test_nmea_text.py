@@ -63,9 +63,9 @@ def test_building_sentences(spark):
     [
         ("0.01", 0.01, None), ("1/3", 1 / 3, None), ("2^3^2", 512.0, None), ("-2^2", -4.0, None), ("2^-1", 0.5, None),
         ("(1+2)*3e-1", 0.9, None), (" pi/180 ", 3.141592653589793 / 180, None), (".5+1.", 1.5, None), ("--2", 2.0, None),
-        ("", None, "Expression is empty."), ("1/0", None, "Division by zero."), ("abc/", None, "Unknown constant: abc"),
-        ("(1", None, "Missing closing bracket."), ("1 2", None, "Expression is not valid."), ("2**3", None, "Expression is not valid."),
-        ("2 $", None, "Unexpected character: '$'"), ("1e400", None, "Invalid number."), ("10^300*10^300", None, "Expression result is not a valid finite number."),
+        ("", None, "empty"), ("1/0", None, "division_by_zero"), ("0^-1", None, "undefined_power"), ("abc/", None, "unknown_name: abc"),
+        ("(1", None, "unclosed_bracket"), ("1 2", None, "malformed"), ("2**3", None, "malformed"),
+        ("2 $", None, "bad_character: $"), ("1e400", None, "number_too_large"), ("10^300*10^300", None, "not_finite"),
     ],
 )
 def test_expressions(text, value, error):
@@ -76,7 +76,7 @@ def test_expressions(text, value, error):
 def test_solving_distinct_expressions(spark):
     df = spark.createDataFrame([(1, "360/65536"), (2, "0-1"), (3, "360/65536"), (4, None)], "id int, expression string")
     got = {r.id: (r.solved, r.solve_error) for r in quality.solve_resolutions(df).collect()}
-    assert got[1] == got[3] == (360 / 65536, None) and got[2] == (None, "Resolution must produce a value greater than 0.")
+    assert got[1] == got[3] == (360 / 65536, None) and got[2] == (None, "not_positive")
 
 
 def test_cells_and_names(spark):

@@ -133,8 +133,8 @@ def bit_positions(text: Column, max_bits) -> Column:
             .when(single.isNull(), none)
             .otherwise(F.array(single))
             .alias("positions"),
-            F.when(is_range & F.coalesce(bad_range, F.lit(True)), F.concat(F.lit("Invalid bit range: "), p))
-            .when(~is_range & single.isNull(), F.concat(F.lit("Invalid bit position: "), p))
+            F.when(is_range & F.coalesce(bad_range, F.lit(True)), F.concat(F.lit("bad_range: "), p))
+            .when(~is_range & single.isNull(), F.concat(F.lit("bad_position: "), p))
             .alias("error"),
         )
 
@@ -144,8 +144,8 @@ def bit_positions(text: Column, max_bits) -> Column:
     def add_one(acc, b):
         error = F.when(
             (b < 0) | (b >= max_bits),
-            F.format_string("Bit position %d is outside valid range 0-%d.", b, max_bits - 1),
-        ).when(F.array_contains(acc["positions"], b), F.format_string("Duplicate bit position %d.", b))
+            F.format_string("position_out_of_range: %d not in 0..%d", b, max_bits - 1),
+        ).when(F.array_contains(acc["positions"], b), F.format_string("repeated_position: %d", b))
         return F.when(acc["error"].isNotNull(), acc).otherwise(
             F.struct(
                 F.when(error.isNull(), F.array_append(acc["positions"], b)).otherwise(acc["positions"]).alias("positions"),
@@ -165,8 +165,8 @@ def bit_positions(text: Column, max_bits) -> Column:
     folded = F.aggregate(expanded, start, add_part)
     error = (
         F.when(folded["error"].isNotNull(), folded["error"])
-        .when(F.size(folded["positions"]) == 0, F.lit("Bit positions cannot be empty."))
-        .when(F.size(folded["positions"]) > 64, F.lit("A single decode rule cannot contain more than 64 bits."))
+        .when(F.size(folded["positions"]) == 0, F.lit("no_positions"))
+        .when(F.size(folded["positions"]) > 64, F.lit("over_64_positions"))
     )
     return F.struct(
         F.when(error.isNull(), folded["positions"]).alias("positions"),
@@ -221,8 +221,8 @@ def rules_from_json(text: Column) -> Column:
     )
     error = (
         F.when(empty, F.lit(None).cast("string"))
-        .when(parsed.isNull() | ~F.trim(text).startswith("{"), F.lit("Bitfield decoder data is not valid JSON."))
-        .when(F.size(bad) > 0, F.format_string("Rule %d contains an invalid mapping value.", F.get(bad, F.lit(0))))
+        .when(parsed.isNull() | ~F.trim(text).startswith("{"), F.lit("not_json"))
+        .when(F.size(bad) > 0, F.format_string("bad_mapping: rule %d", F.get(bad, F.lit(0))))
     )
 
     def as_map(r):

@@ -151,22 +151,22 @@ def evaluate_expression(text: str | None) -> tuple[float | None, str | None]:
     import re
 
     if text is None or not text.strip():
-        return None, "Expression is empty."
+        return None, "empty"
     number = r"(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
     tokens = re.findall(rf"({number})|([^\W\d]\w*)|(\S)", text)
     parts = []
     for num, name, sign in tokens:
         if name and name.lower() not in ("pi", "e"):
-            return None, f"Unknown constant: {name.lower()}"
+            return None, f"unknown_name: {name.lower()}"
         if num and math.isinf(float(num)):
-            return None, "Invalid number."
+            return None, "number_too_large"
         if sign and sign not in "+-*/^()":
-            return None, f"Unexpected character: '{sign}'"
+            return None, f"bad_character: {sign}"
         # Spaces keep "* *" from becoming a power and "2 3" from becoming a number.
         parts.append(f"({float(num)!r})" if num else name.lower() if name else {"^": "**"}.get(sign, sign))
     source = " ".join(parts)
     if source.count("(") > source.count(")"):
-        return None, "Missing closing bracket."
+        return None, "unclosed_bracket"
     apply = {
         ast.Add: operator.add,
         ast.Sub: operator.sub,
@@ -196,13 +196,13 @@ def evaluate_expression(text: str | None) -> tuple[float | None, str | None]:
     try:
         result = value(ast.parse(source, mode="eval").body)
     except ZeroDivisionError:
-        return None, "Division by zero."
+        return None, "division_by_zero"
     except OverflowError:
-        return None, "Invalid power operation."
+        return None, "undefined_power"
     except (SyntaxError, ValueError, RecursionError):
-        return None, "Expression is not valid."
+        return None, "malformed"
     if not math.isfinite(result):
-        return None, "Expression result is not a valid finite number."
+        return None, "not_finite"
     return result, None
 
 

@@ -319,7 +319,7 @@ def solve_resolutions(fields: DataFrame, expression: str = "expression") -> Data
         expression,
         F.when(F.col("_s.value") > 0, F.col("_s.value")).alias("solved"),
         F.coalesce(
-            F.col("_s.error"), F.when(F.col("_s.value") <= 0, "Resolution must produce a value greater than 0.")
+            F.col("_s.error"), F.when(F.col("_s.value") <= 0, "not_positive")
         ).alias("solve_error"),
     )
     return lookup_join(fields, solved, [expression], how="left", spread=[c for c in fields.columns if c != expression])

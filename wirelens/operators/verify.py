@@ -17,6 +17,8 @@ from wirelens.plans.model import MULTI_BYTE, Field, Message, check_headers
 WINDOW_MS = 1000
 BUCKET_MS = 60_000
 
+# Column names and reason texts of the checks are an output format; parsers of written reports rely on them.
+
 
 def hex_fixed(value: Column, size: int) -> Column:
     """``0x`` and at least two hex digits per byte of ``size``."""

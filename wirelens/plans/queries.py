@@ -520,7 +520,7 @@ def profile_decode(spark, sf):
 @query(
     """WITH t AS (SELECT p_partkey AS k, p_partkey % 5 AS a, p_partkey % 4 AS n, 20 + p_partkey % 10 AS c FROM part)
     SELECT k AS p_partkey, CASE WHEN c < 24 THEN array_to_string(list_concat(range(a, a + n + 1), [c]), ',') END AS positions,
-    CASE WHEN c >= 24 THEN 'Bit position ' || c || ' is outside valid range 0-23.' END AS error FROM t"""
+    CASE WHEN c >= 24 THEN 'position_out_of_range: ' || c || ' not in 0..23' END AS error FROM t"""
 )
 def bit_positions(spark, sf):
     k = F.col("p_partkey")
@@ -535,7 +535,7 @@ def bit_positions(spark, sf):
 @query(
     """SELECT p_partkey, CASE WHEN p_partkey % 6 <> 5 THEN CAST(p_size % 4 AS VARCHAR) || '=' || p_brand END AS meanings,
     CASE WHEN p_partkey % 6 <> 5 THEN CASE WHEN p_partkey % 2 = 0 THEN 'BLANK' ELSE 'UNKNOWN' END END AS unknown,
-    CASE WHEN p_partkey % 6 = 5 THEN 'Rule 1 contains an invalid mapping value.' END AS error FROM part"""
+    CASE WHEN p_partkey % 6 = 5 THEN 'bad_mapping: rule 1' END AS error FROM part"""
 )
 def rules_from_json(spark, sf):
     """Rule texts parsed per part; a binary pattern outranks the decimal value."""
@@ -590,7 +590,9 @@ def checksum_sum(spark, sf):
     CASE WHEN event_id % 5 = 0 THEN '23' ELSE '24' END AS DataLenStored,
     CASE WHEN event_id % 5 = 0 THEN 'False' ELSE 'True' END AS DataLenOK,
     '0x0' || {TYPE_ID} AS MsgIdObserved, CASE WHEN event_type = 'click' THEN 'True' ELSE 'False' END AS MsgIdOK,
-    concat_ws('; ', CASE WHEN event_id % 5 = 0 THEN 'DataLength mismatch (stored 23, computed 24)' END,
+    CAST(CASE WHEN event_id % 7 = 0 THEN 255 ELSE 0 END AS BIGINT) AS sum_difference,
+    concat_ws('; ', CASE WHEN event_id % 7 = 0 THEN 'Checksum mismatch (computed, stored)' END,
+        CASE WHEN event_id % 5 = 0 THEN 'DataLength mismatch (stored 23, computed 24)' END,
         CASE WHEN event_type <> 'click' THEN 'MessageId mismatch (got 0x0' || {TYPE_ID} || ', expected 0x01)' END) AS reason
     FROM events"""
 )
@@ -609,9 +611,13 @@ def verify_events(spark, sf):
     )
     layout = Message("event", 0, 24, we.BASE_FIELDS, checks=we.CHECKS)
     out = verify.verify(spoiled, layout)
-    reason = F.regexp_replace("CompareReason", "Checksum mismatch [^;]*(; |$)", "")
+    # The two checksum bytes of the reason differ by the planted bits; the rest of it is compared as it is.
+    hexes = [F.conv(F.regexp_extract("CompareReason", r"Checksum mismatch \(computed (?:0x)?([0-9A-Fa-f]+), stored (?:0x)?([0-9A-Fa-f]+)\)", g), 16, 10).cast("bigint") for g in (1, 2)]
+    has = F.contains(F.col("CompareReason"), F.lit("Checksum mismatch"))
+    difference = F.when(has, hexes[0].bitwiseXOR(hexes[1])).otherwise(F.lit(0))
+    reason = F.regexp_replace("CompareReason", r"computed (?:0x)?[0-9A-Fa-f]+, stored (?:0x)?[0-9A-Fa-f]+\)(; DataL|; Mess|$)", "computed, stored)$1")
     names = ("HeaderObserved", "HeaderOK", "ChecksumOK", "DataLenStored", "DataLenOK", "MsgIdObserved", "MsgIdOK")
-    return out.select("event_id", *names, reason.alias("reason"))
+    return out.select("event_id", *names, difference.alias("sum_difference"), reason.alias("reason"))
 
 
 def _rated(spark, sf, ts):
@@ -865,7 +871,7 @@ def type_labels(spark, sf):
 @query(
     """SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN CASE p_partkey % 5 WHEN 0 THEN CAST(p_size AS DOUBLE) / 4
     WHEN 1 THEN CAST(1 AS DOUBLE) / (p_size + 1) WHEN 2 THEN pow(2.0, -(p_size % 10)) ELSE p_size * 2.0 + 1 END END AS solved,
-    CASE WHEN p_partkey % 5 = 4 THEN 'Division by zero.' END AS solve_error FROM part"""
+    CASE WHEN p_partkey % 5 = 4 THEN 'division_by_zero' END AS solve_error FROM part"""
 )
 def resolution_expressions(spark, sf):
     """Arithmetic texts, each distinct one evaluated once."""

@@ -133,9 +133,20 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def _read_state(spark: SparkSession, state: str, epoch: int) -> DataFrame | None:
-    """State left by the batch before ``epoch``."""
+    """State left by the batch before ``epoch``; a state that should be there and isn't is an error."""
+    if epoch == 0:
+        return None
     path = _state_path(state, epoch - 1)
-    return spark.read.parquet(path) if epoch > 0 and _exists(spark, path) else None
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"the state of batch {epoch - 1} is missing: {path}")
+    return spark.read.parquet(path)
+
+
+def _forget_state(spark: SparkSession, state: str, epoch: int) -> None:
+    """Remove what no batch needs again: a repeated batch reads only the state before it."""
+    if epoch > 1:
+        old = spark._jvm.org.apache.hadoop.fs.Path(_state_path(state, epoch - 2))
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def _rated_batch(rows: DataFrame, state: str, epoch: int, keys: tuple[str, ...], window_ms: int = WINDOW_MS) -> DataFrame:
@@ -150,6 +161,7 @@ def _rated_batch(rows: DataFrame, state: str, epoch: int, keys: tuple[str, ...],
     newest = merged.groupBy(*keys).agg(F.max("_ms").alias("_top"))
     tail = merged.join(newest, list(keys)).filter(F.col("_ms") >= F.col("_top") - window_ms).drop("_top")
     tail.write.mode("overwrite").parquet(_state_path(state, epoch))
+    _forget_state(spark, state, epoch)
     return out
 
 
@@ -177,8 +189,8 @@ def live_reframe(
 ) -> StreamingQuery:
     """Fixed-length frames of byte streams; unfinished bytes wait for the next batch.
 
-    ``frame_no`` counts from the start of a batch's bytes; (batch, frame_no)
-    keeps the order of a connection.
+    ``frame_no`` counts a connection's frames from the start of the stream: the
+    state holds each connection's waiting bytes and its next number.
     """
     state = f"{checkpoint.rstrip('/')}/bytes"
 
@@ -190,10 +202,25 @@ def live_reframe(
             # Waiting bytes come before anything that arrived in this batch.
             rows = rows.unionByName(before.select(*keys, F.lit(-1).cast("bigint").alias(order), F.col("rest").alias("chunk"), "ts"))
         frames, rest = reframe(rows, frame_len, keys, order)
-        frames.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={epoch}")
+        done = None if before is None else before.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("next_no").alias("_next"))
+        if done is not None:
+            same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+            numbered = frames.join(done, same, "left").withColumn("frame_no", F.col("frame_no") + F.coalesce("_next", F.lit(0)))
+            frames = numbered.select(*frames.columns)
+        target = f"{path.rstrip('/')}/batch={epoch}"
+        frames.write.mode("overwrite").parquet(target)
         if frame_len > 0:
-            kept = rest.select(*keys, "rest").withColumn("ts", F.lit(None).cast("timestamp"))
+            made = spark.read.schema(frames.schema).parquet(target).select(*keys, (F.col("frame_no") + 1).alias("n"))
+            nexts = made.unionByName(rest.select(*keys, F.lit(0).cast("bigint").alias("n")))
+            if before is not None:
+                nexts = nexts.unionByName(before.select(*keys, F.col("next_no").alias("n")))
+            nexts = nexts.groupBy(*keys).agg(F.max("n").cast("bigint").alias("next_no"))
+            waiting = rest.select(*[F.col(k).alias(f"_{k}") for k in keys], "rest")
+            kept = nexts.join(waiting, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left").select(
+                *keys, F.coalesce("rest", F.lit(b"")).alias("rest"), F.lit(None).cast("timestamp").alias("ts"), "next_no"
+            )
             kept.write.mode("overwrite").parquet(_state_path(state, epoch))
+            _forget_state(spark, state, epoch)
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_once(trigger)).start()
 
