@@ -199,3 +199,23 @@ def test_sheets_keep_their_own_headers(spark, tmp_path):
     got = sorted((r.name, r.offset, r.type, r.len, r.resolution) for r in fields.collect())
     assert got == [("Alt", 1, "Uint16", 2, 1.0), ("Lat", 5, "Int32", 4, 0.5), ("Sp\need", 3, "Uint8", 1, 1.0)]
     assert errors.collect() == []
+
+
+def test_catalogue_to_definitions(spark):
+    from wirelens.plans.definitions import messages_from_catalog, messages_from_icd
+
+    kinds = {"messageName": "K", "dataFormat": "NMEA", "nmeaSentenceType": "XYZ", "fields": [{"name": "t", "nmeaFieldIndex": 1, "nmeaValueKind": 4}, {"name": "u", "nmeaValueKind": 99}]}
+    messages, fields, _ = catalog.read_catalog(spark, files(a={"messages": [FULL, kinds]}))
+    full, text = messages_from_catalog(messages, fields)
+    assert (full.name, full.port, full.length, full.header, full.connection_ids) == ("M", 5000, 8, b"\xaa\x55", ("c1",))
+    v = full.fields[0]
+    assert (v.offset, v.length, v.type, v.resolution, v.little) == (3, 2, "Uint16", 0.01, True)
+    assert v.bit_rules[0].meanings == {0: "a", 2**64 - 1: "top"} and v.profiles.profiles[0].value == 2**64 - 1
+    assert full.checks.header == (0, 1) and full.checks.expected_header == b"\xaa" and full.checks.checksum is None
+    assert [f.nmea_kind for f in text.fields] == ["Time", "Text"] and text.checks is None
+    with pytest.raises(ValueError):
+        messages_from_catalog(messages, fields, max_messages=1)
+    mined = spark.createDataFrame([("d", "A", 6), ("d", "B", None)], "doc string, message string, payload_len int")
+    own = spark.createDataFrame([("d", "A", "y", 2, 4, "Uint32"), ("d", "A", "x", 0, 2, "Int16"), ("d", "B", "z", 1, 1, "Uint8"), ("d", "B", "q", None, 1, None)], "doc string, message string, name string, off0 int, len int, type string")
+    a, b = messages_from_icd(mined, own)
+    assert (a.name, a.length, [f.name for f in a.fields]) == ("A", 6, ["x", "y"]) and (b.length, b.fields[0].offset) == (2, 2)

@@ -20,6 +20,7 @@ from wirelens.operators import decode, dissect, encode, icd, nmea, quality, rout
 from wirelens.operators.frames import tcp_frames, udp_frames
 from wirelens.operators.reframe import reframe
 from wirelens.plans import wire_events as we
+from wirelens.plans.definitions import messages_from_catalog
 from wirelens.plans.model import Field, Message
 from wirelens.sources.captures import read_pcapng, write_capture
 from wirelens.sources.catalog import parse_catalog, parse_field_catalog, read_field_sheets, sheets_by_header
@@ -1137,6 +1138,32 @@ def csv_sheets(spark, sf):
     return fields.select("sheet", "row", "name", "offset", "len", "type")
 
 
+@query(
+    """SELECT c_custkey AS packet_no, 'N' || c_nationkey AS message, f AS field,
+    CASE WHEN f = 'key' THEN CAST(c_custkey AS VARCHAR) ELSE CAST(c_custkey % 50 AS VARCHAR) END AS text
+    FROM customer, (VALUES ('key'), ('rest')) v(f)"""
+)
+def catalog_decode(spark, sf):
+    """A catalogue file per nation turned into definitions, which route and decode one datagram per customer."""
+    n = F.col("n_nationkey").cast("string")
+    head = F.lpad(F.hex("n_nationkey"), 2, "0")
+    body = (
+        '{"messageName": "N%s", "port": 7000, "payloadLengthBytes": 7, "optionalHeaderHex": "C0%s", "fields": ['
+        '{"name": "key", "byteOffset": 3, "length": 4, "dataType": "Uint32"},'
+        '{"name": "rest", "byteOffset": 7, "length": 1, "dataType": "Uint8"}]}'
+    )
+    files = table(spark, sf, "nation").select(F.concat(F.lit("f"), n).alias("file"), F.format_string(body, n, head).alias("value"))
+    messages, fields, _ = parse_catalog(files)
+    definitions = messages_from_catalog(messages, fields)
+    key = F.col("c_custkey")
+    payload = F.concat(
+        F.unhex(F.lit("C0")), F.unhex(by.int_hex(F.col("c_nationkey"), 1)), F.unhex(by.int_hex(key, 4)), F.unhex(by.int_hex(F.pmod(key, F.lit(50)), 1))
+    )
+    rows = table(spark, sf, "customer").select(F.lit("c").alias("file"), key.alias("packet_no"), payload.alias("payload"), F.lit(7).alias("payload_size"))
+    values = decode.decode_long(route.route(rows, definitions, "first"), definitions)
+    return values.select("packet_no", "message", "field", "text")
+
+
 # --------------------------------------------------------- interface documents
 
 
