@@ -10,7 +10,7 @@ place that the lengths and the segment's number confine to a few offsets. So
 each line is indexed by its own segments and probes the segments of all lengths
 from its own down to t less; both are rows (bucket, line). Equal lines are one
 node from the start, whatever their number. Buckets go through
-``components.grouped_links``; counts of characters rule pairs out, and a bucket
+``components.grouped_links``; counts of characters and their neighbours rule pairs out, and a bucket
 with too many pairs is refined by parts of these counts, of which linked lines
 have one in common. Pairs are verified by ``edits.within``.
 
@@ -34,8 +34,9 @@ from wirelens.llm.frames import SPACES, columns, cut, numbered, work_dir
 
 EDITS = 2
 MIN_CHARS = 24
-#: Classes of characters that are counted.
+#: Classes of characters, and of pairs of neighbours, that are counted.
 BAG = 32
+PAIR_BAG = 64
 
 
 def _segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -127,15 +128,21 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines with the counts of their characters in BAG classes."""
+    """Lines with the counts of their characters in BAG classes, and of their pairs of neighbours in PAIR_BAG."""
     import numpy as np
 
+    def lists(bags) -> pa.Array:
+        n, width = bags.shape
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(bags.reshape(-1)))
+
     for batch in batches:
         bags = np.empty((batch.num_rows, BAG), np.int32)
+        pairs = np.empty((batch.num_rows, PAIR_BAG), np.int32)
         for i, line in enumerate(batch.column(1).to_pylist()):
-            bags[i] = np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) % BAG, minlength=BAG)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bags.size + 1, BAG), pa.int32()), pa.array(bags.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["node", "line", "bag"])
+            c = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+            bags[i] = np.bincount(c % BAG, minlength=BAG)
+            pairs[i] = np.bincount((c[:-1] * np.uint32(31) + c[1:]) * np.uint32(0x9E3779B1) >> np.uint32(26), minlength=PAIR_BAG)
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists(bags), lists(pairs)], ["node", "line", "bag", "pairs"])
 
 
 def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -163,9 +170,9 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     taking_part = members.select("node").distinct()
     path = work_dir(spark)
     found = lines.select("node", "line").join(taking_part, "node", "left_semi").dropDuplicates(["node"])
-    found.mapInArrow(_with_bags, "node long, line string, bag array<int>").write.option("compression", "zstd").parquet(path)
+    found.mapInArrow(_with_bags, "node long, line string, bag array<int>, pairs array<int>").write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)
-    facts = texts.select("node", F.struct(F.length("line").alias("n"), "bag").alias("fact"))
+    facts = texts.select("node", F.struct(F.length("line").alias("n"), "bag", "pairs").alias("fact"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +186,12 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         return both.select("a", "b", "la", "lb").mapInArrow(compare, "a long, b long")
 
     def may_link(x: Column, y: Column) -> Column:
-        """One edit changes at most two counts of characters by one."""
-        apart = F.aggregate(F.zip_with(x["bag"], y["bag"], lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
-        return (F.abs(x["n"] - y["n"]) <= edits) & (apart <= 2 * edits)
+        """One edit changes at most two characters and four pairs of neighbours, counted with those that come and go."""
+
+        def apart(which: str) -> Column:
+            return F.aggregate(F.zip_with(x[which], y[which], lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
+
+        return (F.abs(x["n"] - y["n"]) <= edits) & (apart("bag") <= 2 * edits) & (apart("pairs") <= 4 * edits)
 
     def rest(heavy: DataFrame) -> DataFrame:
         """Pairs that also have a part of their character counts in common.
