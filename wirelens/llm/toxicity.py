@@ -20,7 +20,7 @@ A document without vocabulary terms is near no example: its score is the share
 of toxic ones among the examples without terms.
 
 Defined results: NULL and empty texts count as texts without terms; rows with
-NULL or repeated ids are scored each; NULL labels are no labels, a doc_id with
+NULL or repeated ids are scored each, and a repeated id is one example; NULL labels are no labels, a doc_id with
 several labels counts as toxic if one says so; without labelled rows every
 score is 0; empty tables work; other columns are ignored (or carried, by
 ``reject_toxic``).
@@ -244,7 +244,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
 
     labelled = examples.select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
     made = labelled.mapInArrow(vectors, "id long, toxic int, terms array<int>, weights array<double>")
-    rows = made.collect()  # at most max_examples short vectors
+    # one vector for each doc_id, however many rows repeat it: at most max_examples short rows
+    once = made.groupBy("id").agg(F.min(F.struct("terms", "weights", "toxic")).alias("v")).select("id", "v.*")
+    rows = once.collect()
     model.examples = [(r["id"], r["toxic"], list(r["terms"]), list(r["weights"])) for r in rows if r["terms"]]
     bare = [r["toxic"] for r in rows if not r["terms"]]
     model.base = (sum(bare) + 0.5) / (len(bare) + 1) if len(bare) else 0.5

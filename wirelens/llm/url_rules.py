@@ -79,11 +79,11 @@ def stacks(starts: DataFrame) -> DataFrame:
     """key, stack: for each interval start the starts of all intervals open there, itself included.
 
     An interval around a start is one of its prefixes, so pairs come from an
-    equi join of prefix cut points; a stack is as deep as rules nest.
+    equi join of prefixes; a rule has as many as its key is long, and a stack is
+    as deep as rules nest.
     """
-    lengths = [r["n"] for r in starts.select(F.length("key").alias("n")).distinct().orderBy("n").limit(4096).collect()]
-    cuts = starts.select("key", F.explode(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)])).alias("n"))
-    prefixes = cuts.filter(F.col("n") <= F.length("key")).select("key", F.expr("left(key, n)").alias("open"))
+    cuts = starts.select("key", F.explode(F.sequence(F.lit(1), F.length("key"))).alias("n"))
+    prefixes = cuts.select("key", F.expr("left(key, n)").alias("open"))
     inner = prefixes.join(starts.select(F.col("key").alias("open")), "open")
     return inner.groupBy("key").agg(F.sort_array(F.collect_set("open")).alias("stack"))
 
