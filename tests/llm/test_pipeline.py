@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from wirelens.llm import bpe, decontaminate, line_dedup, minhash, toxicity
 from wirelens.llm.queries import ORACLES, QUERIES, tokenizer_path
@@ -42,6 +44,27 @@ def test_stages_take_effect_in_order(spark, sf):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_near_dedup_takes_pairs_from_four_fifths(spark, sf):
+    """The stage's rows are those of brute force at a Jaccard similarity of 0.8."""
+    rng = random.Random(12)
+    docs = []
+    for n in (4, 5, 6, 7, 8) * 4:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        # each edit takes five of 296 shingles: similarities on both sides of 0.8 and 0.85
+        docs += [" ".join(base), " ".join(f"e{i}" if i in range(20, 20 + 30 * n, 30) else w for i, w in enumerate(base))]
+    sets = [{tuple(d.split()[i : i + 5]) for i in range(296)} for d in docs]
+    near = [(a, b) for b in range(len(docs)) for a in range(b) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    root = list(range(len(docs)))
+    for _ in docs:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    out = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), sf)
+    assert sorted(r.doc_id for r in out.collect()) == [i for i, r in enumerate(root) if i == r]
+    between = [(a, b) for a, b in near if 100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b])]
+    assert between and minhash.bands_for(85) == minhash.BANDS
+    assert (1 - 0.8**minhash.ROWS) ** minhash.bands_for(80) <= minhash.MISS
+
+
 def test_run_on_odd_documents(spark, odd_docs, sf):
     docs = odd_docs
     for _, stage in corpus_pipeline.STAGES:

@@ -5,7 +5,8 @@ the first scatters a document's shingles, the second is shifted circularly, one
 shift for each coordinate, and the smallest value is the coordinate. Both are
 bijective integer mixers, so no table of permutations exists. ``BANDS`` bands
 of ``ROWS`` coordinates are bucket keys. A pair at the threshold shares a bucket
-except with probability 2e-6, a pair at similarity 0.3 shares one in fifty.
+except with probability 2e-6, a pair at similarity 0.3 shares one in fifty. Lower
+thresholds take more bands (``bands_for``) and keep that probability.
 
 Documents are grouped by their shingle set first, so equal documents are one
 node and a large group of copies costs nothing further. Candidates come from
@@ -23,6 +24,7 @@ empty table; other columns are ignored (or carried, by ``deduplicate``).
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -38,10 +40,17 @@ WIDTH = 5
 BANDS = 28
 ROWS = 6
 PERCENT = 85
+#: Probability that a pair at the threshold shares no bucket.
+MISS = 2e-6
 #: Cells of the table that orders shingles in crowded buckets.
 CELLS = 1 << 18
 
 
+def bands_for(percent: int) -> int:
+    """Bands by which a pair at ``percent`` is missed with probability ``MISS`` at most, ``BANDS`` or more."""
+    return max(BANDS, math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS))))
+
+
 def shingle_set(text: bytes | None):
     """Sorted distinct 64-bit hashes of the 5-word shingles of a text."""
     import numpy as np
@@ -61,11 +70,11 @@ def shingle_set(text: bytes | None):
     return np.unique(out)
 
 
-def _signatures(sets: list):
-    """One row of BANDS * ROWS coordinates for each shingle set."""
+def _signatures(sets: list, bands: int = BANDS):
+    """One row of bands * ROWS coordinates for each shingle set."""
     import numpy as np
 
-    k = BANDS * ROWS
+    k = bands * ROWS
     shifts = (np.arange(1, k + 1, dtype=np.uint64) * np.uint64((1 << 32) // k + 12_345)).astype(np.uint32)[:, None]
     step = 512
     a, b = np.empty((k, step), np.uint32), np.empty((k, step), np.uint32)
@@ -96,8 +105,8 @@ def _signatures(sets: list):
 def _band_keys(signatures):
     import numpy as np
 
-    coords = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), coords.shape[:2]).copy()
+    coords = signatures.reshape(len(signatures), -1, ROWS).astype(np.uint64)
+    keys = np.broadcast_to(np.arange(1, coords.shape[1] + 1, dtype=np.uint64), coords.shape[:2]).copy()
     for j in range(ROWS):
         keys ^= coords[:, :, j]
         keys *= np.uint64(0x9E3779B97F4A7C15)
@@ -105,7 +114,7 @@ def _band_keys(signatures):
     return keys.view(np.int64)
 
 
-def sketch(docs: DataFrame, text: str) -> DataFrame:
+def sketch(docs: DataFrame, text: str, bands: int = BANDS) -> DataFrame:
     """``docs`` with at (a row number), node (hash of the shingle set), n_shingles and bands."""
     added = [T.StructField("at", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
     rows = docs.withColumn("at", F.monotonically_increasing_id())
@@ -120,12 +129,12 @@ def sketch(docs: DataFrame, text: str) -> DataFrame:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 sets = [shingle_set(v.as_py()) for v in part.column(where).cast(pa.large_binary())]
-                keys = _band_keys(_signatures(sets))
+                keys = _band_keys(_signatures(sets, bands))
                 node = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
                 empty = np.array([len(s) == 0 for s in sets], bool)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
+                buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1), pa.int64()))
                 size = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, mask=empty), size, bands], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, mask=empty), size, buckets], schema.fieldNames())
 
     return rows.mapInArrow(work, schema)
 
@@ -252,10 +261,10 @@ def _prefix_pairs(texts: DataFrame, percent: int):
     return pairs
 
 
-def _sketched(docs: DataFrame, text: str) -> DataFrame:
+def _sketched(docs: DataFrame, text: str, percent: int) -> DataFrame:
     spark = docs.sparkSession
     path = work_dir(spark)
-    sketch(docs, text).write.option("compression", "zstd").parquet(path)
+    sketch(docs, text, bands_for(percent)).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -273,7 +282,7 @@ def _with_components(sketched: DataFrame, key: str, text: str, percent: int) ->
 
 def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    sketched = _sketched(columns(docs, "doc_id", "text"), "text")
+    sketched = _sketched(columns(docs, "doc_id", "text"), "text", percent)
     found = _with_components(sketched, "doc_id", "text", percent)
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", kept.alias("kept"))
@@ -282,6 +291,6 @@ def classes(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class: that with the smallest doc_id, of equal ones the first."""
     plain, where, back = numbered(docs)
-    sketched = _sketched(plain, where["text"])
+    sketched = _sketched(plain, where["text"], percent)
     found = _with_components(sketched, where["doc_id"], where["text"], percent)
     return back(sketched.join(found.filter("at = first_at").select("at"), "at", "left_semi"))
