@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 from wirelens.llm import decontaminate as dc
 from wirelens.llm import line_dedup as ld
@@ -185,6 +186,22 @@ def test_lines_equal_brute_force(spark, monkeypatch):
     assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in ld.line_classes(frame).collect()} == want
 
 
+def test_query_has_short_lines_as_exact_classes(spark, tmp_path):
+    from wirelens.llm.queries import QUERIES
+
+    docs = [(i, t + "\n \nAnd.\nnote %d" % (i % 7)) for i, t in line_docs()] + [(90, "x" * 23), (91, "x" * 24), (92, "x" * 23), (93, "  y\n\ny"), (94, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = [(i, n, x.strip(" \t\n\x0b\x0c\r")) for i, t in docs for n, x in enumerate((t or "").split("\n"))]
+    want, first = line_truth([d for d in docs if d[1]]), {}
+    for i, n, x in lines:
+        if 0 < len(x) < 24:
+            want[i, n] = first.setdefault(x, (i, n))
+    got = QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in got} == want
+    sizes = Counter(want.values())
+    assert all(r.class_size == sizes[want[r.doc_id, r.line_no]] and r.kept == (want[r.doc_id, r.line_no] == (r.doc_id, r.line_no)) for r in got)
+
+
 def test_repeated_lines_go(spark, odd_docs, no_docs):
     one, two = "a line that many documents share", "another line of some length here"
     rows = [(1, f"{one}\n{two}", 9), (2, f"x\n{one}.\ny", 9), (3, f"{two}\n{one}", 9), (None, one, 9), (5, None, 9), (6, "", 9)]

@@ -3,7 +3,8 @@
 A line is what stands between line feeds, without white space around it. Lines
 of ``MIN_CHARS`` characters or more within ``EDITS`` edits are linked, linked
 lines are a class, and the first line of a class (smallest doc_id, then place)
-stays; shorter lines always stay.
+stays. With ``short_lines`` (op9_line_dedup) shorter lines with a word take part
+too: equal ones are a class, at no edits. Without it shorter lines always stay.
 
 Two lines within t edits share one of t+1 segments of the shorter line, at a
 place that the lengths and the segment's number confine to a few offsets. So
@@ -97,11 +98,11 @@ def _rows(keys: list[int], nodes: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(nodes, pa.int64())], ["bucket", "node"])
 
 
-def lines_of(docs: DataFrame, key: str, text: str, at: str) -> DataFrame:
+def lines_of(docs: DataFrame, key: str, text: str, at: str, least: int = MIN_CHARS) -> DataFrame:
     """at, doc_id, line_no, line, node (hash of the line) of every line that takes part."""
     split = docs.select(F.col(at).alias("at"), F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
     line = split.select("at", "doc_id", "line_no", F.btrim("raw", F.lit(SPACES)).alias("line"))
-    return line.filter(F.length("line") >= MIN_CHARS).withColumn("node", F.xxhash64("line"))
+    return line.filter(F.length("line") >= least).withColumn("node", F.xxhash64("line"))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,8 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def _classed(lines: DataFrame, edits: int) -> DataFrame:
     """at, doc_id, line_no, the class's first line (class_doc_id, class_line_no), class_size and kept of every line."""
-    comps = linked_lines(lines, edits)
+    # shorter lines are linked with equal ones only, and these are one node already
+    comps = linked_lines(lines.filter(F.length("line") >= MIN_CHARS), edits)
     light = cut(lines.select("at", "doc_id", "line_no", "node"))
     rooted = light.join(comps, "node", "left").withColumn("root", F.coalesce("comp", "node")).drop("comp", "node")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at", "line_no")
@@ -219,10 +221,10 @@ def _classed(lines: DataFrame, edits: int) -> DataFrame:
     )
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, short_lines: bool = False) -> DataFrame:
     """doc_id, line_no (from 0), class_doc_id, class_line_no, class_size, kept of every line that takes part."""
     rows = columns(docs, "doc_id", "text").withColumn("at", F.monotonically_increasing_id())
-    return _classed(lines_of(rows, "doc_id", "text", "at"), edits).drop("at")
+    return _classed(lines_of(rows, "doc_id", "text", "at", 1 if short_lines else MIN_CHARS), edits).drop("at")
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS) -> DataFrame:
