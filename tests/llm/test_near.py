@@ -235,6 +235,30 @@ def test_overlaps(spark, odd_docs, no_docs):
     assert dc.contaminated(no_docs, items).collect() == [] and dc.contaminated(odd_docs, items.limit(0)).collect() == []
 
 
+def test_stage_takes_any_long_enough_segment(spark):
+    """Every overlap of 13 words with two substitutions, 15 with one, 16 with three; others as brute force says."""
+    from itertools import combinations
+
+    rng = random.Random(10)
+    cases = [(n, gone) for n, k in ((13, 2), (15, 1), (16, 3)) for gone in combinations(range(n), k)]
+    whole = len(cases)
+    cases += [(n, tuple(rng.sample(range(n), rng.randrange(1, 6)))) for n in (7, 8, 10, 12, 13, 18, 30) for _ in range(40)]
+    cases += [(30, tuple(range(12, 30))), (30, tuple(range(13, 30)))]
+
+    def truth(n, gone):
+        hit, least = [i not in gone for i in range(n)], min(13, n)
+        seeded = any(all(hit[p + o] for o in m) for m in dc.MASKS for p in range(n - m[-1]))
+        ends = [(b, e) for b in range(n) for e in range(b + least, n + 1) if (hit[b] or b == 0) and (hit[e - 1] or e == n)]
+        return seeded and any(sum(1 if h else -4 for h in hit[b:e]) > 0 for b, e in ends)
+
+    docs = [(i, " ".join([f"x{i}", *["zz" if j in gone else f"t{n}w{j}" for j in range(n)], f"y{i}"])) for i, (n, gone) in enumerate(cases)]
+    items = [(n, " ".join(f"t{n}w{j}" for j in range(n))) for n in sorted({n for n, _ in cases})]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {i for i, c in enumerate(cases) if not truth(*c)}
+    assert {r.doc_id for r in dc.remove_contaminated(docs, items).collect()} == want
+    assert want and min(want) >= whole
+
+
 def test_overlaps_without_broadcast(spark, sf, monkeypatch):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     want = sorted(map(tuple, dc.contaminated(docs, items).collect()))
