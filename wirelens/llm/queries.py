@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, decontaminate, licenses, line_dedup, minhash, quality_ledger, shards, toxicity, url_rules, warc
+from wirelens.llm import bpe, decontaminate, fim, licenses, line_dedup, minhash, quality_ledger, shards, toxicity, url_rules, warc
 from wirelens.llm.frames import table
 
 
@@ -60,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash": op1_minhash,
     "op2_url_filters": op2_url_filters,
@@ -71,6 +75,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLES = {
@@ -109,6 +114,25 @@ ds AS (
 SELECT doc_id, item_id, (stop - b)::BIGINT AS overlap_words, matched::BIGINT AS matched_words,
   (b + shift)::BIGINT AS doc_start, b::BIGINT AS item_start
 FROM ok JOIN d USING (rid) JOIN t USING (ix)
+""",
+    "op13_fill_in_middle": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+    sha256('7:' || doc_id) AS k FROM documents
+), h AS (
+  SELECT *, len(u) AS n, ('0x' || substr(k, 1, 8))::BIGINT % (len(u) + 1) AS c1, ('0x' || substr(k, 9, 8))::BIGINT % (len(u) + 1) AS c2,
+    text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain,
+    ('0x' || substr(k, 25, 8))::BIGINT % 100 < 50 AS spm FROM t
+), parts AS (
+  SELECT doc_id, n, text, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1 : greatest(c1, c2)], '') AS m,
+    array_to_string(u[greatest(c1, c2) + 1 :], '') AS s FROM h
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END)
+    AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
 """,
     "op1_minhash": r"""
 WITH RECURSIVE t AS (
