@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, decontaminate, fim, licenses, line_dedup, minhash, quality_ledger, shards, toxicity, url_rules, warc
+from wirelens.llm import bpe, decontaminate, fim, licenses, line_dedup, minhash, quality_ledger, repeats, shards, toxicity, url_rules, warc
 from wirelens.llm.frames import table
 
 
@@ -60,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fill_in_middle(table(spark, sf_dir, "documents"))
 
@@ -75,6 +79,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_substrings": op12_substrings,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 
@@ -114,6 +119,25 @@ ds AS (
 SELECT doc_id, item_id, (stop - b)::BIGINT AS overlap_words, matched::BIGINT AS matched_words,
   (b + shift)::BIGINT AS doc_start, b::BIGINT AS item_start
 FROM ok JOIN d USING (rid) JOIN t USING (ix)
+""",
+    "op12_substrings": r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), wins AS (
+  SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35)
+), spots AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM wins) WHERE c >= 2
+), gone AS (
+  SELECT DISTINCT r, i + k AS i FROM spots, (SELECT unnest(range(0, 35)) AS k)
+), words AS (
+  SELECT r, w[i] AS word, i FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM t)
+), kept AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (r)
 """,
     "op13_fill_in_middle": r"""
 WITH t AS (
