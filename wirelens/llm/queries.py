@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.llm import bpe, decontaminate, fim, licenses, line_dedup, minhash, quality_ledger, repeats, shards, toxicity, url_rules, warc
+from wirelens.llm import bpe, decontaminate, fim, licenses, line_dedup, minhash, quality_ledger, repeats, search, shards, toxicity, url_rules, warc
 from wirelens.llm.frames import table
 
 
@@ -60,6 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.without_repeats(table(spark, sf_dir, "documents")))
 
@@ -79,6 +83,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_search": op11_search,
     "op12_substrings": op12_substrings,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
@@ -119,6 +124,33 @@ ds AS (
 SELECT doc_id, item_id, (stop - b)::BIGINT AS overlap_words, matched::BIGINT AS matched_words,
   (b + shift)::BIGINT AS doc_start, b::BIGINT AS item_start
 FROM ok JOIN d USING (rid) JOIN t USING (ix)
+""",
+    "op11_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), q AS (
+  SELECT row_number() OVER () AS x, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), totals AS (
+  SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0
+), qt AS (
+  SELECT DISTINCT x, t FROM (SELECT x, unnest(w) AS t FROM q)
+), tf AS (
+  SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM qt) GROUP BY r, t
+), df AS (
+  SELECT t, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY t, n
+), norms AS (
+  SELECT r, doc_id, 10 + ((90 * len(w) * n) // l) AS m FROM d, totals WHERE len(w) > 0
+), scores AS (
+  SELECT x, r, doc_id, sum(df.w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM qt JOIN tf USING (t) JOIN df USING (t) JOIN norms USING (r) GROUP BY x, r, doc_id
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY x ORDER BY score DESC, doc_id, r) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM best JOIN q USING (x) WHERE rank <= 10
 """,
     "op12_substrings": r"""
 WITH t AS (
