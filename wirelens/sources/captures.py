@@ -4,8 +4,9 @@ A capture has no index, and a packet's place and number depend on everything
 before it. Files are therefore cut into byte ranges that are walked in
 parallel: each range guesses its first record boundary, and a range is trusted
 only when its start equals the end of the range before. Ranges that guessed
-wrong are walked again from the true boundary until all agree, so the result is
-exact whatever the guesses were, and no task reads a whole large file.
+wrong are walked again from the true boundary on, until a later guess is met, so the result is
+exact whatever the guesses were. Walks read record headers only; a range is
+read once with its packets' bodies, when its number of packets is known.
 """
 
 from __future__ import annotations
@@ -84,6 +85,17 @@ def _open(path: str):
     return io.BufferedReader(store.open_input_file(key), 1 << 20)
 
 
+def store_of(path: str):
+    """File system and path of a folder or file, as the reader library has them."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" in path:
+        return fs.FileSystem.from_uri(_store_uri(path))
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
 class _Fault(Exception):
     def __init__(self, at: int, reason: str):
         super().__init__(reason)
@@ -113,8 +125,8 @@ def _head(f) -> tuple[str, str, bool, int]:
     return "PCAP", order, nano, struct.unpack(order + "I", first[20:24])[0]
 
 
-def _pcap_records(f, order: str, at: int, limit: int, size: int, body: bool):
-    """Yield (next position, header fields, data) of records starting before ``limit``."""
+def _pcap_records(f, order: str, at: int, limit: int, size: int, reach: int | None):
+    """Yield (next position, header fields, first ``reach`` bytes of data) of records starting before ``limit``."""
     f.seek(at)
     while at < limit and at < size:
         head = f.read(16)
@@ -125,13 +137,15 @@ def _pcap_records(f, order: str, at: int, limit: int, size: int, body: bool):
             raise _Fault(at + 8, "bad_packet_size")
         if at + 16 + caught > size:
             raise _Fault(at + 16, "truncated_packet_data")
-        data = f.read(caught) if body else f.seek(caught, os.SEEK_CUR) and None
+        data = f.read(caught if reach is None else min(reach, caught))
+        if len(data) < caught:
+            f.seek(caught - len(data), os.SEEK_CUR)
         at += 16 + caught
         yield at, (sec, sub), data
 
 
-def _blocks(f, order: str, at: int, limit: int, size: int, body: bool):
-    """Yield (next position, block type, byte order, body, position) of pcapng blocks."""
+def _blocks(f, order: str, at: int, limit: int, size: int, reach: int | None):
+    """Yield (next position, block type, byte order, first ``reach`` bytes of the body, position) of pcapng blocks."""
     f.seek(at)
     while at < limit and at < size:
         head = f.read(8)
@@ -145,11 +159,9 @@ def _blocks(f, order: str, at: int, limit: int, size: int, body: bool):
             raise _Fault(at + 4, "bad_block_length")
         if at + total > size:
             raise _Fault(at + 8, "truncated_block")
-        if body or kind == INTERFACE:
-            content = f.read(total - 12)
-        else:
-            f.seek(total - 12, os.SEEK_CUR)
-            content = b""
+        content = f.read(total - 12 if reach is None or kind == INTERFACE else min(reach, total - 12))
+        if len(content) < total - 12:
+            f.seek(total - 12 - len(content), os.SEEK_CUR)
         # The first section header is accepted without comparing its trailer.
         if struct.unpack(order + "I", f.read(4))[0] != total and at > 0:
             raise _Fault(at, "block_length_mismatch")
@@ -238,10 +250,10 @@ def _walk(path: str, size: int, part: int, width: int, start: int | None, order:
             if fmt == "PCAP":
                 if part == 0:
                     events.append([0, first, link, nano])
-                for at, _, _ in _pcap_records(f, first, at, limit, size, False):
+                for at, _, _ in _pcap_records(f, first, at, limit, size, 0):
                     pass
             else:
-                for at, kind, now, content, pos in _blocks(f, first, at, limit, size, False):
+                for at, kind, now, content, pos in _blocks(f, first, at, limit, size, 0):
                     if kind == SECTION:
                         events = [[pos, "S", now]]  # a section forgets what came before
                     elif kind == INTERFACE:
@@ -271,11 +283,36 @@ def _walk_batches(width: int):
     return run
 
 
+def _repair_file(width: int):
+    """Of one file's ranges in order those that began in the wrong place, walked from where the range before ends."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = [c.split()[0] for c in SEGMENT.split(", ")]
+        rows, stop, order = [], None, None
+        for r in pdf.sort_values("part").itertuples(index=False):
+            agreed = r.start == stop and r.byte_order == order
+            row = tuple(getattr(r, c) for c in columns)
+            if r.part and not agreed:
+                row = _walk(r.file, int(r.length), int(r.part), width, int(stop), order)
+            rows.append(row)
+            stop, order = row[4], row[5]
+            if row[8] is not None or stop is None or pd.isna(stop):
+                break  # a fault ends the file
+        out = pd.DataFrame(rows, columns=columns)
+        for c in ("start", "stop", "error_at"):
+            out[c] = out[c].astype("Int64")
+        return out
+
+    return run
+
+
 def index_captures(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Agreed ranges of every file: (file, part, start, stop, format, events, error, error_at).
 
     ``events`` lists the interface blocks of a range from its last section on,
     which is all that later ranges need. The table has one small row per range.
+    Files with a wrong guess are mended in one more job, whatever the number of
+    wrong guesses: only their wrong ranges are walked again.
     """
     ranges = files.select(
         "path",
@@ -288,33 +325,15 @@ def index_captures(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
     segments = written(spread.mapInPandas(_walk_batches(range_bytes), SEGMENT), "index")
     lengths = files.select(F.col("path").alias("file"), "length")
     order = Window.partitionBy("file").orderBy("part")
-    while True:
-        seen = segments.join(lengths, "file").withColumns(
-            {
-                "_want": F.lag("stop").over(order),
-                "_order": F.lag("stop_order").over(order),
-                "_ended": F.lag("error").over(order).isNotNull(),
-            }
-        )
-        agreed = F.col("start").eqNullSafe(F.col("_want")) & F.col("byte_order").eqNullSafe(F.col("_order"))
-        # A range that lies wholly inside the record of an earlier one starts past its own end.
-        wrong = seen.filter(
-            (F.col("part") > 0)
-            & ~F.col("_ended")
-            & F.col("_want").isNotNull()
-            & ~agreed
-        ).select(
-            F.col("file").alias("path"),
-            "length",
-            "part",
-            F.col("_want").alias("start"),
-            F.col("_order").alias("byte_order"),
-        )
-        again = written(wrong.repartition(F.col("path"), F.col("part")).mapInPandas(_walk_batches(range_bytes), SEGMENT), "index")
-        if again.isEmpty():
-            break
-        kept = segments.join(again.select("file", "part"), ["file", "part"], "left_anti")
-        segments = written(kept.unionByName(again), "index")
+    seen = segments.withColumns(
+        {"_want": F.lag("stop").over(order), "_order": F.lag("stop_order").over(order), "_ended": F.lag("error").over(order).isNotNull()}
+    )
+    agreed = F.col("start").eqNullSafe(F.col("_want")) & F.col("byte_order").eqNullSafe(F.col("_order"))
+    # A range that lies wholly inside the record of an earlier one starts past its own end.
+    off = seen.filter((F.col("part") > 0) & ~F.col("_ended") & F.col("_want").isNotNull() & ~agreed)
+    wrong = written(off.select("file").distinct(), "wrong")
+    mended = segments.join(wrong, "file", "left_semi").join(lengths, "file").groupBy("file").applyInPandas(_repair_file(range_bytes), SEGMENT)
+    segments = written(segments.join(wrong, "file", "left_anti").unionByName(mended), "index")
     ended = F.max(F.col("error").isNotNull().cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     return segments.withColumn("_dead", F.coalesce(ended, F.lit(0))).filter("_dead = 0").drop("_dead")
 
@@ -353,14 +372,15 @@ def _state_before(fmt: str, listed) -> dict:
     return state
 
 
-def _packets(f, fmt: str, state: dict, start: int, stop: int, size: int, body: bool):
-    """(sec, usec, link type, frame) of the packets a range emits."""
+def _packets(f, fmt: str, state: dict, start: int, stop: int, size: int, reach: int | None = None):
+    """(sec, usec, link type, first ``reach`` bytes of the frame) of the packets a range emits."""
     if fmt == "PCAP":
-        for _, (sec, sub), data in _pcap_records(f, state["order"], start, stop, size, body):
+        for _, (sec, sub), data in _pcap_records(f, state["order"], start, stop, size, reach):
             yield sec, (sub // 1000 if state["nano"] else sub), state["link"], data
         return
     interfaces = list(state["interfaces"])
-    for _, kind, order, content, pos in _blocks(f, state["order"], start, stop, size, True):
+    for at, kind, order, content, pos in _blocks(f, state["order"], start, stop, size, None if reach is None else reach + 20):
+        held = at - pos - 12
         if kind == SECTION:
             interfaces = []
         elif kind == INTERFACE:
@@ -371,7 +391,7 @@ def _packets(f, fmt: str, state: dict, start: int, stop: int, size: int, body: b
             which, high, low, caught = struct.unpack(order + "4I", content[:16])
             if which >= len(interfaces) or interfaces[which][0] != ETHERNET:
                 continue
-            if caught == 0 or caught > MAX_PACKET or len(content) < 20 + caught:
+            if caught == 0 or caught > MAX_PACKET or held < 20 + caught:
                 continue
             ticks = interfaces[which][1] ** interfaces[which][2]
             raw = (high << 32) | low
@@ -384,25 +404,25 @@ def _packets(f, fmt: str, state: dict, start: int, stop: int, size: int, body: b
             if interfaces and interfaces[0][0] != ETHERNET:
                 continue
             caught = struct.unpack(order + "I", content[:4])[0]
-            if caught == 0 or caught > MAX_PACKET or len(content) < 4 + caught:
+            if caught == 0 or caught > MAX_PACKET or held < 4 + caught:
                 continue
             yield 0, 0, ETHERNET, content[4 : 4 + caught]
 
 
-def _range_packets(r, body: bool):
+def _range_packets(r, reach: int | None = None):
     state = _state_before(r.format, r.before)
     state["order"] = r.byte_order
     stop = int(r.stop) if not pd.isna(r.stop) else int(r.length)
     try:
         with _open(r.file) as f:
-            yield from _packets(f, r.format, state, int(r.start), stop, int(r.length), body)
+            yield from _packets(f, r.format, state, int(r.start), stop, int(r.length), reach)
     except _Fault:
         return  # reported by capture_errors; packets before the fault count
 
 
 def _count_batches(batches):
     for pdf in batches:
-        counts = [sum(1 for _ in _range_packets(r, False)) for r in pdf.itertuples(index=False)]
+        counts = [sum(1 for _ in _range_packets(r, 0)) for r in pdf.itertuples(index=False)]
         yield pdf[["file", "part"]].assign(packets=counts)
 
 
@@ -411,7 +431,7 @@ def _read_batches(batches):
     for pdf in batches:
         for r in pdf.itertuples(index=False):
             rows, held, number = [], 0, int(r.first_no)
-            for sec, usec, link, frame in _range_packets(r, True):
+            for sec, usec, link, frame in _range_packets(r):
                 rows.append((r.file, number, sec, usec, link, frame))
                 number += 1
                 held += len(frame)
@@ -422,11 +442,17 @@ def _read_batches(batches):
                 yield pd.DataFrame(rows, columns=names)
 
 
-def read_captures(files: DataFrame, index: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Packets of all files, numbered from 1 within each file."""
-    index = index_captures(files, range_bytes) if index is None else index
+def earlier_ranges():
+    return Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def usable_ranges(files: DataFrame, index: DataFrame) -> DataFrame:
+    """Ranges that can be read by themselves: (file, part, start, stop, byte_order, format, length, before).
+
+    ``before`` are the interface blocks that hold where the range starts.
+    """
     lengths = files.select(F.col("path").alias("file"), "length")
-    upto = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    upto = earlier_ranges()
     usable = index.filter("start is not null and byte_order is not null and format is not null").join(lengths, "file")
     # Ranges are grouped by the section they start in: a range that opens a section
     # gives its blocks to the group after its own, so a range collects the few
@@ -442,14 +468,20 @@ def read_captures(files: DataFrame, index: DataFrame | None = None, range_bytes:
     inside = Window.partitionBy("file", "_section").orderBy("part", F.col("_told").isNotNull())
     earlier = F.collect_list("_told").over(inside.rowsBetween(Window.unboundedPreceding, -1))
     own = (F.col("format") == "PCAP") & (F.col("part") == 0)  # a pcap header holds for its own range too
-    ready = (
+    return (
         both.withColumn("before", F.when(own, F.array("events")).otherwise(earlier))
         .filter("start is not null")
         .select("file", "part", "start", "stop", "byte_order", "format", "length", "before")
     )
+
+
+def read_captures(files: DataFrame, index: DataFrame | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Packets of all files, numbered from 1 within each file."""
+    index = index_captures(files, range_bytes) if index is None else index
+    ready = usable_ranges(files, index)
     spread = ready.repartition(F.col("file"), F.col("part"))
     counts = spread.mapInPandas(_count_batches, "file string, part long, packets long")
-    numbered = counts.withColumn("first_no", F.coalesce(F.sum("packets").over(upto), F.lit(0)) + 1).drop("packets")
+    numbered = counts.withColumn("first_no", F.coalesce(F.sum("packets").over(earlier_ranges()), F.lit(0)) + 1).drop("packets")
     work = ready.join(numbered, ["file", "part"]).repartition(F.col("file"), F.col("part"))
     return work.mapInPandas(_read_batches, PACKET)
 
@@ -486,6 +518,22 @@ def packet_block_hex(micros, frame):
     )
 
 
+def packet_record_hex(micros, frame, little: bool = True, nano: bool = False):
+    """Record of a frame in a classic capture, as hex text built from columns."""
+    from wirelens.functions.bytes import int_hex
+
+    size = F.octet_length(frame).cast("bigint")
+    part = F.pmod(micros, F.lit(1_000_000)) * (1000 if nano else 1)
+    numbers = [F.floor(micros / 1_000_000).cast("bigint"), part, size, size]
+    return F.concat(*[int_hex(n, 4, little) for n in numbers], F.hex(frame))
+
+
+def classic_head(little: bool = True, nano: bool = False) -> bytes:
+    """Global header of a classic capture: version 2.4, Ethernet."""
+    magic = next(m for m, kind in PCAP_MAGIC.items() if kind == ("<" if little else ">", nano))
+    return magic + struct.pack(("<" if little else ">") + "2H4I", 2, 4, 0, 0, 262144, ETHERNET)
+
+
 # Section header (version 1.0, unknown length) and Ethernet interface block.
 CAPTURE_HEAD = struct.pack("<3I2H2II", SECTION, 28, 0x1A2B3C4D, 1, 0, 0xFFFFFFFF, 0xFFFFFFFF, 28)
 CAPTURE_HEAD += struct.pack("<2I2H2I", INTERFACE, 20, ETHERNET, 0, 262144, 20)
@@ -503,16 +551,12 @@ class _CaptureWriter(DataSourceWriter):
     an overwriting one removes the captures that were there once its own are complete.
     """
 
-    def __init__(self, path: str, overwrite: bool):
+    def __init__(self, path: str, overwrite: bool, head: bytes = CAPTURE_HEAD, suffix: str = "pcapng"):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex[:12]
+        self.head, self.suffix = head, suffix
 
     def _store(self):
-        from pyarrow import fs
-
-        path = self.path[5:] if self.path.startswith("file:") else self.path
-        if "://" in path:
-            return fs.FileSystem.from_uri(_store_uri(path))
-        return fs.LocalFileSystem(), os.path.abspath(path)
+        return store_of(self.path)
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -523,14 +567,14 @@ class _CaptureWriter(DataSourceWriter):
         temporary = f"{root}/_part-{part:05d}-{uuid.uuid4().hex}.tmp"
         wrote = False
         with store.open_output_stream(temporary) as out:
-            out.write(CAPTURE_HEAD)
+            out.write(self.head)
             for row in iterator:
                 out.write(bytes(row[0]))
                 wrote = True
         if not wrote:
             store.delete_file(temporary)
             return _Written("", "")
-        return _Written(temporary, f"{root}/part-{part:05d}-{self.job}.pcapng")
+        return _Written(temporary, f"{root}/part-{part:05d}-{self.job}.{self.suffix}")
 
     def commit(self, messages):
         from pyarrow import fs
@@ -541,7 +585,7 @@ class _CaptureWriter(DataSourceWriter):
             if m is not None and m.temporary:
                 store.move(m.temporary, m.final)
         for f in there:
-            if re.fullmatch(r"part-\d{5}(-[0-9a-f]{12})?\.pcapng", f.base_name):
+            if re.fullmatch(r"part-\d{5}(-[0-9a-f]{12})?\.pcap(ng)?", f.base_name):
                 store.delete_file(f.path)
 
     def abort(self, messages):
@@ -562,18 +606,26 @@ class CaptureSink(DataSource):
         return "block binary"
 
     def writer(self, schema, overwrite):
+        if "head" in self.options:
+            return _CaptureWriter(self.options["path"], overwrite, bytes.fromhex(self.options["head"]), "pcap")
         return _CaptureWriter(self.options["path"], overwrite)
 
 
-def write_capture(frames: DataFrame, path: str, ts: str = "ts", frame: str = "frame", mode: str = "append") -> None:
-    """Write frames as pcapng, one file per partition, microsecond timestamps; ``mode`` is append or overwrite.
+def write_capture(
+    frames: DataFrame, path: str, ts: str = "ts", frame: str = "frame", mode: str = "append", classic: tuple[bool, bool] | None = None
+) -> None:
+    """Write frames as captures, one file per partition; ``mode`` is append or overwrite.
 
-    Serial records have no network framing; rows whose frame is NULL are skipped.
+    The format is pcapng with microseconds, or with ``classic`` = (little-endian,
+    nanoseconds) pcap. Serial records have no network framing; rows whose frame
+    is NULL are skipped.
     """
     spark = frames.sparkSession
     spark.dataSource.register(CaptureSink)
     micros = F.coalesce(F.unix_micros(ts), F.lit(0).cast("bigint"))
-    blocks = frames.filter(F.col(frame).isNotNull()).select(
-        F.unhex(packet_block_hex(micros, F.col(frame))).alias("block")
-    )
-    blocks.write.format("wirelens_pcapng").mode(mode).save(path)
+    record = packet_block_hex(micros, F.col(frame)) if classic is None else packet_record_hex(micros, F.col(frame), *classic)
+    blocks = frames.filter(F.col(frame).isNotNull()).select(F.unhex(record).alias("block"))
+    writer = blocks.write.format("wirelens_pcapng").mode(mode)
+    if classic is not None:
+        writer = writer.option("head", classic_head(*classic).hex())
+    writer.save(path)
