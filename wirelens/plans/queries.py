@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.functions import bits as fb
@@ -22,7 +22,18 @@ from wirelens.operators.reframe import reframe
 from wirelens.plans import wire_events as we
 from wirelens.plans.definitions import messages_from_catalog
 from wirelens.plans.model import Field, Message
-from wirelens.sources.captures import read_pcapng, write_capture
+from wirelens.sources.capture_source import read_indexed, stream_captures
+from wirelens.sources.captures import (
+    capture_errors,
+    capture_files,
+    capture_format,
+    index_captures,
+    packet_record_hex,
+    read_captures,
+    read_pcapng,
+    write_capture,
+    write_records,
+)
 from wirelens.sources.catalog import parse_catalog, parse_field_catalog, read_field_sheets, sheets_by_header
 from wirelens.sources.nmea_registry import nmea_registry
 from wirelens.sources.work import work_path
@@ -1565,6 +1576,111 @@ def capture_append(spark, sf):
     return rows.select(by.be_unsigned(F.col("payload"), 3, 4).alias("event_id"), "dst_port")
 
 
+#: Kinds of captures: (little-endian, nanoseconds) of classic ones, None for blocks.
+KINDS = {"pcap_le": (True, False), "pcap_be": (False, False), "pcap_le_ns": (True, True), "pcap_be_ns": (False, True), "pcapng": None}
+
+
+def _kind(file: Column) -> Column:
+    return F.regexp_extract(file, "/kind=([a-z_]+)/", 1)
+
+
+def _captures_of_all_kinds(spark, sf, partitions: int = 3):
+    """Every event in a capture of every kind, a few files each."""
+    framed = udp_frames(we.event_datagrams(we.events(spark, sf)))
+    path = work_path(spark, "kinds")
+    for kind, classic in KINDS.items():
+        write_capture(framed.repartitionByRange(partitions, "packet_no").sortWithinPartitions("packet_no"), f"{path}/kind={kind}", classic=classic)
+    return path
+
+
+def _event_ids(packets):
+    return dissect.valid_datagrams(dissect.dissect_frames(packets)).withColumn("event_id", by.be_unsigned(F.col("payload"), 3, 4))
+
+
+@query(
+    f"""SELECT kind, event_id, epoch_us(ts) AS us, CAST(5000 + {TYPE_ID} AS INTEGER) AS dst_port FROM events,
+    (VALUES ('pcap_le'), ('pcap_be'), ('pcap_le_ns'), ('pcap_be_ns'), ('pcapng')) v(kind)"""
+)
+def pcap_read(spark, sf):
+    """Classic captures of both byte orders and resolutions, and block captures, through the data source."""
+    path = _captures_of_all_kinds(spark, sf)
+    packets = read_indexed(spark, path, path + "-index", range_bytes=1 << 17)
+    return _event_ids(packets).select(_kind(F.col("file")).alias("kind"), "event_id", F.unix_micros("ts").alias("us"), "dst_port")
+
+
+@query(
+    """SELECT kind, 'PCAP' AS format, kind LIKE '%ns' AS nanoseconds, CASE WHEN kind LIKE '%be%' THEN '>' ELSE '<' END AS byte_order,
+    1 AS link_type FROM (VALUES ('pcap_le'), ('pcap_be'), ('pcap_le_ns'), ('pcap_be_ns')) v(kind)
+    UNION ALL SELECT 'pcapng', 'PCAPNG', false, '<', NULL"""
+)
+def capture_kinds(spark, sf):
+    """Format, byte order and resolution that the heads of captures tell."""
+    path = _captures_of_all_kinds(spark, sf, partitions=1)
+    told = capture_format(index_captures(capture_files(spark, path), 1 << 17))
+    return told.select(_kind(F.col("file")).alias("kind"), "format", "nanoseconds", "byte_order", "link_type").distinct()
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, epoch_us(ts) AS us, CAST(5000 + {TYPE_ID} AS INTEGER) AS dst_port,
+      ROW_NUMBER() OVER (ORDER BY ts, event_id) AS packet_no FROM events),
+    w AS (SELECT quantile_disc(epoch_us(ts), 0.4) AS lo, quantile_disc(epoch_us(ts), 0.5) AS hi FROM events)
+    SELECT event_id, us, dst_port, packet_no FROM e, w WHERE us >= lo AND us < hi AND dst_port IN (5001, 5004)"""
+)
+def capture_pruned(spark, sf):
+    """A time window and two ports of one capture; filters reach the ranges, numbers are those of the whole capture."""
+    framed = udp_frames(we.event_datagrams(we.events(spark, sf)))
+    path = work_path(spark, "pruned")
+    write_capture(framed.repartitionByRange(1, "ts", "packet_no").sortWithinPartitions("ts", "packet_no"), path, classic=(True, False))
+    packets = read_indexed(spark, path, path + "-index", range_bytes=1 << 16)
+    cuts = we.events(spark, sf).agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY unix_micros(ts))") for q in (0.4, 0.5)]).first()
+    lo, hi = (F.timestamp_micros(F.lit(int(c or 0))) for c in cuts)
+    some = packets.filter((F.col("ts") >= lo) & (F.col("ts") < hi) & F.col("dst_port").isin(5001, 5004))
+    return _event_ids(some).select("event_id", F.unix_micros("ts").alias("us"), "dst_port", "packet_no")
+
+
+@query(
+    """WITH n AS (SELECT event_type, COUNT(*) AS n FROM events GROUP BY 1),
+    k(i, reason, cut, behind) AS (VALUES (0, 'truncated_packet_header', 9, 0), (1, 'bad_packet_size', 0, 8), (2, 'truncated_packet_data', 9, 16))
+    SELECT event_type, n AS packets, reason, 24 + 82 * n + behind AS position FROM n CROSS JOIN k"""
+)
+def capture_faults(spark, sf):
+    """A capture of each event type with a fault behind its last packet: where it is met, and that all packets before it are read."""
+    framed = udp_frames(we.event_datagrams(we.events(spark, sf)).withColumn("event_type", F.get(F.array(*map(F.lit, we.EVENT_TYPES)), F.col("dst_port") - 5001)))
+    path = work_path(spark, "faults")
+    head = F.unhex(F.lit("00" * 8))
+    tails = {"truncated_packet_header": F.unhex(F.lit("11" * 9)), "bad_packet_size": F.concat(head, F.unhex(F.lit("00" * 8))), "truncated_packet_data": F.concat(head, F.unhex(F.lit("32000000" * 2 + "AA" * 9)))}
+    records = framed.select("event_type", F.col("packet_no").alias("at"), F.unhex(packet_record_hex(F.unix_micros("ts"), F.col("frame"))).alias("block"))
+    for reason, tail in tails.items():
+        last = records.select("event_type").distinct().select("event_type", F.lit(1 << 62).alias("at"), tail.alias("block"))
+        whole = records.unionByName(last)
+        for kind in we.EVENT_TYPES:
+            own = whole.filter(F.col("event_type") == kind).repartitionByRange(1, "at").sortWithinPartitions("at").select("block")
+            write_records(own, f"{path}/type={kind}/{reason}")
+    files = capture_files(spark, path)
+    index = index_captures(files, 1 << 16)
+    read = read_captures(files, index).groupBy("file").agg(F.count("*").alias("packets"))
+    told = capture_errors(index).join(read, "file")
+    return told.select(F.regexp_extract("file", "/type=([a-z]+)/", 1).alias("event_type"), "packets", "reason", "position")
+
+
+@query(
+    f"""SELECT event_id, epoch_us(ts) AS us, CAST(5000 + {TYPE_ID} AS INTEGER) AS dst_port, 'line' || (event_id % 3) AS connection_id FROM events"""
+)
+def live_captures(spark, sf):
+    """Captures that appear and a capture that grows between three starts of one streaming query; every packet once."""
+    framed = udp_frames(we.event_datagrams(we.events(spark, sf)))
+    path = work_path(spark, "incoming")
+    out = path + "-out"
+    for k in range(3):
+        own = framed.filter(F.pmod("packet_no", F.lit(3)) == k)
+        write_capture(own.coalesce(2), f"{path}/connection=line{k}", classic=(k == 0, k == 1) if k < 2 else None)
+        packets = stream_captures(spark, path, positions=path + "-positions")
+        rows = _event_ids(packets).select("event_id", F.unix_micros("ts").alias("us"), "dst_port", "connection_id")
+        writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", path + "-state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A table as a stream, be it one file or a folder of part files."""
     path = f"{sf}/{name}.parquet"

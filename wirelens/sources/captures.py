@@ -620,11 +620,14 @@ def write_capture(
     nanoseconds) pcap. Serial records have no network framing; rows whose frame
     is NULL are skipped.
     """
-    spark = frames.sparkSession
-    spark.dataSource.register(CaptureSink)
     micros = F.coalesce(F.unix_micros(ts), F.lit(0).cast("bigint"))
     record = packet_block_hex(micros, F.col(frame)) if classic is None else packet_record_hex(micros, F.col(frame), *classic)
-    blocks = frames.filter(F.col(frame).isNotNull()).select(F.unhex(record).alias("block"))
+    write_records(frames.filter(F.col(frame).isNotNull()).select(F.unhex(record).alias("block")), path, mode, classic)
+
+
+def write_records(blocks: DataFrame, path: str, mode: str = "append", classic: tuple[bool, bool] | None = (True, False)) -> None:
+    """Write the one column of ``blocks``, records as bytes, behind a capture's head; one file per partition, in its order."""
+    blocks.sparkSession.dataSource.register(CaptureSink)
     writer = blocks.write.format("wirelens_pcapng").mode(mode)
     if classic is not None:
         writer = writer.option("head", classic_head(*classic).hex())
