@@ -139,6 +139,24 @@ def test_refresh_rate_when_clocks_step_back(spark):
     assert rates(spark, streams, 1000, exact=True, chunk=32, bucket_ms=2000) == want
 
 
+def test_one_stamp_far_in_the_future(spark):
+    """The queue of the key never empties again; no task gets the rest of the key."""
+    rng = random.Random(2)
+    times = [i * 40 - rng.randrange(300) for i in range(1000, 5000)]
+    times[25] = 4_102_444_800_000
+    streams = {("f", "a"): times, ("f", "b"): [0] * 300, ("f", "c"): [5], ("g", "a"): times[:20]}
+    want = {k: queue_counts(v, 1000) for k, v in streams.items()}
+    assert rates(spark, streams, 1000, exact=True, chunk=64, bucket_ms=4000) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame([("f", "a", i, t) for i, t in enumerate(times)], "file string, message string, packet_no long, ms long")
+        out = verify.refresh_rate(df.withColumn("ts", F.timestamp_millis("ms")), window_ms=1000, exact=True, chunk=64, bucket_ms=4000)
+        shares = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(shares) == len(times) and len(shares) == 8 and max(shares) < 2.5 * len(times) / 8
+
+
 def test_check_columns(spark):
     checks = Checks(
         header=(0, 2), expected_header=b"\xaa\x55", terminator=(-1, 1), expected_terminator=b"\x0d",

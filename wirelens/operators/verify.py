@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -301,35 +299,52 @@ def refresh_rate(
     equal timestamps are ranked in chunks of the (unique integer) order column.
     No step holds a whole key. ``seed`` adds earlier counts (keys, _ms, _n).
 
-    Timestamps that step back follow the arrival queue only with
-    ``exact=True``: stretches of time holding such rows are folded in order.
+    Timestamps that step back follow the arrival queue only with ``exact=True``
+    (``_queue_rate``), which takes no ``seed``.
     """
     keys = [k for k in keys if k in df.columns]
     bucket_ms = max(bucket_ms, window_ms)  # a window must not reach past the bucket before
     staged = df.withColumn("_ms", _millis(ts))
-    if not exact:
-        return _ordered_rate(staged, staged, keys, order, window_ms, name, seed, chunk, bucket_ms).drop("_ms")
-    span = max(bucket_ms, 2 * window_ms)
-    marked = running(staged, keys, order, {"_top": ("max", F.col("_ms"))}, chunk)
-    marked = marked.withColumn("_late", F.coalesce(F.col("_ms") < F.col("_top"), F.lit(False))).withColumn(
-        "_epoch", F.floor(F.greatest("_ms", F.col("_top")) / span)
-    )
-    late = marked.filter("_late").select(*keys, "_epoch").distinct()
-    # An epoch is folded when it or the one before holds a late row.
-    folded = (
-        late.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode(F.array("_epoch", F.col("_epoch") + 1)).alias("_k_epoch"))
-        .distinct()
+    if exact:
+        if seed is not None:
+            raise ValueError("exact rates take no counts of earlier rows")
+        return _queue_rate(staged, keys, order, window_ms, name, chunk, bucket_ms).drop("_ms")
+    return _ordered_rate(staged, staged, keys, order, window_ms, name, seed, chunk, bucket_ms).drop("_ms")
+
+
+def _queue_rate(df: DataFrame, keys: list[str], order: str, window_ms: int, name: str, chunk: int, bucket_ms: int) -> DataFrame:
+    """Length of the arrival queue after each row, as prefix scans.
+
+    A row is appended, then rows older than its window leave from the front; a
+    late row in front keeps all behind it. So the front of row i is the first
+    row j of all with ms_j >= m_i - window, m_i the largest ms up to i: rows
+    before the front were below an earlier bound, and bounds only grow by m. The
+    first row to reach a value is a record (larger than all before it), so
+
+    - a scan gives every row its place and m,
+    - records, at most one per millisecond, find their front among the records
+      of the window before them, in buckets of time,
+    - a second scan hands the front of the latest record on to the rows after it.
+
+    Summaries of chunks are combined by maximum and sum, whatever the clocks do:
+    after one stamp far in the future nothing but a number is carried on.
+    """
+    placed = running(df, keys, order, {"_top": ("max", F.col("_ms")), "_place": ("sum", F.lit(1).cast("bigint"))}, chunk)
+    record = F.col("_top").isNull() | (F.col("_ms") > F.col("_top"))
+    home = F.floor(F.col("_ms") / bucket_ms)
+    reach = F.when(F.col("_ms") >= (home + 1) * bucket_ms - window_ms, F.array(home, home + 1)).otherwise(F.array(home))
+    spread = placed.filter(record).select(*keys, order, "_ms", "_place", F.explode(reach).alias("_bucket"))
+    recent = Window.partitionBy(*keys, "_bucket").orderBy("_ms").rangeBetween(-window_ms, 0)
+    fronts = (
+        spread.withColumn("_front", F.min("_place").over(recent))
+        .filter(F.col("_bucket") == home)
+        .select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, order]], "_front")
     )
-    same = _join_keys(keys, "_k_") & (F.col("_epoch") == F.col("_k_epoch"))
-    scratch = ["_top", "_late", "_epoch"]
-    calm = marked.join(folded, same, "left_anti").drop(*scratch)
-    records = marked.filter(~F.col("_late")).drop(*scratch)
-    calm = _ordered_rate(calm, records, keys, order, window_ms, name, seed, chunk, bucket_ms)
-    halo = marked.withColumn("_group", F.explode(F.array("_epoch", F.col("_epoch") + 1)))
-    owned = _join_keys(keys, "_k_") & (F.col("_group") == F.col("_k_epoch"))
-    restless = halo.join(folded, owned, "left_semi")
-    rough = _folded_rate(restless, keys, order, window_ms, name).drop(*scratch, "_group")
-    return calm.unionByName(rough.select(*calm.columns)).drop("_ms")
+    known = placed.drop("_top").join(fronts, _join_keys([*keys, order], "_k_"), "left").drop(*[f"_k_{k}" for k in [*keys, order]])
+    carried = running(known, keys, order, {"_last": ("max", F.col("_front"))}, chunk)
+    # fronts only move on, so the largest so far is that of the latest record
+    length = F.col("_place") - F.greatest("_front", "_last") + 1
+    return carried.withColumn(name, length).drop("_place", "_front", "_last")
 
 
 def _ordered_rate(df, counted, keys, order, window_ms, name, seed, chunk, bucket_ms) -> DataFrame:
@@ -359,26 +374,3 @@ def _ordered_rate(df, counted, keys, order, window_ms, name, seed, chunk, bucket
     out = rows.join(base, _join_keys(keys + ["_ms", "_slot"], "_k_"))
     scratch = ["_slot", "_base", "_k__slot", "_k__ms"] + [f"_k_{k}" for k in keys]
     return out.withColumn(name, F.col("_base") + rank).drop(*scratch)
-
-
-def _folded_rate(df: DataFrame, keys: list[str], order: str, window_ms: int, name: str) -> DataFrame:
-    """Queue fold over (keys, _group) in order; rows of the overlap are dropped after use."""
-    schema = T.StructType(df.schema.fields + [T.StructField(name, T.LongType())])
-    tags = keys + ["_group"]
-
-    def fold(batches):
-        group, queue = object(), deque()
-        for pdf in batches:
-            counts = []
-            for tag, ms in zip(pdf[tags].itertuples(index=False, name=None), pdf["_ms"]):
-                if tag != group:
-                    group, queue = tag, deque()
-                queue.append(ms)
-                while queue[0] < ms - window_ms:
-                    queue.popleft()
-                counts.append(len(queue))
-            out = pdf.assign(**{name: counts})
-            yield out[out["_group"] == out["_epoch"]]
-
-    sorted_rows = df.repartition(*tags).sortWithinPartitions(*tags, order)
-    return sorted_rows.mapInPandas(fold, schema)

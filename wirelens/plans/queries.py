@@ -660,18 +660,38 @@ def refresh_rate_ties(spark, sf):
     return _rated(spark, sf, F.date_trunc("hour", "ts"))
 
 
-@query()
-def refresh_rate_exact(spark, sf):
-    """Clocks that step back, following the arrival queue; checked by brute force in the tests."""
-    back = F.pmod(F.col("event_id") * 7919, F.lit(97)) * F.when(F.pmod("event_id", F.lit(40)) == 0, 1).otherwise(0)
-    ts = F.timestamp_millis(F.unix_millis("ts") - back * 60_000)
+def _queue_sql(ms: str) -> str:
+    """The arrival queue by its definition: the front is the first row that reaches the largest stamp so far less the window."""
+    return f"""WITH e AS (SELECT event_id, event_type, {ms} AS ms FROM events),
+    m AS (SELECT *, ROW_NUMBER() OVER w AS place, MAX(ms) OVER w AS top FROM e WINDOW w AS (PARTITION BY event_type ORDER BY event_id)),
+    r AS (SELECT event_type, top, MIN(place) AS place FROM m GROUP BY 1, 2)
+    SELECT m.event_id, m.place - r.place + 1 AS refresh_hz FROM m ASOF JOIN r ON m.event_type = r.event_type AND m.top - 3600000 <= r.top"""
+
+
+def _queue_rated(spark, sf, ms):
     rows = we.events(spark, sf).select(
-        F.col("event_id").alias("packet_no"), F.col("event_type").alias("message"), ts.alias("ts")
+        F.col("event_id").alias("packet_no"), F.col("event_type").alias("message"), F.timestamp_millis(ms).alias("ts")
     )
     out = verify.refresh_rate(rows, ("message",), window_ms=3_600_000, exact=True, bucket_ms=4 * 3_600_000)
     return out.select(F.col("packet_no").alias("event_id"), "refresh_hz")
 
 
+@query(_queue_sql("epoch_ms(ts) - CASE WHEN event_id % 40 = 0 THEN (event_id * 7919) % 97 ELSE 0 END * 60000"))
+def refresh_rate_exact(spark, sf):
+    """Clocks that step back, following the arrival queue."""
+    back = F.pmod(F.col("event_id") * 7919, F.lit(97)) * F.when(F.pmod("event_id", F.lit(40)) == 0, 1).otherwise(0)
+    return _queue_rated(spark, sf, F.unix_millis("ts") - back * 60_000)
+
+
+@query(_queue_sql("CASE WHEN event_id IN (SELECT MIN(event_id) + 5 FROM events) THEN 4102444800000 ELSE epoch_ms(ts) END"))
+def refresh_rate_future(spark, sf):
+    """One stamp in the year 2100 near the start: the queue of its key never empties again."""
+    events = we.events(spark, sf)
+    early = events.agg((F.min("event_id") + 5).alias("early"))
+    ms = F.when(F.col("event_id") == F.lit(early.first()["early"]), F.lit(4_102_444_800_000)).otherwise(F.unix_millis("ts"))
+    return _queue_rated(spark, sf, ms)
+
+
 # ----------------------------------------------------------------- sentences
 
 
