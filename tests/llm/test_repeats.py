@@ -46,19 +46,25 @@ def test_equals_brute_force(spark, length, vocabulary, block, bucket):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
-def test_narrow_hashes_only_keep_candidates(spark, monkeypatch):
-    """Collisions below the last level change nothing."""
+def test_hashes_tell_words_apart():
+    """Words of all lengths, also beyond eight bytes and beyond the long ones; both hashes."""
     import numpy as np
 
-    real = repeats._mixed
-    rows = corpus(3, 120, 40, 35)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
-
-    hasher = repeats._Hasher(9, False)
-    words = [b"%d" % i for i in range(2000)]
-    assert len(np.unique(hasher.of(words)[0])) == 1992 and real is repeats._mixed
-    got = repeats.without_repeats(docs).collect()
-    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.text) for r in got], key=repr) == truth(rows, 35)
+    words = [b"x" * n for n in range(1, 600)] + [b"%d" % i for i in range(20_000)] + [b"a" * 8 + b"%d" % i for i in range(999)]
+    data = b" ".join(words)
+    size = np.array([len(w) for w in words])
+    ends = np.cumsum(size + 1) - 1
+    for half in (0, 1):
+        assert len(np.unique(repeats._word_hashes(data, ends - size, ends, half))) == len(words)
+        h = repeats._word_hashes(data + b" " + data, np.append(ends - size, ends - size + len(data) + 1), np.append(ends, ends + len(data) + 1), half)
+        assert (h[: len(words)] == h[len(words) :]).all()
+
+
+def test_words_of_a_block():
+    texts = ["", " a  b\n", "é\x0b😀\x1c x", "\t", "last", "z" * 2000].copy()
+    block = repeats._Block(*repeats._packed(list(range(6)), [0] * 6, [t.encode() for t in texts]))
+    got = [block.text(lo, hi).split() for _, _, lo, hi in block.stretches()]
+    assert got == [[w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for t in texts]
 
 
 def test_levels():

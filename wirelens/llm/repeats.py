@@ -44,8 +44,6 @@ LENGTH = 35
 BLOCK_BYTES = 8 << 20
 #: Windows that a bucket has on average.
 BUCKET_WINDOWS = 2_000_000
-#: Words whose hashes a task remembers.
-KNOWN_WORDS = 300_000
 
 #: A block: rows (their place in the block), where a stretch starts in its row, its bytes; the stretches' texts behind each other, compressed.
 _INTS = pa.list_(pa.int32())
@@ -62,103 +60,141 @@ def levels(length: int) -> list[int]:
     return steps
 
 
-class _Words(dict):
-    """64-bit hashes of words, one of several kinds; a bounded memory."""
+#: Odd factors and offsets of the two independent hashes.
+_FACTORS = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0x94D049BB133111EB), (0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0xFF51AFD7ED558CCD))
+#: Words with more bytes are hashed one by one.
+LONG_WORD = 512
 
-    def __init__(self, half: int):
-        super().__init__()
-        self.half = half
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, seed=self.half)
-        return value
-
-
-def _mixed(a, b):
+def _mixed(a, b, half: int):
     """One hash of two, in order; wraps at 64 bits."""
     import numpy as np
 
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ np.uint64(0xD6E8FEB86659FD93))
+    k, m, n = map(np.uint64, _FACTORS[half])
+    x = a * k + (b ^ m)
     x ^= x >> np.uint64(32)
-    x *= np.uint64(0xD6E8FEB86659FD93)
+    x *= m
     x ^= x >> np.uint64(29)
-    x *= np.uint64(0x94D049BB133111EB)
+    x *= n
     return x ^ (x >> np.uint64(32))
 
 
-def _window_hashes(h, length: int):
+def _word_hashes(data: bytes, starts, ends, half: int):
+    """Hashes of the words at these places, eight bytes of all words at a time."""
+    import numpy as np
+    import xxhash
+
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = ends - starts
+    h = size.astype(np.uint64)
+    live, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        left = size[live] - at
+        part = eight[starts[live] + at]
+        short = left < 8
+        part[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        h[live] = _mixed(h[live], part, half)
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], seed=half + 1)
+    return h
+
+
+def _window_hashes(h, length: int, half: int):
     """Hashes of all windows of ``length`` words by doubling: a window is two windows of half its length, which may overlap."""
     size = 1
     while size < length:
         step = min(size, length - size)
-        h = _mixed(h[: len(h) - step], h[step:])
+        h = _mixed(h[: max(0, len(h) - step)], h[step:], half)
         size += step
     return h
 
 
-class _Hasher:
-    """Window hashes of stretches; 64 bits, and 64 more from other word hashes where ``whole`` is set."""
-
-    def __init__(self, length: int, whole: bool):
-        self.length, self.halves = length, [_Words(n) for n in range(1 + whole)]
-
-    def of(self, words: list[bytes]) -> list:
-        import numpy as np
+def _buckets_of(first, buckets: int):
+    """Even ranges of the hashes, so that order by hash is order by bucket."""
+    import numpy as np
 
-        return [_window_hashes(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)), self.length) for known in self.halves]
+    return ((first >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
 class _Block:
-    """A block's stretches, unpacked one at a time."""
+    """A block's words: bytes, where each begins and ends, and the number of the first word of each stretch."""
 
     def __init__(self, rows: list[int], starts: list[int], sizes: list[int], data: bytes):
+        import numpy as np
         import zstandard
 
-        self.rows, self.starts, self.sizes = rows, starts, sizes
-        self.data = zstandard.ZstdDecompressor().decompress(data) if data else b""
+        self.rows, self.first = rows, starts
+        self.data = zstandard.ZstdDecompressor().decompress(data)
+        raw = np.frombuffer(self.data, np.uint8)
+        # the white space of the word rule; every stretch ends with some
+        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if len(raw) and not blank[0]:
+            edges = np.append(0, edges)
+        self.starts, self.ends = edges[::2], edges[1::2]
+        self.offsets = np.searchsorted(self.starts, np.append(0, np.cumsum(sizes)))
+
+    def windows(self, length: int):
+        """Numbers of the words that begin a window inside their stretch, and their stretches."""
+        import numpy as np
 
-    def stretches(self) -> Iterator[tuple[int, int, list[bytes]]]:
-        """Row, start and words of every stretch. bytes.split() parts at the white space of the word rule."""
-        at = 0
-        for row, start, size in zip(self.rows, self.starts, self.sizes, strict=True):
-            yield row, start, self.data[at : at + size].split()
-            at += size
+        stretch = np.repeat(np.arange(len(self.rows)), np.diff(self.offsets))
+        at = np.flatnonzero(np.arange(len(stretch)) + length <= self.offsets[stretch + 1])
+        return at, stretch[at]
 
-    def keys(self, hasher: _Hasher, buckets: int):
-        """Distinct window hashes in order of bucket and hash, which of them are there several times, and each window's place among them.
+    def hashes(self, length: int, whole: bool) -> list:
+        """Window hashes; a second, independent one where ``whole`` is set."""
+        at, _ = self.windows(length)
+        if not len(at):
+            return []
+        return [_window_hashes(_word_hashes(self.data, self.starts, self.ends, half), length, half)[at] for half in range(1 + whole)]
 
-        Hashes are columns: one of 64 bits with the bucket in front, and a
-        second one where the hasher makes it.
-        """
+    def keys(self, length: int, whole: bool, buckets: int, places: bool = True):
+        """Distinct window hashes in order of bucket, their buckets, which are there several times, and each window's place among them."""
         import numpy as np
 
-        parts = [hasher.of(words) for _, _, words in self.stretches() if len(words) >= hasher.length]
-        if not parts:
+        cols = self.hashes(length, whole)
+        if not cols:
             return None
-        first = np.concatenate([p[0] for p in parts])
-        # the bucket in front and the low half of the hash behind it
-        key = (((first >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (first & np.uint64(0xFFFFFFFF))
-        if len(hasher.halves) == 1:
-            distinct, place, counts = np.unique(key, return_inverse=True, return_counts=True)
-            return (distinct,), counts > 1, place
-        rest = [first, np.concatenate([p[1] for p in parts])]
-        order = np.lexsort((rest[1], rest[0], key))
-        cols = [c[order] for c in (key, *rest)]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.cumsum(fresh) - 1
-        return tuple(c[fresh] for c in cols), np.bincount(place) > 1, place
+        if not whole:
+            cols = [(_buckets_of(cols[0], buckets) << np.uint64(32)) | (cols[0] & np.uint64(0xFFFFFFFF))]
+        if whole or places:
+            order = np.argsort(cols[0])
+            held = [c[order] for c in cols]
+            if whole and np.any((held[0][1:] == held[0][:-1]) & (held[1][1:] != held[1][:-1])):
+                order = np.lexsort(cols[::-1])
+                held = [c[order] for c in cols]
+        else:
+            held = [np.sort(cols[0])]
+        fresh = np.ones(len(held[0]), bool)
+        fresh[1:] = np.any([c[1:] != c[:-1] for c in held], axis=0)
+        heads = np.flatnonzero(fresh)
+        several = np.diff(np.append(heads, len(fresh))) > 1
+        distinct = [c[heads] for c in held]
+        own = _buckets_of(distinct[0], buckets) if whole else distinct[0] >> np.uint64(32)
+        place = None
+        if places:
+            place = np.empty(len(fresh), np.int64)
+            place[order] = np.cumsum(fresh) - 1
+        return distinct, own.astype(np.int64), several, place
+
+    def text(self, lo: int, hi: int) -> bytes:
+        """Bytes from the first of some words to the last."""
+        return self.data[self.starts[lo] : self.ends[hi - 1]] if hi > lo else b""
+
+    def stretches(self) -> Iterator[tuple[int, int, int, int]]:
+        """Row, number of the row's word that it begins with, and its words' numbers in the block (from, to)."""
+        offsets = self.offsets.tolist()
+        yield from zip(self.rows, self.first, offsets, offsets[1:], strict=False)
 
 
 def _packed(rows: list[int], starts: list[int], texts: list[bytes]) -> tuple:
     import zstandard
 
-    return rows, starts, [len(t) for t in texts], zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+    return rows, starts, [len(t) + 1 for t in texts], zstandard.ZstdCompressor(level=3).compress(b"".join([t + b"\n" for t in texts]))
 
 
 def _cells(held: pa.Table, *names: str) -> list[tuple]:
@@ -211,19 +247,17 @@ def _sent(table: DataFrame, length: int, whole: bool, buckets: int) -> DataFrame
     import numpy as np
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher(length, whole)
         for batch in batches:
             for block, *cells in _cells(batch, "block", "rows", "starts", "sizes", "data"):
-                found = _Block(*cells).keys(hasher, buckets)
+                found = _Block(*cells).keys(length, whole, buckets, places=False)
                 if found is None:
                     continue
-                cols, several, _ = found
-                numbers, starts = np.unique(cols[0] >> np.uint64(32), return_index=True)
-                ends = [*starts[1:], len(several)]
+                cols, own, several, _ = found
+                numbers, starts = np.unique(own, return_index=True)
                 rows = []
-                for bucket, lo, hi in zip(numbers.tolist(), starts, ends, strict=True):
+                for bucket, lo, hi in zip(numbers.tolist(), starts, [*starts[1:], len(own)], strict=True):
                     # sorted hashes, by bytes of equal weight: the upper ones hardly differ and shrink on the wire
-                    planes = [(cols[0][lo:hi] & np.uint64(0xFFFFFFFF)).astype("<u4"), *[c[lo:hi].astype("<u8") for c in cols[1:]]]
+                    planes = [c[lo:hi].astype("<u8") for c in cols] if whole else [(cols[0][lo:hi] & np.uint64(0xFFFFFFFF)).astype("<u4")]
                     flat = b"".join(p.view(np.uint8).reshape(len(p), -1).T.tobytes() for p in planes)
                     rows.append((bucket, block, flat, np.packbits(several[lo:hi]).tobytes()))
                 yield _batch(rows, KEYS)
@@ -237,7 +271,7 @@ def _answers(whole: bool) -> Callable[[pa.Table], pa.Table]:
     def work(held: pa.Table) -> pa.Table:
         import numpy as np
 
-        widths = (4, 8, 8) if whole else (4,)
+        widths = (8, 8) if whole else (4,)
         parts: list[list] = [[] for _ in widths]
         several, sizes = [], []
         for flat, bits in zip(held.column("hashes"), held.column("several"), strict=True):
@@ -250,8 +284,12 @@ def _answers(whole: bool) -> Callable[[pa.Table], pa.Table]:
             sizes.append(n)
         cols = [np.concatenate(p) for p in parts]
         marked = np.concatenate(several)
-        order = np.lexsort(cols[::-1]) if whole else np.argsort(cols[0], kind="stable")
-        same = np.all([c[order][1:] == c[order][:-1] for c in cols], axis=0)
+        order = np.argsort(cols[0])
+        equal = [c[order][1:] == c[order][:-1] for c in cols]
+        if whole and np.any(equal[0] & ~equal[1]):
+            order = np.lexsort(cols[::-1])
+            equal = [c[order][1:] == c[order][:-1] for c in cols]
+        same = np.all(equal, axis=0)
         repeated = np.zeros(len(order), bool)
         repeated[1:] |= same
         repeated[:-1] |= same
@@ -263,28 +301,22 @@ def _answers(whole: bool) -> Callable[[pa.Table], pa.Table]:
     return work
 
 
-def _flags(block: _Block, hasher: _Hasher, buckets: int, answers: pa.Table):
-    """For each window of a block, in order, whether it is repeated."""
+def _repeated(block: _Block, length: int, whole: bool, buckets: int, answers: pa.Table) -> list[tuple[int, int, int]]:
+    """Stretch and words (from, to, as numbers in the block) under windows that are repeated, for each run of them."""
     import numpy as np
 
-    found = block.keys(hasher, buckets)
+    found = block.keys(length, whole, buckets)
     if found is None:
-        return np.zeros(0, bool)
-    cols, several, place = found
-    counts = np.bincount((cols[0] >> np.uint64(32)).astype(np.int64), minlength=buckets)
+        return []
+    _, own, _, place = found
+    counts = np.bincount(own, minlength=buckets)
     bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=counts[k]) for k, b in sorted(_cells(answers, "bucket", "bits"))]
-    return np.concatenate(bits).astype(bool)[place]
-
-
-def _spans(flags, length: int) -> list[tuple[int, int]]:
-    """Stretches of words (start, end) under the windows that are set."""
-    import numpy as np
-
-    at = np.flatnonzero(flags)
+    at, stretch = (x[np.concatenate(bits).astype(bool)[place]] for x in block.windows(length))
     if not len(at):
         return []
-    gaps = np.flatnonzero(at[1:] - at[:-1] > 1)
-    return list(zip(at[np.append(0, gaps + 1)].tolist(), (at[np.append(gaps, len(at) - 1)] + length).tolist(), strict=True))
+    gaps = np.flatnonzero((at[1:] - at[:-1] > 1) | (stretch[1:] != stretch[:-1]))
+    heads, tails = np.append(0, gaps + 1), np.append(gaps, len(at) - 1)
+    return list(zip(stretch[heads].tolist(), at[heads].tolist(), (at[tails] + length).tolist(), strict=True))
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -299,27 +331,17 @@ def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _kept_stretches(table: DataFrame, answers: DataFrame, length: int, target: int, buckets: int, whole: bool) -> DataFrame:
-    """BLOCK: stretches of repeated windows that have ``target`` words or more; with ``whole`` those under repeated windows."""
+    """BLOCK: stretches of repeated windows that have ``target`` words or more."""
 
     def work(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        hasher = _Hasher(length, whole)
         for block, *cells in _cells(left, "block", "rows", "starts", "sizes", "data"):
             held = _Block(*cells)
-            flags, at = _flags(held, hasher, buckets, right), 0
-            rows, starts, texts, n = [], [], [], 0
-            for row, start, words in held.stretches():
-                windows = max(0, len(words) - length + 1)
-                spans = _spans(flags[at : at + windows], length)
-                for lo, hi in _joined(spans) if whole else spans:
-                    if hi - lo >= target:
-                        rows.append(row)
-                        starts.append(start + lo)
-                        texts.append(b" ".join(words[lo:hi]) + b"\n")
-                        n += hi - lo
-                at += windows
-            if rows:
-                out.append((block, n, *_packed(rows, starts, texts)))
+            runs = [r for r in _repeated(held, length, whole, buckets, right) if r[2] - r[1] >= target]
+            if runs:
+                rows = [held.rows[k] for k, _, _ in runs]
+                starts = [held.first[k] + lo - int(held.offsets[k]) for k, lo, _ in runs]
+                out.append((block, sum(hi - lo for _, lo, hi in runs), *_packed(rows, starts, [held.text(lo, hi) for _, lo, hi in runs])))
         return pa.Table.from_batches([_batch(out, BLOCK)])
 
     return table.select(*BLOCK.names).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, from_arrow_schema(BLOCK))
@@ -348,11 +370,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BL
     def work(_key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         covered: dict[int, list[tuple[int, int]]] = {}
         for cells in _cells(right, "rows", "starts", "sizes", "data"):
-            for row, start, words in _Block(*cells).stretches():
-                covered.setdefault(row, []).append((start, start + len(words)))
+            for row, start, lo, hi in _Block(*cells).stretches():
+                covered.setdefault(row, []).append((start, start + hi - lo))
         out = []
         for cells in _cells(left, "rows", "starts", "sizes", "data"):
-            for row, _, words in _Block(*cells).stretches():
+            held = _Block(*cells)
+            for row, _, first, last in held.stretches():
+                words = held.text(first, last).split()
                 own = _joined(sorted(covered.get(row, ())))
                 edges = [0, *[e for span in own for e in span], len(words)]
                 kept = [w for lo, hi in zip(edges[::2], edges[1::2], strict=True) for w in words[lo:hi]]
