@@ -13,6 +13,7 @@ from wirelens.operators.decode import decode_fields, decode_long
 from wirelens.operators.nmea import nmea_rows
 from wirelens.operators.verify import verify
 from wirelens.plans.model import Message, check_headers, value_headers
+from wirelens.sources.outputs import FORMATS, write_outputs
 
 
 def output_key(name: Column, length: Column, port: Column, stamp: str) -> Column:
@@ -50,18 +51,36 @@ def write_decoded(
 
     Routed rows are written once to ``staging`` partitioned by message, so the
     source is read once however many messages there are, and every output reads
-    only its own partition.
+    only its own partition. All outputs are then written by one job and become
+    visible together (``outputs.write_outputs``); formats that it lacks are
+    written one by one.
+    """
+    spark = routed.sparkSession
+    outputs = staged_outputs(routed, messages, staging, stamp, values_only)
+    if fmt in FORMATS:
+        write_outputs(spark, outputs, path, fmt=fmt)
+    else:
+        for name, rows in outputs.items():
+            rows.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{name}")
+    return [f"{path.rstrip('/')}/{name}" for name in outputs]
+
+
+def staged_outputs(
+    routed: DataFrame, messages: list[Message], staging: str, stamp: str, values_only: bool = False, ready=lambda rows, i: rows
+) -> dict[str, DataFrame]:
+    """Output names and rows by message, from one write of the routed rows partitioned by message.
+
+    ``ready(rows, i)`` may add columns to the staged rows of message ``i``.
+    Of messages with one output name the last one's rows count, as with writes one after another.
     """
     spark = routed.sparkSession
     routed.withColumn("part", F.col("def_order")).write.mode("overwrite").partitionBy("part").parquet(staging)
     staged = spark.read.schema(T.StructType([*routed.schema.fields, T.StructField("part", T.IntegerType())])).parquet(staging)
-    written = []
+    outputs: dict[str, DataFrame] = {}
     for i, m in enumerate(messages):
-        target = f"{path.rstrip('/')}/{output_name(m, stamp)}"
-        rows = staged.filter(F.col("part") == i).drop("part")
-        message_output(rows, m, values_only=values_only).write.mode("overwrite").format(fmt).save(target)
-        written.append(target)
-    return written
+        rows = message_output(ready(staged.filter(F.col("part") == i).drop("part"), i), m, values_only=values_only)
+        outputs[output_name(m, stamp)] = rows
+    return outputs
 
 
 def write_decoded_long(routed: DataFrame, messages: list[Message], path: str, stamp: str) -> None:

@@ -24,7 +24,8 @@ from wirelens.operators.route import route
 from wirelens.operators.summary import latest_preview
 from wirelens.operators.verify import WINDOW_MS, millis_counts, refresh_rate
 from wirelens.plans.model import Message
-from wirelens.sources.sinks import message_output, output_name
+from wirelens.sources.outputs import write_outputs
+from wirelens.sources.sinks import staged_outputs
 
 DATAGRAM_SCHEMA = T.StructType(
     [
@@ -91,30 +92,40 @@ def live_decode(
 ) -> StreamingQuery:
     """Write each message's rows (values, then checks) to its own folder per batch.
 
-    Messages with a refresh-rate check share one state table under ``state``.
+    A batch is evaluated once, into a staging folder partitioned by message; one
+    job then writes all messages' outputs, which become visible together. A
+    repeated batch replaces its own output. Messages with a refresh-rate check
+    share one state table under ``state``.
     """
     rated = [m.name for m in messages if m.checks is not None and m.checks.refresh_rate]
     where = state or f"{checkpoint.rstrip('/')}/rates"
     watched = with_metrics(live_route(with_received(stream), messages), messages)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        rows = batch.persist()
-        if rated:
-            timed = rows.filter(F.col("message").isin(*rated))
-            hz = _rated_batch(timed, where, epoch, ("message",))
-            plain = rows.filter(~F.col("message").isin(*rated))
-            rows_out = hz.unionByName(plain.withColumn("refresh_hz", F.lit(None).cast("bigint")))
-        else:
-            rows_out = rows
-        for m in messages:
-            own = rows_out.filter(F.col("message") == m.name)
-            out = message_output(own, m)
-            out.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{output_name(m, stamp)}/batch={epoch}")
-        rows.unpersist()
+        spark = batch.sparkSession
+        staging = f"{checkpoint.rstrip('/')}/staged/batch={epoch}"
+        rates: list[DataFrame] = []
+
+        def with_rate(rows: DataFrame, i: int) -> DataFrame:
+            if messages[i].name not in rated:
+                return rows
+            if not rates:
+                all_rows = spark.read.schema(batch.schema).parquet(staging)
+                rates.append(_rated_batch(all_rows.filter(F.col("message").isin(*rated)), where, epoch, ("message",)))
+            return rates[0].filter(F.col("message") == messages[i].name)
+
+        outputs = staged_outputs(batch, messages, staging, stamp, ready=with_rate)
+        write_outputs(spark, outputs, path, into=f"batch={epoch}")
+        _remove(spark, staging)
 
     return watched.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_once(trigger)).start()
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _once(trigger: dict) -> dict:
     return trigger or {"availableNow": True}
 
@@ -145,8 +156,7 @@ def _read_state(spark: SparkSession, state: str, epoch: int) -> DataFrame | None
 def _forget_state(spark: SparkSession, state: str, epoch: int) -> None:
     """Remove what no batch needs again: a repeated batch reads only the state before it."""
     if epoch > 1:
-        old = spark._jvm.org.apache.hadoop.fs.Path(_state_path(state, epoch - 2))
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        _remove(spark, _state_path(state, epoch - 2))
 
 
 def _rated_batch(rows: DataFrame, state: str, epoch: int, keys: tuple[str, ...], window_ms: int = WINDOW_MS) -> DataFrame:
