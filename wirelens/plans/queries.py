@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wirelens.functions import bits as fb
@@ -1744,6 +1744,125 @@ def live_refresh_rate(spark, sf):
     return spark.read.parquet(path).select(F.col("packet_no").alias("event_id"), "refresh_hz")
 
 
+def _in_steps(spark, rows, by_time, path: str, run, parts: int = 4) -> None:
+    """Land rows in order of time, a part at a time, and ``run(stream)`` over what is there after each: a restart every time."""
+    cuts = rows.agg(*[F.expr(f"percentile_disc({k / parts}) WITHIN GROUP (ORDER BY unix_micros({by_time}))") for k in range(1, parts)]).first()
+    at = F.unix_micros(by_time)
+    edges = [None, *[int(c or 0) for c in cuts], None]
+    for lo, hi in zip(edges, edges[1:], strict=False):
+        some = rows if lo is None else rows.filter(at >= lo)
+        (some if hi is None else some.filter(at < hi)).coalesce(2).write.mode("append").parquet(path)
+        run(spark.readStream.schema(rows.schema).parquet(path))
+
+
+def _to_folder(frames, path: str) -> None:
+    writer = frames.writeStream.format("parquet").option("path", path).option("checkpointLocation", path + "-state").outputMode("append")
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type, epoch_ms(ts) AS ms FROM events)
+    SELECT event_id, COUNT(*) OVER (PARTITION BY event_type ORDER BY ms RANGE BETWEEN 600000 PRECEDING AND CURRENT ROW)
+    - COUNT(*) OVER (PARTITION BY event_type, ms) + ROW_NUMBER() OVER (PARTITION BY event_type, ms ORDER BY event_id) AS refresh_hz FROM e"""
+)
+def live_rates(spark, sf):
+    """Rates from the state store over four starts of a query; a row at the end of time brings out the last ones."""
+    from wirelens.streaming import stateful
+
+    rows = we.events(spark, sf).select(
+        F.col("event_id").alias("packet_no"), F.col("event_type").alias("message"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    path = work_path(spark, "arrivals")
+    end = rows.limit(1).select(F.lit(-1).cast("long").alias("packet_no"), F.lit("").alias("message"), F.lit("2200-01-01").cast("timestamp").alias("ts"))
+
+    def run(stream):
+        _to_folder(stateful.stateful_refresh_rate(stream, window_ms=600_000, bucket_ms=6 * 3_600_000, delay="1 minute"), path + "-out")
+
+    _in_steps(spark, rows, "ts", path, run)
+    end.write.mode("append").parquet(path)
+    run(spark.readStream.schema(rows.schema).parquet(path))
+    return spark.read.parquet(path + "-out").filter("packet_no >= 0").select(F.col("packet_no").alias("event_id"), "refresh_hz")
+
+
+def _live_outputs(spark, sf):
+    """Events decoded live in four starts of one query; the path, the messages and the metrics of every batch."""
+    import dataclasses
+
+    from wirelens.streaming import live
+
+    checks = dataclasses.replace(we.CHECKS, refresh_rate=(2, 1))
+    layouts = [
+        Message(n, 5001 + i, 24, we.BASE_FIELDS[:5], header=bytes.fromhex(f"AA55{i + 1:02X}"), checks=checks) for i, n in enumerate(we.EVENT_TYPES)
+    ]
+    path = work_path(spark, "live")
+    metrics: list = []
+    rows = we.event_datagrams(we.events(spark, sf)).withColumn("connection_id", F.lit("c1"))
+
+    def run(stream):
+        query = live.live_decode(stream, layouts, path, path + "-state")
+        query.awaitTermination()
+        metrics.extend(live.metrics_of(query))
+
+    _in_steps(spark, rows, "ts", path + "-in", run)
+    return path, layouts, metrics
+
+
+@query(
+    f"""WITH e AS (SELECT *, epoch_ms(ts) AS ms FROM events), r AS (
+      SELECT *, COUNT(*) OVER (PARTITION BY event_type ORDER BY ms RANGE BETWEEN 1000 PRECEDING AND CURRENT ROW)
+      - COUNT(*) OVER (PARTITION BY event_type, ms) + ROW_NUMBER() OVER (PARTITION BY event_type, ms ORDER BY event_id) AS hz FROM e)
+    SELECT event_type AS message, event_id, {TYPE_ID} AS msg_id, user_id % 65536 AS user_id, 'True' AS "HeaderOK", 'True' AS "ChecksumOK",
+    'True' AS "DataLenOK", hz AS refresh_hz, CASE WHEN abs(hz - 2) <= 1 THEN 'True' ELSE 'False' END AS "RefreshRateOK" FROM r"""
+)
+def live_decode(spark, sf):
+    """Values and checks of every message, written live by one job a batch with one commit; rates carried across restarts."""
+    from wirelens.sources.sinks import output_name
+
+    path, layouts, _ = _live_outputs(spark, sf)
+    out = None
+    for m in layouts:
+        rows = spark.read.parquet(f"{path}/{output_name(m, 'live')}").select(
+            F.lit(m.name).alias("message"), "event_id", "msg_id", "user_id", "HeaderOK", "ChecksumOK", "DataLenOK",
+            F.col("RefreshRateObservedHz").alias("refresh_hz"), "RefreshRateOK",
+        )
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT COUNT(*) AS received, COUNT(*) AS matched, 0 AS short_packets, 4 AS batches FROM events")
+def live_metrics(spark, sf):
+    """What the running query told of itself: datagrams received and matched, and short packets, over its batches."""
+    _, _, metrics = _live_outputs(spark, sf)
+    told = spark.createDataFrame(metrics, "batch long, name string, metric string, value long").filter("value IS NOT NULL")
+    sums = [F.sum(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("received", "matched", "short_packets")]
+    return told.agg(*sums, F.count_distinct(F.when(F.col("value") > 0, F.col("batch"))).alias("batches"))
+
+
+@query(
+    """WITH c AS (SELECT doc_id // 7 AS k, string_agg(hex(encode(text)), '' ORDER BY doc_id) AS h FROM documents GROUP BY 1),
+    f AS (SELECT k, h, unnest(range(0, length(h) // 200)) AS i FROM c)
+    SELECT k AS connection_id, i AS frame_no, md5(substr(h, CAST(i * 200 + 1 AS BIGINT), 200)) AS digest FROM f"""
+)
+def live_frames(spark, sf):
+    """Documents arriving out of order as chunks of byte streams, framed from the state store over three starts of a query."""
+    from wirelens.streaming import stateful
+
+    sized = table(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / 7).cast("string").alias("connection_id"), "doc_id", F.encode("text", "UTF-8").alias("chunk")
+    )
+    # a stream here is seven documents, so a window over one is small
+    before = Window.partitionBy("connection_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    position = F.coalesce(F.sum(F.coalesce(F.octet_length("chunk"), F.lit(0))).over(before), F.lit(0))
+    rows = sized.select("connection_id", "doc_id", position.alias("position"), "chunk", F.timestamp_seconds(F.col("doc_id") + 1).alias("ts"))
+    path = work_path(spark, "chunks")
+    for k in (2, 0, 1):
+        rows.filter(F.pmod("doc_id", F.lit(3)) == k).coalesce(2).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(rows.schema).parquet(path)
+        _to_folder(stateful.stateful_reframe(stream, 100, delay="36500 days"), path + "-out")
+    done = spark.read.parquet(path + "-out").filter("complete")
+    return done.select(F.col("connection_id").cast("long").alias("connection_id"), "frame_no", F.md5(F.encode(F.hex("payload"), "UTF-8")).alias("digest"))
+
+
 @query(
     """WITH c AS (SELECT doc_id // 7 AS k, string_agg(hex(encode(text)), '' ORDER BY doc_id) AS h FROM documents GROUP BY 1),
     f AS (SELECT k, h, unnest(range(0, length(h) // 200)) AS i FROM c)

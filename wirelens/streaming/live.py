@@ -81,6 +81,15 @@ def with_received(stream: DataFrame, name: str = "received") -> DataFrame:
     return stream.observe(name, F.count(F.lit(1)).alias("received"))
 
 
+def metrics_of(query: StreamingQuery) -> list[tuple[int, str, str, int]]:
+    """(batch, name, metric, value) of everything that ``with_metrics`` and ``with_received`` observed in a query's recent batches."""
+    told = []
+    for progress in query.recentProgress:
+        for name, row in progress["observedMetrics"].items():
+            told += [(progress["batchId"], name, metric, value) for metric, value in row.asDict().items()]
+    return told
+
+
 def live_decode(
     stream: DataFrame,
     messages: list[Message],
