@@ -1,6 +1,9 @@
+import random
 import tempfile
+import time
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from wirelens.operators import icd
@@ -132,6 +135,45 @@ def test_sizes_extents_and_repeated_headers(spark):
     assert [r.warning for r in notes.collect()] == ["size unknown; offset left empty"]
 
 
+def free_names(rows, fold):
+    """Names by their definition, in order."""
+    used, out = {}, []
+    for message, order, name in sorted(rows, key=lambda r: (r[0], r[1])):
+        taken = used.setdefault(message, set())
+        key = (lambda s: s.lower()) if fold else (lambda s: s)
+        chosen = name if key(name) not in taken else next(f"{name}_{n}" for n in range(2, 1 << 30) if key(f"{name}_{n}") not in taken)
+        taken.add(key(chosen))
+        out.append((message, order, chosen))
+    return out
+
+
+@pytest.mark.parametrize("fold", [False, True])
+def test_unique_names_of_random_families(spark, fold):
+    rng = random.Random(9)
+    rows = []
+    for message in "xyz":
+        for i in range(300):
+            name = rng.choice("aAbéÉ") + "".join(f"_{rng.choice(['2', '3', '02', '10'])}" for _ in range(rng.choice([0, 0, 0, 1, 1, 2])))
+            rows.append((message, i * 7 % 300, name if rng.random() < 0.97 else "_2"))
+    df = spark.createDataFrame([(*r, [1], "f") for r in rows], "message string, ord long, name string, list array<int>, `_x` string").repartition(5)
+    got = icd.unique_names(df, ["message"], "ord", "name", fold)
+    assert got.columns == df.columns
+    assert sorted((r.message, r.ord, r.name) for r in got.collect()) == sorted(free_names(rows, fold))
+
+
+def test_unique_names_of_ten_thousand_clashes(spark):
+    """Every second name is a numbered form that is taken already: linear, not a search from 2 for each."""
+    names = ["a" if i % 2 else f"a_{i}" for i in range(20_000)]
+    df = spark.createDataFrame([("m", i, n) for i, n in enumerate(names)], "message string, ord long, name string")
+    start = time.perf_counter()
+    got = [r.name for r in icd.unique_names(df, ["message"], "ord", "name").orderBy("ord").collect()]
+    assert time.perf_counter() - start < 20
+    assert len(set(got)) == len(names)
+    held = icd._FreeNames()
+    start = time.perf_counter()
+    assert [held.take(n, n) for n in names] == got and time.perf_counter() - start < 0.5
+
+
 def test_unique_names_skip_taken_suffixes(spark):
     df = spark.createDataFrame([("m", i, n) for i, n in enumerate(["a", "a_2", "a", "A", "a"])], "message string, ord int, name string")
     assert [r.name for r in icd.unique_names(df, ["message"], "ord", "name").orderBy("ord").collect()] == ["a", "a_2", "a_3", "A", "a_4"]

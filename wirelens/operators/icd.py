@@ -229,48 +229,69 @@ def rebase_offsets(tables: DataFrame, keys: list[str]) -> DataFrame:
 def unique_names(df: DataFrame, keys: list[str], order: str, name: str, fold_case: bool = False) -> DataFrame:
     """Replace repeated names by ``name_2``, ``name_3``..., skipping names already used.
 
-    Repeats are numbered by rank. Only where a name looks like the numbered form
-    of a repeated one are that message's (or document's) names folded in order.
+    Repeats are numbered by rank. Names can only clash inside a family: equal
+    but for numbers at their end (``a``, ``a_2``, ``a_2_3``). Only families where
+    a name looks like the numbered form of a repeated one are gone through in
+    order, each by itself.
     """
-
-    def key(c: Column) -> Column:
-        return F.lower(c) if fold_case else c
-
+    key = F.lower(F.col(name)) if fold_case else F.col(name)
     same = Window.partitionBy(*[f"`{k}`" for k in keys], "_k")
-    ranked = df.withColumn("_k", key(F.col(name))).withColumn("_n", F.row_number().over(same.orderBy(order)))
-    ranked = ranked.withColumn("_many", F.count("*").over(same))
-    # a name that is another's numbered form, once for each family it may belong to
+    ranked = df.withColumn("_k", key).withColumn("_n", F.row_number().over(same.orderBy(order)))
+    ranked = ranked.withColumn("_many", F.count("*").over(same)).withColumn("_family", F.regexp_replace("_k", "(_[0-9]+)+$", ""))
+    # a name that is another's numbered form, once for each name it may be numbered from
     base = F.regexp_extract("_k", "^(.*)_[0-9]+$", 1)
     suffixed = ranked.filter(base != "").select(*keys, base.alias("_k")).distinct()
-    clashing = ranked.filter("_many > 1").select(*keys, "_k").distinct().join(suffixed, [*keys, "_k"]).select(*keys).distinct()
-    marked = ranked.join(clashing.withColumn("_clash", F.lit(True)), keys, "left")
+    repeated = ranked.filter("_many > 1").select(*keys, "_k", "_family").distinct()
+    clashing = repeated.join(suffixed, [*keys, "_k"]).select(*keys, "_family").distinct()
+    marked = ranked.join(clashing.withColumn("_clash", F.lit(True)), [*keys, "_family"], "left")
     plain = marked.filter("_clash IS NULL").withColumn(name, F.when(F.col("_n") > 1, F.concat(name, F.lit("_"), "_n")).otherwise(F.col(name)))
-    folded = _fold_names(marked.filter("_clash"), keys, order, name, key)
-    return plain.select(*df.columns).unionByName(folded.select(*df.columns))
+    return plain.select(*df.columns).unionByName(_numbered(marked.filter("_clash"), df.columns, keys, order, name))
 
 
-def _fold_names(df: DataFrame, keys: list[str], order: str, name: str, key) -> DataFrame:
-    """Names of one message (or document) in order, each seeing the names chosen before it."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))).alias("_r"))
-    start = F.struct(
-        F.array().cast("array<string>").alias("used"), F.array().cast("array<struct<o:bigint,n:string>>").alias("out")
-    )
+class _FreeNames:
+    """Names of one family in order; the next free number of a name is where its last search ended.
 
-    def step(acc, r):
-        trials = F.transform(F.sequence(F.lit(2), F.size(acc["used"]) + 2), lambda s: F.concat(r["n"], F.lit("_"), s))
-        free = F.array_except(F.transform(trials, key), acc["used"])
-        free = F.filter(trials, lambda t: key(t) == F.get(free, F.lit(0)))
-        chosen = F.when(F.array_contains(acc["used"], key(r["n"])), F.get(free, F.lit(0))).otherwise(r["n"])
-        row = F.struct(r["o"].cast("bigint").alias("o"), chosen.alias("n"))
-        return F.struct(F.array_append(acc["used"], key(chosen)).alias("used"), F.array_append(acc["out"], row).alias("out"))
-
-    named = rows.select(*keys, F.inline(F.aggregate("_r", start, step)["out"]).alias("_o", "_unique"))
-    return (
-        df.withColumn("_o", F.col(order).cast("bigint"))
-        .join(named, keys + ["_o"])
-        .withColumn(name, F.col("_unique"))
-        .drop("_o", "_unique")
-    )
+    Names are only ever taken, so each search goes on from there, and all
+    searches of a family together pass each taken name once.
+    """
+
+    def __init__(self):
+        self.used: set[str] = set()
+        self.next: dict[str, int] = {}
+
+    def take(self, name: str, key: str) -> str:
+        if key in self.used:
+            n = self.next.get(key, 2)
+            while f"{key}_{n}" in self.used:
+                n += 1
+            self.next[key] = n + 1
+            name, key = f"{name}_{n}", f"{key}_{n}"
+        self.used.add(key)
+        return name
+
+
+def _numbered(rows: DataFrame, columns: list[str], keys: list[str], order: str, name: str) -> DataFrame:
+    """Rows of clashing families with free names; a task streams its families in order and holds one family's names."""
+    place = columns.index(name)
+    tags = [*keys, "_family"]
+    staged = rows.select(*[F.col(f"`{c}`") for c in columns], F.to_json(F.struct(*[F.col(f"`{t}`") for t in tags])).alias("_tag"), "_k")
+
+    def work(batches):
+        import pyarrow as pa
+
+        tag, names = None, _FreeNames()
+        for batch in batches:
+            chosen = []
+            for own, key, text in zip(batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), batch.column(place).to_pylist(), strict=True):
+                if own != tag:
+                    tag, names = own, _FreeNames()
+                chosen.append(names.take(text, key))
+            held = batch.columns[: len(columns)]
+            held[place] = pa.array(chosen, held[place].type)
+            yield pa.RecordBatch.from_arrays(held, columns)
+
+    sorted_rows = staged.repartition("_tag").sortWithinPartitions("_tag", order)
+    return sorted_rows.mapInArrow(work, rows.select(*[F.col(f"`{c}`") for c in columns]).schema)
 
 
 def offsets_from_size(df: DataFrame, keys: list[str], order: str, size: str, start: int = 1) -> DataFrame:

@@ -1365,6 +1365,18 @@ def unique_names(spark, sf):
     return icd.unique_names(rows, ["message"], "ord", "name", fold_case=True)
 
 
+@query(
+    """SELECT o_orderkey AS ord, o_custkey AS message, CASE WHEN n = 1 THEN 'p' ELSE 'p_' || n END AS name FROM
+    (SELECT *, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders)"""
+)
+def unique_names_taken(spark, sf):
+    """Every second name is the number that the one before it would get: each is looked for behind the last."""
+    n = F.row_number().over(Window.partitionBy("message").orderBy("ord"))
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("message")).withColumn("n", n)
+    named = rows.select("ord", "message", F.when(F.pmod("n", F.lit(2)) == 1, "p").otherwise(F.concat(F.lit("p_"), "n")).alias("name"))
+    return icd.unique_names(named, ["message"], "ord", "name")
+
+
 @query(
     """SELECT p_partkey, 'status' AS label, CAST(CASE WHEN p_size % 7 >= 4 THEN 3 WHEN p_size % 7 >= 2 THEN 2 ELSE 1 END AS INTEGER) AS bits,
     CASE WHEN p_size % 7 = 0 THEN '0=' || p_brand || ' 300: extra' ELSE '0=' || p_brand || ' 300: extra;' || p_size % 7 || '=' || p_type END AS meanings
