@@ -1,11 +1,15 @@
+import functools
 import math
+import operator
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from wirelens.functions import bytes as by
+from wirelens.functions import kernels
 from wirelens.operators.decode import decode_fields, decode_long
 from wirelens.operators.encode import build_payloads
 from wirelens.plans.model import Field, Message
@@ -85,6 +89,31 @@ def test_folds(spark):
     assert column(df, by.sum_words16(p)) == words
 
 
+def test_folds_of_any_range(spark):
+    """Ranges from columns: empty, beyond the row, NULL; fixed ones on both sides of the unrolled length."""
+    rows = [(i, None if i % 11 == 0 else bytearray(RNG.randbytes(RNG.randrange(0, 40))), RNG.choice([0, 1, 5, 60, None]), RNG.randrange(0, 70)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, payload binary, a int, b int").repartition(3)
+    p, a, b = F.col("payload"), F.col("a"), F.col("b")
+    want = [None if r is None or lo is None else (sum(r[lo:hi]), functools.reduce(operator.xor, r[lo:hi], 0)) for _, r, lo, hi in rows]
+    got = df.orderBy("id").select(by.sum_bytes(p, a, b).alias("s"), by.xor_bytes(p, a, b).alias("x")).collect()
+    assert [None if r.s is None else tuple(r) for r in got] == want
+    assert df.limit(0).select(by.sum_bytes(p, a, b)).collect() == []
+    for n in (512, 513):
+        long = payloads(spark, [b"\xff" * 600, RNG.randbytes(700)])
+        items = [bytes(r.payload) for r in long.orderBy("id").collect()]
+        assert column(long, by.sum_bytes(p, 3, n + 3)) == [sum(i[3 : n + 3]) for i in items]
+        assert column(long, by.xor_bytes(p, 3, n + 3)) == [functools.reduce(operator.xor, i[3 : n + 3]) for i in items]
+
+
+def test_folds_of_slices():
+    data = pa.array([b"ab", None, b"", b"xyz", b"\xff" * 9])
+    part = data.slice(2, 3)
+    zero, end = pa.array([0] * 3), pa.array([99] * 3)
+    assert kernels.fold("sum", part, zero, end).to_pylist() == [0, sum(b"xyz"), 9 * 255]
+    assert kernels.fold("xor", part, pa.array([0, 1, None]), end).to_pylist() == [0, ord("y") ^ ord("z"), None]
+    assert kernels.fold("xor", pa.array([], pa.binary()), pa.array([], pa.int64()), pa.array([], pa.int64())).to_pylist() == []
+
+
 def test_six_decimal_text(spark):
     values = [25.0, 0.0000005, 1 / 3, -1e-9, 1234567.0078125, 1e15, -0.1, 100.0, 0.5, 12.000001]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double")

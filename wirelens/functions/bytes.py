@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wirelens.functions.kernels import folded
+
 U64 = T.DecimalType(20, 0)
 WIDE = T.DecimalType(38, 0)
 ONE_TOLERANCE = 1e-12
@@ -312,48 +314,35 @@ def _fold_to_byte(word: Column) -> Column:
     return word.bitwiseAND(F.lit(255))
 
 
+#: Fixed ranges up to this length are generated code; others are folded a batch at a time.
+UNROLLED = 512
+
+
 def xor_bytes(payload: Column, start, stop) -> Column:
     """XOR of the bytes in [start, stop); the caller guards the range."""
-    start_c, stop_c = _c(start), _c(stop)
-
-    def word(i):
-        return raw_of(F.hex(F.substring(payload, i, F.least(F.lit(8), stop_c - i + 1))))
-
-    if _static(start, stop) and stop - start <= 512:
-        acc = None
-        for p in range(start, stop, 8):
-            w = raw_of(cut_hex(payload, p, min(8, stop - p)))
-            acc = w if acc is None else acc.bitwiseXOR(w)
-        folded = acc if acc is not None else F.lit(0).cast("bigint")
-        return _fold_to_byte(folded)
-    return F.when(
-        stop_c > start_c,
-        F.aggregate(
-            _words(payload, start, stop),
-            F.lit(0).cast("bigint"),
-            lambda a, i: a.bitwiseXOR(word(i)),
-            _fold_to_byte,
-        ),
-    ).otherwise(F.lit(0).cast("bigint"))
+    if not (_static(start, stop) and stop - start <= UNROLLED):
+        return folded("xor", payload, _c(start), _c(stop))
+    acc = None
+    for p in range(start, stop, 8):
+        w = raw_of(cut_hex(payload, p, min(8, stop - p)))
+        acc = w if acc is None else acc.bitwiseXOR(w)
+    return _fold_to_byte(acc if acc is not None else F.lit(0).cast("bigint"))
 
 
 def sum_bytes(payload: Column, start, stop) -> Column:
     """Sum of the bytes in [start, stop); the caller guards the range."""
-    start_c, stop_c = _c(start), _c(stop)
-    lanes = F.lit(0x00FF00FF00FF00FF)
-
-    def word(i):
-        return raw_of(F.hex(F.substring(payload, i, F.least(F.lit(8), stop_c - i + 1))))
-
-    def add(total, w):
-        # Four 16-bit lanes of two bytes each; one multiply-free fold per word.
+    if not (_static(start, stop) and stop - start <= UNROLLED):
+        return folded("sum", payload, _c(start), _c(stop))
+    lanes, acc = F.lit(0x00FF00FF00FF00FF), None
+    for p in range(start, stop, 8):
+        # Four 16-bit lanes of two bytes each: 64 words of two bytes of 255 fit.
+        w = raw_of(cut_hex(payload, p, min(8, stop - p)))
         pair = w.bitwiseAND(lanes) + F.shiftrightunsigned(w, 8).bitwiseAND(lanes)
-        return total + F.pmod(pair, F.lit(65535))
-
-    words = F.transform(_words(payload, start, stop), word)
-    return F.when(stop_c > start_c, F.aggregate(words, F.lit(0).cast("bigint"), add)).otherwise(
-        F.lit(0).cast("bigint")
-    )
+        acc = pair if acc is None else acc + pair
+    if acc is None:
+        return F.lit(0).cast("bigint")
+    mask = F.lit(0xFFFF)
+    return sum((F.shiftrightunsigned(acc, k).bitwiseAND(mask) for k in (16, 32, 48)), acc.bitwiseAND(mask))
 
 
 def sum_words16(payload: Column) -> Column:
