@@ -119,3 +119,19 @@ def test_outputs_per_message(spark):
     path = folder()
     write_decoded_long(routed.filter("format = 'HEX'"), MESSAGES[:1], path, "s")
     assert {r.message_key for r in spark.read.parquet(path).select("message_key").distinct().collect()} == {"Nav_Data_4_5000_s"}
+
+
+def test_preview_keeps_rows_over_small_batches_and_restarts(spark):
+    """Batches smaller than the preview; a batch that is given twice changes nothing."""
+    source, check = folder(), folder()
+    rng = random.Random(6)
+    seen = {}
+    numbers = list(range(60))
+    rng.shuffle(numbers)
+    for k in range(0, 60, 6):
+        rows = spark.createDataFrame([(i, f"v{i}") for i in numbers[k : k + 6]], "packet_no long, a string").coalesce(1)
+        rows.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        live.live_preview(stream, ["a"], lambda df, e: seen.__setitem__(e, [(r.packet_no, r["values"]) for r in df.collect()]), check, 15).awaitTermination(120)
+        assert seen[k // 6] == [(i, f"v{i}") for i in sorted(numbers[: k + 6], reverse=True)[:15]]
+    assert len(seen) == 10

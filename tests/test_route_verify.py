@@ -258,3 +258,30 @@ def test_first_match_on_a_stream_with_many_definitions(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.message for r in spark.table("first_many").collect()) == ["free", "late", "late", "mine", "mine", "text"]
+
+
+def test_report_equals_two_pass_summary(spark, monkeypatch):
+    """Sentences and headers, several matches, equal ports, no keys; and definitions beyond a broadcast."""
+    from wirelens.operators import route as rt
+    from wirelens.operators import summary
+
+    messages = [
+        Message("a", 10, 4, (), header=b"\x01"), Message("b", 10, 4, ()), Message("c", 20, 4, (), header=b"\x01\x02"), Message("t", 20, format="NMEA", sentence="gll"),
+        Message("u", 10, format="NMEA", sentence="GLL"), Message("never", 99, 4, ()),
+    ]
+    rng = random.Random(1)
+    rows = []
+    for i in range(400):
+        payload = rng.choice([b"\x01\x02\x03\x04", b"\x01\x00\x00\x00", b"\x05\x00\x00\x00", b"$GPGLL,1*00$GPGLL,2", b"$GPZDA,1", b"\x01"])
+        rows.append(("f", i, rng.choice([10, 20, 30]), rng.choice([10, 20]), bytearray(payload), len(payload), rng.choice([None, None, None, "not_udp"])))
+    df = spark.createDataFrame(rows, "file string, packet_no long, src_port int, dst_port int, payload binary, payload_size int, drop_reason string")
+    routed = rt.route(df.filter("drop_reason IS NULL"), messages)
+    want = summary.run_summary(df, routed).collect()
+    counts = {r.message: r["count"] for r in routed.groupBy("message").count().collect()}
+    for small in (True, False):
+        if not small:
+            monkeypatch.setattr(rt, "match_lists", lambda *_: None)
+        report = summary.run_report(df, messages)
+        assert summary.report_totals(report).collect() == want
+        assert {r.message: r.exported_rows for r in report.collect() if r.message} == counts
+    assert summary.report_totals(summary.run_report(df.limit(0), messages)).collect() == [(0, 0, 0, 0)]

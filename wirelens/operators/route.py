@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelens.functions.sentences import formatters
 from wirelens.operators.joins import BROADCAST_ROWS, is_bounded, lookup_join
@@ -207,6 +208,56 @@ def route(
     return _route_first(datagrams, messages, connection, max_broadcast_rows)
 
 
+def match_lists(datagrams: DataFrame, messages, max_broadcast_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """``datagrams`` with ``matches``: all definitions that mode ``all`` finds, in their order, as one array per row.
+
+    Each side's port and each header length in use is one left lookup, sentences
+    are looked up by port and formatter, so rows stay where they are and need no
+    keys. None when the definitions are too many to be broadcast.
+    """
+    defs, rows = _as_frame(datagrams, messages)
+    if not (rows <= max_broadcast_rows if rows is not None else is_bounded(defs, max_broadcast_rows)):
+        return None
+    only = _formats(messages)
+    found = F.struct("def_order", "message", "format")
+    is_text = F.coalesce(F.col("format") == "NMEA", F.lit(False))
+    out, lists = datagrams, []
+
+    def looked_up(df: DataFrame, dim: DataFrame, on: list[str], name: str) -> DataFrame:
+        listed = dim.groupBy(*on).agg(F.collect_set("_d").alias(name))
+        return lookup_join(df, listed, on, how="left", dim_rows=0).drop(*on)
+
+    for side in ("src_port", "dst_port"):
+        if "HEX" in only:
+            hexes = defs.filter(~is_text).select(
+                F.col("port").alias("_port"), F.col("payload_len").alias("_size"), F.coalesce("header", F.lit(b"")).alias("_header"), found.alias("_d")
+            )
+            for n in _header_lengths(messages):
+                name = f"_{side}_{n}"
+                prefix = F.when(F.octet_length("payload") >= n, F.substring(F.col("payload"), F.lit(1), F.lit(n)))
+                probe = out.withColumns({"_port": F.col(side), "_size": F.col("payload_size"), "_header": prefix})
+                out = looked_up(probe, hexes.filter(F.octet_length("_header") == n), ["_port", "_size", "_header"], name)
+                lists.append(name)
+        if "NMEA" in only:
+            texts = defs.filter(is_text).select(
+                F.col("port").alias("_port"), F.upper(F.trim("sentence")).alias("_formatter"), found.alias("_d")
+            )
+            by_name = texts.groupBy("_port", "_formatter").agg(F.collect_set("_d").alias("_ds"))
+            of_port = by_name.groupBy("_port").agg(F.map_from_entries(F.collect_list(F.struct("_formatter", "_ds"))).alias("_names"))
+            out = lookup_join(out.withColumn("_port", F.col(side)), of_port, ["_port"], how="left", dim_rows=0).drop("_port")
+            names = F.when(F.col("_names").isNotNull(), formatters(F.col("payload")))
+            hits = F.transform(names, lambda f: F.coalesce(F.try_element_at("_names", f), F.array().cast(found_type(defs))))
+            out = out.withColumn(f"_{side}_text", F.flatten(hits)).drop("_names")
+            lists.append(f"_{side}_text")
+    empty = F.array().cast(found_type(defs))
+    every = F.concat(*[F.coalesce(F.col(c), empty) for c in lists]) if lists else empty
+    return out.withColumn("matches", F.array_sort(F.array_distinct(every))).drop(*lists)
+
+
+def found_type(defs: DataFrame) -> T.ArrayType:
+    return T.ArrayType(T.StructType([defs.schema[c] for c in ("def_order", "message", "format")]))
+
+
 def seen_messages(datagrams: DataFrame, messages, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Names of the definitions that occur, reduced before any join back."""
     return match_pairs(datagrams, messages, keys).select("message").distinct()

@@ -42,6 +42,41 @@ def run_summary(dissected: DataFrame, routed: DataFrame, keys: tuple[str, ...] =
     return read.unionByName(out).agg(*[F.sum(n).alias(n) for n in names])
 
 
+def run_report(dissected: DataFrame, messages, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(message, packets, valid_udp, matched_packets, exported_rows) from one pass over the packets.
+
+    A row for every message that occurs, and one without a name for packets that
+    match none. A packet's first match counts for the packet, so the columns'
+    sums are those of ``run_summary``, and messages without a row are missing.
+    Matches are numbered while routing: nothing but this table's partial sums is
+    shuffled.
+    """
+    from wirelens.operators.route import match_lists
+
+    valid = F.col("drop_reason").isNull()
+    listed = match_lists(dissected, messages)
+    if listed is None:
+        # definitions beyond a broadcast: matches are joined, and told apart by the datagrams' keys
+        own = [k for k in keys if k in dissected.columns]
+        pairs = match_pairs(dissected.filter(valid), messages, keys).groupBy(*own).agg(F.array_sort(F.collect_set(F.struct("def_order", "message", "format"))).alias("matches"))
+        listed = dissected.join(pairs, own, "left")
+    hits = F.when(valid, F.col("matches"))
+    rows = listed.select(valid.alias("_valid"), F.posexplode_outer(hits).alias("_no", "_match"))
+    first = F.coalesce(F.col("_no"), F.lit(0)) == 0
+    return rows.groupBy(F.col("_match.message").alias("message")).agg(
+        F.count_if(first).alias("packets"),
+        F.count_if(first & F.col("_valid")).alias("valid_udp"),
+        F.count_if(F.col("_no") == 0).alias("matched_packets"),
+        F.count("_no").alias("exported_rows"),
+    )
+
+
+def report_totals(report: DataFrame) -> DataFrame:
+    """``run_summary``'s row from ``run_report``."""
+    names = ["valid_udp", "matched_packets", "exported_rows"]
+    return report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in zip(["packets", *names], ["total_packets", *names], strict=True)])
+
+
 def message_summary(routed: DataFrame, messages) -> DataFrame:
     """Exported rows per definition, zeros included; ``missing`` marks the zeros."""
     defs, _ = _as_frame(routed, messages)

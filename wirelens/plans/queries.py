@@ -813,6 +813,40 @@ def run_summary(spark, sf):
     return summary.run_summary(dissected, routed)
 
 
+@query(
+    """WITH m AS (SELECT event_type, event_id % 16 IN (0, 15) AS ok FROM events),
+    t(message, kind, own) AS (VALUES ('click', 'click', 1), ('view', 'view', 1), ('any click', 'click', 0))
+    SELECT message, SUM(own) FILTER (ok) AS packets, SUM(own) FILTER (ok) AS valid_udp, SUM(own) FILTER (ok) AS matched_packets,
+      COUNT(*) FILTER (ok) AS exported_rows FROM m JOIN t ON kind = event_type GROUP BY message HAVING COUNT(*) FILTER (ok) > 0
+    UNION ALL SELECT NULL, COUNT(*), COUNT(*) FILTER (ok), 0, 0 FROM m WHERE NOT (ok AND event_type IN ('click', 'view'))"""
+)
+def run_report(spark, sf):
+    """Run totals and exported rows of every message from one pass; one type matches two definitions."""
+    messages = we.event_messages()[:2] + [Message("any click", 5001, 24, we.BASE_FIELDS), Message("ping", 5009, 24, we.BASE_FIELDS)]
+    return summary.run_report(dissect.dissect_frames(damaged_frames(spark, sf)), messages)
+
+
+@query(
+    f"""SELECT event_id AS packet_no, {TYPE_ID} || ' | ' || event_id || ' | ' || user_id AS "values" FROM events
+    ORDER BY event_id DESC LIMIT 200"""
+)
+def live_preview(spark, sf):
+    """The newest rows of a stream over many batches, most of them smaller than the preview."""
+    from wirelens.streaming import live
+
+    layout = Message("event", 0, 24, we.BASE_FIELDS[1:4])
+    path = work_path(spark, "newest")
+    rows = we.event_payloads(we.events(spark, sf)).select(F.col("event_id").alias("packet_no"), "ts", "payload")
+
+    def run(stream):
+        decoded = decode.decode_fields(stream, layout, values_only=True, keep=("packet_no",))
+        show = lambda df, _: df.write.mode("overwrite").parquet(path + "-shown")
+        live.live_preview(decoded, ["msg_id", "event_id", "user_id"], show, path + "-state").awaitTermination()
+
+    _in_steps(spark, rows, "ts", path, run, parts=8)
+    return spark.read.parquet(path + "-shown")
+
+
 @query(
     f"""SELECT event_id AS packet_no, {TYPE_ID} || ' | ' || event_id || ' | ' || user_id AS "values" FROM events
     ORDER BY event_id LIMIT 5000"""

@@ -244,11 +244,26 @@ def live_reframe(
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**_once(trigger)).start()
 
 
-def live_preview(decoded: DataFrame, values: list[str], on_rows: Callable[[DataFrame, int], None], checkpoint: str, n: int = 200, **trigger) -> StreamingQuery:
-    """Hand the newest ``n`` rows of every batch to a callback."""
-    return (
-        decoded.writeStream.foreachBatch(lambda batch, epoch: on_rows(latest_preview(batch, values, n), epoch))
-        .option("checkpointLocation", checkpoint)
-        .trigger(**_once(trigger))
-        .start()
-    )
+def live_preview(
+    decoded: DataFrame, values: list[str], on_rows: Callable[[DataFrame, int], None], checkpoint: str, n: int = 200, order: str = "packet_no", **trigger
+) -> StreamingQuery:
+    """Hand the newest ``n`` rows of the whole stream so far, newest first, to a callback after every batch.
+
+    The rows are kept between batches as a table of at most ``n``: the newest of
+    the batch and of the table before it. A repeated batch starts from the same
+    table and gives the same rows.
+    """
+    state = f"{checkpoint.rstrip('/')}/newest"
+
+    def show(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = _read_state(spark, state, epoch)
+        newest = latest_preview(batch, values, n, order)
+        if before is not None:
+            newest = newest.unionByName(before).orderBy(F.col(order).desc()).limit(n)
+        path = _state_path(state, epoch)
+        newest.write.mode("overwrite").parquet(path)
+        _forget_state(spark, state, epoch)
+        on_rows(spark.read.schema(newest.schema).parquet(path).orderBy(F.col(order).desc()), epoch)
+
+    return decoded.writeStream.foreachBatch(show).option("checkpointLocation", checkpoint).trigger(**_once(trigger)).start()
