@@ -9,7 +9,7 @@ from wirelens.operators.scan import CHUNK, running
 
 
 def _pieces(
-    chunks: DataFrame, frame_len: int, keys: list[str], order: str, data: str, ts: str, chunk: int
+    chunks: DataFrame, frame_len: int, keys: list[str], order: str, data: str, ts: str, chunk: int | None
 ) -> DataFrame:
     size = F.octet_length(data).cast("bigint")
     placed = running(chunks.filter(size > 0), keys, order, {"_start": ("sum", size)}, chunk)
@@ -29,7 +29,7 @@ def reframe(
     order: str = "seq",
     data: str = "chunk",
     ts: str = "ts",
-    chunk: int = CHUNK,
+    chunk: int | None = CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
     """Complete frames (keys, frame_no, payload, ts), and the rest of each stream.
 

@@ -3,14 +3,21 @@
 A window over ``partitionBy(key)`` sorts a whole key in one task. Here a key is
 cut into chunks of consecutive order values: chunk totals are made with a
 partial aggregate, only those totals are scanned per key, and rows are scanned
-inside their own chunk. The order column must be a unique integer per key, so
-a chunk never holds more than ``chunk`` rows.
+inside their own chunk. Where the order column is a unique integer per key and
+dense, chunks are cut by its value and never hold more than ``chunk`` rows. Any
+other order (time stamps, for one) is cut at sampled splitters instead: rows are
+range-partitioned by key and order, scanned where they lie, and the partitions'
+totals are carried on.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wirelens.operators.joins import is_bounded
+from wirelens.sources.work import written
 
 CHUNK = 65_536
 
@@ -20,13 +27,17 @@ def running(
     keys: list[str],
     order: str,
     totals: dict[str, tuple[str, Column]],
-    chunk: int = CHUNK,
+    chunk: int | None = CHUNK,
 ) -> DataFrame:
     """Add, per entry ``name: (kind, value)``, the value over all earlier rows.
 
     ``kind`` is ``sum`` or ``max``; the current row is excluded, and rows with
-    none before get 0 for sums and NULL for maxima.
+    none before get 0 for sums and NULL for maxima. With ``chunk`` None the rows
+    are cut at sampled splitters; values are then whole numbers, and rows of
+    equal order come in any order.
     """
+    if chunk is None:
+        return _running_sampled(df, keys, order, totals)
     staged = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumns(
         {f"_v_{n}": v for n, (_, v) in totals.items()}
     )
@@ -53,3 +64,87 @@ def running(
     scratch = ["_chunk", "_k_chunk"] + [f"_k_{k}" for k in keys]
     scratch += [f"_{p}_{n}" for n in totals for p in ("v", "b")]
     return out.drop(*scratch)
+
+
+def _changes(columns, before):
+    """For sorted key columns where a new key begins; ``before`` are the keys of the row ahead of the first one, if any."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    n = len(columns[0]) if columns else 0
+    out = np.zeros(n, bool)
+    for i, column in enumerate(columns):
+        ahead = column.slice(0, 1) if before is None else before[i]
+        shifted = pa.concat_arrays([ahead, column.slice(0, n - 1)])
+        differs = pc.fill_null(pc.not_equal(column, shifted), False)
+        one_null = pc.xor(pc.is_null(column), pc.is_null(shifted))
+        out |= np.asarray(pc.or_(differs, one_null))
+    return out
+
+
+def _scan_partition(keys: int, kinds: list[str]):
+    """Exclusive running values inside one sorted partition; columns are keys, values, then the rest."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        before, carried = None, [None] * len(kinds)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, held = batch.num_rows, batch.columns
+            fresh = _changes(held[:keys], before) if keys else np.zeros(n, bool)
+            before = [c.slice(n - 1, 1) for c in held[:keys]] or None
+            segment = pd.Series(np.cumsum(fresh))
+            out = []
+            for i, kind in enumerate(kinds):
+                value = held[keys + i]
+                none = np.asarray(value.is_null())
+                lowest = 0 if kind == "sum" else np.iinfo(np.int64).min
+                plain = np.where(none, lowest, np.asarray(value.fill_null(0)))
+                if carried[i] is not None and not fresh[0]:
+                    plain = plain.copy()
+                    first = plain[0]
+                    plain[0] = first + carried[i] if kind == "sum" else max(first, carried[i])
+                grouped = pd.Series(plain).groupby(segment)
+                upto = (grouped.cumsum() if kind == "sum" else grouped.cummax()).to_numpy()
+                ahead = np.append(lowest if carried[i] is None else carried[i], upto[:-1])
+                ahead[fresh] = lowest
+                carried[i] = upto[-1]
+                out.append(pa.array(ahead, pa.int64(), mask=None if kind == "sum" else ahead == lowest))
+            yield pa.RecordBatch.from_arrays([*held, pa.array([part] * n, pa.int32()), *out], [f"c{k}" for k in range(len(held) + 1 + len(out))])
+
+    return run
+
+
+def _running_sampled(df: DataFrame, keys: list[str], order: str, totals: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``running`` by range partitions: one shuffle of the rows, whatever their order looks like."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names, kinds = list(totals), [k for k, _ in totals.values()]
+    values = [v.cast("long").alias(f"_v_{n}") for n, (_, v) in totals.items()]
+    staged = df.select(*[F.col(f"`{k}`").alias(f"_k_{i}") for i, k in enumerate(keys)], *values, *[F.col(f"`{c}`") for c in df.columns])
+    tags = [f"_k_{i}" for i in range(len(keys))]
+    ranged = staged.repartitionByRange(parts, *tags, order).sortWithinPartitions(*tags, order)
+    local = [T.StructField("_part", T.IntegerType()), *[T.StructField(f"_l_{n}", T.LongType()) for n in names]]
+    # written, as totals and rows must come from the same cut
+    rows = written(ranged.mapInArrow(_scan_partition(len(keys), kinds), T.StructType([*staged.schema.fields, *local])), "scan")
+    fold = {"sum": F.sum, "max": F.max}
+    sums = rows.groupBy(*tags, "_part").agg(*[fold[k](f"_v_{n}").alias(f"_p_{n}") for n, k in zip(names, kinds, strict=True)])
+    across = Window.partitionBy(*tags).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(
+        *[F.col(t).alias(f"{t}b") for t in tags], F.col("_part").alias("_partb"), *[fold[k](f"_p_{n}").over(across).alias(f"_b_{n}") for n, k in zip(names, kinds, strict=True)]
+    ).filter(" OR ".join(f"_b_{n} IS NOT NULL" for n in names))
+    same = F.col("_part") == F.col("_partb")
+    for t in tags:
+        same = same & F.col(t).eqNullSafe(F.col(f"{t}b"))
+    joined = rows.join(F.broadcast(bases) if is_bounded(bases) else bases, same, "left")
+    done = {
+        n: F.coalesce(F.col(f"_b_{n}"), F.lit(0)) + F.col(f"_l_{n}") if k == "sum" else F.greatest(f"_b_{n}", f"_l_{n}") for n, k in zip(names, kinds, strict=True)
+    }
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in done.items()])

@@ -289,7 +289,7 @@ def refresh_rate(
     name: str = "refresh_hz",
     seed: DataFrame | None = None,
     exact: bool = False,
-    chunk: int = CHUNK,
+    chunk: int | None = CHUNK,
     bucket_ms: int = BUCKET_MS,
 ) -> DataFrame:
     """Arrivals of the same key in [now - window, now] up to and including this one.
@@ -300,7 +300,7 @@ def refresh_rate(
     No step holds a whole key. ``seed`` adds earlier counts (keys, _ms, _n).
 
     Timestamps that step back follow the arrival queue only with ``exact=True``
-    (``_queue_rate``), which takes no ``seed``.
+    (``_queue_rate``), which takes no ``seed``, and with ``chunk`` None any order.
     """
     keys = [k for k in keys if k in df.columns]
     bucket_ms = max(bucket_ms, window_ms)  # a window must not reach past the bucket before
@@ -309,7 +309,7 @@ def refresh_rate(
         if seed is not None:
             raise ValueError("exact rates take no counts of earlier rows")
         return _queue_rate(staged, keys, order, window_ms, name, chunk, bucket_ms).drop("_ms")
-    return _ordered_rate(staged, staged, keys, order, window_ms, name, seed, chunk, bucket_ms).drop("_ms")
+    return _ordered_rate(staged, staged, keys, order, window_ms, name, seed, chunk or CHUNK, bucket_ms).drop("_ms")
 
 
 def _queue_rate(df: DataFrame, keys: list[str], order: str, window_ms: int, name: str, chunk: int, bucket_ms: int) -> DataFrame:

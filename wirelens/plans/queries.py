@@ -19,6 +19,7 @@ from wirelens.functions.bind import bind
 from wirelens.operators import decode, dissect, encode, icd, nmea, quality, route, schedule, summary, verify
 from wirelens.operators.frames import tcp_frames, udp_frames
 from wirelens.operators.reframe import reframe
+from wirelens.operators.scan import running
 from wirelens.plans import wire_events as we
 from wirelens.plans.definitions import messages_from_catalog
 from wirelens.plans.model import Field, Message
@@ -1790,6 +1791,19 @@ def live_refresh_rate(spark, sf):
     return spark.read.parquet(path).select(F.col("packet_no").alias("event_id"), "refresh_hz")
 
 
+@query(
+    """WITH e AS (SELECT event_id, event_type, user_id, epoch_ms(ts) * 1000000 + event_id % 1000000 AS at FROM events)
+    SELECT event_id, CAST(COALESCE(SUM(user_id) OVER w, 0) AS BIGINT) AS total, MAX(user_id) OVER w AS top FROM e
+    WINDOW w AS (PARTITION BY event_type ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
+def running_stamps(spark, sf):
+    """Running totals over time stamps: no chunk of their values holds an even share, so rows are cut at sampled splitters."""
+    at = F.unix_millis(F.col("ts").cast("timestamp")) * 1_000_000 + F.pmod("event_id", F.lit(1_000_000))
+    rows = we.events(spark, sf).select("event_id", "event_type", "user_id", at.alias("at"))
+    out = running(rows, ["event_type"], "at", {"total": ("sum", F.col("user_id")), "top": ("max", F.col("user_id"))}, chunk=None)
+    return out.select("event_id", "total", "top")
+
+
 def _in_steps(spark, rows, by_time, path: str, run, parts: int = 4) -> None:
     """Land rows in order of time, a part at a time, and ``run(stream)`` over what is there after each: a restart every time."""
     cuts = rows.agg(*[F.expr(f"percentile_disc({k / parts}) WITHIN GROUP (ORDER BY unix_micros({by_time}))") for k in range(1, parts)]).first()
