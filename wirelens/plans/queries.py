@@ -36,6 +36,7 @@ from wirelens.sources.captures import (
     write_records,
 )
 from wirelens.sources.catalog import parse_catalog, parse_field_catalog, read_field_sheets, sheets_by_header
+from wirelens.sources.documents import read_icd_tables
 from wirelens.sources.nmea_registry import nmea_registry
 from wirelens.sources.work import work_path
 
@@ -1614,6 +1615,167 @@ def field_catalog_json(spark, sf):
     return fields.select("file", "ord", "name")
 
 
+# ------------------------------------------------- bounds, texts and problems
+
+
+@query("SELECT event_id, event_id % 5 <> 0 AS pair, false AS low, CAST(NULL AS BOOLEAN) AS beyond FROM events")
+def bool_values(spark, sf):
+    """Bytes as truth values: any bit of a range counts, a range beyond the payload has no value."""
+    raw = F.unhex(by.int_hex(F.pmod("event_id", F.lit(5)) * 256, 2))
+    rows = table(spark, sf, "events").select("event_id", raw.alias("p"))
+    return rows.select("event_id", *[by.be_bool(F.col("p"), *at).alias(n) for n, at in (("pair", (0, 2)), ("low", (1, 1)), ("beyond", (1, 2)))])
+
+
+@query(
+    """SELECT c_custkey, c_name || ' é' AS whole, substr(c_name, 4, 5) AS part, CAST(NULL AS VARCHAR) AS beyond,
+    c_name || ' ' || chr(65533) AS cut FROM customer"""
+)
+def fixed_strings(spark, sf):
+    """Texts in fixed fields: zeros at the end go, a character cut in two is marked."""
+    raw = F.concat(F.encode(F.concat("c_name", F.lit(" é")), "UTF-8"), F.unhex(F.lit("00" * 8)))
+    rows = table(spark, sf, "customer").select("c_custkey", raw.alias("p"), F.length("c_name").alias("n"))
+    p, n = F.col("p"), F.col("n")
+    return rows.select(
+        "c_custkey", by.fixed_string(p, F.lit(0), n + 11).alias("whole"), by.fixed_string(p, 3, 5).alias("part"),
+        by.fixed_string(p, F.lit(0), n + 12).alias("beyond"), by.fixed_string(p, F.lit(0), n + 2).alias("cut"),
+    )
+
+
+@query(
+    """SELECT o_orderkey, CAST(CAST(o_orderkey AS HUGEINT) * 18446744073709551616 + o_custkey AS VARCHAR) AS plain,
+    CAST(-o_orderkey - 1 AS VARCHAR) AS signed, CAST(CAST(o_orderkey AS HUGEINT) * 4294967296 AS VARCHAR) AS shorter FROM orders"""
+)
+def wide_texts(spark, sf):
+    """Integers of 16 and 20 bytes, unsigned and signed, as exact digits."""
+    high, low = by.int_hex(F.col("o_orderkey"), 8), by.int_hex(F.col("o_custkey"), 8)
+    negative = F.concat(F.lit("FF" * 12), F.hex(-F.col("o_orderkey") - 1))
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.unhex(F.concat(high, low)).alias("p"), F.unhex(negative).alias("n"), F.unhex(F.concat(F.lit("00" * 8), high, F.lit("00" * 4))).alias("s")
+    )
+    columns = {"plain": by.wide_integer(F.col("p"), 0, 16), "signed": by.wide_integer(F.col("n"), 0, 20, True), "shorter": by.wide_integer(F.col("s"), 0, 20)}
+    return rows.select("o_orderkey", *[c.cast("string").alias(n) for n, c in columns.items()])
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 9 >= 6 THEN 16843009 END AS four, CASE WHEN event_id % 9 >= 2 THEN 257 END AS two,
+    CAST(NULL AS INTEGER) AS before, CASE WHEN event_id % 9 >= 8 THEN 72340172838076673 END AS eight FROM events"""
+)
+def field_bounds(spark, sf):
+    """Fields of payloads of 0 to 8 bytes: a field that doesn't lie wholly inside has no value."""
+    layout = Message("m", 1, 0, (Field("four", 3, 4, "Uint32"), Field("two", 1, 2, "Uint16"), Field("before", 0, 1, "Uint8"), Field("eight", 1, 8, "Int64")))
+    raw = F.unhex(F.repeat(F.lit("01"), F.pmod("event_id", F.lit(9)).cast("int")))
+    rows = table(spark, sf, "events").select("event_id", raw.alias("payload"))
+    return decode.decode_fields(rows, layout, values_only=True, keep=("event_id",))
+
+
+@query(
+    """SELECT event_id, concat_ws('; ', CASE WHEN event_id % 5 = 0 THEN 'talker must be 2 letters or digits' END,
+    CASE WHEN event_id % 3 = 0 THEN 'token 1 contains a delimiter' END,
+    CASE WHEN event_id % 7 = 0 THEN 'token 2 is not printable ASCII' END) AS problems,
+    event_id % 5 <> 0 AND event_id % 3 <> 0 AND event_id % 7 <> 0 AS built FROM events"""
+)
+def sentence_problems(spark, sf):
+    """Sentences that cannot be written, with all their problems; they have no payload."""
+    tokens = {
+        1: F.when(F.pmod("event_id", F.lit(3)) == 0, "1,2").otherwise("12"),
+        2: F.when(F.pmod("event_id", F.lit(7)) == 0, "é").otherwise("N"),
+    }
+    talker = F.when(F.pmod("event_id", F.lit(5)) == 0, "G").otherwise("GP")
+    out = nmea.build_sentences(table(spark, sf, "events"), "GLL", tokens, talker)
+    return out.select("event_id", F.coalesce("problems", F.lit("")).alias("problems"), F.col("payload").isNotNull().alias("built"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '0D0A' WHEN 1 THEN '4141' ELSE 'N/A' END AS "TerminatorObserved", '0D0A' AS "TerminatorExpected",
+    CASE event_id % 3 WHEN 0 THEN 'True' ELSE 'False' END AS "TerminatorOK",
+    CASE event_id % 3 WHEN 1 THEN 'Terminator mismatch (got 4141, expected 0D0A)' WHEN 2 THEN 'Terminator OutOfBounds' ELSE '' END AS reason FROM events"""
+)
+def terminators(spark, sf):
+    """The last two bytes against carriage return and line feed; payloads of one byte have none."""
+    kind = F.pmod("event_id", F.lit(3))
+    raw = F.when(kind == 0, F.encode(F.lit("ab\r\n"), "US-ASCII")).when(kind == 1, F.encode(F.lit("xAA"), "US-ASCII")).otherwise(F.encode(F.lit("A"), "US-ASCII"))
+    rows = table(spark, sf, "events").select("event_id", raw.alias("payload"))
+    columns, reason = verify.check_terminator(F.col("payload"), -1, 2, b"\r\n")
+    return rows.select("event_id", *[c.alias(n) for n, c in columns.items()], F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+@query(
+    "SELECT event_id, 'real' AS field, '1.6777217E7' AS sent, '1.6777216E7' AS got FROM events WHERE event_id % 4 = 0"
+)
+def roundtrip_faults(spark, sf):
+    """Planted values that single precision cannot hold come back changed, and only they are told."""
+    layout = Message("m", 1, 12, (Field("whole", 1, 4, "Uint32"), Field("real", 5, 4, "Float32"), Field("scaled", 9, 4, "Int32", 0.5)))
+    real = F.when(F.pmod("event_id", F.lit(4)) == 0, F.lit(16777217.0)).otherwise(F.pmod("event_id", F.lit(100)).cast("double"))
+    values = {"whole": F.col("event_id"), "real": real, "scaled": F.pmod("event_id", F.lit(50)) / 2}
+    out = schedule.roundtrip_check(table(spark, sf, "events"), layout, ["event_id"], values)
+    return out.select("event_id", "field", "sent", "got")
+
+
+@query(f"SELECT event_type AS message, event_id, {TYPE_ID} AS msg_id, user_id % 65536 AS user_id, 'True' AS \"ChecksumOK\" FROM events")
+def decoded_outputs(spark, sf):
+    """Every message's values and checks, written by one job and read back."""
+    from wirelens.sources.sinks import write_decoded
+
+    path = work_path(spark, "decoded")
+    messages = [Message(m.name, m.port, m.length, m.fields[:5], header=m.header, checks=m.checks) for m in we.event_messages()]
+    written = write_decoded(_routed(spark, sf), messages, path, "run", path + "-staged")
+    parts = [spark.read.parquet(p).select(F.lit(m.name).alias("message"), "event_id", "msg_id", "user_id", "ChecksumOK") for p, m in zip(written, messages, strict=True)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _write_document(path: str):
+    """Each document's tables as a file of the word processor's format, one file for each group."""
+
+    def run(pdf):
+        import io
+        import zipfile
+        from xml.sax.saxutils import escape
+
+        import pandas as pd
+
+        from wirelens.sources.captures import store_of
+
+        body = []
+        for _, rows in pdf.sort_values(["table_idx", "row_idx"]).groupby("table_idx"):
+            cells = lambda r: "".join(f"<w:tc><w:p><w:r><w:t>{escape(c)}</w:t></w:r></w:p></w:tc>" for c in r)
+            body.append(f"<w:p><w:r><w:t>{escape(rows['heading'].iloc[0])}</w:t></w:r></w:p>")
+            body.append("<w:tbl>" + "".join(f"<w:tr>{cells(r)}</w:tr>" for r in rows["cells"]) + "</w:tbl>")
+        space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{"".join(body)}</w:body></w:document>')
+        store, root = store_of(path)
+        store.create_dir(root)
+        doc = int(pdf["doc"].iloc[0])
+        with store.open_output_stream(f"{root}/d{doc}.docx") as out:
+            out.write(held.getvalue())
+        return pd.DataFrame({"doc": [doc]})
+
+    return run
+
+
+@query(
+    """WITH g AS (SELECT p_partkey AS k, p_partkey // 200 AS doc, (p_partkey // 20) % 10 AS t, p_partkey % 20 AS r, p_name || ' ' || p_partkey % 9 AS name,
+      CASE p_size % 4 WHEN 0 THEN 'Uint16' WHEN 1 THEN 'float' WHEN 2 THEN 'uint' ELSE 'odd' END AS type,
+      CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 2 = 0 THEN '2' ELSE '4 bytes' END AS len FROM part),
+    x AS (SELECT doc, t, CAST(r + 1 AS INTEGER) AS row_idx, name || '|' || (r * 4 + 1) || '|' || type || '|' || len || '|0.5' AS cells FROM g
+      UNION ALL SELECT doc, t, 0, 'Field Name|Byte Offset|Data Type|Length|Resolution' FROM g WHERE r = 0),
+    y AS (SELECT doc, t, row_idx, cells, CASE WHEN t % 3 = 2 THEN 'Message (cont.)' ELSE 'Message ' || t // 4 END AS heading FROM x)
+    SELECT doc, CAST(dense_rank() OVER (PARTITION BY doc ORDER BY t) - 1 AS INTEGER) AS table_idx, heading,
+    CAST(row_number() OVER (PARTITION BY doc, t ORDER BY row_idx) - 1 AS INTEGER) AS row_idx, cells FROM y"""
+)
+def document_tables(spark, sf):
+    """Parts written as documents with tables, and read again with headings, places and cells."""
+    path = work_path(spark, "documents")
+    part_grids(spark, sf).groupBy("doc").applyInPandas(_write_document(path), "doc long").write.format("noop").mode("overwrite").save()
+    rows, _ = read_icd_tables(spark, path)
+    doc = F.regexp_extract("doc", "/d([0-9]+)[.]docx$", 1).cast("long")
+    return rows.select(doc.alias("doc"), "table_idx", "heading", "row_idx", F.array_join("cells", "|").alias("cells"))
+
+
 # ------------------------------------------------------- captures and streams
 
 
@@ -1792,9 +1954,9 @@ def live_refresh_rate(spark, sf):
 
 
 @query(
-    """WITH e AS (SELECT event_id, event_type, user_id, epoch_ms(ts) * 1000000 + event_id % 1000000 AS at FROM events)
+    """WITH e AS (SELECT event_id, event_type, user_id, epoch_ms(ts) * 1000000 + event_id % 1000000 AS stamp FROM events)
     SELECT event_id, CAST(COALESCE(SUM(user_id) OVER w, 0) AS BIGINT) AS total, MAX(user_id) OVER w AS top FROM e
-    WINDOW w AS (PARTITION BY event_type ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+    WINDOW w AS (PARTITION BY event_type ORDER BY stamp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 )
 def running_stamps(spark, sf):
     """Running totals over time stamps: no chunk of their values holds an even share, so rows are cut at sampled splitters."""
