@@ -194,3 +194,20 @@ def test_enumerations_in_prose(spark):
     got = {r.t: r.r and (r.r.positions, dict(r.r.meanings)) for r in df.collect()}
     assert got == cases
     assert df.filter("r is not null").first().r.label == "ENUM"
+
+
+def test_mined_definitions_keep_resolution(spark):
+    from wirelens.operators.decode import decode_fields
+    from wirelens.plans.definitions import messages_from_icd
+
+    fields = spark.createDataFrame(
+        [("d", "m", "Pressure", 0, 2, "Uint16", 0.01, "1/100"), ("d", "m", "Plain", 2, 1, "Uint8", None, None)],
+        "doc string, message string, name string, off0 int, len int, type string, resolution double, expression string",
+    )
+    messages = spark.createDataFrame([("d", "m", 3)], "doc string, message string, payload_len int")
+    (found,) = messages_from_icd(messages, fields)
+    assert [(f.resolution, f.expression) for f in found.fields] == [(0.01, "1/100"), (1.0, "1")]
+    row = decode_fields(spark.createDataFrame([(bytearray(b"\x09\xc4\x07"),)], "payload binary"), found, values_only=True).first()
+    assert abs(row.Pressure - 25.0) < 1e-9 and row.Plain == 7
+    (bare,) = messages_from_icd(messages, fields.drop("resolution", "expression"))
+    assert bare.fields[0].resolution == 1.0

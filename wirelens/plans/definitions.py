@@ -84,15 +84,19 @@ def messages_from_catalog(messages: DataFrame, fields: DataFrame, max_messages:
 
 
 def messages_from_icd(messages: DataFrame, fields: DataFrame, keys: tuple[str, ...] = ("doc", "message"), port: int = 0) -> list[Message]:
-    """Mined tables as definitions: messages (keys, payload_len) and their fields (keys, name, off0, len, type) in offset order."""
+    """Mined tables as definitions: messages (keys, payload_len) and their fields (keys, name, off0, len, type) in offset order.
+
+    Fields keep their ``resolution`` and ``expression`` where the table has them.
+    """
     grouped: dict[tuple, list[Row]] = {}
     wanted = fields.filter(F.col("type").isNotNull() & F.col("off0").isNotNull() & F.col("len").isNotNull())
-    for row in _bounded(wanted.select(*keys, "name", "off0", "len", "type"), MAX_FIELDS, "fields"):
+    scaled = [F.coalesce(F.col(c), F.lit(d)).alias(c) if c in fields.columns else F.lit(d).alias(c) for c, d in (("resolution", 1.0), ("expression", "1"))]
+    for row in _bounded(wanted.select(*keys, "name", "off0", "len", "type", *scaled), MAX_FIELDS, "fields"):
         grouped.setdefault(tuple(row[k] for k in keys), []).append(row)
     out = []
     for m in sorted(_bounded(messages.select(*keys, "payload_len"), MAX_MESSAGES, "messages"), key=lambda r: tuple(map(str, r))):
         rows = sorted(grouped.get(tuple(m[k] for k in keys), ()), key=lambda r: (r.off0, r.name))
-        found = tuple(Field(r.name, r.off0 + 1, r.len, r.type) for r in rows)
+        found = tuple(Field(r.name, r.off0 + 1, r.len, r.type, r.resolution, expression=r.expression) for r in rows)
         length = m.payload_len or max([r.off0 + r.len for r in rows], default=0)
         out.append(Message(str(m[keys[-1]]), port, length, found))
     return out

@@ -1328,6 +1328,20 @@ def strict_fields(spark, sf):
     return fields.select("doc", "parent_idx", "off0", "len", "type", "resolution", "name")
 
 
+@query(
+    f"""{STRICT} SELECT doc || '-' || parent AS message, CASE WHEN n = 1 THEN name ELSE name || '_' || n END AS field,
+    CASE WHEN type = 'Float32' THEN CASE WHEN len = 4 THEN '0' END WHEN len = 2 THEN '128.5' ELSE '8421504.5' END AS text
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc, parent, name ORDER BY k) AS n FROM m)"""
+)
+def mined_decode(spark, sf):
+    """Fields mined from all documents decode a datagram of each message; their resolutions scale the values."""
+    fields, _ = icd.strict_fields(part_grids(spark, sf))
+    named = fields.withColumn("message", F.concat_ws("-", "doc", "parent_idx"))
+    payload = F.unhex(F.repeat(F.lit("01"), 400))
+    rows = named.select("message").distinct().select("message", F.lit("f").alias("file"), payload.alias("payload"))
+    return decode.decode_long(rows, named, keys=("file",)).select("message", "field", "text")
+
+
 @query(
     f"""{STRICT}, e AS (SELECT doc, parent, MAX(off - 1 + shift + len) AS n, COUNT(*) AS f FROM m GROUP BY 1, 2),
     p AS (SELECT DISTINCT doc, t FROM g WHERE t % 3 <> 2),
