@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wirelens.functions.bind import bind
 from wirelens.functions.text import natural_length, strip, type_from_alias, type_from_label, type_label
 from wirelens.sources.work import written
 
@@ -68,66 +69,89 @@ def header_row(rows: DataFrame) -> DataFrame:
     return best.select(*TABLE, (-F.col("_b.r")).alias("header_row"), "n_cols", "last_row", "heading")
 
 
-def column_profile(rows: DataFrame, headers: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
-    """Per column: counts, numeric range, order, type words and text length of the data rows."""
-    headers = header_row(rows) if headers is None else headers
-    keyed = rows.join(headers.select(*TABLE, "header_row"), TABLE)
-    titles = keyed.filter("row_idx = header_row").select(*TABLE, F.posexplode("cells").alias("col", "_t"))
-    titles = titles.select(*TABLE, "col", _clean(F.col("_t")).alias("header"))
-    cells = (
-        keyed.filter("row_idx > header_row")
-        .select(*TABLE, "row_idx", F.posexplode("cells").alias("col", "cell"))
-        .withColumn("cell", strip(F.col("cell")))
-        .filter("cell <> ''")
-    )
-    cells = cells.withColumns(
+def table_summary(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Mergeable summaries of all columns from one aggregate of the rows: (doc, table_idx, col, seg, ...).
+
+    Each of the leading rows, one of which is the header, is a segment of its
+    own, later rows are segments of up to ``chunk``. Counts and ranges add up in
+    any order; distinct cells are kept as hashes and order as "sorted inside, and
+    from lowest to highest", so that neither needs the rows again or a window
+    over a table. Rows after the header are the segments after its own.
+    """
+    cells = rows.select(*TABLE, "row_idx", "heading", F.size("cells").alias("_n"), F.posexplode_outer("cells").alias("col", "_raw"))
+    read = bind(cells, {"_text": strip(F.col("_raw"))})
+    filled = F.col("_text") != ""
+    read = bind(
+        read,
         {
-            "v": leading_int(F.col("cell")),
-            "typed": type_from_alias(F.col("cell")).isNotNull(),
-            "chunk": F.floor(F.col("row_idx") / chunk),
-        }
-    )
-    by = TABLE + ["col"]
-    stats = cells.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("non_empty"),
-        F.count("v").alias("numeric"),
-        F.count_if("typed").alias("type_like"),
-        F.count_distinct("cell").alias("distinct"),
-        F.min("v").alias("min_int"),
-        F.max("v").alias("max_int"),
-        F.sum(F.length("cell")).alias("text_len"),
+            "_v": F.when(filled, leading_int(F.col("_text"))),
+            "_typed": F.coalesce(filled & type_from_alias(F.col("_text")).isNotNull(), F.lit(False)),
+            "_title": F.when(F.col("row_idx") < HEADER_SCAN_ROWS, _clean(F.col("_raw"))),
+            "seg": F.when(F.col("row_idx") < HEADER_SCAN_ROWS, F.col("row_idx")).otherwise(F.floor(F.col("row_idx") / chunk) + HEADER_SCAN_ROWS).cast("bigint"),
+        },
     )
-    # Order is tested inside chunks of rows and then between chunks, so a very
-    # long table is not sorted in one task.
-    inside = cells.filter("v is not null").withColumn(
-        "_prev", F.lag("v").over(Window.partitionBy(*by, "chunk").orderBy("row_idx"))
+    order = F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("row_idx", F.col("_v").alias("v"))))
+    sums = read.groupBy(*TABLE, "col", "seg").agg(
+        F.max("_n").alias("n_cols"),
+        F.max("row_idx").alias("last_row"),
+        F.first("heading", True).alias("heading"),
+        F.max("_title").alias("title"),
+        F.count_if(_has(F.col("_title"), ALL_WORDS)).alias("hits"),
+        F.count_if(filled).alias("non_empty"),
+        F.count("_v").alias("numeric"),
+        F.count_if("_typed").alias("type_like"),
+        F.min("_v").alias("min_int"),
+        F.max("_v").alias("max_int"),
+        F.sum(F.when(filled, F.length("_text"))).alias("text_len"),
+        F.collect_set(F.when(filled, F.xxhash64("_text"))).alias("cells"),
+        F.transform(F.array_sort(order), lambda x: x["v"]).alias("_in_order"),
     )
-    chunks = inside.groupBy(*by, "chunk").agg(
-        F.min("v").alias("_lo"), F.max("v").alias("_hi"), F.max((F.col("v") < F.col("_prev")).cast("int")).alias("_down")
+    return sums.withColumn("falls", F.col("_in_order") != F.array_sort("_in_order")).drop("_in_order")
+
+
+def summary_headers(summary: DataFrame) -> DataFrame:
+    """``header_row``'s table from the summaries."""
+    by_row = summary.groupBy(*TABLE, "seg").agg(
+        F.sum("hits").alias("_s"), F.max("n_cols").alias("n_cols"), F.max("last_row").alias("last_row"), F.first("heading", True).alias("heading")
     )
-    before = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    falls = chunks.withColumn("_top", F.max("_hi").over(before)).groupBy(*by).agg(
-        F.max(F.greatest(F.coalesce("_down", F.lit(0)), F.coalesce((F.col("_lo") < F.col("_top")).cast("int"), F.lit(0)))).alias(
-            "_falls"
-        )
+    lead = F.when(F.col("seg") < HEADER_SCAN_ROWS, F.struct(F.col("_s").alias("s"), (-F.col("seg")).alias("r")))
+    best = by_row.groupBy(*TABLE).agg(
+        F.max(lead).alias("_b"), F.max("n_cols").alias("n_cols"), F.max("last_row").alias("last_row"), F.first("heading", True).alias("heading")
     )
-    grid = headers.filter("n_cols > 0").select(*TABLE, F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col"))
-    full = grid.join(titles, by, "left").join(stats, by, "left").join(falls, by, "left")
-    zero = {c: 0 for c in ("non_empty", "numeric", "type_like", "distinct", "text_len", "_falls")}
-    return full.fillna(zero).fillna({"header": ""}).select(
-        *by,
-        "header",
-        "non_empty",
-        "numeric",
-        "type_like",
-        "distinct",
-        "min_int",
-        "max_int",
-        (F.col("_falls") == 0).alias("non_decreasing"),
-        "text_len",
+    return best.select(*TABLE, (-F.col("_b.r")).cast("int").alias("header_row"), "n_cols", "last_row", "heading")
+
+
+def summary_profile(summary: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """``column_profile``'s table from the summaries."""
+    headers = summary_headers(summary) if headers is None else headers
+    keyed = summary.filter("col IS NOT NULL").drop("n_cols", "last_row", "heading").join(headers.select(*TABLE, "header_row"), TABLE)
+    data = F.col("seg") > F.col("header_row")
+    before = Window.partitionBy(*TABLE, "col").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    keyed = keyed.withColumn("_top", F.max(F.when(data, F.col("max_int"))).over(before))
+    falls = F.coalesce(F.col("falls"), F.lit(False)) | F.coalesce(F.col("min_int") < F.col("_top"), F.lit(False))
+
+    def total(c: str) -> Column:
+        return F.coalesce(F.sum(F.when(data, F.col(c))), F.lit(0)).alias(c)
+
+    distinct = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(data, F.col("cells")))))).cast("bigint")
+    return keyed.groupBy(*TABLE, "col").agg(
+        F.coalesce(F.max(F.when(F.col("seg") == F.col("header_row"), F.col("title"))), F.lit("")).alias("header"),
+        total("non_empty"),
+        total("numeric"),
+        total("type_like"),
+        distinct.alias("distinct"),
+        F.min(F.when(data, F.col("min_int"))).alias("min_int"),
+        F.max(F.when(data, F.col("max_int"))).alias("max_int"),
+        (~F.coalesce(F.bool_or(data & falls), F.lit(False))).alias("non_decreasing"),
+        total("text_len"),
     )
 
 
+def column_profile(rows: DataFrame, headers: DataFrame | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Per column: counts, numeric range, order, type words and text length of the data rows."""
+    return summary_profile(table_summary(rows, chunk), headers)
+
+
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(0.0)
 
@@ -305,9 +329,13 @@ def offsets_from_size(df: DataFrame, keys: list[str], order: str, size: str, sta
 
 def _mapped_rows(rows: DataFrame, mapping: DataFrame | None) -> DataFrame:
     """Rows with the mapping, group and data start of their table; children use the parent's mapping."""
-    headers = header_row(rows)
     if mapping is None:
-        mapping = column_roles(column_profile(rows, headers))
+        # small rows for each column and segment, which headers, profile and roles are made of
+        summary = written(table_summary(rows), "summary")
+        headers = summary_headers(summary)
+        mapping = column_roles(summary_profile(summary, headers))
+    else:
+        headers = header_row(rows)
     groups = table_groups(headers)
     parents = mapping.withColumnRenamed("table_idx", "parent_idx").join(
         headers.select("doc", F.col("table_idx").alias("parent_idx"), F.col("header_row").alias("parent_header")),
@@ -363,12 +391,14 @@ def strict_fields(rows: DataFrame, mapping: DataFrame | None = None) -> tuple[Da
             F.when(reject.isNull() & (F.col("_number") <= 0), "resolution must be positive; 1 used"),
         )
     )
-    judged = data.withColumns({"_reject": reject, "_notes": notes})
+    used = [*TABLE, "parent_idx", "seq", "row_idx", "name", "_off", "len", "type", "_number", "_expr"]
+    # every later step reads this table instead of the rows
+    judged = written(data.select(*used, reject.alias("_reject"), notes.alias("_notes")), "judged")
     warnings = judged.select(*TABLE, "row_idx", "name", F.explode("_notes").alias("warning"))
     kept = judged.filter("_reject is null")
-    low = judged.filter("_off >= 0").groupBy("doc", "parent_idx", "seq").agg(F.min("_off").alias("low"))
-    extent = kept.groupBy("doc", "parent_idx", "seq").agg(F.max(F.col("_off") + F.col("len")).alias("extent"))
-    shifts = rebase_offsets(low.join(extent, ["doc", "parent_idx", "seq"], "left"), ["doc", "parent_idx"])
+    end = F.when(F.col("_reject").isNull(), F.col("_off") + F.col("len"))
+    reach = judged.filter("_off >= 0").groupBy("doc", "parent_idx", "seq").agg(F.min("_off").alias("low"), F.max(end).alias("extent"))
+    shifts = rebase_offsets(reach, ["doc", "parent_idx"])
     moved = kept.join(shifts.select("doc", "parent_idx", "seq", "shift"), ["doc", "parent_idx", "seq"])
     fields = moved.select(
         "doc",
