@@ -115,7 +115,9 @@ def decode_long(
     lengths are columns, so messages of any layout share one schema and one plan.
     """
     if isinstance(fields, DataFrame):
-        dim, rows, any_wide = fields, None, True
+        dim, rows = fields, None
+        # wide integers are exact texts made in Python, so rows go there only when some field needs it
+        any_wide = not fields.filter((F.col("len") > 8) & (F.col("type") != "String")).isEmpty()
     else:
         messages = list(fields)
         dim = fields_frame(routed.sparkSession, messages)

@@ -1,4 +1,4 @@
-"""When messages are sent, and whether values survive encoding and decoding."""
+"""When messages are sent and arrive, and whether values survive encoding and decoding."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from wirelens.functions.bits import binary_text
 from wirelens.operators.decode import decode_fields
 from wirelens.operators.encode import build_payloads
 from wirelens.operators.route import message_destinations
+from wirelens.operators.scan import running
 from wirelens.plans.model import Message
 
 
@@ -33,6 +34,33 @@ def emission_schedule(messages: DataFrame, connections: DataFrame, seconds: floa
 
 
 # How far a decoded number may lie from the sent one.
+def arrival_periods(routed: DataFrame, messages, keys: tuple[str, ...] = ("message",), ts: str = "ts", order: str = "packet_no", tolerance: float = 0.5) -> DataFrame:
+    """Arrivals of each message against its period: (keys, arrivals, period_ms, on_time, early, late, missed, backwards).
+
+    A gap is the time since the latest stamp before a row. On time is a gap
+    within ``tolerance`` periods of one period; a later one misses as many as
+    fit in. Rows whose stamp lies before an earlier one are ``backwards``. The
+    latest stamp is a running maximum over chunks, so a message with most of the
+    rows is no single task's work.
+    """
+    defs = F.create_map(*[F.lit(x) for m in messages for x in (m.name, float(m.rate_hz or 0))])
+    period = F.try_divide(F.lit(1000.0), F.try_element_at(defs, F.col("message")))
+    rows = routed.filter(F.col(ts).isNotNull()).select(*dict.fromkeys([*keys, "message"]), order, F.unix_millis(ts).alias("_ms"))
+    seen = running(rows, list(keys), order, {"_top": ("max", F.col("_ms"))})
+    timed = seen.withColumns({"_gap": F.col("_ms") - F.col("_top"), "_period": period})
+    gap, known = F.col("_gap"), F.col("_gap") >= 0
+    low, high = F.col("_period") * (1 - tolerance), F.col("_period") * (1 + tolerance)
+    return timed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("arrivals"),
+        F.max("_period").alias("period_ms"),
+        F.count_if(known & (gap >= low) & (gap <= high)).alias("on_time"),
+        F.count_if(known & (gap < low)).alias("early"),
+        F.count_if(known & (gap > high)).alias("late"),
+        F.coalesce(F.sum(F.when(known & (gap > high), F.floor(gap / F.col("_period") + 0.5) - 1)), F.lit(0)).alias("missed"),
+        F.count_if(gap < 0).alias("backwards"),
+    )
+
+
 TOLERANCE = {"Float32": 1e-3, "Float64": 1e-9}
 
 

@@ -694,6 +694,21 @@ def refresh_rate_future(spark, sf):
     return _queue_rated(spark, sf, ms)
 
 
+@query(
+    """WITH t AS (SELECT event_type, epoch_ms(ts) - MAX(epoch_ms(ts)) OVER (PARTITION BY event_type ORDER BY event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS gap FROM events)
+    SELECT event_type AS message, COUNT(*) AS arrivals, 1000000.0::DOUBLE AS period_ms, COUNT(*) FILTER (gap BETWEEN 500000 AND 1500000) AS on_time,
+    COUNT(*) FILTER (gap >= 0 AND gap < 500000) AS early, COUNT(*) FILTER (gap > 1500000) AS late,
+    CAST(COALESCE(SUM(floor(gap / 1000000.0 + 0.5) - 1) FILTER (gap > 1500000), 0) AS BIGINT) AS missed, COUNT(*) FILTER (gap < 0) AS backwards
+    FROM t GROUP BY 1"""
+)
+def arrival_periods(spark, sf):
+    """Observed arrivals of each message against its nominal period."""
+    messages = [Message(n, 5001 + i, 24, we.BASE_FIELDS, rate_hz=0.001) for i, n in enumerate(we.EVENT_TYPES)]
+    rows = we.events(spark, sf).select(F.col("event_id").alias("packet_no"), F.col("event_type").alias("message"), "ts")
+    return schedule.arrival_periods(rows, messages)
+
+
 # ----------------------------------------------------------------- sentences
 
 
@@ -1740,6 +1755,24 @@ def decoded_outputs(spark, sf):
     return out
 
 
+@query(
+    f"""WITH e AS (SELECT *, event_id % 8 AS f FROM events), c AS (
+    SELECT event_id, event_type, 'event_id' AS "column", CAST(event_id AS VARCHAR) AS text FROM e
+    UNION ALL SELECT event_id, event_type, 'flags_low_bit', CASE f % 2 WHEN 0 THEN 'even' ELSE 'odd' END FROM e
+    UNION ALL SELECT event_id, event_type, 'flags_upper', CASE f // 2 WHEN 0 THEN 'none' WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'UNKNOWN(11)' END FROM e
+    UNION ALL SELECT event_id, event_type, 'HeaderOK', 'True' FROM e
+    UNION ALL SELECT event_id, event_type, 'MsgIdOK', CASE event_type WHEN 'click' THEN 'True' ELSE 'False' END FROM e)
+    SELECT event_id AS packet_no, event_type AS message, "column", text FROM c"""
+)
+def mixed_outputs(spark, sf):
+    """Values, bit meanings and checks of all messages in one long table."""
+    from wirelens.sources import sinks
+
+    out = sinks.mixed_outputs(_routed(spark, sf), we.event_messages(), work_path(spark, "mixed"))
+    shown = ("event_id", "flags_low_bit", "flags_upper", "HeaderOK", "MsgIdOK")
+    return out.filter(F.col("column").isin(*shown)).select("packet_no", "message", "column", "text")
+
+
 def _write_document(path: str):
     """Each document's tables as a file of the word processor's format, one file for each group."""
 

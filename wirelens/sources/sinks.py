@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,6 +66,37 @@ def write_decoded(
     return [f"{path.rstrip('/')}/{name}" for name in outputs]
 
 
+def _staged(routed: DataFrame, staging: str) -> DataFrame:
+    """Routed rows written once, partitioned by message, with the message's number as ``part``."""
+    routed.withColumn("part", F.col("def_order")).write.mode("overwrite").partitionBy("part").parquet(staging)
+    schema = T.StructType([*routed.schema.fields, T.StructField("part", T.IntegerType())])
+    return routed.sparkSession.read.schema(schema).parquet(staging)
+
+
+def mixed_outputs(routed: DataFrame, messages: list[Message], staging: str, keys: tuple[str, ...] = ("file", "packet_no")) -> DataFrame:
+    """(keys, message, pos, ord, column, text): every column of every message's output as display text, one row each.
+
+    Values, bit rules, profiles and checks of all messages share one table, so
+    messages of any layout can be written or shown together. ``pos`` numbers the
+    sentences of a datagram. The source is read once.
+    """
+    staged = _staged(routed, staging)
+    parts = []
+    for i, m in enumerate(messages):
+        rows = staged.filter(F.col("part") == i).drop("part")
+        if m.format == "NMEA":
+            out, names, pos = nmea_rows(rows, m), [f.name for f in m.fields], F.col("pos")
+        else:
+            checked = verify(rows, m, text_parity=True)
+            checks = [c for c in check_headers(m) if c in checked.columns]
+            names, pos = value_headers(m) + checks, F.lit(0)
+            out = decode_fields(checked, m, text_parity=True, keep=tuple(checks))
+        cells = [F.struct(F.lit(k).alias("ord"), F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("text")) for k, n in enumerate(names)]
+        if cells:
+            parts.append(out.select(*keys, F.lit(m.name).alias("message"), pos.alias("pos"), F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def staged_outputs(
     routed: DataFrame, messages: list[Message], staging: str, stamp: str, values_only: bool = False, ready=lambda rows, i: rows
 ) -> dict[str, DataFrame]:
@@ -73,9 +105,7 @@ def staged_outputs(
     ``ready(rows, i)`` may add columns to the staged rows of message ``i``.
     Of messages with one output name the last one's rows count, as with writes one after another.
     """
-    spark = routed.sparkSession
-    routed.withColumn("part", F.col("def_order")).write.mode("overwrite").partitionBy("part").parquet(staging)
-    staged = spark.read.schema(T.StructType([*routed.schema.fields, T.StructField("part", T.IntegerType())])).parquet(staging)
+    staged = _staged(routed, staging)
     outputs: dict[str, DataFrame] = {}
     for i, m in enumerate(messages):
         rows = message_output(ready(staged.filter(F.col("part") == i).drop("part"), i), m, values_only=values_only)

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster keeps checkpoints, or beside its warehouse where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    """A new folder where the cluster keeps checkpoints; a local session without that setting uses one beside its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local["):
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
