@@ -165,7 +165,7 @@ def _route_first(datagrams: DataFrame, messages, connection: str | None, max_bro
             .unionByName(table(texts, F.concat(F.lit("free\n"), F.col("_f")), free))
             .unionByName(table(texts.filter("_link <> ''"), F.concat(F.lit("own\n"), named), F.col("_d")))
         )
-        if not small and not is_bounded(entries, max_broadcast_rows):
+        if not small and not is_bounded(entries):
             raise ValueError("too many sentence definitions for first matches: route them with mode 'all'")
         # one row: a map of the formatters in use, of checked size
         lookup = entries.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_map")).withColumn("_one", F.lit(1))
