@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wirelens.functions.bind import bind
 from wirelens.functions.kernels import DROP_REASONS, packet_headers
 
 
@@ -26,7 +27,8 @@ def dissect_frames(packets: DataFrame, frame: str = "frame", keep_frame: bool =
     hex digits of every header in generated code took.
     """
     link = F.col("link_type") if "link_type" in packets.columns else F.lit(1)
-    read = packets.withColumn("_h", packet_headers(F.col(frame), link))
+    # bound before and after: expressions upstream must not be copied into each use of the frame, nor these into later ones
+    read = bind(packets, {frame: F.col(frame)}).withColumn("_h", packet_headers(F.col(frame), link))
     failed = F.col("_h.failed")
     ok = failed == 0
 
@@ -34,7 +36,8 @@ def dissect_frames(packets: DataFrame, frame: str = "frame", keep_frame: bool =
         return F.concat_ws(".", *[F.shiftright(number, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)])
 
     size = F.col("_h.size").cast("int")
-    out = read.withColumns(
+    out = bind(
+        read,
         {
             "drop_reason": F.get(F.array(*map(F.lit, DROP_REASONS)), (failed - 1).cast("int")),
             "src_ip": F.when(ok, ip(F.col("_h.src"))),
@@ -43,7 +46,7 @@ def dissect_frames(packets: DataFrame, frame: str = "frame", keep_frame: bool =
             "dst_port": F.when(ok, F.col("_h.dst_port").cast("int")),
             "payload_size": F.when(ok, size),
             "payload": F.when(ok, F.substring(F.col(frame), (F.col("_h.at") + 1).cast("int"), size)),
-        }
+        },
     )
     if "ts_sec" in packets.columns:
         out = out.withColumn("ts", packet_time(F.col("ts_sec"), F.col("ts_usec")))
