@@ -1,7 +1,10 @@
 import random
+import re
+import tracemalloc
 
 import corpus_pipeline
 from wirelens.llm import bpe, decontaminate, line_dedup, minhash, toxicity
+from wirelens.llm.frames import released
 from wirelens.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 
@@ -75,3 +78,47 @@ def test_run_on_odd_documents(spark, odd_docs, sf):
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_token_ids_take_one_python_process_a_task(spark, odd_docs):
+    """Decoding has no Python step of its own behind the one that puts the ids together."""
+    coded = corpus_pipeline.encode(spark, odd_docs, "")
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    steps = re.findall("Exchange|MapInArrow|FlatMapCoGroupsInArrow", plan)
+    assert steps.count("FlatMapCoGroupsInArrow") == 1
+    assert "MapInArrow" not in steps[: steps.index("FlatMapCoGroupsInArrow")]
+    want = bpe.digests(bpe.decode(bpe.encode(odd_docs, tokenizer_path()), tokenizer_path()))
+    key = [(str(r.doc_id), *r[1:]) for r in want.collect()]
+    assert sorted(key) == sorted((str(r.doc_id), *r[1:]) for r in coded.collect())
+
+
+def test_python_processes_give_memory_back(spark):
+    """What a task held isn't kept by the process that Spark reuses for later tasks."""
+
+    def resident() -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    def work(batches):
+        held = [bytes(2000) for _ in range(40_000)]
+        for batch in batches:
+            yield batch
+        pins.append(held[-1])  # the last block stays, so that the heap can't shrink from its end
+
+    pins: list = []
+    before = resident()
+    assert list(released(work)(iter([]))) == []
+    assert resident() - before < 40_000_000
+
+
+def test_index_of_examples_is_built_in_arrays(spark):
+    """Building takes a few machine words for each posting, not an object for each."""
+    rng = random.Random(5)
+    examples = [(i, i % 2, sorted(rng.sample(range(512), 60)), [rng.random() for _ in range(60)]) for i in range(2000)]
+    tracemalloc.start()
+    index = toxicity.BlockMaxIndex(examples)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert sum(len(ids) for ids, _ in index.postings.values()) == 120_000
+    assert most < 60 * 120_000
+    assert toxicity.BlockMaxIndex([]).nearest([1], [1.0], 3) == []

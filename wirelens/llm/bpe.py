@@ -20,7 +20,8 @@ reads) is encoded on the spot, so ids never depend on the blocks.
 
 ``decode`` looks every id up in the tokenizer's id-to-piece table, whose size
 is the vocabulary's, and joins the pieces with blanks, as a tokenizer without a
-decoder does.
+decoder does. ``encode_and_decode`` does so where the ids are put together: a
+decoding step behind that one would keep a second Python process for each task.
 
 Defined results: a NULL or blank text has no ids and decodes to an empty text;
 ids may be NULL or repeated, each row stays a row; an empty table gives an empty
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirelens.llm.frames import columns
+from wirelens.llm.frames import columns, give_back, released
 
 #: Rows whose words are listed, and whose ids are put together, at a time.
 BLOCK_ROWS = 4000
@@ -46,6 +47,8 @@ BLOCK_ROWS = 4000
 TABLE_WORDS = 400_000
 #: Words encoded in one call of the tokenizer.
 CALL = 4096
+#: Rows decoded at a time.
+DECODE_ROWS = 256
 
 
 def _tokenizer(path: str):
@@ -113,8 +116,21 @@ def _unpack_ids(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ids (binary, little-endian unsigned 32-bit) and n_tokens of every row."""
+def id_decoder(path: str) -> Callable[[bytes | None], str]:
+    """Ids as little-endian unsigned 32-bit integers to their text."""
+    import numpy as np
+
+    tok = _tokenizer(path)
+    pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
+
+    def text_of(ids: bytes | None) -> str:
+        return " ".join([pieces[i] for i in np.frombuffer(ids or b"", dtype="<u4").tolist()])
+
+    return text_of
+
+
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", into: str | None = None) -> DataFrame:
+    """``key``, ids (binary, little-endian unsigned 32-bit) and n_tokens of every row; ``into``: also the ids' text."""
     source = columns(docs, key, text).toDF("id", "text")
     kind = source.schema["id"].dataType
     classes = max(32, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -153,6 +169,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 ids = press.compress(_pack_ids([table[w] for w in words]))
                 yield pa.RecordBatch.from_arrays([row.column(0), row.column(2), pa.array([ids], pa.binary())], ["block", "words", "ids"])
 
+    decoder: list[Callable] = []  # of a task
+
     def assemble(tables: pa.Table, rows: pa.Table) -> pa.Table:
         import zstandard
 
@@ -172,16 +190,30 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 return b"".join(map(known.__getitem__, words))
 
         ids = [ids_of(unpack.decompress(p.as_py()).split()) for p in rows.column("packed")]
-        return pa.table(
-            {"id": rows.column("id"), "ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
-        )
-
-    asked = source.mapInArrow(list_words, "block long, class int, words binary")
-    table = asked.repartition("class").mapInArrow(look_up, "block long, words binary, ids binary")
+        arrays = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+        done = pa.table([rows.column("id"), *arrays], ["id", "ids", "n_tokens"])
+        if into is None:
+            return done
+        known.clear()
+        if not decoder:
+            decoder.append(id_decoder(path))
+        parts = [ids[at : at + DECODE_ROWS] for at in range(0, len(ids), DECODE_ROWS)]
+        texts = pa.chunked_array([pa.array(map(decoder[0], part), pa.string()) for part in parts], pa.string())
+        return done.append_column(into, texts)
+
+    def assemble_and_release(tables: pa.Table, rows: pa.Table) -> pa.Table:
+        done = assemble(tables, rows)
+        give_back()
+        return done
+
+    asked = source.mapInArrow(released(list_words), "block long, class int, words binary")
+    table = asked.repartition("class").mapInArrow(released(look_up), "block long, words binary, ids binary")
     packed_schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("id", kind), T.StructField("packed", T.BinaryType())])
-    packed = source.mapInArrow(_pack_texts, packed_schema)
+    packed = source.mapInArrow(released(_pack_texts), packed_schema)
     out_schema = T.StructType([T.StructField("id", kind), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
-    done = table.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(assemble, out_schema)
+    if into is not None:
+        out_schema = out_schema.add(into, T.StringType())
+    done = table.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(assemble_and_release, out_schema)
     return done.withColumnRenamed("id", key)
 
 
@@ -191,24 +223,19 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     at = encoded.columns.index(ids)
 
     def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        tok = _tokenizer(path)
-        pieces = [tok.id_to_token(i) for i in range(tok.get_vocab_size())]
+        text_of = id_decoder(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                texts = []
-                for value in part.column(at):
-                    row = np.frombuffer(value.as_py() or b"", dtype="<u4").tolist()
-                    texts.append(" ".join([pieces[i] for i in row]))
+            for start in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(start, DECODE_ROWS)
+                texts = [text_of(value.as_py()) for value in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], schema=pa.schema([*part.schema, ("d", pa.string())]))
 
-    return encoded.mapInArrow(pieces_of, schema)
+    return encoded.mapInArrow(released(pieces_of), schema)
 
 
 def encode_and_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return decode(encode(docs, path, key, text), path)
+    """``encode`` with the ids' text in the column decoded, made in the same tasks."""
+    return encode(docs, path, key, text, into="decoded")
 
 
 def digests(coded: DataFrame, key: str = "doc_id") -> DataFrame:

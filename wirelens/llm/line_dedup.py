@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from wirelens.llm.components import components, cross_pairs, grouped_links, open_groups
 from wirelens.llm.edits import within
-from wirelens.llm.frames import SPACES, columns, cut, numbered, work_dir
+from wirelens.llm.frames import SPACES, columns, cut, numbered, released, work_dir
 
 EDITS = 2
 MIN_CHARS = 24
@@ -166,12 +166,12 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
     spark = lines.sparkSession
     # one exchange: a bucket's rows come one after another, and those of buckets with one line stop here
-    filed = lines.select("node", "line").mapInArrow(file, "bucket long, node long").repartition("bucket")
-    members = cut(filed.sortWithinPartitions("bucket", "node").mapInArrow(_shared, "bucket long, node long"))
+    filed = lines.select("node", "line").mapInArrow(released(file), "bucket long, node long").repartition("bucket")
+    members = cut(filed.sortWithinPartitions("bucket", "node").mapInArrow(released(_shared), "bucket long, node long"))
     taking_part = members.select("node").distinct()
     path = work_dir(spark)
     found = lines.select("node", "line").join(taking_part, "node", "left_semi").dropDuplicates(["node"])
-    found.mapInArrow(_with_bags, "node long, line string, bag array<int>, pairs array<int>").write.option("compression", "zstd").parquet(path)
+    found.mapInArrow(released(_with_bags), "node long, line string, bag array<int>, pairs array<int>").write.option("compression", "zstd").parquet(path)
     texts = spark.read.parquet(path)
     facts = texts.select("node", F.struct(F.length("line").alias("n"), "bag", "pairs").alias("fact"))
 
@@ -184,7 +184,7 @@ def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         left = texts.select(F.col("node").alias("a"), F.col("line").alias("la"))
         right = texts.select(F.col("node").alias("b"), F.col("line").alias("lb"))
         both = pairs.join(right, "b").join(left, "a").filter(F.abs(F.length("la") - F.length("lb")) <= edits)
-        return both.select("a", "b", "la", "lb").mapInArrow(compare, "a long, b long")
+        return both.select("a", "b", "la", "lb").mapInArrow(released(compare), "a long, b long")
 
     def may_link(x: Column, y: Column) -> Column:
         """One edit changes at most two characters and four pairs of neighbours, counted with those that come and go."""

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelens.llm.components import components, grouped_links
-from wirelens.llm.frames import columns, cut, numbered, work_dir
+from wirelens.llm.frames import columns, cut, numbered, released, work_dir
 
 WIDTH = 5
 BANDS = 28
@@ -136,7 +136,7 @@ def sketch(docs: DataFrame, text: str, bands: int = BANDS) -> DataFrame:
                 size = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, mask=empty), size, buckets], schema.fieldNames())
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(released(work), schema)
 
 
 def _verifier(texts: DataFrame, percent: int):
@@ -172,7 +172,7 @@ def _verifier(texts: DataFrame, percent: int):
         left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"), F.col("n_shingles").alias("na"))
         right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"), F.col("n_shingles").alias("nb"))
         sized = pairs.join(right, "b").join(left, "a").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        return sized.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+        return sized.select("a", "b", "ta", "tb").mapInArrow(released(compare), "a long, b long")
 
     return verify
 
@@ -226,7 +226,7 @@ def _prefix_pairs(texts: DataFrame, percent: int):
         nodes = heavy.select("node", "comp").distinct()
         rows = cut(texts.join(nodes, "node").select("node", "comp", "text"))
         counts = np.zeros(CELLS, np.int64)
-        summed = rows.select("text").mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+        summed = rows.select("text").mapInArrow(released(cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
         for r in summed.toLocalIterator():  # at most CELLS rows
             counts[r["cell"]] = r["n"]
         shared = heavy.sparkSession.sparkContext.broadcast(counts)
@@ -248,7 +248,7 @@ def _prefix_pairs(texts: DataFrame, percent: int):
                     out[4] += places.tolist()
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["shingle", "node", "comp", "n", "place"])
 
-        filed = cut(rows.mapInArrow(prefixes, "shingle long, node long, comp long, n long, place long"))
+        filed = cut(rows.mapInArrow(released(prefixes), "shingle long, node long, comp long, n long, place long"))
         least = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
         smaller = filed.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / F.lit(100 + percent))).alias("x")
         found = smaller.join(filed.alias("y"), F.col("x.shingle") == F.col("y.shingle")).filter(

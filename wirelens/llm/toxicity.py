@@ -30,16 +30,18 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wirelens.llm.frames import columns, numbered
+from wirelens.llm.frames import columns, numbered, released
 
 MAX_EXAMPLES = 20_000
 MAX_TERMS = 512
@@ -112,14 +114,16 @@ class BlockMaxIndex:
         self.examples = sorted(examples, key=lambda e: (e[2], e[3], e[0] is None, e[0] or 0))
         self.toxic = np.array([e[1] for e in self.examples], np.float64)
         blocks = -(-len(self.examples) // BLOCK)
-        rows: dict[int, list[tuple[int, float]]] = {}
-        for n, e in enumerate(self.examples):
-            for t, w in zip(e[2], e[3], strict=True):
-                rows.setdefault(t, []).append((n, w))
+        # postings side by side in arrays, by term and then by example
+        terms = np.fromiter(chain.from_iterable(e[2] for e in self.examples), np.int32)
+        order = np.argsort(terms, kind="stable")
+        rows = np.repeat(np.arange(len(self.examples)), np.array([len(e[2]) for e in self.examples], np.int64))[order]
+        values = np.fromiter(chain.from_iterable(e[3] for e in self.examples), np.float64)[order]
+        found, starts = np.unique(terms[order], return_index=True)
+        ends = np.append(starts, len(terms))[1:]
         self.postings, self.most, self.starts = {}, {}, {}
-        for t, row in rows.items():
-            ids = np.array([n for n, _ in row], np.int64)
-            weights = np.array([w for _, w in row])
+        for t, lo, hi in zip(found.tolist(), starts, ends, strict=True):
+            ids, weights = rows[lo:hi], values[lo:hi]
             top = np.zeros(blocks)
             np.maximum.at(top, ids // BLOCK, weights)
             self.postings[t], self.most[t] = (ids, weights), top
@@ -203,7 +207,7 @@ def _vocabulary(examples: DataFrame, max_terms: int) -> list[str]:
     n, t = float(totals["n"]), float(totals["t"] or 0)
     if not 0 < t < n:
         return []
-    counts = examples.select("text", F.col("toxic") > 0).mapInArrow(count, "term string, n long, toxic long")
+    counts = examples.select("text", F.col("toxic") > 0).mapInArrow(released(count), "term string, n long, toxic long")
     sums = counts.groupBy("term").agg(F.sum("n").cast("double").alias("d"), F.sum("toxic").cast("double").alias("p"))
     d, p = F.col("d"), F.col("p")
     chi2 = n * (p * n - d * t) * (p * n - d * t) / (t * (n - t) * d * (n - d))
@@ -221,7 +225,7 @@ def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int,
         df[-1] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.int32()), pa.array(list(df.values()), pa.int64())], ["term", "n"])
 
-    rows = columns(docs, "text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = columns(docs, "text").mapInArrow(released(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in rows}
     return found.pop(-1, 0), found
 
@@ -243,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["id", "toxic", "terms", "weights"])
 
     labelled = examples.select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic") > 0).cast("int").alias("toxic"), "text")
-    made = labelled.mapInArrow(vectors, "id long, toxic int, terms array<int>, weights array<double>")
+    made = labelled.mapInArrow(released(vectors), "id long, toxic int, terms array<int>, weights array<double>")
     # one vector for each doc_id, however many rows repeat it: at most max_examples short rows
     once = made.groupBy("id").agg(F.min(F.struct("terms", "weights", "toxic")).alias("v")).select("id", "v.*")
     rows = once.collect()
@@ -270,7 +274,7 @@ def _calibrate(spark, model: Model) -> list[float]:
         arrays = [pa.array(list(sums), pa.int32()), *[pa.array([v[i] for v in sums.values()], pa.int64()) for i in (0, 1)]]
         yield pa.RecordBatch.from_arrays(arrays, ["bin", "toxic", "n"])
 
-    rows = spark.range(len(model.examples)).mapInArrow(votes, "bin int, toxic long, n long")
+    rows = spark.range(len(model.examples)).mapInArrow(released(votes), "bin int, toxic long, n long")
     sums = {r["bin"]: (float(r["toxic"]), float(r["n"])) for r in rows.groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).collect()}
     return _monotone([sums.get(b, (0.0, 0.0)) for b in range(BINS)])
 
@@ -278,14 +282,14 @@ def _calibrate(spark, model: Model) -> list[float]:
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.features, self.index = model, Features(model.vocabulary), BlockMaxIndex(model.examples)
-        self.known: dict[tuple, tuple[float, list[int]]] = {}
+        self.known: dict[bytes, tuple[float, list[int]]] = {}
 
     def of(self, text: str | None) -> tuple[float, list[int]]:
         """Score, and the doc_ids of the nearest examples."""
         counts = self.features.of(text)
         if not counts:
             return self.model.base, []
-        key = tuple(sorted(counts.items()))
+        key = array("q", chain.from_iterable(sorted(counts.items()))).tobytes()
         if key not in self.known:
             if len(self.known) > 50_000:
                 self.known.clear()
@@ -309,7 +313,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             arrays = [pa.array([d[0] for d in done], pa.float64()), pa.array([d[1] for d in done], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], schema.fieldNames())
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(released(work), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
