@@ -13,9 +13,12 @@ from wirelens.llm.frames import cut
 PAIRS_A_MEMBER = 6
 
 
-def _signature(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s")).first()
-    return r["n"], r["x"], r["s"]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (u, v) is either on the left, and once, or on the right."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("left"), F.lit(0).alias("right"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("left"), F.lit(1).alias("right")))
+    each = ends.groupBy("node").agg(F.sum("left").alias("left"), F.max("right").alias("right"))
+    return each.filter("left > 1 OR (left = 1 AND right = 1)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,14 +27,14 @@ def components(links: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: each takes minima by node and
     joins them to the edges, so a hub with a third of all links is a skewed
     join key whose other side is one row. Every round is written to the shared
-    folder.
+    folder; edges that are stars around their smallest node are done.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = _signature(edges)
-    while before[0]:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # links that meet here are told apart once, below
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         edges = cut(
@@ -39,10 +42,6 @@ def components(links: DataFrame) -> DataFrame:
             .unionByName(least.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
@@ -80,7 +79,8 @@ def cross_pairs(members: DataFrame, groups: DataFrame, facts: DataFrame, may_lin
     component costs one comparison for each of its members and each outsider.
     ``facts`` has (node, fact).
     """
-    marked = members.join(groups.select("bucket", "top"), "bucket").join(facts, "node")
+    # written once, as both sides of the join read it
+    marked = cut(members.join(groups.select("bucket", "top"), "bucket").join(facts, "node"))
     minor = marked.filter("comp <> top").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"), F.col("fact").alias("fx"))
     major = marked.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy"), F.col("fact").alias("fy"))
     fits = (minor["bucket"] == major["bucket"]) & (F.col("cx") != F.col("cy")) & may_link(F.col("fx"), F.col("fy"))

@@ -1,76 +1,79 @@
-"""Edit distance within a threshold: banded, bit-parallel, many pairs at a time."""
+"""Edit distance within a threshold: furthest places reached on each diagonal, many pairs at a time."""
 
 from __future__ import annotations
 
-#: Cells of the padded matrices that one batch may have.
-CELLS = 4_000_000
+#: Cells of the texts of one batch, both sides laid side by side.
+CELLS = 500_000
 
 
 def within(lefts: list[str], rights: list[str], k: int):
-    """For each pair whether its edit distance in code points is at most ``k`` (up to 31).
+    """For each pair whether its edit distance in code points is at most ``k``.
 
-    One machine word per pair holds the band of 2k+1 rows around the diagonal:
-    vertical differences of +1 and -1 as bits. A column costs a fixed number of
-    word operations, done for all pairs of a batch at once. Batches hold pairs
-    of similar length, so padding is small.
+    Of each diagonal it is known how far e edits reach; one edit more goes one
+    step on and then to the next mismatch, which is looked up in the sorted
+    mismatches of that diagonal. Mismatches are found for all pairs of a batch
+    at once, so the work is 2k+1 comparisons of a whole batch, however long or
+    uneven its texts are.
     """
     import numpy as np
 
     n = np.array([len(s) for s in rights], np.int64)
     m = np.array([len(s) for s in lefts], np.int64)
     out = np.zeros(len(lefts), bool)
-    order = np.argsort(np.maximum(m, n), kind="stable")
-    order = order[np.abs(m - n)[order] <= k]
+    fits = np.flatnonzero(np.abs(m - n) <= k)
+    cells = np.cumsum(np.maximum(m, n)[fits] + k + 1)
     at = 0
-    while at < len(order):
-        end = at + 1
-        while end < len(order) and (end + 1 - at) * (max(m[order[end]], n[order[end]]) + 2 * k + 1) <= CELLS:
-            end += 1
-        rows = order[at:end]
-        out[rows] = _distances([lefts[i] for i in rows], [rights[i] for i in rows], m[rows], n[rows], k) <= k
+    while at < len(fits):
+        end = max(at + 1, int(np.searchsorted(cells, (cells[at - 1] if at else 0) + CELLS, "right")))
+        rows = fits[at:end]
+        out[rows] = _reached([lefts[i] for i in rows], [rights[i] for i in rows], m[rows], n[rows], k)
         at = end
     return out
 
 
-def _matrix(texts: list[str], width: int, front: int, fill: int):
+def codes(texts: list[str]):
+    """Code points of all texts, one after another."""
     import numpy as np
 
-    out = np.full((len(texts), width), fill, np.uint32)
-    for row, s in enumerate(texts):
-        out[row, front : front + len(s)] = np.frombuffer(s.encode("utf-32-le"), np.uint32)
-    return np.ascontiguousarray(out.T)
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
 
 
-def _distances(lefts: list[str], rights: list[str], m, n, k: int):
-    """Distances, right where they are at most k; lengths differ by at most k."""
+def _laid(texts: list[str], sizes, starts, width: int, fill: int):
+    """Code points of texts, each from its start on; all other cells hold ``fill``."""
     import numpy as np
 
-    longest = int(max(m.max(initial=0), n.max(initial=0)))
-    pattern = _matrix(lefts, longest + 2 * k + 1, k, 0xFFFFFFFF)
-    text = _matrix(rights, longest, 0, 0xFFFFFFFE)
-    one = np.uint64(1)
-    full = np.uint64((1 << (2 * k + 1)) - 1)
-    # bit b of column j stands for row j - k + b; rows over 0 differ by +1 in the first column
-    plus = np.full(len(lefts), ((1 << (k + 1)) - 1) << k, np.uint64) & full
-    minus = np.zeros(len(lefts), np.uint64)
-    distance = np.full(len(lefts), k, np.int64)
-    # a pattern shorter than the band begins with its last row inside it
-    distance = np.minimum(distance, m)
-    for j in range(1, longest + 1):
-        same = np.zeros(len(lefts), np.uint64)
-        for b in range(2 * k + 1):
-            same |= (pattern[j - 1 + b] == text[j - 1]).astype(np.uint64) << np.uint64(b)
-        diagonal = ((((same & plus) + plus) ^ plus) | same | minus) & full
-        up = (minus | ~(diagonal | plus)) & full
-        down = diagonal & plus
-        # down the diagonal until the last row is reached, then along that row
-        slant = j <= m - k
-        along = ~slant & (j <= n)
-        bit = np.clip(m - j + k, 0, 2 * k).astype(np.uint64)
-        distance += slant & ((diagonal >> np.uint64(2 * k)) & one == 0)
-        distance += along & ((up >> bit) & one == one)
-        distance -= along & ((down >> bit) & one == one)
-        shifted = diagonal >> one
-        plus = (down | ~(shifted | up)) & full
-        minus = shifted & up
-    return distance
+    out = np.full(width, fill, np.uint32)
+    out[np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)] = codes(texts)
+    return out
+
+
+def _reached(lefts: list[str], rights: list[str], m, n, k: int):
+    """Whether k edits reach both ends; lengths differ by at most k."""
+    import numpy as np
+
+    room = np.maximum(m, n) + k + 1
+    starts = np.cumsum(room) - room + k
+    width = int(room.sum()) + 2 * k
+    # the fillings differ, so a diagonal has a mismatch where either text ends
+    left, right = _laid(lefts, m, starts, width, 0xFFFFFFFF), _laid(rights, n, starts, width, 0xFFFFFFFE)
+    missed = {}
+    for d in range(-k, k + 1):
+        first, stop = max(0, -d), width - max(0, d)
+        missed[d] = np.flatnonzero(left[first:stop] != right[first + d : stop + d]) + first
+    never = np.full(len(m), -(1 << 40), np.int64)
+    reach = {}
+    for e in range(k + 1):
+        further = {}
+        for d in range(-e, e + 1):
+            if e == 0:
+                row = np.zeros(len(m), np.int64)
+            else:
+                # a changed, an added or a left out character
+                row = np.maximum(np.maximum(reach.get(d, never) + 1, reach.get(d - 1, never)), reach.get(d + 1, never) + 1)
+                row = np.minimum(row, np.minimum(m, n - d))
+            # before a text's first character nothing is reached
+            real = row >= max(0, -d)
+            next_miss = missed[d][np.searchsorted(missed[d], starts + np.where(real, row, m))] - starts
+            further[d] = np.where(real, next_miss, never)
+        reach = further
+    return np.select([n - m == d for d in reach], [reach[d] >= m for d in reach], False)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wirelens.llm.components import components, cross_pairs, grouped_links, open_groups
-from wirelens.llm.edits import within
+from wirelens.llm.edits import codes, within
 from wirelens.llm.frames import SPACES, columns, cut, numbered, released, work_dir
 
 EDITS = 2
@@ -38,6 +38,9 @@ MIN_CHARS = 24
 #: Classes of characters, and of pairs of neighbours, that are counted.
 BAG = 32
 PAIR_BAG = 64
+#: Buckets are sent by slices of their keys, and this many pairs of bucket and node are sorted at a time.
+SLICE_BITS = 14
+PAIRS = 1 << 20
 
 
 def _segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -51,81 +54,215 @@ def _segments(length: int, parts: int) -> list[tuple[int, int]]:
     return spans
 
 
-def probes(length: int, edits: int) -> list[tuple[int, int, int]]:
-    """(key number, start, length) of all substrings under which a line of this length is filed.
-
-    The key number tells the segment and the length of the line it belongs to.
-    A line's own segments are those with no difference in length and no offset.
-    """
-    parts, found = edits + 1, []
+def _offsets(edits: int) -> list[tuple[int, int, int]]:
+    """(gap, segment, offset): where a line looks for a segment of a line that is ``gap`` shorter."""
+    found = []
     for gap in range(edits + 1):
-        if length - gap < parts:
-            continue
-        for i, (start, size) in enumerate(_segments(length - gap, parts)):
+        for i in range(edits + 1):
             # edits left of the segment are at most i, right of it at most edits - i
             low, high = max(-i, gap - (edits - i)), min(i, gap + (edits - i))
-            for offset in range(low, high + 1):
-                if 0 <= start + offset and start + offset + size <= length:
-                    found.append(((length - gap) * parts + i, start + offset, size))
+            found += [(gap, i, offset) for offset in range(low, high + 1)]
     return found
 
 
+def probes(lengths, edits: int) -> Iterator[tuple]:
+    """(lines, key numbers, starts, sizes) of all substrings under which lines of these lengths are filed.
+
+    The key number tells the segment and the length of the line it belongs to.
+    A line's own segments are those with no difference in length and no offset.
+    """
+    import numpy as np
+
+    parts = edits + 1
+    for gap, i, offset in _offsets(edits):
+        whole = lengths - gap
+        base, longer = whole // parts, whole % parts
+        size = base + (i >= parts - longer)
+        start = i * base + np.maximum(0, i - (parts - longer)) + offset
+        lines = np.flatnonzero((whole >= parts) & (start >= 0) & (start + size <= lengths))
+        yield lines, whole[lines] * parts + i, start[lines], size[lines]
+
+
 class _Keys:
-    """Bucket keys of lines; the layouts of lengths seen are kept."""
+    """Bucket keys of lines: polynomials over the UTF-8 bytes of filed substrings, modulo 2^64.
+
+    Running sums over a batch give every substring's polynomial by one
+    difference. Keys that fall together only add candidates.
+    """
+
+    #: Bytes whose running sums are held at a time; a longer line is summed in stretches.
+    BYTES = 1 << 19
 
     def __init__(self, edits: int):
-        self.edits, self.layouts = edits, {}
+        import numpy as np
+
+        self.edits = edits
+        base = 0x2545F4914F6CDD1D
+        self.codes = np.random.default_rng(7).integers(0, 1 << 64, 256, np.uint64)
+        self.up = self._powers(base, self.BYTES + 1)
+        self.down = self._powers(pow(base, -1, 1 << 64), self.BYTES + 1)
+
+    @staticmethod
+    def _powers(base: int, n: int):
+        import numpy as np
+
+        factors = np.full(n, base, np.uint64)
+        factors[0] = 1
+        return np.multiply.accumulate(factors)
+
+    @staticmethod
+    def _mixed(sums, numbers):
+        import numpy as np
+
+        x = sums + numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+    def _sum(self, data) -> int:
+        """The polynomial of one substring of any length."""
+        import numpy as np
+
+        total, step = 0, self.BYTES
+        for n, at in enumerate(range(0, len(data), step)):
+            part = data[at : at + step]
+            total += int((self.codes[part] * self.up[: len(part)]).sum(dtype=np.uint64)) * pow(int(self.up[step]), n, 1 << 64)
+        return total & 0xFFFFFFFFFFFFFFFF
+
+    def _chunk(self, data, ends) -> tuple:
+        """Keys, and to which line each belongs, of lines that end at ``ends`` in ``data``."""
+        import numpy as np
+
+        starts = np.append(0, ends[:-1])
+        leads = None
+        if len(data) and data.max() > 127:
+            lead = (data & 0xC0) != 0x80
+            leads = np.append(np.flatnonzero(lead), len(data))
+            before = np.append(0, np.cumsum(lead))
+            starts, ends = before[starts], before[ends]
+        sums = None
+        if len(data) <= self.BYTES:
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self.codes[data] * self.up[: len(data)], out=sums[1:])
+        keys, owners = [], []
+        for lines, numbers, at, size in probes(ends - starts, self.edits):
+            first = starts[lines] + at
+            last = first + size
+            if leads is not None:
+                first, last = leads[first], leads[last]
+            if sums is None:
+                found = np.array([self._sum(data[x:y]) for x, y in zip(first, last, strict=True)], np.uint64)
+            else:
+                found = (sums[last] - sums[first]) * self.down[first]
+            keys.append(self._mixed(found, numbers))
+            owners.append(lines)
+        return np.concatenate(keys), np.concatenate(owners)
 
     def of(self, line: str) -> list[tuple[int, int, int]]:
         """Key, start and length of every filed substring of ``line``."""
-        import xxhash
+        import numpy as np
+
+        (keys, _), *_ = self.of_all(pa.array([line]))
+        places = [x for _, _, at, size in probes(np.array([len(line)]), self.edits) for x in zip(at.tolist(), size.tolist(), strict=True)]
+        return [(k, p, s) for k, (p, s) in zip(keys.tolist(), places, strict=True)]
+
+    def of_all(self, lines: pa.Array) -> Iterator[tuple]:
+        """Keys, and to which of ``lines`` each belongs, by and by."""
+        import numpy as np
 
-        n = len(line)
-        layout = self.layouts.get(n)
-        if layout is None:
-            layout = probes(n, self.edits)
-            if len(self.layouts) < 4096:
-                self.layouts[n] = layout
-        if line.isascii():
-            data = line.encode()
-            return [(xxhash.xxh3_64_intdigest(data[p : p + s], seed=c), p, s) for c, p, s in layout]
-        return [(xxhash.xxh3_64_intdigest(line[p : p + s].encode(), seed=c), p, s) for c, p, s in layout]
+        texts = lines.cast(pa.large_binary())
+        ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + self.BYTES, "right")) - 1)
+            keys, owners = self._chunk(data[ends[at] : ends[stop]], ends[at + 1 : stop + 1] - ends[at])
+            yield keys, owners + at
+            at = stop
 
 
-def _rows(keys: list[int], nodes: list[int]) -> pa.RecordBatch:
+def _packed(buckets, nodes) -> Iterator[pa.RecordBatch]:
+    """Pairs of bucket and node, sorted and packed by slice: one row for many pairs."""
     import numpy as np
 
-    return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(nodes, pa.int64())], ["bucket", "node"])
+    order = np.argsort(buckets)
+    pairs = np.empty((len(order), 2), np.uint64)
+    pairs[:, 0], pairs[:, 1] = buckets[order], nodes[order]
+    slices = (pairs[:, 0] >> np.uint64(64 - SLICE_BITS)).astype(np.int32)
+    begins = np.append(0, np.flatnonzero(slices[1:] != slices[:-1]) + 1)
+    offsets = np.append(begins, len(pairs)) * 16
+    packs = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(pairs)])
+    yield pa.RecordBatch.from_arrays([pa.array(slices[begins]), packs], ["slice", "pairs"])
 
 
-def lines_of(docs: DataFrame, key: str, text: str, at: str, least: int = MIN_CHARS) -> DataFrame:
-    """at, doc_id, line_no, line, node (hash of the line) of every line that takes part."""
-    split = docs.select(F.col(at).alias("at"), F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
-    line = split.select("at", "doc_id", "line_no", F.btrim("raw", F.lit(SPACES)).alias("line"))
-    return line.filter(F.length("line") >= least).withColumn("node", F.xxhash64("line"))
+def _told(buckets, nodes, told) -> tuple:
+    """Of pairs of bucket and node: which to tell, as their bucket has several nodes, and one pair of each bucket to go on with."""
+    import numpy as np
+
+    order = np.argsort(buckets)
+    b = buckets[order]
+    alone = np.ones(len(b), bool)
+    alone[1:] = b[1:] != b[:-1]
+    alone[:-1] &= alone[1:]
+    # most buckets have one pair
+    rest = order[~alone]
+    rest = rest[np.lexsort((~told[rest], nodes[rest], buckets[rest]))]
+    b, n, t = buckets[rest], nodes[rest], told[rest]
+    fresh = np.ones(len(b), bool)
+    fresh[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
+    b, n, t = b[fresh], n[fresh], t[fresh]
+    first = np.ones(len(b), bool)
+    first[1:] = b[1:] != b[:-1]
+    begins = np.flatnonzero(first)
+    sizes = np.diff(np.append(begins, len(b)))
+    several = sizes > 1
+    out = np.repeat(several, sizes) & ~t
+    lone = order[alone]
+    kept = np.append(buckets[lone], b[begins]), np.append(nodes[lone], n[begins]), np.append(told[lone], several | t[begins])
+    return b[out], n[out], kept
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket and node the distinct ones whose bucket has several nodes."""
+    """Of packed pairs sorted by slice the distinct ones whose bucket has several nodes.
+
+    Many slices are settled at a time. A slice beyond PAIRS is settled in parts,
+    and goes on with one pair of each bucket; then a pair may be told twice.
+    """
     import numpy as np
 
-    last, told = None, True
+    none = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, bool)
+    waiting: list = []
+    held, count, last = none, 0, None
+
+    def settled() -> tuple:
+        both = np.concatenate(waiting or [np.empty((0, 2), np.uint64)])
+        return _told(np.append(held[0], both[:, 0]), np.append(held[1], both[:, 1]), np.append(held[2], np.zeros(len(both), bool)))
+
+    def rows(b, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(b.view(np.int64)), pa.array(n.view(np.int64))], ["bucket", "node"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        b, n = (np.asarray(c) for c in batch.columns)
-        if last is not None:
-            b, n = np.append(last[0], b), np.append(last[1], n)
-        fresh = np.ones(len(b), bool)
-        fresh[1:] = (b[1:] != b[:-1]) | (n[1:] != n[:-1])
-        b, n = b[fresh], n[fresh]
-        same = b[1:] == b[:-1]
-        out = np.append(same, False) | np.append(False, same)
-        if last is not None and told:
-            out[0] = False
-        told = bool(out[-1]) or (told and len(b) == 1 and last is not None)
-        last = (b[-1:], n[-1:])
-        yield pa.RecordBatch.from_arrays([pa.array(b[out]), pa.array(n[out])], ["bucket", "node"])
+        for number, pack in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if count >= PAIRS:
+                b, n, held = settled()
+                same = held[0] >> np.uint64(64 - SLICE_BITS) == np.uint64(last)
+                held = tuple(x[same] for x in held) if number == last else none
+                waiting, count = [], 0
+                yield rows(b, n)
+            pairs = np.frombuffer(pack.as_buffer(), np.uint64).reshape(-1, 2)
+            waiting.append(pairs)
+            count += len(pairs)
+            last = number
+    yield rows(*settled()[:2])
+
+
+def lines_of(docs: DataFrame, key: str, text: str, at: str, least: int = MIN_CHARS) -> DataFrame:
+    """at, doc_id, line_no, line, node (hash of the line) of every line that takes part."""
+    split = docs.select(F.col(at).alias("at"), F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "raw"))
+    line = split.select("at", "doc_id", "line_no", F.btrim("raw", F.lit(SPACES)).alias("line"))
+    return line.filter(F.length("line") >= least).withColumn("node", F.xxhash64("line"))
 
 
 def _with_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,38 +273,42 @@ def _with_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, width = bags.shape
         return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width), pa.int32()), pa.array(bags.reshape(-1)))
 
-    for batch in batches:
-        bags = np.empty((batch.num_rows, BAG), np.int32)
-        pairs = np.empty((batch.num_rows, PAIR_BAG), np.int32)
-        for i, line in enumerate(batch.column(1).to_pylist()):
-            c = np.frombuffer(line.encode("utf-32-le"), np.uint32)
-            bags[i] = np.bincount(c % BAG, minlength=BAG)
-            pairs[i] = np.bincount((c[:-1] * np.uint32(31) + c[1:]) * np.uint32(0x9E3779B1) >> np.uint32(26), minlength=PAIR_BAG)
-        yield pa.RecordBatch.from_arrays([*batch.columns, lists(bags), lists(pairs)], ["node", "line", "bag", "pairs"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, 512):
+            batch = whole.slice(start, 512)
+            texts = batch.column(1).to_pylist()
+            c = codes(texts)
+            row = np.repeat(np.arange(len(texts), dtype=np.uint32), [len(t) for t in texts])
+            bags = np.bincount(row * np.uint32(BAG) + c % np.uint32(BAG), minlength=len(texts) * BAG).astype(np.int32).reshape(-1, BAG)
+            inside = row[1:] == row[:-1]
+            pair = ((c[:-1] * np.uint32(31) + c[1:]) * np.uint32(0x9E3779B1) >> np.uint32(26))[inside]
+            pairs = np.bincount(row[1:][inside] * np.uint32(PAIR_BAG) + pair, minlength=len(texts) * PAIR_BAG).astype(np.int32).reshape(-1, PAIR_BAG)
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists(bags), lists(pairs)], ["node", "line", "bag", "pairs"])
 
 
 def linked_lines(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """node, comp of every line that is within ``edits`` edits of a different line."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = _Keys(edits)
+        import numpy as np
+
+        keys, buckets, nodes, count = _Keys(edits), [], [], 0
         for batch in batches:
-            seen, buckets, nodes = set(), [], []
-            for node, line in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if node not in seen:
-                    seen.add(node)
-                    found = {k for k, _, _ in keys.of(line.as_py())}
-                    buckets += found
-                    nodes += [node] * len(found)
-                    if len(buckets) > 200_000:
-                        yield _rows(buckets, nodes)
-                        buckets, nodes = [], []
-            yield _rows(buckets, nodes)
+            found, once = np.unique(np.asarray(batch.column(0)).view(np.uint64), return_index=True)
+            for key, owner in keys.of_all(batch.column(1).take(pa.array(once))):
+                buckets.append(key)
+                nodes.append(found[owner])
+                count += len(key)
+                if count >= PAIRS:
+                    yield from _packed(np.concatenate(buckets), np.concatenate(nodes))
+                    buckets, nodes, count = [], [], 0
+        if count:
+            yield from _packed(np.concatenate(buckets), np.concatenate(nodes))
 
     spark = lines.sparkSession
-    # one exchange: a bucket's rows come one after another, and those of buckets with one line stop here
-    filed = lines.select("node", "line").mapInArrow(released(file), "bucket long, node long").repartition("bucket")
-    members = cut(filed.sortWithinPartitions("bucket", "node").mapInArrow(released(_shared), "bucket long, node long"))
+    # one exchange of packed pairs: a slice's come one after another, and those of buckets with one line stop here
+    filed = lines.select("node", "line").mapInArrow(released(file), "slice int, pairs binary").repartition("slice")
+    members = cut(filed.sortWithinPartitions("slice").mapInArrow(released(_shared), "bucket long, node long"))
     taking_part = members.select("node").distinct()
     path = work_dir(spark)
     found = lines.select("node", "line").join(taking_part, "node", "left_semi").dropDuplicates(["node"])
