@@ -66,3 +66,19 @@ def test_operators_over_sampled_cuts(spark):
     df = spark.createDataFrame(times, "message string, packet_no long, ms long").withColumn("ts", F.timestamp_millis("ms"))
     rates = lambda **o: sorted((r.packet_no, r.refresh_hz) for r in refresh_rate(df, ("message",), exact=True, **o).collect())
     assert rates(chunk=None) == rates(chunk=32)
+
+
+def test_exact_rates_move_rows_fewer_times(spark):
+    rows = spark.range(50).select(F.lit("m").alias("message"), F.col("id").alias("packet_no"), F.timestamp_millis(F.col("id") * 7).alias("ts"))
+    out = refresh_rate(rows, ("message",), exact=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 10
+
+
+def test_exact_rates_of_equal_packet_numbers(spark):
+    """Packets of one number count in order of time, and none is lost."""
+    rows = [("m", n // 3, 1000 * n + 17 * (n % 3)) for n in range(60)]
+    df = spark.createDataFrame(rows[::-1], "message string, packet_no long, ms long").withColumn("ts", F.timestamp_millis("ms"))
+    got = refresh_rate(df, ("message",), window_ms=5000, exact=True, chunk=4)
+    want = [sum(1 for r in rows[: i + 1] if r[2] >= rows[i][2] - 5000) for i in range(60)]
+    assert [r.refresh_hz for r in got.orderBy("ms").collect()] == want

@@ -28,16 +28,19 @@ def running(
     order: str,
     totals: dict[str, tuple[str, Column]],
     chunk: int | None = CHUNK,
+    ties: tuple[str, ...] = (),
+    piece: str | None = None,
 ) -> DataFrame:
     """Add, per entry ``name: (kind, value)``, the value over all earlier rows.
 
     ``kind`` is ``sum`` or ``max``; the current row is excluded, and rows with
     none before get 0 for sums and NULL for maxima. With ``chunk`` None the rows
-    are cut at sampled splitters; values are then whole numbers, and rows of
-    equal order come in any order.
+    are cut at sampled splitters; values are then whole numbers. Rows of equal
+    order come in the order of the columns ``ties``, else in any order.
+    ``piece`` names a column for the number of the chunk that a row lies in.
     """
     if chunk is None:
-        return _running_sampled(df, keys, order, totals)
+        return _running_sampled(df, keys, order, totals, ties, piece)
     staged = df.withColumn("_chunk", F.floor(F.col(order) / chunk)).withColumns(
         {f"_v_{n}": v for n, (_, v) in totals.items()}
     )
@@ -52,7 +55,7 @@ def running(
     same = F.col("_chunk") == F.col("_k_chunk")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    within = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "_chunk").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)
     joined = staged.join(bases, same, "left")
     out = joined
     for n, (k, _) in totals.items():
@@ -61,6 +64,7 @@ def running(
             out = out.withColumn(n, F.coalesce(F.col(f"_b_{n}"), F.lit(0)) + F.coalesce(local, F.lit(0)))
         else:
             out = out.withColumn(n, F.greatest(F.col(f"_b_{n}"), local))
+    out = out if piece is None else out.withColumn(piece, F.col("_chunk"))
     scratch = ["_chunk", "_k_chunk"] + [f"_k_{k}" for k in keys]
     scratch += [f"_{p}_{n}" for n in totals for p in ("v", "b")]
     return out.drop(*scratch)
@@ -122,7 +126,9 @@ def _scan_partition(keys: int, kinds: list[str]):
     return run
 
 
-def _running_sampled(df: DataFrame, keys: list[str], order: str, totals: dict[str, tuple[str, Column]]) -> DataFrame:
+def _running_sampled(
+    df: DataFrame, keys: list[str], order: str, totals: dict[str, tuple[str, Column]], ties: tuple[str, ...] = (), piece: str | None = None
+) -> DataFrame:
     """``running`` by range partitions: one shuffle of the rows, whatever their order looks like."""
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -130,7 +136,7 @@ def _running_sampled(df: DataFrame, keys: list[str], order: str, totals: dict[st
     values = [v.cast("long").alias(f"_v_{n}") for n, (_, v) in totals.items()]
     staged = df.select(*[F.col(f"`{k}`").alias(f"_k_{i}") for i, k in enumerate(keys)], *values, *[F.col(f"`{c}`") for c in df.columns])
     tags = [f"_k_{i}" for i in range(len(keys))]
-    ranged = staged.repartitionByRange(parts, *tags, order).sortWithinPartitions(*tags, order)
+    ranged = staged.repartitionByRange(parts, *tags, order).sortWithinPartitions(*tags, order, *ties)
     local = [T.StructField("_part", T.IntegerType()), *[T.StructField(f"_l_{n}", T.LongType()) for n in names]]
     # written, as totals and rows must come from the same cut
     rows = written(ranged.mapInArrow(_scan_partition(len(keys), kinds), T.StructType([*staged.schema.fields, *local])), "scan")
@@ -147,4 +153,5 @@ def _running_sampled(df: DataFrame, keys: list[str], order: str, totals: dict[st
     done = {
         n: F.coalesce(F.col(f"_b_{n}"), F.lit(0)) + F.col(f"_l_{n}") if k == "sum" else F.greatest(f"_b_{n}", f"_l_{n}") for n, k in zip(names, kinds, strict=True)
     }
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in done.items()])
+    told = [] if piece is None else [F.col("_part").alias(piece)]
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(n) for n, c in done.items()], *told)

@@ -319,32 +319,37 @@ def _queue_rate(df: DataFrame, keys: list[str], order: str, window_ms: int, name
     late row in front keeps all behind it. So the front of row i is the first
     row j of all with ms_j >= m_i - window, m_i the largest ms up to i: rows
     before the front were below an earlier bound, and bounds only grow by m. The
-    first row to reach a value is a record (larger than all before it), so
+    first row to reach a value is a record (larger than all before it), and m
+    changes at records only, so
 
     - a scan gives every row its place and m,
-    - records, at most one per millisecond, find their front among the records
-      of the window before them, in buckets of time,
-    - a second scan hands the front of the latest record on to the rows after it.
+    - rows where m changes, and the first row of each chunk, are steps; at most
+      one per millisecond and chunk, they find their front among the steps of
+      the window before them, in buckets of time,
+    - a row has the front of the step of its chunk with the same m: one join,
+      in which no key has more rows than a chunk.
 
     Summaries of chunks are combined by maximum and sum, whatever the clocks do:
     after one stamp far in the future nothing but a number is carried on.
     """
-    placed = running(df, keys, order, {"_top": ("max", F.col("_ms")), "_place": ("sum", F.lit(1).cast("bigint"))}, chunk)
-    record = F.col("_top").isNull() | (F.col("_ms") > F.col("_top"))
-    home = F.floor(F.col("_ms") / bucket_ms)
-    reach = F.when(F.col("_ms") >= (home + 1) * bucket_ms - window_ms, F.array(home, home + 1)).otherwise(F.array(home))
-    spread = placed.filter(record).select(*keys, order, "_ms", "_place", F.explode(reach).alias("_bucket"))
-    recent = Window.partitionBy(*keys, "_bucket").orderBy("_ms").rangeBetween(-window_ms, 0)
+    totals = {"_top": ("max", F.col("_ms")), "_place": ("sum", F.lit(1).cast("bigint"))}
+    # rows of equal order in order of time: the scan is made twice, for the steps and for the rows, and must come out the same
+    placed = running(df, keys, order, totals, chunk, ties=("_ms",), piece="_piece")
+    placed = placed.withColumn("_now", F.greatest("_top", "_ms")).drop("_top")
+    ahead = F.lag("_now").over(Window.partitionBy(*keys, "_piece").orderBy(order, "_ms"))
+    steps = placed.select(*keys, order, "_ms", "_piece", "_now", "_place").withColumn("_ahead", ahead).filter("_ahead IS NULL OR _ahead < _now")
+    home = F.floor(F.col("_now") / bucket_ms)
+    reach = F.when(F.col("_now") >= (home + 1) * bucket_ms - window_ms, F.array(home, home + 1)).otherwise(F.array(home))
+    spread = steps.select(*keys, "_piece", "_now", "_place", F.explode(reach).alias("_bucket"))
+    recent = Window.partitionBy(*keys, "_bucket").orderBy("_now").rangeBetween(-window_ms, 0)
+    by = [*keys, "_piece", "_now"]
     fronts = (
         spread.withColumn("_front", F.min("_place").over(recent))
         .filter(F.col("_bucket") == home)
-        .select(*[F.col(k).alias(f"_k_{k}") for k in [*keys, order]], "_front")
+        .select(*[F.col(k).alias(f"_k_{k}") for k in by], "_front")
     )
-    known = placed.drop("_top").join(fronts, _join_keys([*keys, order], "_k_"), "left").drop(*[f"_k_{k}" for k in [*keys, order]])
-    carried = running(known, keys, order, {"_last": ("max", F.col("_front"))}, chunk)
-    # fronts only move on, so the largest so far is that of the latest record
-    length = F.col("_place") - F.greatest("_front", "_last") + 1
-    return carried.withColumn(name, length).drop("_place", "_front", "_last")
+    known = placed.join(fronts, _join_keys(by, "_k_"), "left")
+    return known.withColumn(name, F.col("_place") - F.col("_front") + 1).drop("_place", "_front", "_piece", "_now", *[f"_k_{k}" for k in by])
 
 
 def _ordered_rate(df, counted, keys, order, window_ms, name, seed, chunk, bucket_ms) -> DataFrame:
