@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wirelens.operators.reframe import reframe
-from wirelens.operators.scan import running
+from wirelens.operators.scan import running, values_at
 from wirelens.operators.verify import refresh_rate
 
 
@@ -68,6 +68,34 @@ def test_operators_over_sampled_cuts(spark):
     assert rates(chunk=None) == rates(chunk=32)
 
 
+def test_values_at_shares_are_exact(spark):
+    """As ``percentile_disc``, without a task that holds every distinct value."""
+    rng = random.Random(3)
+    for n, span in ((1, 5), (7, 100), (10, 10**15), (100, 50), (997, 10**13)):
+        values = [rng.randrange(-span, span) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "x long")
+        shares = [0.0, 0.125, 0.4, 0.5, 0.875, 1.0]
+        want = df.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY x)") for q in shares]).first()
+        assert values_at(df, F.col("x"), shares) == [int(v) for v in want]
+    assert values_at(spark.createDataFrame([(None,)], "x long"), F.col("x"), [0.5]) == [None]
+
+
+def test_landing_steps_make_no_exact_percentile(spark, tmp_path, monkeypatch):
+    """Cuts of the live queries hold no table of all distinct stamps."""
+    from wirelens.plans import queries
+
+    def refused(text):
+        assert "percentile" not in text
+        return expr(text)
+
+    expr = F.expr
+    monkeypatch.setattr(F, "expr", refused)
+    rows = spark.range(100).select("id", F.timestamp_seconds("id").alias("ts"))
+    seen = []
+    queries._in_steps(spark, rows, "ts", str(tmp_path / "in"), lambda stream: seen.append(spark.read.parquet(str(tmp_path / "in")).count()))
+    assert seen == [24, 49, 74, 100]
+
+
 def test_exact_rates_move_rows_fewer_times(spark):
     rows = spark.range(50).select(F.lit("m").alias("message"), F.col("id").alias("packet_no"), F.timestamp_millis(F.col("id") * 7).alias("ts"))
     out = refresh_rate(rows, ("message",), exact=True)

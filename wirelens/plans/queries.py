@@ -19,7 +19,7 @@ from wirelens.functions.bind import bind
 from wirelens.operators import decode, dissect, encode, icd, nmea, quality, route, schedule, summary, verify
 from wirelens.operators.frames import tcp_frames, udp_frames
 from wirelens.operators.reframe import reframe
-from wirelens.operators.scan import running
+from wirelens.operators.scan import running, values_at
 from wirelens.plans import wire_events as we
 from wirelens.plans.definitions import messages_from_catalog
 from wirelens.plans.model import Field, Message
@@ -2015,12 +2015,12 @@ def running_stamps(spark, sf):
 
 def _in_steps(spark, rows, by_time, path: str, run, parts: int = 4) -> None:
     """Land rows in order of time, a part at a time, and ``run(stream)`` over what is there after each: a restart every time."""
-    cuts = rows.agg(*[F.expr(f"percentile_disc({k / parts}) WITHIN GROUP (ORDER BY unix_micros({by_time}))") for k in range(1, parts)]).first()
     at = F.unix_micros(by_time)
-    edges = [None, *[int(c or 0) for c in cuts], None]
+    cuts = values_at(rows, at, [k / parts for k in range(1, parts)])
+    edges = [None, *[c or 0 for c in cuts], None]
     for lo, hi in zip(edges, edges[1:], strict=False):
         some = rows if lo is None else rows.filter(at >= lo)
-        (some if hi is None else some.filter(at < hi)).coalesce(2).write.mode("append").parquet(path)
+        (some if hi is None else some.filter(at < hi)).write.mode("append").parquet(path)
         run(spark.readStream.schema(rows.schema).parquet(path))
 
 
@@ -2065,7 +2065,8 @@ def _live_outputs(spark, sf):
     ]
     path = work_path(spark, "live")
     metrics: list = []
-    rows = we.event_datagrams(we.events(spark, sf)).withColumn("connection_id", F.lit("c1"))
+    events = we.events(spark, sf).withColumn("user_id", F.pmod("user_id", F.lit(65536)))  # users beyond the field's two bytes wrap, as the SQL has it
+    rows = we.event_datagrams(events).withColumn("connection_id", F.lit("c1"))
 
     def run(stream):
         query = live.live_decode(stream, layouts, path, path + "-state")
