@@ -202,3 +202,35 @@ def test_second_write_adds_and_overwrite_replaces(spark, tmp_path):
     assert read_pcapng(spark, path).count() == 20
     write_capture(frames(20, 25), path, mode="overwrite")
     assert read_pcapng(spark, path).count() == 5
+
+
+def test_one_capture_of_many_tasks_without_null_records(spark, tmp_path):
+    """Records of all partitions in order behind one head; a row without a record is skipped."""
+    path = str(tmp_path / "one")
+    record = F.unhex(F.concat(F.lit("01000000020000000400000004000000"), F.lpad(F.hex("id"), 8, "0")))
+    rows = spark.range(0, 1000, 1, 7).select(F.when(F.col("id") % 10 != 3, record).alias("block"))
+    cap.write_records(rows, path, one_file=True)
+    files = cap.capture_files(spark, path)
+    assert files.count() == 1
+    got = [int.from_bytes(r.frame) for r in cap.read_captures(files, range_bytes=512).orderBy("packet_no").collect()]
+    assert got == [i for i in range(1000) if i % 10 != 3]
+    cap.write_records(rows.limit(5), path, mode="overwrite", one_file=True)
+    assert cap.read_pcap(spark, path).count() == 4
+    cap.write_records(rows, str(tmp_path / "many"))
+    assert cap.read_pcap(spark, str(tmp_path / "many")).count() == 900
+
+
+def test_ranges_of_captures_are_spread_over_tasks(spark):
+    """Their table is small, so it was put into one task, which then read all captures."""
+    ranges = spark.range(500).select(F.lit("f").alias("file"), F.col("id").alias("part"))
+    joined = ranges.join(ranges.withColumn("n", F.lit(1)).hint("merge"), ["file", "part"])
+    for some in (ranges, joined):
+        assert cap.spread_ranges(some, "file", "part").select(F.spark_partition_id().alias("p")).distinct().count() == 8
+
+
+def test_frames_are_not_made_again_for_the_null_filter(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(cap, "write_records", lambda blocks, *_: plans.append(blocks._jdf.queryExecution().optimizedPlan().toString()))
+    rows = spark.range(5).select(F.timestamp_seconds("id").alias("ts"), F.encode(F.reverse(F.col("id").cast("string")), "UTF-8").alias("frame"))
+    cap.write_capture(rows, str(tmp_path / "x"))
+    assert plans[0].count("reverse(") == 1

@@ -1921,17 +1921,23 @@ def capture_pruned(spark, sf):
 )
 def capture_faults(spark, sf):
     """A capture of each event type with a fault behind its last packet: where it is met, and that all packets before it are read."""
-    framed = udp_frames(we.event_datagrams(we.events(spark, sf)).withColumn("event_type", F.get(F.array(*map(F.lit, we.EVENT_TYPES)), F.col("dst_port") - 5001)))
+    events = we.events(spark, sf).withColumn("user_id", F.pmod("user_id", F.lit(65536)))  # users beyond the field's two bytes wrap
+    datagrams = we.event_datagrams(events).withColumn("event_type", F.get(F.array(*map(F.lit, we.EVENT_TYPES)), F.col("dst_port") - 5001))
+    framed = udp_frames(datagrams)
     path = work_path(spark, "faults")
     head = F.unhex(F.lit("00" * 8))
     tails = {"truncated_packet_header": F.unhex(F.lit("11" * 9)), "bad_packet_size": F.concat(head, F.unhex(F.lit("00" * 8))), "truncated_packet_data": F.concat(head, F.unhex(F.lit("32000000" * 2 + "AA" * 9)))}
+    # encoded once for all fifteen captures
+    kept = work_path(spark, "records")
     records = framed.select("event_type", F.col("packet_no").alias("at"), F.unhex(packet_record_hex(F.unix_micros("ts"), F.col("frame"))).alias("block"))
-    for reason, tail in tails.items():
-        last = records.select("event_type").distinct().select("event_type", F.lit(1 << 62).alias("at"), tail.alias("block"))
-        whole = records.unionByName(last)
-        for kind in we.EVENT_TYPES:
-            own = whole.filter(F.col("event_type") == kind).repartitionByRange(1, "at").sortWithinPartitions("at").select("block")
-            write_records(own, f"{path}/type={kind}/{reason}")
+    records.write.partitionBy("event_type").parquet(kept)
+    records = spark.read.schema(records.select("at", "block", "event_type").schema).parquet(kept)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for kind in we.EVENT_TYPES:
+        own = records.filter((F.col("event_type") == kind) & F.col("block").isNotNull()).select("at", "block")
+        for reason, tail in tails.items():
+            whole = own.unionByName(own.limit(1).select(F.lit(1 << 62).alias("at"), tail.alias("block")))
+            write_records(whole.repartitionByRange(parts, "at").sortWithinPartitions("at").select("block"), f"{path}/type={kind}/{reason}", one_file=True)
     files = capture_files(spark, path)
     index = index_captures(files, 1 << 16)
     read = read_captures(files, index).groupBy("file").agg(F.count("*").alias("packets"))

@@ -21,8 +21,9 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from wirelens.functions.bind import bind
 from wirelens.sources.work import written
 
 RANGE_BYTES = 64 << 20
@@ -267,15 +268,22 @@ def _walk(path: str, size: int, part: int, width: int, start: int | None, order:
         return path, part, begin, first, None, None, fmt, "[]", f"unreadable: {e.strerror}", 0
 
 
+#: Ranges whose results a task hands on at once.
+RANGES_AT_ONCE = 256
+
+
 def _walk_batches(width: int):
     columns = [c.split()[0] for c in SEGMENT.split(", ")]
 
     def run(batches):
         for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                start = None if pd.isna(r.start) else int(r.start)
-                row = _walk(r.path, int(r.length), int(r.part), width, start, r.byte_order)
-                out = pd.DataFrame([row], columns=columns)
+            listed = list(pdf.itertuples(index=False))
+            for at in range(0, len(listed), RANGES_AT_ONCE):
+                rows = []
+                for r in listed[at : at + RANGES_AT_ONCE]:
+                    start = None if pd.isna(r.start) else int(r.start)
+                    rows.append(_walk(r.path, int(r.length), int(r.part), width, start, r.byte_order))
+                out = pd.DataFrame(rows, columns=columns)
                 for c in ("start", "stop", "error_at"):
                     out[c] = out[c].astype("Int64")
                 yield out
@@ -283,6 +291,16 @@ def _walk_batches(width: int):
     return run
 
 
+def spread_ranges(ranges: DataFrame, *by: str) -> DataFrame:
+    """Ranges dealt to as many tasks as a shuffle has.
+
+    The number is given as the table is small whatever the captures are: Spark
+    would otherwise put all ranges, and so all reading, into one task. It deals by
+    a hash of the columns, as rows that a join has dealt by the columns stay there.
+    """
+    return ranges.repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*by))
+
+
 def _repair_file(width: int):
     """Of one file's ranges in order those that began in the wrong place, walked from where the range before ends."""
 
@@ -321,7 +339,7 @@ def index_captures(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFram
         F.lit(None).cast("long").alias("start"),
         F.lit(None).cast("string").alias("byte_order"),
     )
-    spread = ranges.repartition(F.col("path"), F.col("part"))
+    spread = spread_ranges(ranges, "path", "part")
     segments = written(spread.mapInPandas(_walk_batches(range_bytes), SEGMENT), "index")
     lengths = files.select(F.col("path").alias("file"), "length")
     order = Window.partitionBy("file").orderBy("part")
@@ -479,10 +497,10 @@ def read_captures(files: DataFrame, index: DataFrame | None = None, range_bytes:
     """Packets of all files, numbered from 1 within each file."""
     index = index_captures(files, range_bytes) if index is None else index
     ready = usable_ranges(files, index)
-    spread = ready.repartition(F.col("file"), F.col("part"))
+    spread = spread_ranges(ready, "file", "part")
     counts = spread.mapInPandas(_count_batches, "file string, part long, packets long")
     numbered = counts.withColumn("first_no", F.coalesce(F.sum("packets").over(earlier_ranges()), F.lit(0)) + 1).drop("packets")
-    work = ready.join(numbered, ["file", "part"]).repartition(F.col("file"), F.col("part"))
+    work = spread_ranges(ready.join(numbered, ["file", "part"]), "file", "part")
     return work.mapInPandas(_read_batches, PACKET)
 
 
@@ -540,20 +558,35 @@ CAPTURE_HEAD += struct.pack("<2I2H2I", INTERFACE, 20, ETHERNET, 0, 262144, 20)
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, temporary: str, final: str):
-        self.temporary, self.final = temporary, final
+    def __init__(self, temporary: str, final: str, part: int = 0):
+        self.temporary, self.final, self.part = temporary, final, part
+
+
+def _joined(column):
+    """The bytes of a column's values, one after another; NULL has none."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.drop_null().cast(pa.large_binary())
+    if not len(column):
+        return b""
+    _, ends, data = column.buffers()
+    first, last = (int(np.frombuffer(ends, np.int64)[column.offset + k]) for k in (0, len(column)))
+    return data.slice(first, last - first) if data is not None else b""
 
 
-class _CaptureWriter(DataSourceWriter):
+class _CaptureWriter(DataSourceArrowWriter):
     """One capture per task: written under a temporary name, renamed on commit.
 
+    With ``one_file`` tasks write records only and the commit puts them behind
+    one head, in the order of the partitions: one capture from many tasks.
     Names carry the write's own id, so a second write to a folder adds captures;
     an overwriting one removes the captures that were there once its own are complete.
     """
 
-    def __init__(self, path: str, overwrite: bool, head: bytes = CAPTURE_HEAD, suffix: str = "pcapng"):
+    def __init__(self, path: str, overwrite: bool, head: bytes = CAPTURE_HEAD, suffix: str = "pcapng", one_file: bool = False):
         self.path, self.overwrite, self.job = path, overwrite, uuid.uuid4().hex[:12]
-        self.head, self.suffix = head, suffix
+        self.head, self.suffix, self.one_file = head, suffix, one_file
 
     def _store(self):
         return store_of(self.path)
@@ -567,26 +600,42 @@ class _CaptureWriter(DataSourceWriter):
         temporary = f"{root}/_part-{part:05d}-{uuid.uuid4().hex}.tmp"
         wrote = False
         with store.open_output_stream(temporary) as out:
-            out.write(self.head)
-            for row in iterator:
-                out.write(bytes(row[0]))
-                wrote = True
+            if not self.one_file:
+                out.write(self.head)
+            for batch in iterator:
+                records = _joined(batch.column(0))
+                if len(records):
+                    out.write(records)
+                    wrote = True
         if not wrote:
             store.delete_file(temporary)
             return _Written("", "")
-        return _Written(temporary, f"{root}/part-{part:05d}-{self.job}.{self.suffix}")
+        return _Written(temporary, f"{root}/part-{part:05d}-{self.job}.{self.suffix}", part)
+
+    def _together(self, store, root: str, parts: list[_Written]) -> _Written:
+        """The tasks' records behind one head."""
+        whole = _Written(f"{root}/_whole-{self.job}.tmp", f"{root}/part-00000-{self.job}.{self.suffix}")
+        with store.open_output_stream(whole.temporary) as out:
+            out.write(self.head)
+            for m in sorted(parts, key=lambda m: m.part):
+                with store.open_input_stream(m.temporary) as f:
+                    while piece := f.read(BATCH_BYTES):
+                        out.write(piece)
+        return whole
 
     def commit(self, messages):
         from pyarrow import fs
 
         store, root = self._store()
         there = store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if self.overwrite else []
-        for m in messages:
-            if m is not None and m.temporary:
-                store.move(m.temporary, m.final)
+        parts = [m for m in messages if m is not None and m.temporary]
+        for m in [self._together(store, root, parts)] if self.one_file and parts else parts:
+            store.move(m.temporary, m.final)
         for f in there:
             if re.fullmatch(r"part-\d{5}(-[0-9a-f]{12})?\.pcap(ng)?", f.base_name):
                 store.delete_file(f.path)
+        for m in parts if self.one_file else []:
+            store.delete_file(m.temporary)
 
     def abort(self, messages):
         store, _ = self._store()
@@ -606,29 +655,46 @@ class CaptureSink(DataSource):
         return "block binary"
 
     def writer(self, schema, overwrite):
+        one_file = self.options.get("onefile") == "true"
         if "head" in self.options:
-            return _CaptureWriter(self.options["path"], overwrite, bytes.fromhex(self.options["head"]), "pcap")
-        return _CaptureWriter(self.options["path"], overwrite)
+            return _CaptureWriter(self.options["path"], overwrite, bytes.fromhex(self.options["head"]), "pcap", one_file)
+        return _CaptureWriter(self.options["path"], overwrite, one_file=one_file)
 
 
 def write_capture(
-    frames: DataFrame, path: str, ts: str = "ts", frame: str = "frame", mode: str = "append", classic: tuple[bool, bool] | None = None
+    frames: DataFrame,
+    path: str,
+    ts: str = "ts",
+    frame: str = "frame",
+    mode: str = "append",
+    classic: tuple[bool, bool] | None = None,
+    one_file: bool = False,
 ) -> None:
-    """Write frames as captures, one file per partition; ``mode`` is append or overwrite.
+    """Write frames as captures, one file per partition, or one in all with ``one_file``; ``mode`` is append or overwrite.
 
     The format is pcapng with microseconds, or with ``classic`` = (little-endian,
     nanoseconds) pcap. Serial records have no network framing; rows whose frame
     is NULL are skipped.
     """
-    micros = F.coalesce(F.unix_micros(ts), F.lit(0).cast("bigint"))
-    record = packet_block_hex(micros, F.col(frame)) if classic is None else packet_record_hex(micros, F.col(frame), *classic)
-    write_records(frames.filter(F.col(frame).isNotNull()).select(F.unhex(record).alias("block")), path, mode, classic)
+    # bound, so that the filter doesn't copy the expressions that make the frame
+    rows = bind(frames.select(F.coalesce(F.unix_micros(ts), F.lit(0).cast("bigint")).alias("micros"), F.col(frame).alias("frame")), {"frame": F.col("frame")})
+    record = packet_block_hex(F.col("micros"), F.col("frame")) if classic is None else packet_record_hex(F.col("micros"), F.col("frame"), *classic)
+    write_records(rows.filter("frame IS NOT NULL").select(F.unhex(record).alias("block")), path, mode, classic, one_file)
+
 
+def write_records(
+    blocks: DataFrame, path: str, mode: str = "append", classic: tuple[bool, bool] | None = (True, False), one_file: bool = False
+) -> None:
+    """Write the one column of ``blocks``, records as bytes, behind a capture's head; one file per partition, in its order.
 
-def write_records(blocks: DataFrame, path: str, mode: str = "append", classic: tuple[bool, bool] | None = (True, False)) -> None:
-    """Write the one column of ``blocks``, records as bytes, behind a capture's head; one file per partition, in its order."""
+    With ``one_file`` all partitions' records make one capture, in the
+    partitions' order. Records that are NULL are skipped.
+    """
     blocks.sparkSession.dataSource.register(CaptureSink)
+    # the writer skips NULLs: a filter here would copy the record's deep expression
     writer = blocks.write.format("wirelens_pcapng").mode(mode)
+    if one_file:
+        writer = writer.option("onefile", "true")
     if classic is not None:
         writer = writer.option("head", classic_head(*classic).hex())
     writer.save(path)
