@@ -1904,12 +1904,15 @@ def capture_kinds(spark, sf):
 )
 def capture_pruned(spark, sf):
     """A time window and two ports of one capture; filters reach the ranges, numbers are those of the whole capture."""
-    framed = udp_frames(we.event_datagrams(we.events(spark, sf)))
+    events = we.events(spark, sf)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # events are put in order before they are encoded, so that the sample of the range cut doesn't encode them too
+    ordered = events.repartitionByRange(parts, "ts", "event_id").sortWithinPartitions("ts", "event_id")
     path = work_path(spark, "pruned")
-    write_capture(framed.repartitionByRange(1, "ts", "packet_no").sortWithinPartitions("ts", "packet_no"), path, classic=(True, False))
+    write_capture(udp_frames(we.event_datagrams(ordered)), path, classic=(True, False), one_file=True)
     packets = read_indexed(spark, path, path + "-index", range_bytes=1 << 16)
-    cuts = we.events(spark, sf).agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY unix_micros(ts))") for q in (0.4, 0.5)]).first()
-    lo, hi = (F.timestamp_micros(F.lit(int(c or 0))) for c in cuts)
+    cuts = values_at(events, F.unix_micros("ts"), [0.4, 0.5])
+    lo, hi = (F.timestamp_micros(F.lit(c or 0)) for c in cuts)
     some = packets.filter((F.col("ts") >= lo) & (F.col("ts") < hi) & F.col("dst_port").isin(5001, 5004))
     return _event_ids(some).select("event_id", F.unix_micros("ts").alias("us"), "dst_port", "packet_no")
 

@@ -115,7 +115,7 @@ def build_sidecar(spark: SparkSession, path: str | list[str], sidecar: str, rang
     """Write the index of all captures under ``path`` to ``sidecar`` and return it. A row per range; bodies are not read."""
     files = cap.capture_files(spark, path)
     ready = cap.usable_ranges(files, cap.index_captures(files, range_bytes))
-    spread = ready.repartition(F.col("file"), F.col("part"))
+    spread = cap.spread_ranges(ready, "file", "part")
     told = spread.mapInPandas(_summaries, "file string, part long, packets long, first_us long, last_us long, ports array<int>")
     told = told.withColumn("first_no", F.coalesce(F.sum("packets").over(cap.earlier_ranges()), F.lit(0)) + 1)
     names = [c.split()[0] for c in SIDECAR.split(", ")]
